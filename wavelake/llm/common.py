@@ -140,13 +140,15 @@ def groups_of_bytes(texts: list, most: int = 1 << 20):
 # -- rows of equal keys ----------------------------------------------------------------------------------------------
 
 
-def bucket_blocks(rows: DataFrame, key: str, spread: str, name: str, block: int = BLOCK) -> DataFrame:
+def bucket_blocks(rows: DataFrame, key: str, spread: str, name: str, block: int | None = None, payload: DataFrame | None = None) -> DataFrame:
     """Rows whose key occurs at least twice, dealt out in blocks of at most about ``2 * block`` rows.
 
     Adds ``blk_a``, ``blk_b`` (the two chunks that the block compares) and ``blk_side`` (true: the row is of chunk a).  A key
     of up to ``block`` rows is one block; a larger one is cut into chunks by the hash of ``spread``, and every two chunks
-    meet in one block.  ``rows`` should be a staged table: it is read twice.
+    meet in one block.  ``rows`` should be a staged table: it is read twice.  ``payload`` is joined by ``spread`` once the
+    rows that meet no other are gone.
     """
+    block = block or BLOCK
     counts = stage(rows.groupBy(key).agg(F.count(F.lit(1)).alias("blk_n")).where("blk_n > 1"), f"{name}-counts")
     chunks = F.ceil(F.col("blk_n") / F.lit(block)).cast("int")
     out = rows.join(counts, key).withColumn("blk_m", chunks)
@@ -154,6 +156,8 @@ def bucket_blocks(rows: DataFrame, key: str, spread: str, name: str, block: int
     out = out.withColumn("blk_o", F.explode(F.sequence(F.lit(0), F.col("blk_m") - 1)))
     out = out.withColumn("blk_a", F.least("blk_c", "blk_o")).withColumn("blk_b", F.greatest("blk_c", "blk_o"))
     out = out.withColumn("blk_side", F.col("blk_c") == F.col("blk_a")).drop("blk_m", "blk_c", "blk_o", "blk_n")
+    if payload is not None:
+        out = out.join(payload, spread)
     return out.repartition(F.col(key), F.col("blk_a"), F.col("blk_b")).sortWithinPartitions(key, "blk_a", "blk_b", spread)
 
 

@@ -6,11 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op9_bpe
+from .embeddings import op5_embedding_near_dups
+from .language import op4_language_id
+from .mixing import op3_mixing
+from .quality import OP6_SQL, op6_quality_rules
 from .sharding import op1_sharding
 from .simhash import op2_simhash
+from .token_tables import op10_token_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_simhash": op2_simhash,
+    "op3_mixing": op3_mixing,
+    "op4_language_id": op4_language_id,
+    "op5_embedding_near_dups": op5_embedding_near_dups,
+    "op6_quality_rules": op6_quality_rules,
+    "op9_bpe": op9_bpe,
+    "op10_token_tables": op10_token_tables,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_quality_rules": OP6_SQL}
