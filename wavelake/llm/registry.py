@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op9_bpe
 from .embeddings import op5_embedding_near_dups
 from .language import op4_language_id
+from .licenses import op8_license_scan
+from .lines import op7_line_dedup
 from .mixing import op3_mixing
 from .quality import OP6_SQL, op6_quality_rules
 from .sharding import op1_sharding
@@ -22,6 +24,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op5_embedding_near_dups": op5_embedding_near_dups,
     "op6_quality_rules": op6_quality_rules,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_license_scan": op8_license_scan,
     "op9_bpe": op9_bpe,
     "op10_token_tables": op10_token_tables,
 }
