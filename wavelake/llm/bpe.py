@@ -15,18 +15,20 @@ from __future__ import annotations
 
 import json
 from functools import lru_cache
-from itertools import chain
+from struct import pack
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
 
-MOST_NODES = 400_000
-MOST_WORDS = 200_000
-MOST_PAIRS = 300_000
-#: Ids that one Arrow batch of the output holds, about.
-BATCH_IDS = 1 << 20
+MOST_NODES = 300_000
+MOST_WORDS = 150_000
+MOST_PAIRS = 200_000
+#: Text (characters) encoded at a time, and ids that one Arrow batch of the output holds, about.
+PART_CHARS = 1 << 20
+BATCH_IDS = 1 << 18
 
 
 def _tokenizer_path(name: str) -> str:
@@ -63,7 +65,7 @@ class TrieBPE:
             self.merged[left, right] = rank
             self.parts[made] = (left, right)
             self.order[made] = rank
-        self.longest = max(map(len, self.id_of))
+        self._automaton()
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.added = added
         self.bytes_of |= {i: t.encode() for t, i in added.items()}
@@ -71,13 +73,48 @@ class TrieBPE:
         # Fixed value: the pattern by which byte-level BPE cuts a text; white space as Unicode defines it.
         self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+").findall
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, bytes] = {}
         self._clear()
 
+    def _automaton(self) -> None:
+        """States are the beginnings of tokens; ``ends`` has, for each, the tokens that end there (token, length), long ones first."""
+        step: dict[int, int] = {}
+        token_at, parents = {}, [(0, 0)]
+        for raw, token in self.id_of.items():
+            state = 0
+            for byte in raw:
+                nxt = step.get(state << 8 | byte)
+                if nxt is None:
+                    nxt = step[state << 8 | byte] = len(parents)
+                    parents.append((state, byte))
+                state = nxt
+            token_at[state] = (token, len(raw))
+        depth = [0] * len(parents)
+        for k in range(1, len(parents)):
+            depth[k] = depth[parents[k][0]] + 1
+        fall, ends = [0] * len(parents), [()] * len(parents)
+        self.step, self.fall, self.ends = step, fall, ends
+        for k in sorted(range(1, len(parents)), key=depth.__getitem__):
+            above, byte = parents[k]
+            fall[k] = self._advance(fall[above], byte) if above else 0
+            own = (token_at[k],) if k in token_at else ()
+            ends[k] = own + ends[fall[k]]
+
+    def _advance(self, state: int, byte: int) -> int:
+        step = self.step
+        while True:
+            nxt = step.get(state << 8 | byte)
+            if nxt is not None:
+                return nxt
+            if not state:
+                return 0
+            state = self.fall[state]
+
     def _clear(self) -> None:
         self.child: dict[int, int] = {}
         self.last = [-1]
         self.up = [0]
+        self.state = [0]
 
     def stands(self, a: int, b: int) -> bool:
         """Whether tokens a and b next to each other stay apart: no merge across their border comes first while they are built.
@@ -110,58 +147,67 @@ class TrieBPE:
 
     def _grow(self, word: bytes) -> int:
         """Node of ``word``; nodes that are missing get their last token."""
-        child, last, up = self.child, self.last, self.up
-        node, depth, path = 0, 0, [0]
-        for depth, byte in enumerate(word):
+        child, last, pairs = self.child, self.last, self.pairs
+        node, path = 0, [0]
+        for byte in word:
             nxt = child.get(node << 8 | byte)
             if nxt is None:
                 break
             node = nxt
             path.append(node)
-        else:
-            return node
-        for end in range(depth + 1, len(word) + 1):
-            for start in range(max(0, end - self.longest), end):
-                token = self.id_of.get(word[start:end])
-                if token is not None and (not start or self.stands(last[path[start]], token)):
+        state = self.state[node]
+        for end in range(len(path), len(word) + 1):
+            byte = word[end - 1]
+            state = self._advance(state, byte)
+            for token, length in self.ends[state]:
+                if length == end:
+                    break
+                before = last[path[end - length]]
+                ok = pairs.get((before, token))
+                if ok or ok is None and self.stands(before, token):
                     break
             else:
                 raise ValueError(f"no token ends at byte {end} of {word!r}")
-            child[node << 8 | word[end - 1]] = node = len(last)
+            child[node << 8 | byte] = node = len(last)
             last.append(token)
-            up.append(path[start])
+            self.up.append(path[end - length])
+            self.state.append(state)
             path.append(node)
         return node
 
     def learn(self, words) -> None:
         """Encode words not yet known, in sorted order: depth first through the trie."""
-        new = [w for w in set(words) if w not in self.words]
+        words = set(words)
+        new = words.difference(self.words)
         if not new:
             return
         if len(self.words) + len(new) > MOST_WORDS:
             self.words.clear()
-            new = list(set(words))
-        for raw, w in sorted((w.encode(), w) for w in new):
+            new = words
+        for raw, w in sorted([(w.encode(), w) for w in new]):
             if len(self.last) > MOST_NODES:
                 self._clear()
             node, ids = self._grow(raw), []
             while node:
                 ids.append(self.last[node])
                 node = self.up[node]
-            self.words[w] = tuple(reversed(ids))
+            self.words[w] = pack("<%di" % len(ids), *reversed(ids))
 
-    def encode(self, text: str) -> list[int]:
+    def pieces(self, text: str) -> list[tuple[bool, str]]:
+        """A text cut at added tokens: (is one, piece)."""
         if self.at_added and self.at_added.search(text):
-            out: list[int] = []
-            for k, part in enumerate(self.at_added.split(text)):
-                out += [self.added[part]] if k % 2 else self._plain(part)
-            return out
-        return self._plain(text)
+            return [(k % 2 == 1, p) for k, p in enumerate(self.at_added.split(text))]
+        return [(False, text)]
 
-    def _plain(self, text: str) -> list[int]:
-        words = self.cut(text)
-        self.learn(words)
-        return list(chain.from_iterable(map(self.words.__getitem__, words)))
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit integers; words of all texts go through the trie together."""
+        cut = [[(p if one else self.cut(p)) for one, p in self.pieces(t)] for t in texts]
+        self.learn(w for pieces in cut for p in pieces if not isinstance(p, str) for w in p)
+        known = self.words.__getitem__
+        return [b"".join(pack("<i", self.added[p]) if isinstance(p, str) else b"".join(map(known, p)) for p in pieces) for pieces in cut]
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.encode_all([text])[0], "<i4").tolist()
 
     def decode(self, ids) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -172,59 +218,70 @@ def trie_bpe(path: str) -> TrieBPE:
     return TrieBPE(path)
 
 
-def _mapped(df: DataFrame, made: str, kind: str, column: str, run) -> DataFrame:
-    """``df`` with column ``made``; the other columns pass through Python untouched as Arrow."""
+def _lists(held: list[bytes]):
     import pyarrow as pa
-    from pyspark.sql.types import StructType, _parse_datatype_string
 
-    held = [c for c in df.columns if c != made]
-    schema = StructType([df.schema[c] for c in held]).add(made, _parse_datatype_string(kind))
-    src = df.select(*held, F.col(column).alias("__wl_in"))
+    sizes = np.array([0, *map(len, held)]) // 4
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), pa.array(np.frombuffer(b"".join(held), "<i4")))
 
-    def op(batches):
-        for batch in batches:
-            values = batch.column(batch.num_columns - 1)
-            at = 0
-            for n, part in run(values):
-                cols = [batch.column(k).slice(at, n) for k in range(batch.num_columns - 1)]
-                yield pa.record_batch([*cols, part], names=[*held, made])
-                at += n
 
-    return src.mapInArrow(op, schema)
+def _parts(values, most: int):
+    """Slices of a string array with about ``most`` characters, so that no batch is a list of Python texts as a whole."""
+    at = 0
+    while at < len(values):
+        texts, size = [], 0
+        while at < len(values) and size < most:
+            texts.append(values[at].as_py() or "")
+            size += len(texts[-1])
+            at += 1
+        yield texts
 
 
-def encode(df: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
-    """``df`` with ``ids`` (array of int) of the whole text."""
+def encode(df: DataFrame, text_col: str = "text", path: str | None = None, decoded: bool = False, drop: tuple = ()) -> DataFrame:
+    """``df`` with ``ids`` (array of int) of the whole text; ``decoded``: also what these ids decode to, in the same pass; ``drop``: columns not passed on."""
     import pyarrow as pa
+    from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
     path = path or _tokenizer_path("byte_bpe_50k.json")
+    held = [c for c in df.columns if c not in drop and c != "ids" and not (decoded and c == "decoded")]
+    schema = StructType([df.schema[c] for c in held]).add("ids", ArrayType(IntegerType()))
+    if decoded:
+        schema = schema.add("decoded", StringType())
 
-    def run(values):
-        bpe, held, size = trie_bpe(path), [], 0
-        for text in values.to_pylist():
-            held.append(bpe.encode(text or ""))
-            size += len(held[-1])
-            if size >= BATCH_IDS:
-                yield len(held), pa.array(held, pa.list_(pa.int32()))
-                held, size = [], 0
-        if held:
-            yield len(held), pa.array(held, pa.list_(pa.int32()))
+    def op(batches):
+        bpe = trie_bpe(path)
+        for batch in batches:
+            at = 0
+            for texts in _parts(batch.column(batch.num_columns - 1), PART_CHARS):
+                ids = bpe.encode_all(texts)
+                cols = [batch.column(k).slice(at, len(ids)) for k in range(batch.num_columns - 1)]
+                made = [_lists(ids)]
+                if decoded:
+                    made.append(pa.array([bpe.decode(np.frombuffer(x, "<i4").tolist()) for x in ids], pa.string()))
+                yield pa.record_batch([*cols, *made], names=[*held, *schema.names[len(held) :]])
+                at += len(ids)
 
-    return _mapped(df, "ids", "array<int>", text_col, run)
+    return df.select(*held, F.col(text_col).cast("string").alias("__wl_in")).mapInArrow(op, schema)
 
 
 def decode(df: DataFrame, ids_col: str = "ids", path: str | None = None) -> DataFrame:
     """``df`` with ``decoded``, the text of the ids (null for null)."""
     import pyarrow as pa
+    from pyspark.sql.types import StringType, StructType
 
     path = path or _tokenizer_path("byte_bpe_50k.json")
+    held = [c for c in df.columns if c != "decoded"]
+    schema = StructType([df.schema[c] for c in held]).add("decoded", StringType())
 
-    def run(values):
+    def op(batches):
         bpe = trie_bpe(path)
-        if len(values):
-            yield len(values), pa.array([None if v is None else bpe.decode(v) for v in values.to_pylist()], pa.string())
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = [None if v is None else bpe.decode(v) for v in part.column(part.num_columns - 1).to_pylist()]
+                yield pa.record_batch([*[part.column(k) for k in range(part.num_columns - 1)], pa.array(texts, pa.string())], names=[*held, "decoded"])
 
-    return _mapped(df, "decoded", "string", ids_col, run)
+    return df.select(*held, F.col(ids_col).alias("__wl_in")).mapInArrow(op, schema)
 
 
 def digests(encoded: DataFrame) -> DataFrame:
@@ -236,4 +293,4 @@ def digests(encoded: DataFrame) -> DataFrame:
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return digests(decode(encode(docs).drop("text")))
+    return digests(encode(docs, decoded=True, drop=("text",)))
