@@ -6,10 +6,14 @@ similarity of THRESHOLD or more; whether that earlier line itself goes does not
 1. Rarity: word counts over all documents in a table of SLOTS hashed counters (8 bits each, on a logarithmic scale), the only
    thing broadcast.  It orders the words of a line, rare ones first; any order gives the same result, a good one little work.
 2. Lines with equal sets are one class, led by its first line; the others go.
-3. Prefix filter: the leaders meet at the words of their prefix (words seen once in all documents meet nobody).  In blocks of
-   bounded size, pairs must pass the length, the positional and a bitmap filter; lines with such a partner stay in the race.
+3. Prefix filter: the leaders meet at the words of their prefix (words seen once in all documents meet nobody).  Pairs must pass
+   the length, the positional and a bitmap filter; lines with such a partner stay in the race.  Words seen in fewer than BLOCK
+   places make small groups; those of more frequent words are cut into blocks of bounded size.
 4. Verify: the word sets of these lines are read again, and pairs are checked by their exact Jaccard similarity.
 
+Steps 2 and 3 are one chain of two shuffles.  Their rows travel as packed arrays, one for each batch and partition: a shuffle then
+moves a few large rows instead of one for each word.  The number of partitions follows the number of words counted in step 1.
+
 Edge cases: a null text stays null, with no lines; lines with fewer than LEAST_WORDS distinct words (blank ones too) always stay;
 rows with one id and one text are one document and get one result; a null id comes after all others; a document may lose all
 its lines and then has an empty text; an empty table gives an empty result.
@@ -27,6 +31,12 @@ THRESHOLD = 0.8
 LEAST_WORDS = 5
 SLOTS = 1 << 24
 _RANGE = 1 << 16
+#: Words for each partition of the packed shuffles.
+PART_WORDS = 4_000_000
+_LINE = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("did", "<i8"), ("th", "<i8"), ("line", "<i4"), ("n", "<i4"), ("bits", "<u8"), ("heads", "<i4")])
+_HEAD = np.dtype([("word", "<u4"), ("place", "<i4"), ("hot", "?")])
+_ENTRY = np.dtype([("key", "<u4"), ("lid", "<i8"), ("n", "<i4"), ("place", "<i4"), ("bits", "<u8")])
+_GONE = np.dtype([("did", "<i8"), ("th", "<i8"), ("line", "<i4")])
 _LAST = (1 << 63) - 1
 
 
@@ -52,8 +62,8 @@ def _emit_counts(acc: np.ndarray):
     return pa.record_batch([pa.array(ranges, pa.int32()), pa.array(slots, pa.binary()), pa.array(counts, pa.binary())], names=["r", "slots", "counts"])
 
 
-def slot_table(parts: DataFrame, slots: int) -> np.ndarray:
-    """Sums packed counters and brings the classes of all slots, one byte each, to the driver."""
+def slot_table(parts: DataFrame, slots: int) -> tuple[np.ndarray, int]:
+    """Sums packed counters and brings the classes of all slots, one byte each, to the driver, and the sum of all counts."""
     import pyarrow as pa
 
     def add(batches):
@@ -62,12 +72,14 @@ def slot_table(parts: DataFrame, slots: int) -> np.ndarray:
             for r, s, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 acc = sums.setdefault(r, np.zeros(_RANGE, np.int64))
                 acc[np.frombuffer(s, "<u2")] += np.frombuffer(c, "<u4")
-        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([_classes(a).tobytes() for a in sums.values()], pa.binary())], names=["r", "classes"])
+        classes = [_classes(a).tobytes() for a in sums.values()]
+        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array(classes, pa.binary()), pa.array([int(a.sum()) for a in sums.values()], pa.int64())], names=["r", "classes", "n"])
 
-    out = np.zeros(slots, np.uint8)
-    for r in parts.repartition("r").mapInArrow(add, "r int, classes binary").collect():  # one byte for each of SLOTS
+    out, total = np.zeros(slots, np.uint8), 0
+    for r in parts.repartition("r").mapInArrow(add, "r int, classes binary, n long").collect():  # one byte for each of SLOTS
         out[r.r * _RANGE : (r.r + 1) * _RANGE] = np.frombuffer(r.classes, np.uint8)
-    return out
+        total += r.n
+    return out, total
 
 
 def _split_lines(texts: list[bytes]):
@@ -112,12 +124,49 @@ def _need(n, m, t: float):
     return np.ceil(t / (1 + t) * (n + m) - 1e-9)
 
 
+def _packed(kind: int, part: np.ndarray, rows: np.ndarray, more: list | None = None):
+    """(kind, part, rows, more) with one binary row for each part."""
+    if not len(rows):
+        return []
+    order = np.argsort(part, kind="stable")
+    cut = np.nonzero(np.diff(part[order], prepend=-1))[0]
+    out = []
+    for at, end in zip(cut, [*cut[1:], len(order)], strict=True):
+        pick = order[at:end]
+        out.append((kind, int(part[pick[0]]), rows[pick].tobytes(), b"".join(more[i] for i in pick) if more is not None else b""))
+    return out
+
+
+def _batch(rows: list):
+    import pyarrow as pa
+
+    k, p, r, m = zip(*rows, strict=True) if rows else ((), (), (), ())
+    return pa.record_batch([pa.array(k, pa.int32()), pa.array(p, pa.int32()), pa.array(r, pa.binary()), pa.array(m, pa.binary())], names=["kind", "part", "rows", "more"])
+
+
+_PACKED = "kind int, part int, rows binary, more binary"
+
+
+def _runs(sorted_keys: np.ndarray):
+    """Pairs (i, j) of equal keys, one shift at a time."""
+    n = len(sorted_keys)
+    starts = np.nonzero(np.diff(sorted_keys, prepend=sorted_keys[:1] - 1))[0] if n else np.zeros(0, int)
+    ends = np.append(starts[1:], n)
+    left = np.repeat(ends, ends - starts) - np.arange(n) - 1
+    act, shift = np.nonzero(left >= 1)[0], 1
+    while act.size:
+        yield act, act + shift
+        shift += 1
+        act = act[left[act] >= shift]
+
+
 def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, least_words: int = LEAST_WORDS, slots: int = SLOTS) -> DataFrame:
     """(did, th, line) of the lines that go; ``docs`` has did (long), th (long: hash of the text), text."""
     import pyarrow as pa
 
     spark = docs.sparkSession
     mask = np.uint64(slots - 1)
+    rare = int(_classes(np.array([C.BLOCK]))[0])  # classes below stand for counts below BLOCK
 
     def count(batches):
         acc = np.zeros(slots, np.int64)
@@ -128,71 +177,140 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, least_words: in
                     np.add.at(acc, (got[0] & mask).astype(np.int64), 1)
         yield _emit_counts(acc)
 
-    rarity = spark.sparkContext.broadcast(slot_table(docs.select("text").mapInArrow(count, "r int, slots binary, counts binary"), slots))
+    table, words = slot_table(docs.select("text").mapInArrow(count, "r int, slots binary, counts binary"), slots)
+    rarity = spark.sparkContext.broadcast(table)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), words // PART_WORDS)
+
+    def prefix(texts, did, th):
+        """Rows of the lines of some texts, and the heads of each."""
+        got = _split_lines(texts)
+        if got is None:
+            return np.zeros(0, _LINE), np.zeros(0, _HEAD)
+        h, text_of, line_of, per = got
+        of, h, picked = _sets(h, per, rarity.value[(h & mask).astype(np.int64)])
+        cls = rarity.value[(h & mask).astype(np.int64)]
+        n = np.bincount(of, minlength=len(per))
+        first = np.cumsum(n) - n
+        keep = n >= least_words
+        place = np.arange(len(of)) - first[of]
+        head = keep[of] & (place < (n - np.ceil(threshold * n - 1e-9) + 1)[of]) & (cls != 1)
+        rows = np.zeros(len(per), _LINE)
+        rows["h1"], rows["h2"] = np.add.reduceat(C.mix64(h), first), np.add.reduceat(C.mix64(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), first)
+        rows["bits"] = np.bitwise_or.reduceat(np.uint64(1) << ((h >> np.uint64(41)) & np.uint64(63)), first)
+        rows["did"], rows["th"], rows["line"], rows["n"] = did[text_of], th[text_of], line_of, n
+        rows["heads"] = np.bincount(of[head], minlength=len(per))
+        heads = np.zeros(int(head.sum()), _HEAD)
+        heads["word"], heads["place"], heads["hot"] = h[head].astype(np.uint32), place[head], cls[head] >= rare
+        return rows[keep], heads
+
+    def leaders(rows):
+        """Which rows are the first of their set, after sorting; the order that sorts them."""
+        order = np.lexsort((rows["line"], rows["th"], rows["did"], rows["h2"], rows["h1"]))
+        r = rows[order]
+        new = np.ones(len(r), bool)
+        new[1:] = (r["h1"][1:] != r["h1"][:-1]) | (r["h2"][1:] != r["h2"][:-1])
+        return order, new
+
+    def gone_rows(rows):
+        out = np.zeros(len(rows), _GONE)
+        for c in _GONE.names:
+            out[c] = rows[c]
+        return _packed(0, (rows["h1"] % np.uint64(parts)).astype(np.int64), out)
 
     def lines(batches):
-        ranks = rarity.value
         for batch in batches:
             texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
             did, th = _ids(batch)
-            for a, b in C.groups_of_bytes(texts):
-                if (got := _split_lines(texts[a:b])) is None:
-                    continue
-                h, text_of, line_of, per = got
-                cls = ranks[(h & mask).astype(np.int64)]
-                of, h, picked = _sets(h, per, cls)
-                cls = cls[picked]
-                n = np.bincount(of, minlength=len(per))
-                first = np.cumsum(n) - n
-                keep = n >= least_words
-                place = np.arange(len(of)) - first[of]
-                h1 = np.add.reduceat(C.mix64(h), first)
-                h2 = np.add.reduceat(C.mix64(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), first)
-                bits = [np.bitwise_or.reduceat(np.where((h >> np.uint64(40)) & np.uint64(1) == k, np.uint64(1) << ((h >> np.uint64(41)) & np.uint64(63)), np.uint64(0)), first) for k in (0, 1)]
-                head = keep[of] & (place < (n - np.ceil(threshold * n - 1e-9) + 1)[of]) & (cls != 1)
-                per_head = np.bincount(of[head], minlength=len(per))[keep]
-                at = np.concatenate([[0], np.cumsum(per_head)]).astype(np.int32)
-                t = text_of[keep] + a
-                yield pa.record_batch(
-                    [
-                        pa.array(did[t]), pa.array(th[t]), pa.array(line_of[keep].astype(np.int32)), pa.array(_line_ids(did[t], th[t], line_of[keep])),
-                        pa.array(n[keep].astype(np.int32)), pa.array(h1[keep].view(np.int64)), pa.array(h2[keep].view(np.int64)),
-                        pa.array(bits[0][keep].view(np.int64)), pa.array(bits[1][keep].view(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(at), pa.array(h[head].astype(np.uint32).view(np.int32))),
-                        pa.ListArray.from_arrays(pa.array(at), pa.array(place[head].astype(np.int32))),
-                    ],
-                    names=["did", "th", "line", "lid", "n", "h1", "h2", "b1", "b2", "words", "places"],
-                )
-
-    kind = "did long, th long, line int, lid long, n int, h1 long, h2 long, b1 long, b2 long, words array<int>, places array<int>"
-    rows = C.stage(docs.mapInArrow(lines, kind), "lines")
-    ids = F.struct("did", "th", "line", "lid")
-    led = C.stage(rows.groupBy("h1", "h2").agg(F.min(ids).alias("led"), F.count(F.lit(1)).alias("size")).select("h1", "h2", "led", "size"), "line-classes")
-    many = led.where("size > 1").select("h1", "h2", F.col("led.lid").alias("lead"))
-    copies = rows.select("did", "th", "line", "lid", "h1", "h2").join(many, ["h1", "h2"]).where("lid <> lead").select("did", "th", "line")
-    leaders = rows.join(many, ["h1", "h2"], "left").where("lead IS NULL OR lid = lead").select("lid", "n", "b1", "b2", F.explode(F.arrays_zip("words", "places")).alias("w"))
-    heads = C.stage(leaders.select(F.col("w.words").cast("long").alias("key"), "lid", "n", "b1", "b2", F.col("w.places").alias("place")), "line-heads")
-
-    def passing(table, i, j):
-        n, b1, b2 = (table.column(c).to_numpy() for c in ("n", "b1", "b2"))
+            got = [prefix(texts[a:b], did[a:b], th[a:b]) for a, b in C.groups_of_bytes(texts)]
+            if not got:
+                continue
+            rows, heads = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+            at = np.cumsum(rows["heads"]) - rows["heads"]
+            order, new = leaders(rows)
+            lead = order[new]
+            more = [heads[a : a + n].tobytes() for a, n in zip(at, rows["heads"], strict=True)]
+            yield _batch(_packed(1, (rows["h1"][lead] % np.uint64(parts)).astype(np.int64), rows[lead], [more[i] for i in lead]) + gone_rows(rows[order[~new]]))
+
+    def classes(batches):
+        held, more = [], []
+        for batch in batches:
+            for kind, part, r, m in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if kind == 0:
+                    yield _batch([(0, part, r, b"")])
+                else:
+                    held.append(np.frombuffer(r, _LINE))
+                    more.append(np.frombuffer(m, _HEAD))
+        if not held:
+            return
+        rows, heads = np.concatenate(held), np.concatenate(more)
+        at = np.cumsum(rows["heads"]) - rows["heads"]
+        order, new = leaders(rows)
+        yield _batch(gone_rows(rows[order[~new]]))
+        lead = order[new]
+        size = rows["heads"][lead].astype(np.int64)
+        of = np.repeat(lead, size)
+        pick = heads[at[of] + np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)]
+        entry = np.zeros(len(of), _ENTRY)
+        lid = _line_ids(rows["did"], rows["th"], rows["line"])
+        entry["key"], entry["place"] = pick["word"], pick["place"]
+        entry["lid"], entry["n"], entry["bits"] = lid[of], rows["n"][of], rows["bits"][of]
+        to = (C.mix64(pick["word"].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        hot = pick["hot"]
+        yield _batch(_packed(2, to[~hot], entry[~hot]))
+        yield _batch(_packed(3, (entry["lid"][hot].view(np.uint64) % np.uint64(parts)).astype(np.int64), entry[hot]))
+
+    def passing(n, bits, i, j):
         need = _need(n[i], n[j], threshold)
-        apart = np.bitwise_count((b1[i] ^ b1[j]).view(np.uint64)).astype(np.int64) + np.bitwise_count((b2[i] ^ b2[j]).view(np.uint64))
-        return (np.minimum(n[i], n[j]) >= need) & (n[i] + n[j] - 2 * need >= apart)
+        return (np.minimum(n[i], n[j]) >= need) & (n[i].astype(np.int64) + n[j] - 2 * need >= np.bitwise_count(bits[i] ^ bits[j]))
+
+    def racing(n, bits, place, pairs):
+        stays = np.zeros(len(n), bool)
+        for i, j in pairs:
+            ok = passing(n, bits, i, j)
+            i, j = i[ok], j[ok]
+            ok = np.minimum(n[i] - place[i], n[j] - place[j]) >= _need(n[i], n[j], threshold)
+            stays[i[ok]] = stays[j[ok]] = True
+        return stays
+
+    names = ["kind", "key", "lid", "n", "bits", "place", "did", "th", "line"]
+
+    def out(kind, entry=None, gone=None):
+        n = len(entry if entry is not None else gone)
+        none = pa.nulls(n, pa.int64())
+        e = [pa.array(entry[c].astype(np.int64) if c != "bits" else entry[c].view(np.int64)) for c in ("key", "lid", "n", "bits", "place")] if entry is not None else [none] * 5
+        g = [pa.array(gone[c].astype(np.int64)) for c in ("did", "th", "line")] if gone is not None else [none] * 3
+        return pa.record_batch([pa.array(np.full(n, kind, np.int64)), *e, *g], names=names)
 
     def race(batches):
-        for table in C.whole_runs(batches, ("key", "blk_a", "blk_b")):
-            stays = np.zeros(table.num_rows, bool)
-            n, place = table.column("n").to_numpy(), table.column("place").to_numpy()
-            for i, j in C.run_pairs(table, "key"):
-                ok = passing(table, i, j)
-                i, j = i[ok], j[ok]
-                ok = 1 + np.minimum(n[i] - place[i], n[j] - place[j]) - 1 >= _need(n[i], n[j], threshold)
-                stays[i[ok]] = stays[j[ok]] = True
-            at = np.nonzero(stays)[0]
-            yield pa.record_batch([table.column(c).combine_chunks().take(pa.array(at)) for c in ("key", "lid", "n", "b1", "b2")], names=["key", "lid", "n", "b1", "b2"])
-
-    left = C.bucket_blocks(heads, "key", "lid", "line-heads").mapInArrow(race, "key long, lid long, n int, b1 long, b2 long")
-    left = C.stage(left.distinct(), "line-race")
+        held = []
+        for batch in batches:
+            for kind, r in zip(batch.column("kind").to_pylist(), batch.column("rows").to_pylist(), strict=True):
+                if kind == 0:
+                    yield out(0, gone=np.frombuffer(r, _GONE))
+                elif kind == 3:
+                    yield out(3, entry=np.frombuffer(r, _ENTRY))
+                else:
+                    held.append(np.frombuffer(r, _ENTRY))
+        if held:
+            e = np.concatenate(held)
+            e = e[np.argsort(e["key"], kind="stable")]
+            n, bits, place, key = (np.ascontiguousarray(e[c]) for c in ("n", "bits", "place", "key"))
+            yield out(2, entry=e[racing(n, bits, place, _runs(key.astype(np.int64)))])
+
+    def hot_race(batches):
+        for t in C.whole_runs(batches, ("key", "blk_a", "blk_b")):
+            n, bits, place = t.column("n").to_numpy(), t.column("bits").to_numpy().view(np.uint64), t.column("place").to_numpy()
+            at = pa.array(np.nonzero(racing(n, bits, place, C.run_pairs(t, "key")))[0])
+            yield pa.record_batch([t.column(c).combine_chunks().take(at) for c in ("key", "lid", "n", "bits")], names=["key", "lid", "n", "bits"])
+
+    chain = docs.mapInArrow(lines, _PACKED).repartitionById(parts, F.col("part")).mapInArrow(classes, _PACKED).repartitionById(parts, F.col("part"))
+    met = C.stage(chain.mapInArrow(race, ", ".join(f"{c} long" for c in names)), "line-race")
+    copies = met.where("kind = 0").select("did", "th", F.col("line").cast("int").alias("line"))
+    left = met.where("kind = 2").select("key", "lid", "n", "bits")
+    hot = met.where("kind = 3").select("key", "lid", "n", "bits", "place")
+    if not hot.isEmpty():
+        left = left.union(C.bucket_blocks(hot, "key", "lid", "line-hot").mapInArrow(hot_race, "key long, lid long, n long, bits long").distinct())
+        left = C.stage(left, "line-left")
 
     def mark(batches):
         acc = np.zeros(slots, np.int64)
@@ -200,7 +318,7 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, least_words: in
             acc[(batch.column(0).to_numpy().view(np.uint64) & mask).astype(np.int64)] = 1
         yield _emit_counts(acc)
 
-    wanted = spark.sparkContext.broadcast(np.packbits(slot_table(left.select("lid").mapInArrow(mark, "r int, slots binary, counts binary"), slots) > 0))
+    wanted = spark.sparkContext.broadcast(np.packbits(slot_table(left.select("lid").mapInArrow(mark, "r int, slots binary, counts binary"), slots)[0] > 0))
 
     def fetch(batches):
         held = wanted.value
@@ -234,6 +352,7 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, least_words: in
     def verify(batches):
         for table in C.whole_runs(batches, ("key", "blk_a", "blk_b")):
             did, th, line, n = (table.column(c).to_numpy() for c in ("did", "th", "line", "n"))
+            bits = table.column("bits").to_numpy().view(np.uint64)
             col = table.column("set").combine_chunks()
             at, words = col.offsets.to_numpy(), col.values.to_numpy().view(np.uint64)
             salt = C.mix64(np.arange(len(n), dtype=np.uint64) + np.uint64(1))
@@ -242,7 +361,7 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, least_words: in
             for i, j in C.run_pairs(table, "key"):
                 later_j = np.where(did[i] != did[j], did[i] < did[j], np.where(th[i] != th[j], th[i] < th[j], line[i] < line[j]))
                 x, y = np.where(later_j, j, i), np.where(later_j, i, j)
-                ok = ~gone[x] & passing(table, i, j)
+                ok = ~gone[x] & passing(n, bits, i, j)
                 x, y = x[ok], y[ok]
                 for k in range(0, len(x), 4096):
                     p, q = x[k : k + 4096], y[k : k + 4096]
