@@ -22,6 +22,8 @@ a file that no manifest names.
 from __future__ import annotations
 
 import bisect
+import json
+import re
 import struct
 import uuid
 import zlib
@@ -43,8 +45,9 @@ END_ID = 1
 #: Rows of a shard, about; the number of shards is bounded so that the manifest stays small.
 SHARD_ROWS = 20_000
 MOST_SHARDS = 20_000
-#: Distinct words whose ids a Python worker keeps.
+#: Pieces of text whose ids a Python worker keeps, and rows that it has as Python objects at a time.
 CACHE = 200_000
+SLICE = 256
 
 MANIFEST = "path string, shard int, docs long, ids long"
 
@@ -53,46 +56,66 @@ MANIFEST = "path string, shard int, docs long, ids long"
 
 
 class WordEncoder:
-    """The library's ids of whole texts; its ids of a word are kept, since words are encoded one by one."""
+    """The library's ids of whole texts.
+
+    The tokenizer lower-cases, drops white space and never joins over it, so a text is the sum of its pieces between white space;
+    the ids of a piece come from the library's model once and are kept.  Texts with added tokens, or with letters whose case
+    or normal form needs more than a look at one letter, go through the library whole.
+    """
 
     # Fixed value: the pattern by which this vocabulary's tokenizer cuts a normalised text.
     CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
-    #: Letters for which every Unicode version agrees; texts with others go through the library whole.
-    PLAIN = r"[\x00-˿Ͱ-ͳΆ-ϿЀ-ҁ‐-‧€]*"
+    PLAIN = r"[\x00-\x1b\x20-\u012f\u0131-\u02ff\u0400-\u0481\u2010-\u2027\u20ac]*"
 
     def __init__(self, path: str):
         import regex
         from tokenizers import Tokenizer
 
+        from .bpe import byte_letters
+
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
         self.width = 2 if self.lib.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
-        self.cut, self.plain = regex.compile(self.CUT).findall, regex.compile(self.PLAIN).fullmatch
-        self.by_word = "[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in self.lib.to_str()
+        self.cut, self.plain = regex.compile(self.CUT).findall, re.compile(self.PLAIN).fullmatch
+        self.by_piece = "[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in json.loads(self.lib.to_str()).get("pre_tokenizer", {}).get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex", "")
         self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
+        self.letters = {b: c for c, b in byte_letters().items()}
+        self.model = self.lib.model
+        self.pieces: dict[str, bytes] = {}
 
     def _pack(self, ids) -> bytes:
         return np.array(ids, self.kind).tobytes()
 
+    def _piece(self, piece: str) -> bytes:
+        ids: list[int] = []
+        for w in self.cut(piece):
+            text = w if w.isascii() and w.isprintable() else "".join(map(self.letters.__getitem__, w.encode()))
+            ids += [t.id for t in self.model.tokenize(text)]
+        return self._pack(ids)
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         out: list = [None] * len(texts)
-        cuts = {}
+        rest = []
         for i, t in enumerate(texts):
-            if self.by_word and self.plain(t) and not any(a in t for a in self.added):
-                cuts[i] = self.cut(self.lib.normalizer.normalize_str(t))
-        if len(self.words) > CACHE:
-            self.words.clear()
-        new = [w for w in set().union(*cuts.values()) if w not in self.words]
-        for w, e in zip(new, self.lib.encode_batch(new, add_special_tokens=False), strict=True):
-            self.words[w] = self._pack(e.ids)
-        for i, words in cuts.items():
-            out[i] = b"".join(map(self.words.__getitem__, words))
-        rest = [i for i in range(len(texts)) if i not in cuts]
-        for i, e in zip(rest, self.lib.encode_batch([texts[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = self._pack(e.ids)
+            if not (self.by_piece and self.plain(t)) or any(a in t for a in self.added):
+                rest.append(i)
+                continue
+            pieces = t.lower().split()
+            known = self.pieces
+            new = set(pieces).difference(known)
+            if new:
+                if len(known) + len(new) > CACHE:
+                    known.clear()
+                    new = set(pieces)
+                for p in new:
+                    known[p] = self._piece(p)
+            out[i] = b"".join(map(known.__getitem__, pieces))
+        for at in range(0, len(rest), 64):
+            part = rest[at : at + 64]
+            for i, e in zip(part, self.lib.encode_batch([texts[i] for i in part], add_special_tokens=False), strict=True):
+                out[i] = self._pack(e.ids)
         return out
 
 
@@ -115,10 +138,10 @@ def token_bytes(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         enc = word_encoder(path)
         end = b"" if end_id is None else enc._pack([end_id])
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in C.groups_of_bytes(texts, 4 << 20):
-                ids = [x + end for x in enc(texts[a:b])]
-                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(ids, pa.binary())], names=["key", "ids"])
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                ids = [x + end for x in enc([t or "" for t in part.column(1).to_pylist()])]
+                yield pa.record_batch([part.column(0), pa.array(ids, pa.binary())], names=["key", "ids"])
 
     src = df.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))
     return src.mapInArrow(run, "key long, ids binary")
@@ -300,7 +323,7 @@ def write_shards(tokens: DataFrame, ids: DataFrame, folder: str, width: int) ->
             w.close()
             yield pa.record_batch([pa.array([state["path"]]), pa.array([state["shard"]], pa.int32()), pa.array([w.docs]), pa.array([w.ids])], names=["path", "shard", "docs", "ids"])
 
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             for key, value, shard in zip(batch.column("key").to_pylist(), batch.column("ids").to_pylist(), batch.column("shard").to_pylist(), strict=True):
                 if shard != state["shard"]:
                     yield from done()
@@ -333,7 +356,7 @@ def read_shards(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                 for key, before, value in reader:
                     held.append((key_id(key), base + before, value, reader.width))
                     size += len(value)
-                    if size >= 4 << 20:
+                    if size >= 1 << 20:
                         yield _rows(held)
                         held, size = [], 0
                 if held:
@@ -359,7 +382,7 @@ def entry_digests(entries: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             n, crc = [], []
             for value, width in zip(batch.column("value").to_pylist(), batch.column("width").to_pylist(), strict=True):
                 ids = np.frombuffer(value, f"<u{width}").astype("<u4")
