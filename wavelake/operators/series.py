@@ -112,7 +112,9 @@ def window_center(window_idx: Column, size: int, step: int, fs: float) -> Column
 def tumbling(df: DataFrame, keys: Keys, at: str, size: int, partial: bool = False) -> DataFrame:
     """chunk_idx by whole-number division; a last chunk that is not full stays only if asked for."""
     out = df.withColumn("chunk_idx", F.expr(f"{at} div {size}"))
-    return out if partial else out.where(F.col("chunk_idx") < F.floor((F.max(at).over(whole(keys)) + 1) / F.lit(size)))
+    if partial:
+        return out
+    return out.withColumn("_n", F.floor((F.max(at).over(whole(keys)) + 1) / F.lit(size))).where(F.col("chunk_idx") < F.col("_n")).drop("_n")
 
 
 def every_nth(df: DataFrame, keys: Keys, at: str, target: int, rounding: str = "ceil") -> DataFrame:
@@ -138,9 +140,11 @@ DB4 = [-0.2303778133088965, 0.7148465705529154, -0.6308807679294803, -0.02798376
 def wavelet_detail(df: DataFrame, keys: Keys, at: str, value: str, taps: list[float] = DB4) -> DataFrame:
     """(keys, detail_idx, detail): first-level detail: full convolution with zeros around, odd points kept."""
     k = len(taps)
-    ends = df.groupBy(*keys).agg((F.max(at) + 1).alias("_n"))
-    pad = ends.select(*keys, F.explode(F.sequence(F.col("_n"), F.col("_n") + k - 2)).alias(at)).withColumn(value, F.lit(0.0))
-    rows = df.select(*keys, at, value).unionByName(pad)
+    n = F.max(at).over(whole(keys))
+    # the last point brings the zeros behind it (a union of two parts of one shuffle can lose its partitioning)
+    tail = F.when(F.col(at) == F.col("_n"), F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    rows = df.select(*keys, at, value, n.alias("_n")).withColumn("_o", F.explode(tail))
+    rows = rows.select(*keys, (F.col(at) + F.col("_o")).alias(at), F.when(F.col("_o") == 0, F.col(value)).otherwise(0.0).alias(value))
     w = over(keys, at)
     conv = F.coalesce(F.col(value), F.lit(0.0)) * F.lit(taps[0])
     for j in range(1, k):
