@@ -90,7 +90,13 @@ class WordEncoder:
 
     def _piece(self, piece: str) -> bytes:
         ids: list[int] = []
-        for w in self.cut(piece):
+        if piece.isalpha():
+            words = (piece,)
+        elif piece[:-1].isalpha() and not piece[-1].isalnum():  # a word and one mark: what the pattern makes of it
+            words = (piece[:-1], piece[-1])
+        else:
+            words = self.cut(piece)
+        for w in words:
             text = w if w.isascii() and w.isprintable() else "".join(map(self.letters.__getitem__, w.encode()))
             ids += [t.id for t in self.model.tokenize(text)]
         return self._pack(ids)
