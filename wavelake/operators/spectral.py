@@ -59,7 +59,7 @@ def densities(samples: DataFrame, keys: list[str], size: int, step: int, fs: flo
 
     rows = series.sliding(samples.select(*keys, "sample_idx", "value"), keys, "sample_idx", size, step)
     pairs = F.transform(F.array_sort(F.collect_list(F.struct("in_idx", "value"))), lambda p: p["value"])
-    arrays = rows.groupBy(*keys, "window_idx").agg(pairs.alias("x"))
+    arrays = rows.groupBy(*keys, "window_idx").agg(pairs.alias("x")).where(F.size("x") == size)  # windows with gaps are left out
     held = [*keys, "window_idx"]
     out = StructType([arrays.schema[c] for c in held]).add("psd", _parse_datatype_string("array<double>"))
 

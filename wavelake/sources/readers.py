@@ -35,7 +35,7 @@ def separator(line: Column) -> Column:
 
 
 def cells(line: Column) -> Column:
-    return F.transform(F.split(line, F.when(line.contains("\t"), F.lit("\t")).otherwise(F.lit(","))), F.trim)
+    return F.transform(F.split(line, F.when(line.contains("\t"), F.lit("\t")).otherwise(F.lit(","))), lambda c: F.trim(c))
 
 
 def numbers(line: Column) -> Column:
@@ -73,7 +73,7 @@ def odf_header(text: DataFrame) -> DataFrame:
     board = F.max(F.when(pct & F.col("line").contains("BoardCyton") & F.col("line").contains("Daisy"), "daisy").when(pct & F.col("line").contains("BoardCyton"), "cyton").when(pct & F.col("line").contains("BoardGanglion"), "ganglion"))
     names = F.min_by(F.when(~pct, F.col("line")), F.when(~pct, F.col("line_no")))
     g = text.groupBy("recording_id").agg(number("Number of channels").alias("n"), F.coalesce(number("Sample Rate"), F.lit(250)).alias("fs"), F.coalesce(board, F.lit("unknown")).alias("board"), names.alias("names"))
-    return g.select("recording_id", "fs", F.coalesce("n", F.lit(0)).alias("n_channels"), "board", F.transform(F.split("names", ","), F.trim).alias("cols"))
+    return g.select("recording_id", "fs", F.coalesce("n", F.lit(0)).alias("n_channels"), "board", F.transform(F.split("names", ","), lambda c: F.trim(c)).alias("cols"))
 
 
 def _picked(rows: DataFrame) -> DataFrame:

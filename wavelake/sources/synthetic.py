@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,32 +14,33 @@ STEADY = {"delta": 0.15, "theta": 0.22, "alpha": 0.35, "beta": 0.28, "gamma": 0.
 SHIFT = {"delta": 0.0, "theta": 0.06, "alpha": -0.17, "beta": 0.10, "gamma": 0.14}
 
 
-def recordings(spark: SparkSession, table: list[tuple[str, float, int]], fs: int = 250, seconds: float = 1500.0, channels: int = 3, tones: int = 10) -> DataFrame:
+def recordings(spark: SparkSession, table: list[tuple[str, float, int]], fs: int = 250, seconds: float = 1500.0, channels: int = 3, tones: int = 10, block: int = 10_000) -> DataFrame:
     """``samples`` of (recording_id, disruption, seed): five bands of tones under piecewise linear envelopes, plus noise.
 
-    Rows are generated where they are used; a sample's tones are summed in one expression, not joined.
+    Blocks of samples are generated where they are used, each from its own seed, so the result does not depend on tasks.
     """
+    n = int(fs * seconds)
     recs = spark.createDataFrame([(r, float(d), int(s)) for r, d, s in table], "recording_id string, d double, seed long")
-    grid = spark.range(int(fs * seconds)).withColumnRenamed("id", "sample_idx").crossJoin(F.broadcast(recs)).crossJoin(F.broadcast(spark.range(channels).select(F.col("id").cast("int").alias("channel_idx"))))
-    t = F.col("sample_idx") / F.lit(float(fs))
-    d = F.col("d")
-    line = lambda x0, y0, x1, y1: y0 + (y1 - y0) * (t - x0) / (x1 - x0)
-    end = F.lit(665.0) + 60 + 120 * d
-    unit = lambda *k: F.pmod(F.xxhash64("seed", "channel_idx", *[F.lit(x) for x in k]), F.lit(1 << 30)) / float(1 << 30)
-    noise = lambda *k: F.sqrt(-2 * F.ln(1 - F.pmod(F.xxhash64("seed", "channel_idx", "sample_idx", *[F.lit(x) for x in k]), F.lit(1 << 30)) / float(1 << 30))) * F.cos(2 * math.pi * F.pmod(F.xxhash64("sample_idx", "channel_idx", "seed", *[F.lit(x) for x in k]), F.lit(1 << 30)) / float(1 << 30))
-    value = noise("n") * 0.5
-    for b, (lo, hi) in S.BANDS.items():
-        s, x = F.lit(STEADY[b]), STEADY[b] + SHIFT[b] * d
-        env = (
-            F.when(t < 60, F.lit(0.25)).when(t < 300, line(60.0, F.lit(0.25), 300.0, s)).when(t < 540, s).when(t < 545, line(540.0, s, 545.0, x))
-            .when(t < 665, x).when(t < end, x + (s - x) * (t - 665.0) / (end - 665.0)).otherwise(s)
-        )
-        tone = F.lit(0.0)
-        for k in range(tones):
-            f = lo + 0.5 + (hi - lo - 1) * k / (tones - 1)
-            tone = tone + (1 + 0.015 * noise(b, k)) * F.sin(2 * math.pi * f * t + 2 * math.pi * unit(b, k))
-        value = value + env * tone * (50.0 / tones)
-    return grid.select("recording_id", "sample_idx", t.alias("t_sec"), "channel_idx", F.concat(F.lit("ch"), F.col("channel_idx").cast("string")).alias("channel"), value.alias("value"))
+    blocks = spark.range(-(-n // block)).withColumnRenamed("id", "block")
+    chans = spark.range(channels).select(F.col("id").cast("int").alias("channel_idx"))
+    jobs = blocks.crossJoin(F.broadcast(recs)).crossJoin(F.broadcast(chans))  # a few rows each
+
+    def make(batches):
+        for jobs_ in batches:
+            for j in jobs_.itertuples(index=False):
+                i = np.arange(j.block * block, min(n, (j.block + 1) * block))
+                t = i / fs
+                phase = np.random.default_rng([j.seed, j.channel_idx]).uniform(0, 2 * np.pi, (len(S.BANDS), tones))
+                noise = np.random.default_rng([j.seed, j.channel_idx, j.block])
+                value = noise.normal(0, 0.5, len(i))
+                for b, (name, (lo, hi)) in enumerate(S.BANDS.items()):
+                    steady, switched = STEADY[name], STEADY[name] + SHIFT[name] * j.d
+                    env = np.interp(t, [0, 60, 300, 540, 545, 665, 725 + 120 * j.d], [0.25, 0.25, steady, steady, switched, switched, steady])
+                    for k, f in enumerate(np.linspace(lo + 0.5, hi - 0.5, tones)):
+                        value += env * (1 + noise.normal(0, 0.015, len(i))) * np.sin(2 * np.pi * f * t + phase[b, k]) * (50.0 / tones)
+                yield pd.DataFrame({"recording_id": j.recording_id, "sample_idx": i, "t_sec": t, "channel_idx": np.int32(j.channel_idx), "channel": f"ch{j.channel_idx}", "value": value})
+
+    return jobs.repartition(F.col("recording_id"), F.col("channel_idx"), F.col("block")).mapInPandas(make, S.SAMPLES)
 
 
 def register_board(spark: SparkSession) -> None:
