@@ -48,6 +48,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of steps that are staged and done: it does so once their plans are garbage."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 # -- hashing ---------------------------------------------------------------------------------------------------------
 
 # The five primes of XXH64.

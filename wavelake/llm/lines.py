@@ -9,7 +9,8 @@ similarity of THRESHOLD or more; whether that earlier line itself goes does not
 3. Prefix filter: the leaders meet at the words of their prefix (words seen once in all documents meet nobody).  Pairs must pass
    the length, the positional and a bitmap filter; lines with such a partner stay in the race.  Words seen in fewer than BLOCK
    places make small groups; those of more frequent words are cut into blocks of bounded size.
-4. Verify: the word sets of these lines are read again, and pairs are checked by their exact Jaccard similarity.
+4. Verify: the word sets of these lines are read again.  Each is checked by exact Jaccard similarity against the earliest of its
+   partners; those that this does not settle are checked against all their partners, in blocks.
 
 Steps 2 and 3 are one chain of two shuffles.  Their rows travel as packed arrays, one for each batch and partition: a shuffle then
 moves a few large rows instead of one for each word.  The number of partitions follows the number of words counted in step 1.
@@ -35,7 +36,7 @@ _RANGE = 1 << 16
 PART_WORDS = 4_000_000
 _LINE = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("did", "<i8"), ("th", "<i8"), ("line", "<i4"), ("n", "<i4"), ("bits", "<u8"), ("heads", "<i4")])
 _HEAD = np.dtype([("word", "<u4"), ("place", "<i4"), ("hot", "?")])
-_ENTRY = np.dtype([("key", "<u4"), ("lid", "<i8"), ("n", "<i4"), ("place", "<i4"), ("bits", "<u8")])
+_ENTRY = np.dtype([("key", "<u4"), ("lid", "<i8"), ("did", "<i8"), ("n", "<i4"), ("place", "<i4"), ("bits", "<u8")])
 _GONE = np.dtype([("did", "<i8"), ("th", "<i8"), ("line", "<i4")])
 _LAST = (1 << 63) - 1
 
@@ -253,7 +254,7 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, least_words: in
         entry = np.zeros(len(of), _ENTRY)
         lid = _line_ids(rows["did"], rows["th"], rows["line"])
         entry["key"], entry["place"] = pick["word"], pick["place"]
-        entry["lid"], entry["n"], entry["bits"] = lid[of], rows["n"][of], rows["bits"][of]
+        entry["lid"], entry["n"], entry["bits"], entry["did"] = lid[of], rows["n"][of], rows["bits"][of], rows["did"][of]
         to = (C.mix64(pick["word"].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
         hot = pick["hot"]
         yield _batch(_packed(2, to[~hot], entry[~hot]))
@@ -263,23 +264,34 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, least_words: in
         need = _need(n[i], n[j], threshold)
         return (np.minimum(n[i], n[j]) >= need) & (n[i].astype(np.int64) + n[j] - 2 * need >= np.bitwise_count(bits[i] ^ bits[j]))
 
-    def racing(n, bits, place, pairs):
-        stays = np.zeros(len(n), bool)
+    def racing(n, bits, place, did, pairs):
+        """Which rows have a partner, and the row of the partner with the least id among those not after it (-1: none)."""
+        stays, best = np.zeros(len(n), bool), np.full(len(n), -1)
         for i, j in pairs:
             ok = passing(n, bits, i, j)
             i, j = i[ok], j[ok]
             ok = np.minimum(n[i] - place[i], n[j] - place[j]) >= _need(n[i], n[j], threshold)
-            stays[i[ok]] = stays[j[ok]] = True
-        return stays
+            i, j = i[ok], j[ok]
+            stays[i] = stays[j] = True
+            # a row is in one pair of a shift at most on either side
+            for x, y in ((i, j), (j, i)):
+                better = (did[y] <= did[x]) & ((best[x] < 0) | (did[y] < did[best[x]]))
+                best[x[better]] = y[better]
+        return stays, best
 
-    names = ["kind", "key", "lid", "n", "bits", "place", "did", "th", "line"]
+    names = ["kind", "key", "lid", "n", "bits", "place", "partner", "did", "th", "line"]
 
-    def out(kind, entry=None, gone=None):
+    def out(kind, entry=None, gone=None, partner=None):
+        """kind 0: a line that goes; 2: a line in the race, did that of its partner; 3: the head of a frequent word."""
         n = len(entry if entry is not None else gone)
         none = pa.nulls(n, pa.int64())
         e = [pa.array(entry[c].astype(np.int64) if c != "bits" else entry[c].view(np.int64)) for c in ("key", "lid", "n", "bits", "place")] if entry is not None else [none] * 5
-        g = [pa.array(gone[c].astype(np.int64)) for c in ("did", "th", "line")] if gone is not None else [none] * 3
-        return pa.record_batch([pa.array(np.full(n, kind, np.int64)), *e, *g], names=names)
+        if partner is not None:
+            rows, best = partner
+            lid, did = (pa.array(np.where(best >= 0, rows[c][best], 0), mask=best < 0) for c in ("lid", "did"))
+            return pa.record_batch([pa.array(np.full(n, kind, np.int64)), *e, lid, did, none, none], names=names)
+        g = [pa.array(gone[c].astype(np.int64)) for c in ("did", "th", "line")] if gone is not None else [pa.array(entry["did"].astype(np.int64)), none, none]
+        return pa.record_batch([pa.array(np.full(n, kind, np.int64)), *e, none, *g], names=names)
 
     def race(batches):
         held = []
@@ -294,23 +306,29 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, least_words: in
         if held:
             e = np.concatenate(held)
             e = e[np.argsort(e["key"], kind="stable")]
-            n, bits, place, key = (np.ascontiguousarray(e[c]) for c in ("n", "bits", "place", "key"))
-            yield out(2, entry=e[racing(n, bits, place, _runs(key.astype(np.int64)))])
+            n, bits, place, key, did = (np.ascontiguousarray(e[c]) for c in ("n", "bits", "place", "key", "did"))
+            stays, best = racing(n, bits, place, did, _runs(key.astype(np.int64)))
+            yield out(2, entry=e[stays], partner=(e, best[stays]))
 
     def hot_race(batches):
         for t in C.whole_runs(batches, ("key", "blk_a", "blk_b")):
-            n, bits, place = t.column("n").to_numpy(), t.column("bits").to_numpy().view(np.uint64), t.column("place").to_numpy()
-            at = pa.array(np.nonzero(racing(n, bits, place, C.run_pairs(t, "key")))[0])
-            yield pa.record_batch([t.column(c).combine_chunks().take(at) for c in ("key", "lid", "n", "bits")], names=["key", "lid", "n", "bits"])
+            n, bits, place, did, lid = (t.column(c).to_numpy() for c in ("n", "bits", "place", "did", "lid"))
+            stays, best = racing(n, bits.view(np.uint64), place, did, C.run_pairs(t, "key"))
+            at, best = np.nonzero(stays)[0], best[stays]
+            cols = [t.column(c).combine_chunks().take(pa.array(at)) for c in ("key", "lid", "n", "bits")]
+            more = [pa.array(np.where(best >= 0, x[best], 0), mask=best < 0) for x in (lid, did)]
+            yield pa.record_batch([*cols, *more], names=["key", "lid", "n", "bits", "partner", "did"])
 
     chain = docs.mapInArrow(lines, _PACKED).repartitionById(parts, F.col("part")).mapInArrow(classes, _PACKED).repartitionById(parts, F.col("part"))
     met = C.stage(chain.mapInArrow(race, ", ".join(f"{c} long" for c in names)), "line-race")
     copies = met.where("kind = 0").select("did", "th", F.col("line").cast("int").alias("line"))
-    left = met.where("kind = 2").select("key", "lid", "n", "bits")
-    hot = met.where("kind = 3").select("key", "lid", "n", "bits", "place")
+    kept = ["key", "lid", "n", "bits", "partner", "did"]
+    left = met.where("kind = 2").select(*kept)
+    hot = met.where("kind = 3").select("key", "lid", "n", "bits", "place", "did")
     if not hot.isEmpty():
-        left = left.union(C.bucket_blocks(hot, "key", "lid", "line-hot").mapInArrow(hot_race, "key long, lid long, n long, bits long").distinct())
-        left = C.stage(left, "line-left")
+        more = C.bucket_blocks(hot, "key", "lid", "line-hot").mapInArrow(hot_race, "key long, lid long, n long, bits long, partner long, did long")
+        left = C.stage(left.union(more), "line-left")
+    C.release(spark)
 
     def mark(batches):
         acc = np.zeros(slots, np.int64)
@@ -318,9 +336,7 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, least_words: in
             acc[(batch.column(0).to_numpy().view(np.uint64) & mask).astype(np.int64)] = 1
         yield _emit_counts(acc)
 
-    wanted = spark.sparkContext.broadcast(np.packbits(slot_table(left.select("lid").mapInArrow(mark, "r int, slots binary, counts binary"), slots)[0] > 0))
-
-    def fetch(batches):
+    def fetch(wanted, batches):
         held = wanted.value
         for batch in batches:
             texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
@@ -346,8 +362,62 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, least_words: in
                     names=["lid", "did", "th", "line", "set"],
                 )
 
-    sets = docs.mapInArrow(fetch, "lid long, did long, th long, line int, set array<long>").dropDuplicates(["lid"])
-    sets = C.stage(sets.join(left.select("lid").distinct(), "lid", "left_semi"), "line-sets")
+    def sets_of(lids: DataFrame) -> DataFrame:
+        """Word sets of these lines, and of a few others that share their slots."""
+        table = slot_table(lids.mapInArrow(mark, "r int, slots binary, counts binary"), slots)[0]
+        wanted = spark.sparkContext.broadcast(np.packbits(table > 0))
+        return docs.mapInArrow(lambda batches: fetch(wanted, batches), "lid long, did long, th long, line int, set array<long>")
+
+    def comparer(words, at):
+        """A function that tells which pairs of rows (x, y) have sets that reach the threshold."""
+        salt = C.mix64(np.arange(len(at) - 1, dtype=np.uint64) + np.uint64(1))
+        member = np.sort(C.mix64(words ^ np.repeat(salt, np.diff(at))))
+        n = np.diff(at).astype(np.int64)
+
+        def check(p, q):
+            size = n[p]
+            of = np.repeat(np.arange(len(p)), size)
+            own = words[at[p][of] + np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)]
+            asked = C.mix64(own ^ salt[q][of])
+            found = np.minimum(np.searchsorted(member, asked), len(member) - 1)
+            return np.bincount(of[member[found] == asked], minlength=len(p)) >= _need(n[p], n[q], threshold)
+
+        return lambda x, y: np.concatenate([np.zeros(0, bool), *(check(x[k : k + 4096], y[k : k + 4096]) for k in range(0, len(x), 4096))])
+
+    def after(did, th, line, x, y):
+        """Whether rows x stand after rows y."""
+        return np.where(did[x] != did[y], did[x] > did[y], np.where(th[x] != th[y], th[x] > th[y], line[x] > line[y]))
+
+    def first_check(batches):
+        # rows of one ``lead``: the lead itself and the lines whose partner it is
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            did, th, line = (batch.column(c).to_numpy() for c in ("did", "th", "line"))
+            own, other = batch.column("set"), batch.column("lead_set")
+            both = pa.concat_arrays([own, other])
+            k = batch.num_rows
+            ok = comparer(both.values.to_numpy().view(np.uint64), both.offsets.to_numpy())(np.arange(k), np.arange(k) + k)
+            lead = [batch.column(c).to_numpy() for c in ("lead_did", "lead_th", "lead_line")]
+            d, t, n = (np.concatenate(c) for c in zip((did, th, line), lead, strict=True))
+            gone = ok & after(d, t, n, np.arange(k), np.arange(k) + k)
+            yield pa.record_batch([batch.column("lid"), batch.column("did"), batch.column("th"), batch.column("line"), pa.array(gone)], names=["lid", "did", "th", "line", "gone"])
+
+    # first against the one partner that comes earliest: most lines that go, go here; a line whose partners all come later stays
+    pairs = left.where("partner IS NOT NULL").groupBy("lid").agg(F.min_by("partner", F.struct("did", "partner")).alias("lead"))
+    pairs = C.stage(pairs, "line-pairs")
+    lids = pairs.select("lid").union(pairs.select("lead"))
+    sets = sets_of(lids)
+    asked = sets.join(pairs, "lid")
+    leads = sets.select(F.col("lid").alias("lead"), F.col("did").alias("lead_did"), F.col("th").alias("lead_th"), F.col("line").alias("lead_line"), F.col("set").alias("lead_set"))
+    one = C.stage(asked.join(leads, "lead").mapInArrow(first_check, "lid long, did long, th long, line int, gone boolean"), "line-first")
+    C.release(spark)
+    met_first = one.where("gone").select("did", "th", "line")
+
+    # the others against all lines of their groups
+    open_ = one.where(~F.col("gone")).select("lid").distinct()
+    keys = left.join(open_, "lid", "left_semi").select("key").distinct()
+    rest = C.stage(left.join(keys, "key", "left_semi").select("key", "lid", "n", "bits").distinct(), "line-rest")
 
     def verify(batches):
         for table in C.whole_runs(batches, ("key", "blk_a", "blk_b")):
@@ -355,28 +425,23 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, least_words: in
             bits = table.column("bits").to_numpy().view(np.uint64)
             col = table.column("set").combine_chunks()
             at, words = col.offsets.to_numpy(), col.values.to_numpy().view(np.uint64)
-            salt = C.mix64(np.arange(len(n), dtype=np.uint64) + np.uint64(1))
-            member = np.sort(C.mix64(words ^ np.repeat(salt, np.diff(at))))
-            gone = np.zeros(len(n), bool)
+            gone, same = np.zeros(len(n), bool), comparer(words, at)
             for i, j in C.run_pairs(table, "key"):
-                later_j = np.where(did[i] != did[j], did[i] < did[j], np.where(th[i] != th[j], th[i] < th[j], line[i] < line[j]))
-                x, y = np.where(later_j, j, i), np.where(later_j, i, j)
-                ok = ~gone[x] & passing(n, bits, i, j)
+                later = after(did, th, line, i, j)
+                x, y = np.where(later, i, j), np.where(later, j, i)
+                ok = ~gone[x] & passing(n, bits, i, j) & after(did, th, line, x, y)
                 x, y = x[ok], y[ok]
-                for k in range(0, len(x), 4096):
-                    p, q = x[k : k + 4096], y[k : k + 4096]
-                    sizes = n[p].astype(np.int64)
-                    of = np.repeat(np.arange(len(p)), sizes)
-                    own = words[at[p][of] + np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)]
-                    asked = C.mix64(own ^ salt[q][of])
-                    found = np.searchsorted(member, asked)
-                    common = np.bincount(of[(found < len(member)) & (member[np.minimum(found, len(member) - 1)] == asked)], minlength=len(p))
-                    gone[p[common >= _need(n[p], n[q], threshold)]] = True
+                if x.size:
+                    gone[x[same(x, y)]] = True
             r = np.nonzero(gone)[0]
             yield pa.record_batch([pa.array(did[r]), pa.array(th[r]), pa.array(line[r])], names=["did", "th", "line"])
 
-    met = C.bucket_blocks(left, "key", "lid", "line-verify", payload=sets).mapInArrow(verify, "did long, th long, line int")
-    return copies.union(met).distinct()
+    gone = copies.union(met_first)
+    if not rest.isEmpty():
+        again = C.stage(sets_of(rest.select("lid")), "line-sets")
+        more = C.bucket_blocks(rest, "key", "lid", "line-verify", payload=again).mapInArrow(verify, "did long, th long, line int")
+        gone = gone.union(C.stage(more, "line-again"))
+    return gone.distinct()
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -386,6 +451,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     docs = tagged.select(F.col("__wl_did").alias("did"), F.col("__wl_th").alias("th"), F.col(text_col).cast("string").alias("text"))
     gone = similar_lines(docs, **options).groupBy("did", "th").agg(F.collect_set("line").alias("__wl_gone"))
     gone = C.stage(gone.withColumnRenamed("did", "__wl_did").withColumnRenamed("th", "__wl_th"), "lines-gone")
+    C.release(df.sparkSession)
     out = tagged.join(gone, ["__wl_did", "__wl_th"], "left")
     text = F.col(text_col).cast("string")
     lines = f"split(CAST(`{text_col}` AS STRING), '\\n', -1)"
