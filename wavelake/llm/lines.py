@@ -205,12 +205,14 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, least_words: in
         return rows[keep], heads
 
     def leaders(rows):
-        """Which rows are the first of their set, after sorting; the order that sorts them."""
+        """Places of the first rows of each set, and of the rows that go for them: not those of a copy of the first one's document."""
         order = np.lexsort((rows["line"], rows["th"], rows["did"], rows["h2"], rows["h1"]))
         r = rows[order]
         new = np.ones(len(r), bool)
         new[1:] = (r["h1"][1:] != r["h1"][:-1]) | (r["h2"][1:] != r["h2"][:-1])
-        return order, new
+        lead = r[np.nonzero(new)[0]][np.cumsum(new) - 1] if len(r) else r
+        other = (r["did"] != lead["did"]) | (r["th"] != lead["th"]) | (r["line"] != lead["line"])
+        return order[new], order[other]
 
     def gone_rows(rows):
         out = np.zeros(len(rows), _GONE)
@@ -227,10 +229,9 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, least_words: in
                 continue
             rows, heads = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
             at = np.cumsum(rows["heads"]) - rows["heads"]
-            order, new = leaders(rows)
-            lead = order[new]
+            lead, gone = leaders(rows)
             more = [heads[a : a + n].tobytes() for a, n in zip(at, rows["heads"], strict=True)]
-            yield _batch(_packed(1, (rows["h1"][lead] % np.uint64(parts)).astype(np.int64), rows[lead], [more[i] for i in lead]) + gone_rows(rows[order[~new]]))
+            yield _batch(_packed(1, (rows["h1"][lead] % np.uint64(parts)).astype(np.int64), rows[lead], [more[i] for i in lead]) + gone_rows(rows[gone]))
 
     def classes(batches):
         held, more = [], []
@@ -245,9 +246,8 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, least_words: in
             return
         rows, heads = np.concatenate(held), np.concatenate(more)
         at = np.cumsum(rows["heads"]) - rows["heads"]
-        order, new = leaders(rows)
-        yield _batch(gone_rows(rows[order[~new]]))
-        lead = order[new]
+        lead, gone = leaders(rows)
+        yield _batch(gone_rows(rows[gone]))
         size = rows["heads"][lead].astype(np.int64)
         of = np.repeat(lead, size)
         pick = heads[at[of] + np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)]
