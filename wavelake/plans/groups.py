@@ -93,11 +93,11 @@ def a28_p(t):
     return X.anova_p(a28(t))
 
 
-_TESTS = "t AS (SELECT o_custkey AS test_id, least(min(o_totalprice) / 500000, 1.0) AS p_value FROM orders GROUP BY o_custkey)"
+_TESTS = "t AS (SELECT o_custkey AS test_id, least(min(o_totalprice) / 490001.7, 1.0) AS p_value FROM orders GROUP BY o_custkey)"
 
 
 def _tests(t):
-    return t.table("orders").groupBy(F.col("o_custkey").alias("test_id")).agg(F.least(F.min("o_totalprice") / 500000, F.lit(1.0)).alias("p_value"))
+    return t.table("orders").groupBy(F.col("o_custkey").alias("test_id")).agg(F.least(F.min("o_totalprice") / 490001.7, F.lit(1.0)).alias("p_value"))
 
 
 @query(

@@ -599,13 +599,13 @@ def p07(t):
 
 _FEATS = f"""{SERIES}, f AS (SELECT user_id, i, i * 1.0 AS t_sec, value AS theta_alpha_ratio, value * value AS gamma_rel FROM u),
 l AS (UNPIVOT f ON theta_alpha_ratio, gamma_rel INTO NAME indicator VALUE x),
-b AS (SELECT user_id, indicator, coalesce(avg(CASE WHEN t_sec BETWEEN 5 AND 20 THEN x END), 0) AS base FROM l GROUP BY user_id, indicator)"""
+b AS (SELECT user_id, indicator, coalesce(avg(CASE WHEN t_sec BETWEEN 5 AND 19 THEN x END), 0) AS base FROM l GROUP BY user_id, indicator)"""
 
 
 def _flow(t):
     f = t.series().select("user_id", F.col("sample_idx").alias("window_idx"), F.col("sample_idx").cast("double").alias("t_sec"), F.col("value").alias("theta_alpha_ratio"), (F.col("value") * F.col("value")).alias("gamma_rel"))
     long = f.unpivot(["user_id", "window_idx", "t_sec"], ["theta_alpha_ratio", "gamma_rel"], "indicator", "x")
-    phases = t.table("events").select("user_id").distinct().select("user_id", *[F.lit(float(v)).alias(n) for n, v in zip(R.PHASES, (5, 20, 20, 30, 30), strict=True)])
+    phases = t.table("events").select("user_id").distinct().select("user_id", *[F.lit(float(v)).alias(n) for n, v in zip(R.PHASES, (5, 19, 20, 30, 30), strict=True)])
     return long, phases, R.baseline(long, phases, U)
 
 
