@@ -116,6 +116,12 @@ class TrieBPE:
         self.up = [0]
         self.state = [0]
 
+    def forget(self) -> None:
+        """Frees what the words of a task have left; a worker that goes on to other work would hold it."""
+        self._clear()
+        self.words.clear()
+        self.pairs.clear()
+
     def stands(self, a: int, b: int) -> bool:
         """Whether tokens a and b next to each other stay apart: no merge across their border comes first while they are built.
 
@@ -260,6 +266,7 @@ def encode(df: DataFrame, text_col: str = "text", path: str | None = None, decod
                     made.append(pa.array([bpe.decode(np.frombuffer(x, "<i4").tolist()) for x in ids], pa.string()))
                 yield pa.record_batch([*cols, *made], names=[*held, *schema.names[len(held) :]])
                 at += len(ids)
+        bpe.forget()
 
     return df.select(*held, F.col(text_col).cast("string").alias("__wl_in")).mapInArrow(op, schema)
 

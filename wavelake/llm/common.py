@@ -133,6 +133,13 @@ def word_spans(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.nda
     return buf, np.concatenate([[0], sep + 1]), np.concatenate([sep, [len(data)]])
 
 
+def sliced(batches, rows: int = 1024):
+    """Arrow batches cut into slices, so that no more rows are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def groups_of_bytes(texts: list, most: int = 1 << 20):
     """Index ranges of ``texts`` that hold about ``most`` bytes each."""
     at, held = 0, 0

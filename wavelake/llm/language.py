@@ -31,7 +31,7 @@ LONGEST = 5
 SMOOTH = 0.5
 UNDECIDED = "und"
 #: Word scores that a Python worker keeps.
-CACHE = 300_000
+CACHE = 150_000
 _WORD = re.compile(r"[^\W\d_]+").findall
 
 
@@ -134,7 +134,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     sample = rows.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(steps)) < part).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
     def count(batches):
-        for batch in batches:
+        for batch in C.sliced(batches, 4096):
             by: dict[str, Counter] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 by.setdefault(lang, Counter()).update(_WORD(text.lower()) if text else [])
@@ -183,7 +183,7 @@ def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     def op(batches):
         scorer = Scorer(shared.value)
-        for batch in batches:
+        for batch in C.sliced(batches):
             langs, scores = scorer(batch.column(batch.num_columns - 1).to_pylist())
             cols = [batch.column(k) for k in range(batch.num_columns - 1)]
             yield pa.record_batch([*cols, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*held, "lang_pred", "lang_score"])

@@ -205,7 +205,7 @@ def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
     item = pa.struct([("license", pa.string()), ("template", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("saved", pa.float64()), ("differing", pa.list_(pa.string()))])
 
     def op(batches):
-        for batch in batches:
+        for batch in C.sliced(batches):
             found = [scan_text(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.record_batch([*[batch.column(k) for k in range(batch.num_columns - 1)], pa.array(found, pa.list_(item))], names=[*held, "licenses"])
 

@@ -51,15 +51,14 @@ def _emit_counts(acc: np.ndarray):
     """Packed (slot in its range, count) of the counters in use, one row for each range of slots."""
     import pyarrow as pa
 
-    used = np.nonzero(acc)[0]
-    cut = np.searchsorted(used, np.arange(0, len(acc) + 1, _RANGE))
     ranges, slots, counts = [], [], []
-    for k in range(len(cut) - 1):
-        u = used[cut[k] : cut[k + 1]]
+    for k in range(len(acc) // _RANGE):
+        part = acc[k * _RANGE : (k + 1) * _RANGE]
+        u = np.nonzero(part)[0]
         if u.size:
             ranges.append(k)
-            slots.append((u % _RANGE).astype("<u2").tobytes())
-            counts.append(np.minimum(acc[u], 0xFFFFFFFF).astype("<u4").tobytes())
+            slots.append(u.astype("<u2").tobytes())
+            counts.append(part[u].astype("<u4").tobytes())
     return pa.record_batch([pa.array(ranges, pa.int32()), pa.array(slots, pa.binary()), pa.array(counts, pa.binary())], names=["r", "slots", "counts"])
 
 
@@ -170,8 +169,8 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, least_words: in
     rare = int(_classes(np.array([C.BLOCK]))[0])  # classes below stand for counts below BLOCK
 
     def count(batches):
-        acc = np.zeros(slots, np.int64)
-        for batch in batches:
+        acc = np.zeros(slots, np.uint32)
+        for batch in C.sliced(batches):
             texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
             for a, b in C.groups_of_bytes(texts):
                 if (got := _split_lines(texts[a:b])) is not None:
@@ -221,7 +220,7 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, least_words: in
         return _packed(0, (rows["h1"] % np.uint64(parts)).astype(np.int64), out)
 
     def lines(batches):
-        for batch in batches:
+        for batch in C.sliced(batches, 4096):
             texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
             did, th = _ids(batch)
             got = [prefix(texts[a:b], did[a:b], th[a:b]) for a, b in C.groups_of_bytes(texts)]
@@ -331,14 +330,14 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, least_words: in
     C.release(spark)
 
     def mark(batches):
-        acc = np.zeros(slots, np.int64)
+        acc = np.zeros(slots, np.uint8)
         for batch in batches:
             acc[(batch.column(0).to_numpy().view(np.uint64) & mask).astype(np.int64)] = 1
         yield _emit_counts(acc)
 
     def fetch(wanted, batches):
         held = wanted.value
-        for batch in batches:
+        for batch in C.sliced(batches):
             texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
             did, th = _ids(batch)
             count = np.array([t.count(b"\n") + 1 for t in texts], np.int64)

@@ -110,7 +110,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     import pyarrow as pa
 
     def run(batches):
-        for batch in batches:
+        for batch in C.sliced(batches):
             texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
             fp = np.concatenate([np.zeros(0, np.uint64)] + [_group_fingerprints(texts[a:b], words, seed) for a, b in C.groups_of_bytes(texts)])
             yield pa.record_batch([batch.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
