@@ -7,7 +7,7 @@ Bloom filter over the keys, and a fixed-size footer.  A lookup asks the filter,
     index   for each block: first key (17 bytes), offset, length, ids before it in the shard (3 x u64)
     filter  bit array; bits of a key come from two halves of its XXH64
     footer  index offset, index entries, filter offset, filter bytes, filter probes, documents, ids, bytes per id (8 x u64),
-            CRC-32 of index and filter (u32), magic (8 bytes)
+            CRC-32 of index, filter and these fields (u32), magic (8 bytes)
 
 A key is a tag (0: null id, 1: id), the id as big-endian with its sign bit turned, and a running number that tells copies of one
 id apart.  Ids are 16 bits wide if the vocabulary allows, else 32.
@@ -244,8 +244,9 @@ class ShardWriter:
         for k in self.keys:
             bloom[_bloom_bits(k, bits, BLOOM_PROBES)] = 1
         filt = np.packbits(bloom, bitorder="little").tobytes()
-        crc = zlib.crc32(filt, zlib.crc32(index))
-        foot = _FOOTER.pack(self.at, len(self.index), self.at + len(index), len(filt), BLOOM_PROBES, self.docs, self.ids, self.width, crc, MAGIC)
+        fields = (self.at, len(self.index), self.at + len(index), len(filt), BLOOM_PROBES, self.docs, self.ids, self.width)
+        crc = zlib.crc32(struct.pack("<8Q", *fields), zlib.crc32(filt, zlib.crc32(index)))
+        foot = _FOOTER.pack(*fields, crc, MAGIC)
         self.out.write(index + filt + foot)
         self.out.close()
 
@@ -255,11 +256,14 @@ class ShardReader:
         fs, local = _fs(path)
         self.file = fs.open_input_file(local)
         size = self.file.size()
-        f = _FOOTER.unpack(self.file.read_at(_FOOTER.size, size - _FOOTER.size))
-        at, n, filter_at, filter_n, self.probes, self.docs, self.ids, self.width, crc, magic = f
-        tail = self.file.read_at(n * _INDEX.size + filter_n, at)
-        if magic != MAGIC or zlib.crc32(tail) != crc:
-            raise ValueError(f"{path} is damaged or no shard")
+        foot = self.file.read_at(_FOOTER.size, max(0, size - _FOOTER.size))
+        if len(foot) < _FOOTER.size or foot[-8:] != MAGIC:
+            raise ValueError(f"{path} is no shard")
+        at, n, _, filter_n, self.probes, self.docs, self.ids, self.width, crc, _ = _FOOTER.unpack(foot)
+        whole = at + n * _INDEX.size + filter_n + _FOOTER.size == size
+        tail = self.file.read_at(n * _INDEX.size + filter_n, at) if whole else b""
+        if not whole or zlib.crc32(foot[:64], zlib.crc32(tail)) != crc:
+            raise ValueError(f"{path} is damaged")
         self.index = list(_INDEX.iter_unpack(tail[: n * _INDEX.size]))
         self.firsts = [x[0] for x in self.index]
         self.filter = tail[n * _INDEX.size :]
