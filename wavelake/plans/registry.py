@@ -9,6 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 from . import base, groups, kernels_queries, signals  # noqa: F401
 
 
+#: Columns whose type the SQL text leaves to the other engine, by query.
+TYPES = {
+    **{n: {"label": "BIGINT"} for n in ("j10_paired_by_position", "a26_paired_t", "a27_signed_rank", "a29_pearson")},
+    **{n: {"freq": "DOUBLE"} for n in ("a01_mean_density", "a01_density_fft", "p03_bands_of_bins")},
+    **{n: {"channel_idx": "BIGINT"} for n in ("j04_epochs", "a13_average")},
+    "a02_band_table": {"peak_freq": "DOUBLE", "edge_freq": "DOUBLE"},
+    "a05_spectrogram": {"t_sec": "DOUBLE", "freq": "DOUBLE"},
+    "a23_overall_recovery": {"recovery_time": "DOUBLE"},
+    "a34_profile": {"flat": "DOUBLE"},
+    "p09_normalised": {"t_sec": "DOUBLE"},
+    "s01_file_formats": {"id": "BIGINT"},
+    "s08_board_map": {"n_cols": "BIGINT", "n_exg": "BIGINT", "board_fs": "BIGINT"},
+    "w01_sliding_windows": {"center": "DOUBLE"},
+    "w04_recovery_time": {"recovery_sec": "DOUBLE"},
+}
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Band shares by condition from the spectra of all epochs."""
     return base.QUERIES["flow_features"](spark, sf_dir)
@@ -19,4 +36,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(base.ORACLES)
+    typed = lambda c: ", ".join(f"CAST({k} AS {t}) AS {k}" for k, t in c.items())
+    return {n: f"SELECT * REPLACE ({typed(TYPES[n])}) FROM ({sql})" if n in TYPES else sql for n, sql in base.ORACLES.items()}
