@@ -195,7 +195,8 @@ def as_of(left: DataFrame, right: DataFrame, keys: Keys, t: str, payload: list[s
     names = [c for c in left.columns if c not in keys + [t]]
     a = left.withColumn("_side", F.lit(1))
     b = right.select(*keys, t, F.struct(*payload).alias("_p")).withColumn("_side", F.lit(0))
-    both = a.unionByName(b, allowMissingColumns=True)
+    # an exchange of its own: the union of two parts that are already dealt out by the keys must not pass for dealt out itself
+    both = a.unionByName(b, allowMissingColumns=True).repartition(*keys)
     w = W.partitionBy(*keys).orderBy(t, "_side").rowsBetween(W.unboundedPreceding, 0)
     out = both.withColumn("_p", F.last("_p", True).over(w)).where("_side = 1")
     return out.select(*keys, t, *names, *[F.col("_p")[p].alias(p) for p in payload])

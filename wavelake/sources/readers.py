@@ -226,5 +226,6 @@ def resolved_events(recs: DataFrame, given: DataFrame, found: DataFrame, default
     """Events of each recording from the first of: given ones, markers, the default schedule."""
     cols = ["recording_id", "event_id", "t_sec"]
     both = given.select(*cols, F.lit(0).alias("pri")).unionByName(found.select(*cols, F.lit(1).alias("pri"))).unionByName(recs.select("recording_id").crossJoin(F.broadcast(default)).select(*cols, F.lit(2).alias("pri")))  # eleven rows
+    both = both.repartition("recording_id")  # see series.as_of
     best = F.min("pri").over(W.partitionBy("recording_id"))
     return both.withColumn("best", best).where("pri = best").select(*cols)
