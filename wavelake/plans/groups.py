@@ -508,3 +508,55 @@ def r10(t):
 def r11(t):
     bad = F.col("o_orderstatus") == "P"
     return t.table("orders").groupBy(F.col("o_custkey").alias("recording")).agg(F.count(F.lit(1)).alias("files"), F.count_if(bad).alias("failed"), (F.count_if(~bad) / F.count(F.lit(1))).alias("progress"))
+
+
+# -- exports ---------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "s15_wide_table",
+    f"WITH {EPOCHS} SELECT CAST(vec_id AS VARCHAR) AS recording_id, round(CAST((i // 2) / 128.0 AS DOUBLE), 6) AS time, round(max(CASE WHEN i % 2 = 0 THEN v END), 6) AS c0, round(max(CASE WHEN i % 2 = 1 THEN v END), 6) AS c1 FROM e GROUP BY vec_id, i // 2",
+)
+def s15(t):
+    k = F.expr("sample_idx div 2")
+    s = t.epochs().select(F.col("vec_id").cast("string").alias("recording_id"), k.alias("sample_idx"), (k / 128.0).alias("t_sec"), F.concat(F.lit("c"), (F.col("sample_idx") % 2).cast("string")).alias("channel"), "value")
+    return writers.wide(s, ["c0", "c1"])
+
+
+@query(
+    "s17_detail_export",
+    "SELECT o_orderpriority AS condition, o_orderstatus AS indicator, round(avg(o_totalprice), 3) AS baseline, round(min(o_totalprice), 3) AS attenuation, round(max(o_totalprice), 3) AS recovery FROM orders GROUP BY 1, 2",
+    digits=3,
+)
+def s17(t):
+    o = t.table("orders").groupBy(F.col("o_orderpriority").alias("condition"), F.col("o_orderstatus").alias("k")).agg(F.avg("o_totalprice").alias("b"), F.min("o_totalprice").alias("a"), F.max("o_totalprice").alias("r"))
+    as_map = lambda v: F.map_from_entries(F.collect_list(F.struct("k", v)))
+    results = o.groupBy("condition").agg(as_map("b").alias("baseline_means"), as_map("a").alias("attenuation"), as_map("r").alias("recovery_per_feature"))
+    return writers.detail_export(results)
+
+
+@query("a41_focus", 'SELECT user_id, round(avg(value / 500), 6) AS "avg", round(1 - stddev_pop(value / 500), 6) AS stability FROM events GROUP BY user_id')
+def a41(t):
+    from ..functions import learning
+
+    return learning.focus(t.table("events").select("user_id", (F.col("value") / 500).alias("score")), U)
+
+
+@query(
+    "s02_board_rows",
+    f"""WITH {SERIES}, l AS (SELECT event_id, i, CAST(i AS VARCHAR) || ',' || CAST(value AS VARCHAR) || ',' || (CASE WHEN event_id % 7 = 0 THEN '-' ELSE '1' END) AS line FROM u), c AS (SELECT event_id, list_transform(string_split(line, ','), lambda x: TRY_CAST(x AS DOUBLE)) AS nums FROM l)
+SELECT event_id, nums[2] AS x FROM c WHERE len(list_filter(nums, lambda x: x IS NULL)) = 0""",
+)
+def s02(t):
+    line = F.concat_ws(",", F.col("sample_idx").cast("string"), F.col("value").cast("string"), F.when(F.col("event_id") % 7 == 0, "-").otherwise("1"))
+    nums = t.series().select("event_id", readers.numbers(line).alias("nums"))
+    return nums.where(F.forall("nums", lambda x: x.isNotNull())).select("event_id", F.get("nums", F.lit(1)).alias("x"))
+
+
+@query(
+    "w07_rate_from_median_step",
+    f"WITH {SERIES}, d AS (SELECT user_id, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY i))) / 1e11 AS dt FROM u) SELECT user_id, CAST(round_even(1 / median(dt), 0) AS BIGINT) AS fs FROM d GROUP BY user_id",
+)
+def w07_rate(t):
+    s = t.series().select("user_id", "sample_idx", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e11).alias("t"))
+    return Q.rate_from_median_step(s, U, "sample_idx", "t")
