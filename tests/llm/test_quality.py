@@ -35,7 +35,7 @@ def test_buckets_are_monotone_and_tight(spark):
 
 
 def rows():
-    good = [(i, " ".join(f"word{(i * 7 + k) % 50}" for k in range(60)), ["en", None][i % 2], "s") for i in range(300)]
+    good = [(i, " ".join(f"word{(i * 7 + k) % 97}" for k in range(60)), ["en", None][i % 2], "s") for i in range(300)]
     return [*good, (900, " ".join(f"w{k}###" for k in range(60)), "en", "s"), (901, "too short", "en", "s"), (902, None, None, None), (903, "a b c d e f g h " * 20, "en", "other"), (None, "x" * 9 + " y" * 30, "en", "s")]
 
 
