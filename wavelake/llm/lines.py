@@ -15,7 +15,8 @@ similarity of THRESHOLD or more; whether that earlier line itself goes does not
 Steps 2 and 3 are one chain of two shuffles.  Their rows travel as packed arrays, one for each batch and partition: a shuffle then
 moves a few large rows instead of one for each word.  The number of partitions follows the number of words counted in step 1.
 
-Edge cases: a null text stays null, with no lines; lines with fewer than LEAST_WORDS distinct words (blank ones too) always stay;
+Edge cases: a null text stays null, with no lines; blank lines always stay, and with ``least_words`` (LEAST_WORDS unless named; the
+query and the pipeline ask for 1) so do lines with fewer distinct words;
 rows with one id and one text are one document and get one result; a null id comes after all others; a document may lose all
 its lines and then has an empty text; an empty table gives an empty result.
 """
@@ -193,7 +194,9 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, least_words: in
         first = np.cumsum(n) - n
         keep = n >= least_words
         place = np.arange(len(of)) - first[of]
-        head = keep[of] & (place < (n - np.ceil(threshold * n - 1e-9) + 1)[of]) & (cls != 1)
+        # sets too small to be similar to one with a word more meet equal sets alone, which are one class
+        meets = keep & (n + 1e-9 >= threshold * (n + 1))
+        head = meets[of] & (place < (n - np.ceil(threshold * n - 1e-9) + 1)[of]) & (cls != 1)
         rows = np.zeros(len(per), _LINE)
         rows["h1"], rows["h2"] = np.add.reduceat(C.mix64(h), first), np.add.reduceat(C.mix64(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), first)
         rows["bits"] = np.bitwise_or.reduceat(np.uint64(1) << ((h >> np.uint64(41)) & np.uint64(63)), first)
@@ -461,5 +464,5 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(C.read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = dedup_lines(C.read_table(spark, sf_dir, "documents").select("doc_id", "text"), least_words=1)
     return out.select("doc_id", F.col("__wl_lines").alias("n_lines"), F.col("__wl_gone").alias("n_removed"), "text")
