@@ -1,9 +1,10 @@
 """License scans by conditional compression.
 
-Blocks of a text around words that license texts use are compressed with each template as zstandard raw dictionary, and without
-one.  Templates are ranked by the part of the size that their dictionary saves.  Winners are confirmed by their exact wording: the
-template's words are aligned with the block's, and at most a small part of them may be missing, added or different (none in a
-short notice).  The first template in rank that is confirmed names the license; the differing words are kept.
+Blocks of a text around words that license texts use are compressed with each template nearly all of whose words they hold as
+zstandard raw dictionary, and without one.  Templates are ranked by the part of the size that their dictionary saves; however
+little that is, each is held against its exact wording: the template's words are aligned with the block's, and at most a small part
+of them may be missing, added or different (none in a short notice).  The first template in rank that is confirmed names the
+license; the differing words are kept.
 
 Edge cases: a null or blank text, or one without such words, has no license; overlapping blocks are merged; several licenses in
 one text are all reported, in alphabetical order; ties in rank go to the template that comes first; an empty table gives an
@@ -13,6 +14,7 @@ empty result; other columns are kept.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -76,8 +78,8 @@ _MARKS = ("licens", "copyright", "permission", "redistribut", "public domain", "
 _MARK = re.compile("|".join(_MARKS))
 #: Characters taken on both sides of a mark, and the most that one block holds (a longer stretch becomes overlapping blocks).
 REACH, MOST = 700, 8000
-#: Templates that must save this part of a block's size to be looked at, and the part of their words that may differ.
-LEAST_SAVED, DIFFERING = 0.15, 0.06
+#: The part of a template's words that may differ.
+DIFFERING = 0.06
 _WORDS = re.compile(r"[^\W_]+(?:\.\d+)*").findall
 
 
@@ -95,6 +97,15 @@ def _template_words() -> list[list[str]]:
     return [_WORDS(t.lower()) for _, t in TEMPLATES]
 
 
+@lru_cache(maxsize=1)
+def _template_counts() -> list[Counter]:
+    return [Counter(w) for w in _template_words()]
+
+
+def _most(k: int) -> int:
+    return int(DIFFERING * len(_template_words()[k]))
+
+
 def blocks(text: str) -> list[tuple[int, int]]:
     """Spans around marks; a span ends at the ends of its first and last line if they are near."""
     low = text.lower()
@@ -155,19 +166,20 @@ def differences(want: list[str], have: list[str], most: int) -> list[str] | None
 
 def scan_block(block: str) -> list[tuple[str, int, float, list[str]]]:
     """(license, template, saved, differences) of the confirmed templates of a block, the best of each license."""
+    have = _WORDS(block.lower())
+    held = Counter(have)
+    # each word that the block lacks is one that differs, so no other template can be confirmed
+    near = [k for k, want in enumerate(_template_counts()) if (want - held).total() <= _most(k)]
+    if not near:
+        return []
     data = block.encode()
     plain, withs = _compressors()
     size = len(plain.compress(data))
-    saved = [1 - len(c.compress(data)) / size for c in withs]
-    have = _WORDS(block.lower())
+    saved = {k: 1 - len(withs[k].compress(data)) / size for k in near}
     found: dict[str, tuple[str, int, float, list[str]]] = {}
-    for k in sorted(range(len(saved)), key=lambda k: (-saved[k], k)):
-        name, words = TEMPLATES[k][0], _template_words()[k]
-        # a notice is a small part of a long block, so what it can save is set against its own size
-        if saved[k] * size < LEAST_SAVED * min(size, len(TEMPLATES[k][1])):
-            continue
-        most = int(DIFFERING * len(words))
-        if not set(words[:60]) & set(have) or (most == 0 and not _holds(have, words)):
+    for k in sorted(near, key=lambda k: (-saved[k], k)):
+        name, words, most = TEMPLATES[k][0], _template_words()[k], _most(k)
+        if most == 0 and not _holds(have, words):
             continue
         diff = differences(words, have, most) if most else []
         if diff is not None and (name not in found or len(diff) < len(found[name][3])):
