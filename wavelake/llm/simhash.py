@@ -167,11 +167,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bits: int = BITS) -> DataFrame:
-    """Rows of ``df`` (all its columns) without those whose component has a smaller id; rows that share that id all stay."""
-    found = near_duplicates(df, id_col, text_col, words, bits)
-    gone = found.where(F.col(id_col) != F.col("component")).select(F.col(id_col).alias("__wl_id")).distinct()
-    gone = C.stage(gone, "simhash-gone")
-    return df.join(gone, F.col(id_col) == F.col("__wl_id"), "left_anti")
+    """``df`` (all its columns) with one row of each component: that with the least id (null last).
+
+    Rows are told apart by a number of their own, so repeated and null ids change nothing.
+    """
+    held = C.stage(df.withColumn("__wl_row", F.monotonically_increasing_id()), "simhash-rows")
+    found = near_duplicates(held, "__wl_row", text_col, words, bits).select("__wl_row", "component")
+    named = C.stage(found.join(held.select("__wl_row", F.col(id_col).alias("__wl_id")), "__wl_row"), "simhash-named")
+    rank = F.struct(F.col("__wl_id").isNull(), F.col("__wl_id"), F.col("__wl_row").alias("row"))
+    stays = named.groupBy("component").agg(F.min(rank).alias("stay"))
+    gone = C.stage(named.join(stays, "component").where(F.col("__wl_row") != F.col("stay.row")).select("__wl_row"), "simhash-gone")
+    return held.join(gone, "__wl_row", "left_anti").select(*df.columns)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
