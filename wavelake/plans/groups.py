@@ -468,7 +468,7 @@ def r03(t):
 @query("r04_filled_grid", "WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events), t AS (SELECT DISTINCT event_type FROM events), c AS (SELECT event_type, CAST(ts AS DATE) AS day, sum(value) AS v FROM events GROUP BY 1, 2) SELECT t.event_type, CAST(d.day AS VARCHAR) AS day, round(coalesce(v, 0), 6) AS v FROM t CROSS JOIN d LEFT JOIN c ON c.event_type = t.event_type AND c.day = d.day")
 def r04(t):
     e = t.table("events").select("event_type", F.to_date("ts").alias("day"), "value")
-    grid = e.select("day").distinct().crossJoin(F.broadcast(e.select("event_type").distinct().limit(1000)))  # kinds of events: a fixed list
+    grid = e.select("day").distinct().crossJoin(e.select("event_type").distinct())
     return grid.join(e.groupBy("event_type", "day").agg(F.sum("value").alias("v")), ["event_type", "day"], "left").select("event_type", F.col("day").cast("string").alias("day"), F.coalesce("v", F.lit(0.0)).alias("v"))
 
 
