@@ -153,13 +153,13 @@ def a37(t):
 @query("a31_permutation")
 def a31(t):
     v = t.table("embeddings").select((F.col("label") % 2).alias("g"), F.lit("all").alias("metric"), F.col("embedding")[0].cast("double").alias("value"))
-    return X.permutation_test(v, ["metric"], "g", 0, 1, n=200)
+    return X.permutation_test(v, ["metric"], "g", 0, 1)
 
 
 @query("a33_bootstrap")
 def a33(t):
     v = t.table("embeddings").select(F.col("label").cast("long").alias("label"), F.col("embedding")[0].cast("double").alias("value"))
-    return X.bootstrap(v, ["label"], n=200)
+    return X.bootstrap(v, ["label"])
 
 
 @query(

@@ -37,7 +37,7 @@ def a20(t):
 
 def _coef(t):
     e = t.epochs().select("label", F.col("vec_id").alias("epoch_idx"), F.lit(0).alias("channel_idx"), F.col("sample_idx").alias("rel_idx"), "value")
-    return T.coefficients(e, ["label", "epoch_idx", "channel_idx"], "rel_idx", RATE, K.log_grid(4, 45, 12))
+    return T.coefficients(e, ["label", "epoch_idx", "channel_idx"], "rel_idx", RATE, K.log_grid(4, 45))
 
 
 @query("w18_wavelet_power")
@@ -62,7 +62,7 @@ def a19(t):
 
 @query("a32_time_frequency_permutation")
 def a32(t):
-    return T.permuted(T.epoch_power(_coef(t), ["label"]), ["label"], 50, base=(0, 15))
+    return T.permuted(T.epoch_power(_coef(t), ["label"]), ["label"], base=(0, 15))
 
 
 @query("w19_resampled")
