@@ -133,6 +133,65 @@ def word_spans(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.nda
     return buf, np.concatenate([[0], sep + 1]), np.concatenate([sep, [len(data)]])
 
 
+_HEADS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _joined_words(texts: list[bytes]):
+    """One lower-case buffer of several texts, the start and end of each word in it, its line breaks and the start of each text."""
+    data = b"\n".join(texts).lower()
+    buf = padded(data)
+    body = buf[: len(data)]
+    gap = (body - np.uint8(9) < 5) | (body == 32)
+    edge = np.nonzero(np.diff(gap, prepend=True, append=True))[0]
+    size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    return buf, edge[::2], edge[1::2], np.nonzero(body == 10)[0], np.cumsum(size) - size
+
+
+def line_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words (ASCII lower case, between white space) of the lines of several texts: one buffer, the start and end of each word,
+    the number of words of each line, and the first line of each text."""
+    buf, starts, ends, breaks, at = _joined_words(texts)
+    return buf, starts, ends, np.diff(np.searchsorted(starts, breaks), prepend=0, append=len(starts)), np.searchsorted(breaks, at)
+
+
+def text_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same with the number of words of each text."""
+    buf, starts, ends, _, at = _joined_words(texts)
+    return buf, starts, ends, np.diff(np.searchsorted(starts, at), append=len(starts))
+
+
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each slice: mixed eight bytes at a time up to 16, XXH64 beyond."""
+    w64 = np.ndarray((len(buf) - 7,), "<u8", buffer=buf, strides=(1,))
+    n = ends - starts
+    with np.errstate(over="ignore"):
+        h = mix64((w64[starts] & _HEADS[np.minimum(n, 8)]) ^ (n.astype(np.uint64) * _P1))
+        more = np.nonzero((n > 8) & (n <= 16))[0]
+        if more.size:
+            h[more] = mix64(h[more] + (w64[starts[more] + 8] & _HEADS[n[more] - 8]) * _P3)
+    far = np.nonzero(n > 16)[0]
+    if far.size:
+        h[far] = xxh64_slices(buf, starts[far], n[far])
+    return h
+
+
+def distinct_sets(h: np.ndarray, per: np.ndarray, rank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of each of several runs of ``per`` values: their run (index) and value, in the order of rank (8 bits) and value."""
+    run = np.repeat(np.arange(len(per), dtype=np.uint64), per)
+    rank = np.zeros(len(h), np.uint64) if rank is None else rank.astype(np.uint64)
+    # one key to sort by; where it is too short to tell values apart, the slower sort by all three
+    key = (run << np.uint64(44)) | (rank << np.uint64(36)) | (h >> np.uint64(28))
+    order = np.argsort(key)
+    key, got = key[order], h[order]
+    if len(per) >= 1 << 20 or ((key[1:] == key[:-1]) & (got[1:] != got[:-1])).any():
+        order = np.lexsort((h, rank, run))
+        got = h[order]
+    run = run[order].astype(np.int64)
+    new = np.ones(len(h), bool)
+    new[1:] = (run[1:] != run[:-1]) | (got[1:] != got[:-1])
+    return run[new], got[new]
+
+
 def sliced(batches, rows: int = 1024):
     """Arrow batches cut into slices, so that no more rows are Python objects at a time."""
     for batch in batches:

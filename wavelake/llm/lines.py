@@ -7,8 +7,9 @@ similarity of THRESHOLD or more; whether that earlier line itself goes does not
    thing broadcast.  It orders the words of a line, rare ones first; any order gives the same result, a good one little work.
 2. Lines with equal sets are one class, led by its first line; the others go.
 3. Prefix filter: the leaders meet at the words of their prefix (words seen once in all documents meet nobody).  Pairs must pass
-   the length, the positional and a bitmap filter; lines with such a partner stay in the race.  Words seen in fewer than BLOCK
-   places make small groups; those of more frequent words are cut into blocks of bounded size.
+   the length, the positional and a parity filter (words set bits of a map by exclusive or: sets differ in at least as many words
+   as their maps in bits); lines with such a partner stay in the race.  Words seen in fewer than HOT_BLOCKS blocks of places make small groups;
+   those of more frequent words are cut into blocks of bounded size.
 4. Verify: the word sets of these lines are read again.  Each is checked by exact Jaccard similarity against the earliest of its
    partners; those that this does not settle are checked against all their partners, in blocks.
 
@@ -35,9 +36,11 @@ SLOTS = 1 << 24
 _RANGE = 1 << 16
 #: Words for each partition of the packed shuffles.
 PART_WORDS = 4_000_000
-_LINE = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("did", "<i8"), ("th", "<i8"), ("line", "<i4"), ("n", "<i4"), ("bits", "<u8"), ("heads", "<i4")])
-_HEAD = np.dtype([("word", "<u4"), ("place", "<i4"), ("hot", "?")])
-_ENTRY = np.dtype([("key", "<u4"), ("lid", "<i8"), ("did", "<i8"), ("n", "<i4"), ("place", "<i4"), ("bits", "<u8")])
+#: Words seen in so many blocks' worth of places have their lines dealt out in blocks.
+HOT_BLOCKS = 8
+_LINE = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("did", "<i8"), ("th", "<i8"), ("line", "<i4"), ("n", "<i4"), ("b0", "<u8"), ("b1", "<u8"), ("heads", "<i4")])
+_HEAD = np.dtype([("word", "<u4"), ("place", "<u2"), ("hot", "?")])
+_ENTRY = np.dtype([("key", "<u4"), ("lid", "<i8"), ("did", "<i4"), ("n", "<i4"), ("place", "<u2"), ("b0", "<u8"), ("b1", "<u8")])
 _GONE = np.dtype([("did", "<i8"), ("th", "<i8"), ("line", "<i4")])
 _LAST = (1 << 63) - 1
 
@@ -84,20 +87,19 @@ def slot_table(parts: DataFrame, slots: int) -> tuple[np.ndarray, int]:
 
 
 def _split_lines(texts: list[bytes]):
-    """Words of several texts: buffer, starts, ends, and for each word its text and its line."""
-    words, text_of, line_of, per = [], [], [], []
-    for i, t in enumerate(texts):
-        for k, line in enumerate(t.split(b"\n")):
-            w = line.lower().split()
-            if w:
-                words.append(w)
-                text_of.append(i)
-                line_of.append(k)
-                per.append(len(w))
-    if not words:
+    """Hashes of the words of several texts, and for each line that has words its text, its number and how many they are."""
+    buf, starts, ends, per, first = C.line_words(texts)
+    if not len(starts):
         return None
-    buf, starts, ends = C.word_spans(words)
-    return C.xxh64_slices(buf, starts, ends - starts), np.array(text_of), np.array(line_of), np.array(per)
+    full = np.nonzero(per)[0]
+    text_of = np.searchsorted(first, full, "right") - 1
+    return C.word_hashes(buf, starts, ends), text_of, full - first[text_of], per[full]
+
+
+def _order32(x: np.ndarray) -> np.ndarray:
+    """32-bit numbers that never fall where ``x`` rises."""
+    i = x.astype("<f4").view("<i4")
+    return i ^ ((i >> 31) & 0x7FFFFFFF)
 
 
 def _line_ids(did: np.ndarray, th: np.ndarray, line: np.ndarray) -> np.ndarray:
@@ -110,14 +112,10 @@ def _ids(batch) -> tuple[np.ndarray, np.ndarray]:
     return batch.column("did").to_numpy(), batch.column("th").to_numpy()
 
 
-def _sets(h: np.ndarray, per: np.ndarray, rank: np.ndarray | None = None):
-    """Distinct words of each line: their line (index), hash and, if asked for, in the order of rank."""
-    line = np.repeat(np.arange(len(per)), per)
-    order = np.lexsort((h, rank, line)) if rank is not None else np.lexsort((h, line))
-    line, h = line[order], h[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (line[1:] != line[:-1]) | (h[1:] != h[:-1])
-    return line[new], h[new], order[new]
+def _parity(h: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Two words of 64 bits for each set: a bit is set if an odd number of its words fall on it."""
+    bit, half = np.uint64(1) << ((h >> np.uint64(41)) & np.uint64(63)), (h >> np.uint64(40)) & np.uint64(1)
+    return [np.bitwise_xor.reduceat(np.where(half == k, bit, np.uint64(0)), first) for k in (0, 1)]
 
 
 def _need(n, m, t: float):
@@ -167,7 +165,7 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, least_words: in
 
     spark = docs.sparkSession
     mask = np.uint64(slots - 1)
-    rare = int(_classes(np.array([C.BLOCK]))[0])  # classes below stand for counts below BLOCK
+    rare = int(_classes(np.array([HOT_BLOCKS * C.BLOCK]))[0])  # classes below stand for smaller counts
 
     def count(batches):
         acc = np.zeros(slots, np.uint32)
@@ -188,7 +186,7 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, least_words: in
         if got is None:
             return np.zeros(0, _LINE), np.zeros(0, _HEAD)
         h, text_of, line_of, per = got
-        of, h, picked = _sets(h, per, rarity.value[(h & mask).astype(np.int64)])
+        of, h = C.distinct_sets(h, per, rarity.value[(h & mask).astype(np.int64)])
         cls = rarity.value[(h & mask).astype(np.int64)]
         n = np.bincount(of, minlength=len(per))
         first = np.cumsum(n) - n
@@ -199,11 +197,11 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, least_words: in
         head = meets[of] & (place < (n - np.ceil(threshold * n - 1e-9) + 1)[of]) & (cls != 1)
         rows = np.zeros(len(per), _LINE)
         rows["h1"], rows["h2"] = np.add.reduceat(C.mix64(h), first), np.add.reduceat(C.mix64(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), first)
-        rows["bits"] = np.bitwise_or.reduceat(np.uint64(1) << ((h >> np.uint64(41)) & np.uint64(63)), first)
+        rows["b0"], rows["b1"] = _parity(h, first)
         rows["did"], rows["th"], rows["line"], rows["n"] = did[text_of], th[text_of], line_of, n
         rows["heads"] = np.bincount(of[head], minlength=len(per))
         heads = np.zeros(int(head.sum()), _HEAD)
-        heads["word"], heads["place"], heads["hot"] = h[head].astype(np.uint32), place[head], cls[head] >= rare
+        heads["word"], heads["place"], heads["hot"] = h[head].astype(np.uint32), np.minimum(place[head], 65535), cls[head] >= rare
         return rows[keep], heads
 
     def leaders(rows):
@@ -256,7 +254,9 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, least_words: in
         entry = np.zeros(len(of), _ENTRY)
         lid = _line_ids(rows["did"], rows["th"], rows["line"])
         entry["key"], entry["place"] = pick["word"], pick["place"]
-        entry["lid"], entry["n"], entry["bits"], entry["did"] = lid[of], rows["n"][of], rows["bits"][of], rows["did"][of]
+        entry["lid"], entry["did"] = lid[of], _order32(rows["did"])[of]
+        for c in ("n", "b0", "b1"):
+            entry[c] = rows[c][of]
         to = (C.mix64(pick["word"].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
         hot = pick["hot"]
         yield _batch(_packed(2, to[~hot], entry[~hot]))
@@ -264,7 +264,8 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, least_words: in
 
     def passing(n, bits, i, j):
         need = _need(n[i], n[j], threshold)
-        return (np.minimum(n[i], n[j]) >= need) & (n[i].astype(np.int64) + n[j] - 2 * need >= np.bitwise_count(bits[i] ^ bits[j]))
+        apart = sum(np.bitwise_count(b[i] ^ b[j]) for b in bits)
+        return (np.minimum(n[i], n[j]) >= need) & (n[i].astype(np.int64) + n[j] - 2 * need >= apart)
 
     def racing(n, bits, place, did, pairs):
         """Which rows have a partner, and the row of the partner with the least id among those not after it (-1: none)."""
@@ -281,16 +282,18 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, least_words: in
                 best[x[better]] = y[better]
         return stays, best
 
-    names = ["kind", "key", "lid", "n", "bits", "place", "partner", "did", "th", "line"]
+    names = ["kind", "key", "lid", "n", "b0", "b1", "place", "partner", "did", "th", "line"]
+
+    kept = ["key", "lid", "n", "b0", "b1", "partner", "did"]
 
     def out(kind, entry=None, gone=None, partner=None):
         """kind 0: a line that goes; 2: a line in the race, did that of its partner; 3: the head of a frequent word."""
         n = len(entry if entry is not None else gone)
         none = pa.nulls(n, pa.int64())
-        e = [pa.array(entry[c].astype(np.int64) if c != "bits" else entry[c].view(np.int64)) for c in ("key", "lid", "n", "bits", "place")] if entry is not None else [none] * 5
+        e = [pa.array(entry[c].astype(np.int64)) for c in names[1:7]] if entry is not None else [none] * 6
         if partner is not None:
             rows, best = partner
-            lid, did = (pa.array(np.where(best >= 0, rows[c][best], 0), mask=best < 0) for c in ("lid", "did"))
+            lid, did = (pa.array(np.where(best >= 0, rows[c][best].astype(np.int64), 0), mask=best < 0) for c in ("lid", "did"))
             return pa.record_batch([pa.array(np.full(n, kind, np.int64)), *e, lid, did, none, none], names=names)
         g = [pa.array(gone[c].astype(np.int64)) for c in ("did", "th", "line")] if gone is not None else [pa.array(entry["did"].astype(np.int64)), none, none]
         return pa.record_batch([pa.array(np.full(n, kind, np.int64)), *e, none, *g], names=names)
@@ -308,27 +311,26 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, least_words: in
         if held:
             e = np.concatenate(held)
             e = e[np.argsort(e["key"], kind="stable")]
-            n, bits, place, key, did = (np.ascontiguousarray(e[c]) for c in ("n", "bits", "place", "key", "did"))
-            stays, best = racing(n, bits, place, did, _runs(key.astype(np.int64)))
+            n, b0, b1, place, key, did = (np.ascontiguousarray(e[c]) for c in ("n", "b0", "b1", "place", "key", "did"))
+            stays, best = racing(n, (b0, b1), place.astype(np.int64), did, _runs(key.astype(np.int64)))
             yield out(2, entry=e[stays], partner=(e, best[stays]))
 
     def hot_race(batches):
         for t in C.whole_runs(batches, ("key", "blk_a", "blk_b")):
-            n, bits, place, did, lid = (t.column(c).to_numpy() for c in ("n", "bits", "place", "did", "lid"))
-            stays, best = racing(n, bits.view(np.uint64), place, did, C.run_pairs(t, "key"))
+            n, b0, b1, place, did, lid = (t.column(c).to_numpy() for c in ("n", "b0", "b1", "place", "did", "lid"))
+            stays, best = racing(n, (b0.view(np.uint64), b1.view(np.uint64)), place, did, C.run_pairs(t, "key"))
             at, best = np.nonzero(stays)[0], best[stays]
-            cols = [t.column(c).combine_chunks().take(pa.array(at)) for c in ("key", "lid", "n", "bits")]
+            cols = [t.column(c).combine_chunks().take(pa.array(at)) for c in kept[:-2]]
             more = [pa.array(np.where(best >= 0, x[best], 0), mask=best < 0) for x in (lid, did)]
-            yield pa.record_batch([*cols, *more], names=["key", "lid", "n", "bits", "partner", "did"])
+            yield pa.record_batch([*cols, *more], names=kept)
 
     chain = docs.mapInArrow(lines, _PACKED).repartitionById(parts, F.col("part")).mapInArrow(classes, _PACKED).repartitionById(parts, F.col("part"))
     met = C.stage(chain.mapInArrow(race, ", ".join(f"{c} long" for c in names)), "line-race")
     copies = met.where("kind = 0").select("did", "th", F.col("line").cast("int").alias("line"))
-    kept = ["key", "lid", "n", "bits", "partner", "did"]
     left = met.where("kind = 2").select(*kept)
-    hot = met.where("kind = 3").select("key", "lid", "n", "bits", "place", "did")
+    hot = met.where("kind = 3").select("key", "lid", "n", "b0", "b1", "place", "did")
     if not hot.isEmpty():
-        more = C.bucket_blocks(hot, "key", "lid", "line-hot").mapInArrow(hot_race, "key long, lid long, n long, bits long, partner long, did long")
+        more = C.bucket_blocks(hot, "key", "lid", "line-hot").mapInArrow(hot_race, ", ".join(f"{c} long" for c in kept))
         left = C.stage(left.union(more), "line-left")
     C.release(spark)
 
@@ -346,21 +348,20 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, least_words: in
             count = np.array([t.count(b"\n") + 1 for t in texts], np.int64)
             of = np.repeat(np.arange(len(texts)), count)
             line = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-            slot = (_line_ids(did[of], th[of], line).view(np.uint64) & mask).astype(np.int64)
-            hit = np.unique(of[held[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1 > 0])
-            for a, b in C.groups_of_bytes([texts[i] for i in hit]):
-                part = hit[a:b]
-                if (got := _split_lines([texts[i] for i in part])) is None:
+            lid = _line_ids(did[of], th[of], line)
+            slot = (lid.view(np.uint64) & mask).astype(np.int64)
+            hit = np.nonzero(held[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1)[0]
+            cut = {i: texts[i].split(b"\n") for i in np.unique(of[hit])}
+            found = [cut[i][k] for i, k in zip(of[hit], line[hit], strict=True)]
+            for a, b in C.groups_of_bytes(found):
+                if (got := _split_lines(found[a:b])) is None:
                     continue
-                h, text_of, line_of, per = got
-                t = part[text_of]
-                lid = _line_ids(did[t], th[t], line_of)
-                slot = (lid.view(np.uint64) & mask).astype(np.int64)
-                keep = held[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1 > 0
-                of, h, _ = _sets(h[np.repeat(keep, per)], per[keep])
-                at = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=int(keep.sum())))]).astype(np.int32)
+                h, picked, _, per = got
+                pick = hit[a:b][picked]
+                s, h = C.distinct_sets(h, per)
+                at = np.concatenate([[0], np.cumsum(np.bincount(s, minlength=len(per)))]).astype(np.int32)
                 yield pa.record_batch(
-                    [pa.array(lid[keep]), pa.array(did[t][keep]), pa.array(th[t][keep]), pa.array(line_of[keep].astype(np.int32)), pa.ListArray.from_arrays(pa.array(at), pa.array(h.view(np.int64)))],
+                    [pa.array(lid[pick]), pa.array(did[of[pick]]), pa.array(th[of[pick]]), pa.array(line[pick].astype(np.int32)), pa.ListArray.from_arrays(pa.array(at), pa.array(h.view(np.int64)))],
                     names=["lid", "did", "th", "line", "set"],
                 )
 
@@ -409,7 +410,7 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, least_words: in
     pairs = left.where("partner IS NOT NULL").groupBy("lid").agg(F.min_by("partner", F.struct("did", "partner")).alias("lead"))
     pairs = C.stage(pairs, "line-pairs")
     lids = pairs.select("lid").union(pairs.select("lead"))
-    sets = sets_of(lids)
+    sets = C.stage(sets_of(lids), "line-sets")
     asked = sets.join(pairs, "lid")
     leads = sets.select(F.col("lid").alias("lead"), F.col("did").alias("lead_did"), F.col("th").alias("lead_th"), F.col("line").alias("lead_line"), F.col("set").alias("lead_set"))
     one = C.stage(asked.join(leads, "lead").mapInArrow(first_check, "lid long, did long, th long, line int, gone boolean"), "line-first")
@@ -419,19 +420,21 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, least_words: in
     # the others against all lines of their groups
     open_ = one.where(~F.col("gone")).select("lid").distinct()
     keys = left.join(open_, "lid", "left_semi").select("key").distinct()
-    rest = C.stage(left.join(keys, "key", "left_semi").select("key", "lid", "n", "bits").distinct(), "line-rest")
+    rest = left.join(keys, "key", "left_semi").select("key", "lid", "n", "b0", "b1").distinct()
+    rest = C.stage(rest.join(open_.withColumn("open", F.lit(True)), "lid", "left"), "line-rest")
 
     def verify(batches):
         for table in C.whole_runs(batches, ("key", "blk_a", "blk_b")):
             did, th, line, n = (table.column(c).to_numpy() for c in ("did", "th", "line", "n"))
-            bits = table.column("bits").to_numpy().view(np.uint64)
+            bits = tuple(table.column(c).to_numpy().view(np.uint64) for c in ("b0", "b1"))
+            asks = table.column("open").fill_null(False).to_numpy()
             col = table.column("set").combine_chunks()
             at, words = col.offsets.to_numpy(), col.values.to_numpy().view(np.uint64)
             gone, same = np.zeros(len(n), bool), comparer(words, at)
             for i, j in C.run_pairs(table, "key"):
                 later = after(did, th, line, i, j)
                 x, y = np.where(later, i, j), np.where(later, j, i)
-                ok = ~gone[x] & passing(n, bits, i, j) & after(did, th, line, x, y)
+                ok = asks[x] & ~gone[x] & passing(n, bits, i, j) & after(did, th, line, x, y)
                 x, y = x[ok], y[ok]
                 if x.size:
                     gone[x[same(x, y)]] = True
