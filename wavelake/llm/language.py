@@ -5,9 +5,8 @@ for its start and end, is scored by the mean over its 5-grams that the model kno
 down to single characters; a word of unknown characters scores nothing.  A document is given to the language with the largest
 mean over its words; the score is the softmax of the means times the square root of the number of words scored (64 at most).
 
-The model is learned from a sample of at most about MOST_DOCS labelled rows (chosen by a hash of the id, so it doesn't depend
-on files), and keeps at most MOST_WORDS words and MOST_GRAMS n-grams for all languages together; these bounds make it safe to
-collect and broadcast.
+The model is learned from a sample of labelled rows of about MOST_BYTES bytes of text (chosen by a hash of the id, so it doesn't
+depend on files) and keeps every word and n-gram of it; this bound makes it safe to collect and broadcast.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0, and so is every text if nothing could be learned; a
 null id is not held out and not learned from; ties go to the language that sorts first.
@@ -16,7 +15,9 @@ null id is not held out and not learned from; ties go to the language that sorts
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -24,62 +25,63 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-MOST_DOCS = 20_000
-MOST_WORDS = 240_000
-MOST_GRAMS = 240_000
+MOST_BYTES = 32_000_000
 LONGEST = 5
 SMOOTH = 0.5
 UNDECIDED = "und"
-#: Word scores that a Python worker keeps.
-CACHE = 150_000
-_WORD = re.compile(r"[^\W\d_]+").findall
+#: Word scores that a Python worker keeps, and words that it looks up at once.
+CACHE = 400_000
+STEP = 1 << 16
+_PATTERN = re.compile(r"[^\W\d_]+")
+_WORD, _WORDS = _PATTERN.findall, _PATTERN.finditer
 
 
 def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def _grams(word: str, n: int) -> list[str]:
-    if n == 1:
-        return list(word)
-    marked = f"\x02{word}\x03"
-    return [marked[i : i + n] for i in range(len(marked) - n + 1)]
-
-
 class Model:
-    """Log frequencies as rows of small matrices; one column for each language."""
+    """Log frequencies, one column for each language: a matrix whose rows are words and n-grams, and the row of each.
 
-    def __init__(self, langs: list[str], words: dict[str, list[float]], grams: list[dict[str, list[float]]]):
-        self.langs = langs
-        self.rows: dict[str, int] = {}
-        self.words = self._logs(words)
-        self.grams = [self._logs(g) for g in grams]  # [0]: single characters
+    ``words`` and ``grams`` (single characters first) give the counts of each by language: as a dictionary, or names and a matrix.
+    """
 
-    def _logs(self, counts: dict[str, list[float]]) -> tuple[dict[str, int], np.ndarray]:
-        if not counts:
-            return {}, np.zeros((0, len(self.langs)))
-        m = np.array(list(counts.values()), float)
-        p = (m + SMOOTH) / (m.sum(axis=0) + SMOOTH * (len(m) + 1))
-        return {k: i for i, k in enumerate(counts)}, np.log(p)
-
-    def score(self, word: str) -> np.ndarray | None:
-        """Log frequencies of a lower-case word; None if it says nothing."""
-        at = self.words[0].get(word)
+    def __init__(self, langs: list[str], words, grams: list):
+        self.langs = langs
+        self.name = uuid.uuid4().hex
+        tables, at = [], 0
+        self.index: list[dict[str, int]] = []  # [0]: words, [n]: n-grams
+        for table in (words, *grams):
+            names, counts = table if isinstance(table, tuple) else (list(table), np.array(list(table.values()), float).reshape(-1, len(langs)))
+            self.index.append({k: at + i for i, k in enumerate(names)})
+            tables.append(np.log((counts + SMOOTH) / (counts.sum(axis=0) + SMOOTH * (len(counts) + 1))))
+            at += len(names)
+        self.logs = np.concatenate(tables) if langs else np.zeros((0, 0))
+
+    def rows(self, word: str) -> list[int]:
+        """Rows whose mean is the score of a lower-case word: its own, or those of its longest known n-grams; none if it says nothing."""
+        at = self.index[0].get(word)
         if at is not None:
-            return self.words[1][at]
-        for n in range(LONGEST, 0, -1):
-            index, logs = self.grams[n - 1]
-            known = [index[g] for g in _grams(word, n) if g in index]
+            return [at]
+        marked = f"\x02{word}\x03"
+        for n in range(min(LONGEST, len(marked)), 1, -1):
+            get = self.index[n].get
+            known = [at for i in range(len(marked) - n + 1) if (at := get(marked[i : i + n])) is not None]
             if known:
-                return logs[known].mean(axis=0)
-        return None
+                return known
+        get = self.index[1].get
+        return [at for c in word if (at := get(c)) is not None]
+
+    def score(self, word: str) -> np.ndarray | None:
+        rows = self.rows(word)
+        return self.logs[rows].mean(axis=0) if rows else None
 
 
 class Scorer:
-    """Applies a model to texts; scores of words are kept in a matrix of bounded size."""
+    """Applies a model to texts; keeps the scores of at most about CACHE words, whether they say something or not."""
 
-    def __init__(self, model: Model):
-        self.model = model
+    def __init__(self, model: Model, cache: int = CACHE):
+        self.model, self.cache = model, cache
         self._empty()
 
     def _empty(self) -> None:
@@ -88,34 +90,52 @@ class Scorer:
         self.table = np.zeros((1024, len(self.model.langs)))
         self.n = 2
 
-    def _learn(self, words) -> None:
-        for w in words:
-            if w in self.index:
-                continue
-            s = self.model.score(w) if any(map(str.isalpha, w)) else None
-            if s is None:
-                self.index[w] = 1 if any(map(str.isalpha, w)) else 0
-                continue
-            if self.n == len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.table[self.n] = s
-            self.index[w] = self.n
-            self.n += 1
+    def _learn(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self.index]
+        if len(self.index) + len(new) > self.cache:
+            self._empty()
+            new = words
+        rows, size, heard = [], [], []
+        for w in new:
+            known = self.model.rows(w) if any(map(str.isalpha, w)) else None
+            if known:
+                rows += known
+                size.append(len(known))
+                heard.append(w)
+            else:
+                self.index[w] = 0 if known is None else 1
+        if not heard:
+            return
+        at = np.cumsum(size) - size
+        scores = np.add.reduceat(self.model.logs[rows], at, axis=0) / np.array(size)[:, None]
+        while self.n + len(heard) > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[self.n : self.n + len(heard)] = scores
+        self.index.update(zip(heard, range(self.n, self.n + len(heard)), strict=True))
+        self.n += len(heard)
+
+    def sums(self, text: str) -> tuple[bool, int, np.ndarray]:
+        """Whether a text has a letter, how many of its words say something, and the sum of their scores."""
+        some, used, total = False, 0, np.zeros(len(self.model.langs))
+        text = text.lower()
+        found = iter(_WORD(text)) if len(text) < 1 << 20 else (m.group() for m in _WORDS(text))
+        while words := list(islice(found, STEP)):
+            self._learn(set(words))
+            at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+            some = some or bool((at > 0).any())
+            used += int((at > 1).sum())
+            total += self.table[at].sum(axis=0)
+        return some, used, total
 
     def __call__(self, texts: list) -> tuple[list[str], list[float]]:
         langs, scores = [], []
         for t in texts:
-            words = _WORD(t.lower()) if t else []
-            if self.n > CACHE:
-                self._empty()
-            self._learn(set(words))
-            at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-            if not len(self.model.langs) or not (at > 0).any():
+            some, used, total = self.sums(t) if t and self.model.langs else (False, 0, None)
+            if not some:
                 langs.append(UNDECIDED)
                 scores.append(0.0)
                 continue
-            used = int((at > 1).sum())
-            mean = self.table[at].sum(axis=0) / max(used, 1)
+            mean = total / max(used, 1)
             e = np.exp((mean - mean.max()) * np.sqrt(min(max(used, 1), 64)))
             best = int(np.argmax(mean))
             langs.append(self.model.langs[best])
@@ -123,15 +143,27 @@ class Scorer:
         return langs, scores
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_docs: int = MOST_DOCS) -> Model:
-    """Counts words of the sampled labelled rows that are not held out."""
+#: The scorer of the last model that this worker applied: words stay known from task to task.
+_LAST: dict[str, Scorer] = {}
+
+
+def scorer_of(model: Model) -> Scorer:
+    if model.name not in _LAST:
+        _LAST.clear()
+        _LAST[model.name] = Scorer(model)
+    return _LAST[model.name]
+
+
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_bytes: int = MOST_BYTES) -> Model:
+    """Counts words and n-grams of the sampled labelled rows that are not held out; every one that occurs is in the model."""
+    import pandas as pd
     import pyarrow as pa
 
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-    n = rows.select(lang_col).count()
+    size = rows.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     steps = 1 << 24
-    part = min(steps, int(most_docs * steps / max(n, 1)))
-    sample = rows.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(steps)) < part).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    part = min(steps, int(most_bytes * steps / max(size, 1)))
+    sample = rows.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(steps)) < part).select(F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"))
 
     def count(batches):
         for batch in C.sliced(batches, 4096):
@@ -143,33 +175,24 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     counts = sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts = C.stage(counts, "lang-words")
-    # the least count by which at most MOST_WORDS words of all languages are kept: from a histogram, not a sort
-    capped = counts.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).collect()
-    least, held = 1001, 0
-    for r in capped:
-        held += r.words
-        if held > MOST_WORDS:
-            break
-        least = r.n
-    kept = counts.where(F.col("n") >= least).toPandas().sort_values(["lang", "word"])
-    langs = sorted(kept["lang"].unique())
-    column = {lang: i for i, lang in enumerate(langs)}
-    words: dict[str, list[float]] = {}
-    for lang, word, c in kept.itertuples(index=False):
-        words.setdefault(word, [0.0] * len(langs))[column[lang]] = float(c)
-    grams: list[dict[str, list[float]]] = []
-    for size in range(1, LONGEST + 1):
-        found: dict[str, list[float]] = {}
-        for word, per in words.items():
-            for g in _grams(word, size):
-                row = found.setdefault(g, [0.0] * len(langs))
-                for k, c in enumerate(per):
-                    if c:
-                        row[k] += 1 + np.log(c)
-        if len(found) > MOST_GRAMS // LONGEST:
-            found = dict(sorted(found.items(), key=lambda x: (-sum(x[1]), x[0]))[: MOST_GRAMS // LONGEST])
-        grams.append(found)
-    return Model(langs, words, grams)
+    # n-grams weigh by word types, a word of n occurrences 1 + ln n, in whole millionths: sums do not depend on their order
+    marked = F.concat(F.lit("\x02"), F.col("word"), F.lit("\x03"))
+    weight = F.round((1 + F.ln("n")) * 1e6).cast("long")
+    cut = lambda word, k: f"transform(sequence(1, greatest(char_length({word}) - {k - 1}, 1)), i -> struct({k} AS k, substring({word}, i, {k}) AS word))"
+    pieces = F.expr(f"filter(concat({cut('word', 1)}, {', '.join(cut('m', k) for k in range(2, LONGEST + 1))}), g -> char_length(g.word) = g.k)")
+    grams = counts.select("lang", marked.alias("m"), "word", weight.alias("n")).select("lang", "n", F.explode(pieces).alias("g"))
+    grams = grams.groupBy("lang", "g").agg(F.sum("n").alias("n")).select("lang", F.col("g.k").alias("k"), F.col("g.word").alias("word"), "n")
+    # no more than a bounded sample holds
+    held = counts.select("lang", F.lit(0).alias("k"), "word", "n").union(grams).toArrow().to_pandas()
+    column, langs = pd.factorize(held["lang"], sort=True)
+    tables = []
+    for k in range(LONGEST + 1):
+        of = (held["k"] == k).to_numpy()
+        row, names = pd.factorize(held["word"][of], sort=True)
+        m = np.zeros((len(names), len(langs)))
+        m[row, column[of]] = held["n"][of] / (1e6 if k else 1)
+        tables.append((list(names), m))
+    return Model(list(langs), tables[0], tables[1:])
 
 
 def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -182,7 +205,7 @@ def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     schema = StructType([df.schema[c] for c in held]).add("lang_pred", StringType()).add("lang_score", DoubleType())
 
     def op(batches):
-        scorer = Scorer(shared.value)
+        scorer = scorer_of(shared.value)
         for batch in C.sliced(batches):
             langs, scores = scorer(batch.column(batch.num_columns - 1).to_pylist())
             cols = [batch.column(k) for k in range(batch.num_columns - 1)]
