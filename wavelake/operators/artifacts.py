@@ -212,7 +212,7 @@ def classified(components: DataFrame, keys: list[str], fs: float, nperseg: int =
     )
     slope = spectral.aperiodic(psd, by, 1.0, 30.0).select(*by, (-F.col("slope")).alias("spectral_slope"))
     stats = rows.groupBy(*by).agg(F.kurtosis("value").alias("kurt"), F.skewness("value").alias("skew"), F.var_pop("value").alias("var"))
-    load = components.where("sample_idx = 0").select(*by, F.posexplode("loadings").alias("channel_idx", "loading"))
+    load = components.groupBy(*by).agg(F.first("loadings").alias("loadings")).select(*by, F.posexplode("loadings").alias("channel_idx", "loading"))
     out = shares.join(slope, by).join(stats, by).join(spatial(load, by), by)
     kind, sure = classify(*(F.col(c) for c in ("low_1_4", "high", "mid", "ecg_band", "spectral_slope", "kurt", "front_back_ratio")))
     return out.withColumn("kind", kind).withColumn("confidence", sure)

@@ -15,8 +15,8 @@ PHASES = ["steady_start", "steady_end", "switch_start", "switch_end", "recovery_
 
 
 def intervals(events: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
-    """Named phases from event times, with fixed times for events that are missing; of equal events the last counts."""
-    seq = F.col(order) if order else F.monotonically_increasing_id()
+    """Named phases from event times, with fixed times for events that are missing; of equal events the last counts, by ``order`` or by time."""
+    seq = F.col(order or "t_sec")
     at = lambda e: F.max_by(F.when(F.col("event_id") == e, F.col("t_sec")), F.when(F.col("event_id") == e, F.col("_seq")))
     e = events.withColumn("_seq", seq).groupBy(*keys).agg(*[at(x).alias(x) for x in ("F1", "F2", "X0", "X1", "R0")])
     or_ = lambda *c: F.coalesce(*[F.col(x) for x in c[:-1]], F.lit(c[-1]))
@@ -26,10 +26,9 @@ def intervals(events: DataFrame, keys: list[str], order: str | None = None) -> D
     )
 
 
-def indicators(bands: DataFrame, entropy: DataFrame, keys: list[str], smooth: int = 7) -> DataFrame:
+def indicators(df: DataFrame, keys: list[str], smooth: int = 7) -> DataFrame:
     """Six indicators from relative band powers and spectral entropy by window, each smoothed first."""
     by = [*keys, "window_idx"]
-    df = bands.join(entropy, by)
     if smooth > 1:
         for c in ("theta", "alpha", "beta", "gamma", "entropy"):
             df = series.smooth(df, keys, "window_idx", c, smooth)
@@ -47,7 +46,7 @@ def features(samples: DataFrame, keys: list[str], fs: float, window_sec: float =
     psd = spectral.densities(samples, [*keys, "channel_idx"], size, step, fs)
     psd = spectral.mean_density(psd, [*keys, "window_idx"])
     by = [*keys, "window_idx"]
-    out = indicators(spectral.relative_powers(psd, by), spectral.entropy(psd, by), keys, smooth)
+    out = indicators(spectral.powers_and_entropy(psd, by), keys, smooth)
     return out.withColumn("t_sec", series.window_center(F.col("window_idx"), size, step, fs))
 
 

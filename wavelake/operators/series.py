@@ -78,9 +78,11 @@ def interpolate(df: DataFrame, keys: Keys, at: str, value: str, bad: Column, out
     """Bad points from the line between their good neighbours, beyond the ends the nearest one; unchanged if none is good."""
     v = F.when(~bad, F.col(value))
     i = F.when(~bad, F.col(at))
-    before, after = over(keys, at, W.unboundedPreceding, 0), over(keys, at, 0, W.unboundedFollowing)
+    before = over(keys, at, W.unboundedPreceding, 0)
+    # the next good point is the last one seen from behind: a frame that grows by a row at a time, where one that ends with the series is read anew for every row
+    after = W.partitionBy(*keys).orderBy(F.desc(at)).rowsBetween(W.unboundedPreceding, 0)
     df = df.withColumn("_v0", F.last(v, True).over(before)).withColumn("_i0", F.last(i, True).over(before))
-    df = df.withColumn("_v1", F.first(v, True).over(after)).withColumn("_i1", F.first(i, True).over(after))
+    df = df.withColumn("_v1", F.last(v, True).over(after)).withColumn("_i1", F.last(i, True).over(after))
     line = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col(at) - F.col("_i0")) / (F.col("_i1") - F.col("_i0"))
     made = F.when(~bad, F.col(value)).when(F.col("_v0").isNull() & F.col("_v1").isNull(), F.col(value))
     made = made.when(F.col("_v0").isNull(), F.col("_v1")).when(F.col("_v1").isNull(), F.col("_v0")).otherwise(line)

@@ -49,29 +49,58 @@ def transform(windows: DataFrame, keys: list[str], size: int, fs: float) -> Data
     return sums.select(*by, "bin", (F.col("bin") * F.lit(fs / size)).alias("freq"), power.alias("power"))
 
 
+def chunked(samples: DataFrame, keys: list[str], size: int, step: int, least: int = 4096) -> tuple[DataFrame, int]:
+    """(keys, chunk, x: array of (i, value)) with every window of ``size`` samples in one chunk, and the windows of a chunk.
+
+    A chunk holds the windows that start in ``least`` samples or so, and the samples that these need beyond: only that overlap is
+    sent twice.
+    """
+    per = max(1, -(-max(size, least) // step))
+    span = per * step
+    i = F.col("sample_idx")
+    own = (i / F.lit(span)).cast("long")
+    before = F.when((i % span < size - step) & (own > 0), F.array(own - 1, own)).otherwise(F.array(own))
+    rows = samples.where(i >= 0).select(*keys, F.explode(before).alias("chunk"), i.cast("long").alias("i"), F.col("value").cast("double").alias("value"))
+    return rows.groupBy(*keys, "chunk").agg(F.collect_list(F.struct("i", "value")).alias("x")), per
+
+
 def densities(samples: DataFrame, keys: list[str], size: int, step: int, fs: float) -> DataFrame:
-    """Densities of the sliding windows of (keys, sample_idx, value).
+    """Densities of the sliding windows of (keys, sample_idx, value); windows with missing or repeated samples are left out.
 
-    A window is one array; a partition holds any number of windows, and Arrow batches of them go through one FFT call.
+    Windows are views of chunks, so samples travel once; those of a slice of an Arrow batch go through one FFT call.
     """
     import pyarrow as pa
-    from pyspark.sql.types import StructType, _parse_datatype_string
+    from pyspark.sql.types import LongType, StructType, _parse_datatype_string
 
-    rows = series.sliding(samples.select(*keys, "sample_idx", "value"), keys, "sample_idx", size, step)
-    pairs = F.transform(F.array_sort(F.collect_list(F.struct("in_idx", "value"))), lambda p: p["value"])
-    arrays = rows.groupBy(*keys, "window_idx").agg(pairs.alias("x")).where(F.size("x") == size)  # windows with gaps are left out
+    chunks, per = chunked(samples, keys, size, step)
     held = [*keys, "window_idx"]
-    out = StructType([arrays.schema[c] for c in held]).add("psd", _parse_datatype_string("array<double>"))
+    out = StructType([chunks.schema[c] for c in keys]).add("window_idx", LongType()).add("psd", _parse_datatype_string("array<double>"))
+    most = max(1, (1 << 20) // (per * step + size))
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, size)
-                p = K.segment_psd(x, fs)[1]
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1], dtype=np.int32)), pa.array(p.ravel()))
-                yield pa.record_batch([*[batch.column(c) for c in held], flat], names=[*held, "psd"])
-
-    psd = arrays.mapInArrow(run, out)
+            for at in range(0, batch.num_rows, most):
+                part = batch.slice(at, most)
+                x = part.column("x")
+                n = np.diff(x.offsets.to_numpy())
+                row = np.repeat(np.arange(len(n)), n)
+                chunk = part.column("chunk").to_numpy()
+                flat = x.flatten()
+                place = flat.field("i").to_numpy() - chunk[row] * per * step
+                width = max(int(place.max()) + 1, size)
+                dense, seen = np.zeros((len(n), width)), np.zeros((len(n), width), np.int64)
+                dense[row, place] = flat.field("value").to_numpy(zero_copy_only=False)
+                np.add.at(seen, (row, place), 1)
+                ok = np.lib.stride_tricks.sliding_window_view(seen == 1, size, axis=1)[:, ::step][:, :per].all(axis=2)
+                r, w = np.nonzero(ok)
+                if not len(r):
+                    continue
+                p = K.segment_psd(np.lib.stride_tricks.sliding_window_view(dense, size, axis=1)[r, w * step], fs)[1]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1], dtype=np.int32)), pa.array(p.ravel()))
+                take = pa.array(r)
+                yield pa.record_batch([*[part.column(c).take(take) for c in keys], pa.array(chunk[r] * per + w), lists], names=[*held, "psd"])
+
+    psd = chunks.mapInArrow(run, out)
     psd = psd.select(*held, F.posexplode("psd").alias("bin", "power"))
     return psd.select(*held, F.col("bin").cast("long").alias("bin"), (F.col("bin") * F.lit(fs / size)).alias("freq"), "power")
 
@@ -87,17 +116,30 @@ def in_bands(psd: DataFrame) -> DataFrame:
     return psd.join(b, (F.col("freq") >= F.col("lo")) & (F.col("freq") < F.col("hi")))
 
 
+def _shares() -> list:
+    part = lambda lo, hi: F.sum(F.when((F.col("freq") >= lo) & (F.col("freq") < hi), F.col("power")).otherwise(0.0))
+    return [(part(lo, hi) / (F.sum("power") + S.TINY)).alias(b) for b, (lo, hi) in S.BANDS.items()]
+
+
+def _entropy():
+    # -sum p ln p with p = power / total, brought to sums over the powers themselves
+    total = F.sum("power") + S.TINY
+    return ((F.ln(total) * F.sum("power") - F.sum(F.when(F.col("power") > 0, F.col("power") * F.ln("power")).otherwise(0.0))) / total).alias("entropy")
+
+
 def relative_powers(psd: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, one column for each band): share of the whole power."""
-    part = lambda lo, hi: F.sum(F.when((F.col("freq") >= lo) & (F.col("freq") < hi), F.col("power")).otherwise(0.0))
-    cols = [(part(lo, hi) / (F.sum("power") + S.TINY)).alias(b) for b, (lo, hi) in S.BANDS.items()]
-    return psd.groupBy(*keys).agg(*cols)
+    return psd.groupBy(*keys).agg(*_shares())
 
 
 def entropy(psd: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, entropy): Shannon entropy of the normalised density, in nats."""
-    p = F.col("power") / (F.sum("power").over(W.partitionBy(*keys)) + S.TINY)
-    return psd.select(*keys, p.alias("p")).groupBy(*keys).agg((-F.sum(F.when(F.col("p") > 0, F.col("p") * F.ln("p")).otherwise(0.0))).alias("entropy"))
+    return psd.groupBy(*keys).agg(_entropy())
+
+
+def powers_and_entropy(psd: DataFrame, keys: list[str]) -> DataFrame:
+    """Both in one pass over the densities."""
+    return psd.groupBy(*keys).agg(*_shares(), _entropy())
 
 
 def band_table(psd: DataFrame, keys: list[str], df: float) -> DataFrame:

@@ -107,14 +107,26 @@ def signed_rank(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return g.join(zeros, keys).select(*keys, "n", F.least("up", "down").alias("w"), "ties", (F.col("zeros") > 0).alias("zeros"))
 
 
-def benjamini_hochberg(tests: DataFrame, keys: list[str], p: str = "p_value", order: str = "test_id", alpha: float = 0.05) -> DataFrame:
-    """Adds adjusted_p and significant over the tests of each key."""
-    part = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
+def benjamini_hochberg(tests: DataFrame, keys: list[str], p: str = "p_value", order: str = "test_id", alpha: float = 0.05, buckets: int = 1024) -> DataFrame:
+    """Adds adjusted_p and significant over the tests of each key.
+
+    The tests of a key are dealt out by ``buckets`` equal ranges of p, so that not even the tests of a whole table meet in one
+    task; ranks and later minima of a bucket come from a table of one row for each bucket.  A null p ranks first and stays null.
+    """
+    by = [*keys, "_b"]
+    t = tests.withColumn("_b", F.coalesce(F.least(F.floor(F.col(p) * buckets), F.lit(buckets - 1)), F.lit(-1)))
+    over_keys = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))  # at most buckets + 1 rows
+    n = t.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    n = n.withColumn("_all", F.sum("_n").over(over_keys)).withColumn("_before", F.sum("_n").over(over_keys.orderBy("_b")) - F.col("_n")).drop("_n")
+    part = W.partitionBy(*by)
     up = part.orderBy(p, order)
-    raw = F.col(p) * F.count(F.lit(1)).over(part) / F.row_number().over(up)
-    t = tests.withColumn("_raw", raw)
-    t = t.withColumn("adjusted_p", F.least(F.min("_raw").over(up.rowsBetween(0, W.unboundedFollowing)), F.lit(1.0))).drop("_raw")
-    return t.withColumn("significant", F.col("adjusted_p") < alpha)
+    t = t.join(n, by).withColumn("_raw", F.col(p) * F.col("_all") / (F.col("_before") + F.row_number().over(up)))
+    least = t.groupBy(*by).agg(F.min("_raw").alias("_least"))
+    later = over_keys.orderBy(F.desc("_b")).rowsBetween(W.unboundedPreceding, -1)
+    least = least.withColumn("_later", F.min("_least").over(later)).drop("_least")
+    down = part.orderBy(F.desc(p), F.desc(order)).rowsBetween(W.unboundedPreceding, 0)
+    t = t.join(least, by).withColumn("adjusted_p", F.when(F.col(p).isNotNull(), F.least(F.min("_raw").over(down), F.col("_later"), F.lit(1.0))))
+    return t.drop("_b", "_all", "_before", "_raw", "_later").withColumn("significant", F.col("adjusted_p") < alpha)
 
 
 def bonferroni(tests: DataFrame, keys: list[str], p: str = "p_value", alpha: float = 0.05) -> DataFrame:

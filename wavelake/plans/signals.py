@@ -139,7 +139,7 @@ def p22(t):
 
 @query(
     "p23_wavelet_kernel",
-    """WITH f AS (SELECT k, pow(10, log10(45.0) * k / 49) AS f FROM (SELECT unnest(range(0, 50, 7)) AS k)), t AS (SELECT (unnest(range(251)) - 125) / 250.0 AS t),
+    """WITH f AS (SELECT k, pow(10, log10(45.0) * k / 49) AS f FROM (SELECT unnest(range(50)) AS k)), t AS (SELECT (unnest(range(251)) - 125) / 250.0 AS t),
 w AS (SELECT k, t, exp(-t * t / (2 * pow(5 / (2 * pi() * f), 2))) AS g, 2 * pi() * f * t AS a FROM f CROSS JOIN t),
 s AS (SELECT *, g / sqrt(sum(g * g) OVER (PARTITION BY k) + 1e-12) AS x FROM w)
 SELECT k AS freq_idx, round(t, 6) AS t, round(x * cos(a), 6) AS re, round(x * sin(a), 6) AS im FROM s""",
@@ -147,7 +147,7 @@ SELECT k AS freq_idx, round(t, 6) AS t, round(x * cos(a), 6) AS re, round(x * si
 def p23(t):
     import math
 
-    f = t.spark.range(0, 50, 7).select(F.col("id").alias("freq_idx"), F.pow(F.lit(10.0), F.log10(F.lit(45.0)) * F.col("id") / 49).alias("f"))
+    f = t.spark.range(50).select(F.col("id").alias("freq_idx"), F.pow(F.lit(10.0), F.log10(F.lit(45.0)) * F.col("id") / 49).alias("f"))
     w = f.crossJoin(F.broadcast(t.spark.range(251).select(((F.col("id") - 125) / 250.0).alias("t"))))
     sigma = 5 / (2 * math.pi * F.col("f"))
     w = w.withColumn("g", F.exp(-F.col("t") * F.col("t") / (2 * sigma * sigma)))
@@ -424,13 +424,13 @@ def a43(t):
 
 @query(
     "a44_spatial_features",
-    """WITH l AS (SELECT label, c AS ch, avg(abs(x)) AS x FROM (SELECT CAST(label AS BIGINT) AS label, unnest(range(8)) AS c, CAST(unnest(embedding[1:8]) AS DOUBLE) AS x FROM embeddings) GROUP BY label, c)
+    """WITH l AS (SELECT label, c % 8 AS ch, avg(abs(x)) AS x FROM (SELECT CAST(label AS BIGINT) AS label, unnest(range(len(embedding))) AS c, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY label, c % 8)
 SELECT label, round(avg(CASE WHEN ch < 4 THEN x END) / (avg(CASE WHEN ch >= 4 THEN x END) + 1e-12), 6) AS front_back_ratio,
  round(abs(avg(CASE WHEN ch % 2 = 0 THEN x END) - avg(CASE WHEN ch % 2 = 1 THEN x END)) / (avg(CASE WHEN ch % 2 = 0 THEN x END) + avg(CASE WHEN ch % 2 = 1 THEN x END) + 1e-12), 6) AS lr_asymmetry,
  arg_max(ch, x) AS max_channel_index, round(max(x) / (avg(x) + 1e-12), 6) AS concentration FROM l GROUP BY label""",
 )
 def a44(t):
-    load = t.epochs().where("sample_idx < 8").groupBy("label", F.col("sample_idx").alias("channel_idx")).agg(F.avg(F.abs("value")).alias("loading"))
+    load = t.epochs().groupBy("label", (F.col("sample_idx") % 8).alias("channel_idx")).agg(F.avg(F.abs("value")).alias("loading"))
     return A.spatial(load, ["label"])
 
 
