@@ -2,10 +2,13 @@
 
 For merges applied in rank order, the encoding of a prefix is the encoding of a shorter prefix plus one last token, and that last
 token is the only vocabulary entry that ends there and whose join to the token before it would survive the merges.  So every
-node of a trie of words needs its last token only.  New words are put into the trie; below the nodes that are known, states
-are computed depth first, once for every shared prefix; the encoding of a word is read off by walking back.
+node of a trie of words needs its last token only.  New words are put into the trie in order, that is depth first: the path to
+the word before is at hand, the nodes of the shared prefix stand, and only those below them are computed; the encoding of a word
+is read off by walking back along its path.
 
-The trie and the table of finished words are emptied when they reach MOST_NODES and MOST_WORDS, so memory is bounded.
+Of the trie no more than MOST_NODES nodes stay beside the path itself.  Finished words are kept from task to task in two
+generations of at most about MOST_WORDS words: when the younger is full it becomes the elder, and words met again come back.
+Texts longer than PART_CHARS are cut and encoded STEP words at a time.
 
 Edge cases: a null text is encoded as the empty one (no ids); added tokens in a text are single ids, as the library has it;
 an empty table gives an empty result; other columns are kept (``ids`` and ``decoded`` replace columns of these names).
@@ -14,7 +17,9 @@ an empty table gives an empty result; other columns are kept (``ids`` and ``deco
 from __future__ import annotations
 
 import json
+from array import array
 from functools import lru_cache
+from itertools import islice
 from struct import pack
 
 import numpy as np
@@ -24,10 +29,11 @@ from pyspark.sql import functions as F
 from . import common as C
 
 MOST_NODES = 300_000
-MOST_WORDS = 150_000
+MOST_WORDS = 200_000
 MOST_PAIRS = 200_000
 #: Text (characters) encoded at a time, and ids that one Arrow batch of the output holds, about.
 PART_CHARS = 1 << 20
+STEP = 1 << 16
 BATCH_IDS = 1 << 18
 
 
@@ -68,12 +74,17 @@ class TrieBPE:
         self._automaton()
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.added = added
+        self.size = array("i", [0] * (max(self.bytes_of, default=0) + 1))
+        for i, raw in self.bytes_of.items():
+            self.size[i] = len(raw)
         self.bytes_of |= {i: t.encode() for t, i in added.items()}
         self.at_added = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         # Fixed value: the pattern by which byte-level BPE cuts a text; white space as Unicode defines it.
-        self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+").findall
+        pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
+        self.cut, self.cuts = pattern.findall, pattern.finditer
         self.pairs: dict[tuple[int, int], bool] = {}
         self.words: dict[str, bytes] = {}
+        self.elder: dict[str, bytes] = {}
         self._clear()
 
     def _automaton(self) -> None:
@@ -111,16 +122,11 @@ class TrieBPE:
             state = self.fall[state]
 
     def _clear(self) -> None:
-        self.child: dict[int, int] = {}
-        self.last = [-1]
-        self.up = [0]
-        self.state = [0]
-
-    def forget(self) -> None:
-        """Frees what the words of a task have left; a worker that goes on to other work would hold it."""
-        self._clear()
-        self.words.clear()
-        self.pairs.clear()
+        """The trie as its root: the last token of each node; the nodes on the path to the word before, and their states."""
+        self.last = array("i", [-1])
+        self.path = array("i", [0])
+        self.states = array("i", [0])
+        self.word = b""
 
     def stands(self, a: int, b: int) -> bool:
         """Whether tokens a and b next to each other stay apart: no merge across their border comes first while they are built.
@@ -151,21 +157,27 @@ class TrieBPE:
         self.pairs[a, b] = ok
         return ok
 
-    def _grow(self, word: bytes) -> int:
-        """Node of ``word``; nodes that are missing get their last token."""
-        child, last, pairs = self.child, self.last, self.pairs
-        node, path = 0, [0]
-        for byte in word:
-            nxt = child.get(node << 8 | byte)
-            if nxt is None:
-                break
-            node = nxt
-            path.append(node)
-        state = self.state[node]
-        for end in range(len(path), len(word) + 1):
+    def _follow(self, word: bytes) -> bytes:
+        """Ids of ``word``; nodes below the prefix that it shares with the word before get their last token."""
+        last, path, states, pairs, step, ends = self.last, self.path, self.states, self.pairs, self.step, self.ends
+        prev, shared = self.word, 0
+        most = min(len(prev), len(word))
+        if prev[:most] == word[:most]:
+            shared = most
+        else:
+            while prev[shared] == word[shared]:
+                shared += 1
+        del path[shared + 1 :], states[shared + 1 :]
+        if len(last) > MOST_NODES:
+            kept = array("i", (last[k] for k in path))
+            last[:] = kept
+            path[:] = array("i", range(len(kept)))
+        state = states[shared]
+        for end in range(shared + 1, len(word) + 1):
             byte = word[end - 1]
-            state = self._advance(state, byte)
-            for token, length in self.ends[state]:
+            nxt = step.get(state << 8 | byte)
+            state = self._advance(state, byte) if nxt is None else nxt
+            for token, length in ends[state]:
                 if length == end:
                     break
                 before = last[path[end - length]]
@@ -173,13 +185,18 @@ class TrieBPE:
                 if ok or ok is None and self.stands(before, token):
                     break
             else:
-                raise ValueError(f"no token ends at byte {end} of {word!r}")
-            child[node << 8 | byte] = node = len(last)
+                raise ValueError(f"no token ends at byte {end} of a word")
+            path.append(len(last))
             last.append(token)
-            self.up.append(path[end - length])
-            self.state.append(state)
-            path.append(node)
-        return node
+            states.append(state)
+        self.word = word
+        ids, size, end = array("i"), self.size, len(word)
+        while end:
+            token = last[path[end]]
+            ids.append(token)
+            end -= size[token]
+        ids.reverse()
+        return ids.tobytes()
 
     def learn(self, words) -> None:
         """Encode words not yet known, in sorted order: depth first through the trie."""
@@ -188,16 +205,12 @@ class TrieBPE:
         if not new:
             return
         if len(self.words) + len(new) > MOST_WORDS:
-            self.words.clear()
+            self.elder, self.words = self.words, {}
             new = words
-        for raw, w in sorted([(w.encode(), w) for w in new]):
-            if len(self.last) > MOST_NODES:
-                self._clear()
-            node, ids = self._grow(raw), []
-            while node:
-                ids.append(self.last[node])
-                node = self.up[node]
-            self.words[w] = pack("<%di" % len(ids), *reversed(ids))
+        known, elder, follow = self.words, self.elder, self._follow
+        for w in sorted(new):  # code points sort as their bytes do
+            ids = elder.get(w)
+            known[w] = follow(w.encode()) if ids is None else ids
 
     def pieces(self, text: str) -> list[tuple[bool, str]]:
         """A text cut at added tokens: (is one, piece)."""
@@ -205,12 +218,19 @@ class TrieBPE:
             return [(k % 2 == 1, p) for k, p in enumerate(self.at_added.split(text))]
         return [(False, text)]
 
+    def _encode_long(self, piece: str) -> bytes:
+        words, out = (m.group() for m in self.cuts(piece)), []
+        while some := list(islice(words, STEP)):
+            self.learn(some)
+            out.append(b"".join(map(self.words.__getitem__, some)))
+        return b"".join(out)
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers; words of all texts go through the trie together."""
-        cut = [[(p if one else self.cut(p)) for one, p in self.pieces(t)] for t in texts]
-        self.learn(w for pieces in cut for p in pieces if not isinstance(p, str) for w in p)
+        cut = [[pack("<i", self.added[p]) if one else self._encode_long(p) if len(p) > PART_CHARS else self.cut(p) for one, p in self.pieces(t)] for t in texts]
+        self.learn(w for pieces in cut for p in pieces if not isinstance(p, bytes) for w in p)
         known = self.words.__getitem__
-        return [b"".join(pack("<i", self.added[p]) if isinstance(p, str) else b"".join(map(known, p)) for p in pieces) for pieces in cut]
+        return [b"".join(p if isinstance(p, bytes) else b"".join(map(known, p)) for p in pieces) for pieces in cut]
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_all([text])[0], "<i4").tolist()
@@ -266,7 +286,6 @@ def encode(df: DataFrame, text_col: str = "text", path: str | None = None, decod
                     made.append(pa.array([bpe.decode(np.frombuffer(x, "<i4").tolist()) for x in ids], pa.string()))
                 yield pa.record_batch([*cols, *made], names=[*held, *schema.names[len(held) :]])
                 at += len(ids)
-        bpe.forget()
 
     return df.select(*held, F.col(text_col).cast("string").alias("__wl_in")).mapInArrow(op, schema)
 
