@@ -13,7 +13,8 @@ A key is a tag (0: null id, 1: id), the id as big-endian with its sign bit turne
 id apart.  Ids are 16 bits wide if the vocabulary allows, else 32.
 
 Edge cases: a null text is encoded as the empty one; null ids sort first; rows with one id follow each other and keep their
-number; an id that holds a large share of the rows is spread over the shards whose bounds it fills; an empty table makes no shard.
+number; an id (or the lack of one) that holds a large share of the rows is spread over the shards whose bounds it fills, be the rows
+alike or not; an empty table makes no shard.
 
 Writers give each file a unique name and report it only when it is complete, so a task that is run again or twice leaves at most
 a file that no manifest names.
@@ -136,21 +137,48 @@ def _tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def token_bytes(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = END_ID) -> DataFrame:
-    """(key: long, ids: binary, little-endian), the end id last."""
+_LOWEST = -(1 << 63)
+
+
+def shard_bounds(ids: DataFrame) -> np.ndarray:
+    """Ids at which shards of the column ``key`` end, from approximate quantiles: one less than shards; null counts as the least."""
+    n = ids.count()
+    shards = max(1, min(MOST_SHARDS, n // SHARD_ROWS))
+    steps = [k / shards for k in range(1, shards)]
+    key = F.coalesce(F.col("key"), F.lit(_LOWEST))
+    bounds = ids.agg(F.percentile_approx(key, steps, max(10_000, 4 * shards)).alias("b")).first().b if steps else None
+    return np.array(bounds or [], np.int64)
+
+
+def place(keys, ids: list[bytes], bounds: np.ndarray, at: int) -> np.ndarray:
+    """Shard of each row, found by bisection.  A key that fills several bounds is dealt over their shards by its ids and its place in
+    the task (``at``: that of the first row), null before any id."""
+    none = keys.is_null().to_numpy(zero_copy_only=False)
+    k = keys.fill_null(_LOWEST).to_numpy()
+    low, high = np.searchsorted(bounds, k, "left"), np.searchsorted(bounds, k, "right")
+    low = np.where((k == _LOWEST) & ~none, high, low)
+    salt = np.fromiter(map(zlib.crc32, ids), np.int64, len(ids)) + at + np.arange(len(ids))
+    return (low + salt % (high - low + 1)).astype(np.int32)
+
+
+def token_bytes(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = END_ID, bounds: np.ndarray | None = None) -> DataFrame:
+    """(key: long, ids: binary, little-endian, shard: int), the end id last."""
     import pyarrow as pa
 
+    bounds = np.zeros(0, np.int64) if bounds is None else bounds  # MOST_SHARDS at most
+
     def run(batches):
         enc = word_encoder(path)
-        end = b"" if end_id is None else enc._pack([end_id])
+        end, seen = b"" if end_id is None else enc._pack([end_id]), 0
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 ids = [x + end for x in enc([t or "" for t in part.column(1).to_pylist()])]
-                yield pa.record_batch([part.column(0), pa.array(ids, pa.binary())], names=["key", "ids"])
+                yield pa.record_batch([part.column(0), pa.array(ids, pa.binary()), pa.array(place(part.column(0), ids, bounds, seen))], names=["key", "ids", "shard"])
+                seen += part.num_rows
 
     src = df.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "key long, ids binary")
+    return src.mapInArrow(run, "key long, ids binary, shard int")
 
 
 # -- files -----------------------------------------------------------------------------------------------------------
@@ -304,24 +332,11 @@ class ShardReader:
         return all(self.filter[b >> 3] >> (b & 7) & 1 for b in _bloom_bits(key, len(self.filter) * 8, self.probes))
 
 
-def write_shards(tokens: DataFrame, ids: DataFrame, folder: str, width: int) -> DataFrame:
-    """Write (key, ids) into shards in ascending key order; gives the staged manifest.
-
-    ``ids`` has the column ``key`` alone: bounds of the shards come from it, so texts are encoded once.  A key that fills several
-    bounds is dealt over their shards by a hash.
-    """
+def write_shards(tokens: DataFrame, shards: int, folder: str, width: int) -> DataFrame:
+    """Write (key, ids, shard) into shards in ascending key order; gives the staged manifest."""
     import pyarrow as pa
 
-    n = ids.count()
-    shards = max(1, min(MOST_SHARDS, n // SHARD_ROWS))
-    steps = [k / shards for k in range(1, shards)]
-    bounds = (ids.agg(F.percentile_approx("key", steps, max(10_000, 4 * shards)).alias("b")).first().b or []) if steps else []
-    edges = F.lit(bounds).cast("array<long>") if bounds else F.array().cast("array<long>")
-    low = F.size(F.filter(edges, lambda b: b < F.col("key")))
-    high = F.size(F.filter(edges, lambda b: b <= F.col("key")))
-    spread = low + F.pmod(F.xxhash64("ids"), high - low + 1)
-    dealt = tokens.withColumn("shard", F.coalesce(spread, F.lit(0)).cast("int"))
-    dealt = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.asc_nulls_first("key"), F.xxhash64("ids"))
+    dealt = tokens.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.asc_nulls_first("key"), F.xxhash64("ids"))
 
     def write(batches):
         state: dict = {"shard": None, "writer": None, "path": None, "prev": None, "copy": 0}
@@ -384,8 +399,8 @@ def save(df: DataFrame, folder: str, path: str | None = None, id_col: str = "doc
     """Encode whole texts and write them as shards under ``folder``; gives the manifest."""
     path = path or _tokenizer_path("word_bpe_49k.json")
     width = word_encoder(path).width
-    ids = df.select(F.col(id_col).cast("long").alias("key"))
-    return write_shards(token_bytes(df, path, id_col, text_col), ids, folder, width)
+    bounds = shard_bounds(df.select(F.col(id_col).cast("long").alias("key")))  # from ids alone: texts are encoded once
+    return write_shards(token_bytes(df, path, id_col, text_col, bounds=bounds), len(bounds) + 1, folder, width)
 
 
 def entry_digests(entries: DataFrame) -> DataFrame:
