@@ -21,6 +21,8 @@ from . import common as C
 
 ROUNDS = 6
 SEED = 20240229
+#: Copies of one row that one task numbers.
+RANGE = 10_000
 #: Numbering buckets: about one for this many rows, and never more than MOST_BUCKETS (so that their offsets stay small).
 BUCKET_ROWS = 20_000
 MOST_BUCKETS = 65_536
@@ -71,11 +73,12 @@ def row_at(shard: int, slot: int, n: int, shards: int, seed: int = SEED) -> int:
 def number_rows(df: DataFrame, name: str = "rows") -> tuple[DataFrame, int]:
     """``df`` with ``row_number`` (long, 0 to N-1), and N.  Reproducible: it depends on the rows alone, not on files or tasks.
 
-    Equal rows are counted before the shuffle and numbered as a range, so copies of one row don't meet in a task.
+    Equal rows are counted before the shuffle and numbered as ranges of at most RANGE, which are dealt out where there are several,
+    so copies of one row don't meet in a task.
     """
     cols = df.columns
     rows = C.stage(df.groupBy(*cols).agg(F.count(F.lit(1)).alias("__wl_n")), f"{name}-distinct")
-    total, distinct = rows.agg(F.coalesce(F.sum("__wl_n"), F.lit(0)), F.count(F.lit(1))).first()
+    total, distinct, most = rows.agg(F.coalesce(F.sum("__wl_n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.max("__wl_n"), F.lit(0))).first()
     buckets = max(1, min(MOST_BUCKETS, distinct // BUCKET_ROWS))
     rows = rows.withColumn("__wl_b", F.pmod(F.xxhash64(*cols), F.lit(buckets)))
     sums = rows.groupBy("__wl_b").agg(F.sum("__wl_n").alias("__wl_s"))
@@ -84,8 +87,12 @@ def number_rows(df: DataFrame, name: str = "rows") -> tuple[DataFrame, int]:
     inner = W.partitionBy("__wl_b").orderBy(*cols).rowsBetween(W.unboundedPreceding, W.currentRow)
     rows = rows.withColumn("__wl_i", F.sum("__wl_n").over(inner) - F.col("__wl_n"))
     rows = rows.join(F.broadcast(starts), "__wl_b")  # MOST_BUCKETS rows at most
-    first = F.col("__wl_0") + F.col("__wl_i")
-    return rows.select(*cols, F.explode(F.sequence(first, first + F.col("__wl_n") - 1)).alias("row_number")), total
+    rows = rows.withColumn("__wl_a", F.col("__wl_0") + F.col("__wl_i"))
+    if most > RANGE:
+        rows = rows.withColumn("__wl_r", F.explode(F.sequence(F.lit(0), F.expr(f"(__wl_n - 1) div {RANGE}"))))
+        rows = rows.withColumn("__wl_a", F.col("__wl_a") + F.col("__wl_r") * RANGE).withColumn("__wl_n", F.least(F.lit(RANGE), F.col("__wl_n") - F.col("__wl_r") * RANGE))
+        rows = rows.repartition(F.xxhash64("__wl_a"))
+    return rows.select(*cols, F.explode(F.sequence(F.col("__wl_a"), F.col("__wl_a") + F.col("__wl_n") - 1)).alias("row_number")), total
 
 
 def shuffle_into_shards(df: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
