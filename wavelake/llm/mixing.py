@@ -2,15 +2,19 @@
 
 The weight of a source is its share of all tokens to the power ``alpha``, normalised.  ``alpha`` is the largest in [0, 1] whose
 weights reach the target entropy (a part of the logarithm of the number of sources), unless the repetition limit asks for a larger
-one; both are found by bisection.  Weights times the token budget give whole-token budgets of the sources (largest remainders).
+one; both are found by bisection.  Where no exponent keeps the limit (the budget is more than ``repeats`` times all tokens), it is 1
+and every source repeats alike.  Weights times the token budget give whole-token budgets of the sources (largest remainders).
+
+Weights depend on token counts alone, so the driver sees the distinct counts of sources and how many sources have each: T tokens
+have less than the square root of 2T of them, however many sources there are.
 
 Each source is cut into blocks by a hash.  For every pass over a source its blocks, and the rows of a block, are put into an order
 of their own; a draw is taken if it starts before the source's budget ends.  So whole passes come first, the last may be part of
 one, and a source overshoots by less than its longest text.  ``position`` is the start over the source's budget: ordered by it,
 every prefix of the mix has the target weights, about.
 
-Only token counts per source (one row for each) and per block (MOST_BLOCKS for each source, at most) are ordered in one task; the
-rows of a source of any size are spread over its blocks.
+Only the blocks of a source (MOST_BLOCKS at most) and sources of equal counts are ordered in one task; the rows of a source of any
+size are spread over its blocks.
 
 Edge cases: null sources are a source; a source without tokens gets no budget; null texts have no tokens; rows without tokens are
 drawn with the pass they stand in; repeated rows are drawn as often as they occur; an empty table gives an empty result.
@@ -38,23 +42,25 @@ def n_words(text_col: str):
     return F.size(F.filter(F.split(t, " "), lambda w: w != "")).cast("long")
 
 
-def weights_at(tokens: np.ndarray, alpha: float) -> np.ndarray:
-    share = tokens / tokens.sum()
+def weights_at(tokens: np.ndarray, alpha: float, times: np.ndarray | int = 1) -> np.ndarray:
+    """Weight of one source of each token count; ``times`` sources have it."""
+    share = tokens / (tokens * times).sum()
     w = np.where(share > 0, share ** alpha, 0.0)
-    return w / w.sum()
+    return w / (w * times).sum()
 
 
-def choose_alpha(tokens: np.ndarray, budget: float, entropy: float = TARGET_ENTROPY, repeats: float = MOST_REPEATS) -> float:
+def choose_alpha(tokens: np.ndarray, budget: float, entropy: float = TARGET_ENTROPY, repeats: float = MOST_REPEATS, times: np.ndarray | int = 1) -> float:
+    times = np.broadcast_to(times, tokens.shape)[tokens > 0]
     tokens = tokens[tokens > 0].astype(float)
-    if len(tokens) < 2:
+    if times.sum() < 2:
         return 1.0
 
     def even(alpha):  # falls as alpha grows
-        w = weights_at(tokens, alpha)
-        return -(w * np.log(w)).sum() >= entropy * np.log(len(tokens)) - 1e-12
+        w = weights_at(tokens, alpha, times)
+        return -(times * w * np.log(w)).sum() >= entropy * np.log(times.sum()) - 1e-12
 
     def fits(alpha):  # holds from some alpha on, if at all
-        return (weights_at(tokens, alpha) * budget / tokens).max() <= repeats + 1e-12
+        return (weights_at(tokens, alpha, times) * budget / tokens).max() <= repeats + 1e-12
 
     def bisect(holds_low: bool, test) -> float:
         low, high = 0.0, 1.0
@@ -68,30 +74,59 @@ def choose_alpha(tokens: np.ndarray, budget: float, entropy: float = TARGET_ENTR
 
 
 def budgets(tokens: np.ndarray, alpha: float, budget: int) -> np.ndarray:
-    exact = weights_at(tokens.astype(float), alpha) * budget
+    whole, more = shared_budgets(tokens, alpha, budget, 1)
+    return whole + more
+
+
+def shared_budgets(tokens: np.ndarray, alpha: float, budget: int, times: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """Whole tokens of a source of each count, and how many of the ``times`` sources that have it get one more."""
+    times = np.broadcast_to(times, tokens.shape)
+    exact = weights_at(tokens.astype(float), alpha, times) * budget
     whole = np.floor(exact).astype(np.int64)
     rest = exact - whole
-    short = int(budget - whole.sum())
-    whole[np.lexsort((np.arange(len(rest)), -rest))[:short]] += 1
-    return whole
+    short = int(budget - (whole * times).sum())
+    order = np.lexsort((np.arange(len(rest)), -rest))
+    before = np.cumsum(times[order]) - times[order]
+    more = np.zeros(len(rest), np.int64)
+    more[order] = np.clip(short - before, 0, times[order])
+    return whole, more
+
 
+#: Sources up to which their table (about 60 bytes each) is sent to every task instead of being joined by a salted shuffle.
+SENT_SOURCES = 200_000
+SALTS = 64
 
-def plan(per_source: DataFrame, budget: int | None, entropy: float, repeats: float) -> DataFrame:
-    """(src, tokens, budget, blocks) from (src, tokens): a table of one row for each source, planned on the driver."""
-    import pandas as pd
 
+def plan(per_source: DataFrame, budget: int | None, entropy: float, repeats: float) -> tuple[DataFrame, int]:
+    """(src, tokens, budget, blocks) of the sources that have a budget, and how many sources there are."""
     spark = per_source.sparkSession
-    t = per_source.toPandas().sort_values("src", na_position="first", ignore_index=True)
-    tokens = t["tokens"].to_numpy(np.int64)
-    total = int(tokens.sum())
-    kind = "src string, tokens long, budget long, blocks long"
-    if not total:
-        return spark.createDataFrame([], kind)
-    budget = total if budget is None else budget
-    b = budgets(tokens, choose_alpha(tokens, budget, entropy, repeats), budget)
-    blocks = np.clip(-(-tokens // BLOCK_TOKENS), 1, MOST_BLOCKS)
-    rows = [(None if pd.isna(s) else s, int(a), int(c), int(d)) for s, a, c, d in zip(t["src"], tokens, b, blocks, strict=True) if c]
-    return spark.createDataFrame(rows, kind)
+    per_source = C.stage(per_source, "mix-sources")
+    # fewer rows than the square root of twice the tokens
+    seen = sorted(map(tuple, per_source.groupBy("tokens").agg(F.count(F.lit(1)).alias("times")).collect()))
+    tokens, times = (np.array(c, np.int64) for c in (zip(*seen, strict=True) if seen else ((), ())))
+    total = int((tokens * times).sum())
+    kind = "tokens long, whole long, more long, blocks long"
+    if total:
+        budget = total if budget is None else budget
+        whole, more = shared_budgets(tokens, choose_alpha(tokens, budget, entropy, repeats, times), budget, times)
+        blocks = np.clip(-(-tokens // BLOCK_TOKENS), 1, MOST_BLOCKS)
+        rows = [tuple(map(int, r)) for r in zip(tokens, whole, more, blocks, strict=True)]
+    else:
+        rows = []
+    nth = F.row_number().over(W.partitionBy("tokens").orderBy("src"))
+    out = per_source.join(spark.createDataFrame(rows, kind), "tokens").withColumn("budget", F.col("whole") + (nth <= F.col("more")).cast("long"))
+    return C.stage(out.where("budget > 0").select("src", "tokens", "budget", "blocks"), "mix-plan"), int(times.sum())
+
+
+def _with_sources(rows: DataFrame, sources: DataFrame, n: int, spread: list[str]) -> DataFrame:
+    """``rows`` with the plan of their source (null is one); rows of a large source never meet in one task."""
+    known = lambda d: d.withColumn("__wl_s", F.coalesce("src", F.lit(""))).withColumn("__wl_0", F.col("src").isNull())
+    keys, sources = ["__wl_s", "__wl_0"], known(sources).drop("src")
+    if n <= SENT_SOURCES:
+        return known(rows).join(F.broadcast(sources), keys).drop(*keys)  # size checked
+    salted = known(rows).withColumn("__wl_x", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
+    every = sources.withColumn("__wl_x", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(every, [*keys, "__wl_x"]).drop(*keys, "__wl_x")
 
 
 def mix(df: DataFrame, key_cols: list[str], source_col: str = "source", text_col: str = "text", budget: int | None = None, entropy: float = TARGET_ENTROPY, repeats: float = MOST_REPEATS, seed: int = SEED) -> DataFrame:
@@ -101,10 +136,9 @@ def mix(df: DataFrame, key_cols: list[str], source_col: str = "source", text_col
     """
     cols = [F.col(c).alias(f"k{i}") for i, c in enumerate(key_cols)]
     rows = C.stage(df.select(*cols, F.col(source_col).cast("string").alias("src"), n_words(text_col).alias("t")), "mix-rows")
-    sources = plan(rows.groupBy("src").agg(F.sum("t").alias("tokens")), budget, entropy, repeats)
+    sources, n = plan(rows.groupBy("src").agg(F.sum("t").alias("tokens")), budget, entropy, repeats)
     keys = [f"k{i}" for i in range(len(cols))]
-    # one row for each source: its size is that of the list of sources, which planning has read already
-    held = rows.join(F.broadcast(sources), rows["src"].eqNullSafe(sources["src"])).select(*keys, rows["src"], "t", "tokens", "budget", "blocks")
+    held = _with_sources(rows, sources, n, [*keys, "t"]).select(*keys, "src", "t", "tokens", "budget", "blocks")
     held = held.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), *keys, "src", "t"), F.col("blocks")).cast("int"))
     passes = F.expr("CAST((budget + tokens - 1) DIV tokens AS INT)")
     sums = held.groupBy("src", "tokens", "budget", "block").agg(F.sum("t").alias("bt"))
@@ -127,17 +161,18 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` (all its columns) as often as the mix draws them.
 
-    Rows are named by a hash of all their columns.  Rows that are equal in all columns share a name; one of them then stands for
-    all their draws.
+    Rows are named by 128 bits of hashes of all their columns.  Rows that are equal in all columns share a name; one of them then
+    stands for all their draws.
     """
-    name = F.xxhash64(*[F.col(c) for c in docs.columns])
-    tagged = docs.withColumn("__wl_tag", name)
-    draws = mix(tagged.select("__wl_tag", F.col("source").alias("source"), "text"), ["__wl_tag"])
-    times = draws.groupBy("__wl_tag").agg(F.count(F.lit(1)).cast("int").alias("__wl_n"), F.max("epoch").alias("__wl_e"))
-    seen = docs.select(name.alias("__wl_tag")).groupBy("__wl_tag").agg(F.count(F.lit(1)).alias("__wl_c"))
-    times = C.stage(times.join(seen, "__wl_tag"), "mix-times")
-    joined = tagged.join(times, "__wl_tag")
+    tags = ["__wl_t1", "__wl_t2"]
+    names = [F.xxhash64(*[F.col(c) for c in docs.columns]), F.xxhash64(F.lit("again"), *[F.col(c) for c in reversed(docs.columns)])]
+    tagged = docs.withColumns(dict(zip(tags, names, strict=True)))
+    draws = mix(tagged.select(*tags, F.col("source").alias("source"), "text"), tags)
+    times = draws.groupBy(*tags).agg(F.count(F.lit(1)).cast("int").alias("__wl_n"))
+    seen = tagged.select(*tags).groupBy(*tags).agg(F.count(F.lit(1)).alias("__wl_c"))
+    times = C.stage(times.join(seen, tags), "mix-times")
+    joined = tagged.join(times, tags)
     out = joined.where("__wl_c = 1")
     if not times.where("__wl_c > 1").isEmpty():
-        out = out.union(joined.where("__wl_c > 1").dropDuplicates(["__wl_tag"]))
+        out = out.union(joined.where("__wl_c > 1").dropDuplicates(tags))
     return out.withColumn("__wl_i", F.explode(F.sequence(F.lit(1), F.col("__wl_n")))).select(*docs.columns)
