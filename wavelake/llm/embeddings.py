@@ -1,10 +1,12 @@
 """Near-duplicate vectors by Euclidean p-stable hashing and exact cosine checks.
 
-Vectors of unit length at cosine c lie sqrt(2 - 2c) apart.  Each of TABLES tables buckets them by PROJECTIONS quantised Gaussian
-projections floor((a.x + b) / WIDTH); at the default cosine of 0.93 (distance 0.374) one table brings a pair together with
-probability 0.18 and all tables miss it with probability 0.003 (0.00001 at cosine 0.97).  Vectors and projections are rounded
-to integers first, so a bucket does not depend on the order of floating sums.  Pairs that meet are checked by exact cosine in
-double precision, in blocks of bounded size, and counted in the first table they share.
+Vectors of unit length at cosine c lie sqrt(2 - 2c) apart.  Each table buckets them by quantised Gaussian projections
+floor((a.x + b) / WIDTH).  Projections and tables grow with the number of vectors (``sizes``): so many projections that a vector
+meets about one unrelated vector a table, and so many tables that a pair at the limit is missed by all with probability MISS
+(far less above it).  Their product with the number of vectors grows with its power of about 1.25, where fixed numbers would make
+a fixed share of all pairs candidates.  Vectors and projections are rounded to integers first, so a bucket does not depend on the
+order of floating sums.  Pairs that meet are checked by exact cosine in double precision, in blocks of bounded size, and counted
+in the first table they share: rows carry 32 bits of each of their keys.
 
 Edge cases: null, zero, empty or non-finite vectors and null labels link with nothing (n_links 0, own component); vectors of
 different length never link; equal vectors are one class that counts its copies; a null vec_id keeps its row; an empty table
@@ -13,6 +15,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -23,28 +26,42 @@ from . import common as C
 
 COSINE = 0.93
 TABLES, PROJECTIONS, WIDTH = 28, 16, 3.0
+MISS = 0.003
 _UNIT, _STEP = 1 << 20, 1 << 10
 
 
+def collision(distance: float) -> float:
+    """Probability that one projection puts two points into one cell."""
+    w = WIDTH / distance
+    return math.erf(w / math.sqrt(2)) - math.sqrt(2 / math.pi) / w * (1 - math.exp(-w * w / 2))
+
+
+def sizes(n: int, cosine: float = COSINE) -> tuple[int, int]:
+    """Tables and projections for ``n`` vectors; unrelated ones are at right angles."""
+    near, far = collision(math.sqrt(max(2 - 2 * cosine, 1e-6))), collision(math.sqrt(2))
+    projections = max(8, math.ceil(math.log(max(n, 1)) / -math.log(far)))
+    return math.ceil(math.log(MISS) / math.log1p(-min(near**projections, 0.999))), projections
+
+
 @lru_cache(maxsize=8)
-def _planes(dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _planes(dim: int, tables: int, projections: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rng = np.random.default_rng([97, dim])
-    a = np.rint(rng.standard_normal((dim, TABLES * PROJECTIONS)) * _STEP)
-    b = rng.integers(0, int(WIDTH * _UNIT * _STEP), TABLES * PROJECTIONS)
-    odd = rng.integers(0, 1 << 62, PROJECTIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    a = np.rint(rng.standard_normal((dim, tables * projections)) * _STEP)
+    b = rng.integers(0, int(WIDTH * _UNIT * _STEP), tables * projections)
+    odd = rng.integers(0, 1 << 62, projections, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     return a, b, odd
 
 
-def table_keys(x: np.ndarray, norm: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """(n, TABLES) bucket keys of the rows of ``x``; the label and the number of dimensions are part of a key."""
+def table_keys(x: np.ndarray, norm: np.ndarray, label: np.ndarray, tables: int = TABLES, projections: int = PROJECTIONS) -> np.ndarray:
+    """(n, tables) bucket keys of the rows of ``x``; the label and the number of dimensions are part of a key."""
     dim = x.shape[1]
-    a, b, odd = _planes(dim)
+    a, b, odd = _planes(dim, tables, projections)
     # whole numbers below 2^53: the product is exact, whatever the order of its sums
     q = np.rint(x / norm[:, None] * _UNIT) @ a
     cell = (q.astype(np.int64) + b) // int(WIDTH * _UNIT * _STEP)
     with np.errstate(over="ignore"):
-        mixed = (cell.astype(np.uint64).reshape(len(x), TABLES, PROJECTIONS) * odd).sum(axis=2, dtype=np.uint64)
-        mixed += C.mix64(np.arange(1, TABLES + 1, dtype=np.uint64))[None, :]
+        mixed = (cell.astype(np.uint64).reshape(len(x), tables, projections) * odd).sum(axis=2, dtype=np.uint64)
+        mixed += C.mix64(np.arange(1, tables + 1, dtype=np.uint64))[None, :]
         mixed ^= C.mix64(label.astype(np.uint64) * np.uint64(1 << 20) + np.uint64(dim))[:, None]
     return C.mix64(mixed).view(np.int64)
 
@@ -62,12 +79,11 @@ def _matrix(column, dims: np.ndarray) -> np.ndarray:
     return out
 
 
-def _keys_of(x, norm, label, dims, rows: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(rows), TABLES), np.int64)
-    for d in np.unique(dims[rows]):
-        at = np.nonzero(dims[rows] == d)[0]
-        r = rows[at]
-        out[at] = table_keys(x[r, :d], norm[r], label[r])
+def _keys_of(x, norm, label, dims, tables: int, projections: int) -> np.ndarray:
+    out = np.zeros((len(dims), tables), np.int64)
+    for d in np.unique(dims):
+        at = np.nonzero(dims == d)[0]
+        out[at] = table_keys(x[at, :d], norm[at], label[at], tables, projections)
     return out
 
 
@@ -76,8 +92,10 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     import pyarrow as pa
 
     x = F.col("x")
-    src = df.select(F.col(id_col).alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vec_col).cast("array<double>").alias("x"))
-    src = src.withColumn("norm", F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v)))
+    # floats travel as they are; sums and cosines are of doubles
+    kind = "array<float>" if df.schema[vec_col].dataType.simpleString() == "array<float>" else "array<double>"
+    src = df.select(F.col(id_col).alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vec_col).cast(kind).alias("x"))
+    src = src.withColumn("norm", F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))))
     fine = F.col("label").isNotNull() & (F.size(x) > 0) & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     src = src.withColumn("fine", F.coalesce(fine & (F.col("norm") > 0) & (F.col("norm") < float("inf")), F.lit(False)))
     # 96 bits name the class of equal vectors with one label
@@ -88,13 +106,18 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     )
     reps = C.stage(own.withColumn("rid", F.monotonically_increasing_id()), "vec-classes")
 
+    tables, projections = sizes(reps.count(), cosine)
+    most = max(1, (1 << 22) // (tables * projections))
+
     def hashed(batches):
-        for batch in batches:
+        for batch in C.sliced(batches, most):
             dims = np.diff(batch.column("x").offsets.to_numpy())
             m = _matrix(batch.column("x"), dims)
             norm, label = batch.column("norm").to_numpy(), batch.column("label").to_numpy()
-            keys = _keys_of(m, norm, label, dims, np.arange(len(dims)))
-            yield pa.record_batch([pa.array(keys.ravel()), pa.array(np.repeat(batch.column("rid").to_numpy(), TABLES))], names=["key", "rid"])
+            keys = _keys_of(m, norm, label, dims, tables, projections)
+            at = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * tables)
+            short = pa.array([k.tobytes() for k in keys.astype(np.int32)], pa.binary())
+            yield pa.record_batch([batch.column("rid"), pa.ListArray.from_arrays(at, pa.array(keys.ravel())), short], names=["rid", "keys", "short"])
 
     def verify(batches):
         for table in C.whole_runs(batches, ("key", "blk_a", "blk_b")):
@@ -103,7 +126,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
             dims = np.diff(col.offsets.to_numpy())
             m = _matrix(col, dims)
             key, rid, norm, label, copies = (table.column(c).to_numpy() for c in ("key", "rid", "norm", "label", "copies"))
-            keys, known = np.zeros((n, TABLES), np.int64), np.zeros(n, bool)
+            short = np.frombuffer(b"".join(table.column("short").to_pylist()), np.int32).reshape(n, tables)
             links, found = np.zeros(n, np.int64), [np.zeros((2, 0), np.int64)]
             for i, j in C.run_pairs(table, "key"):
                 same = (label[i] == label[j]) & (dims[i] == dims[j])
@@ -113,13 +136,8 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
                 if not i.size:
                     continue
                 found.append(np.stack([i, j]))
-                rows = np.unique(np.concatenate([i, j]))
-                rows = rows[~known[rows]]
-                if rows.size:
-                    keys[rows] = _keys_of(m, norm, label, dims, rows)
-                    known[rows] = True
-                first = np.argmax(keys[i] == keys[j], axis=1)
-                here = keys[i, first] == key[i]
+                first = np.argmax(short[i] == short[j], axis=1)
+                here = short[i, first] == key[i].astype(np.int32)
                 np.add.at(links, i[here], copies[j[here]])
                 np.add.at(links, j[here], copies[i[here]])
             i, j = np.concatenate(found, axis=1)
@@ -127,8 +145,10 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
             out = np.nonzero((links > 0) | (root != np.arange(n)))[0]
             yield pa.record_batch([pa.array(rid[out]), pa.array(links[out]), pa.array(rid[root[out]])], names=["rid", "links", "root"])
 
-    rows = C.stage(reps.select("x", "norm", "label", "rid").mapInArrow(hashed, "key long, rid long"), "vec-keys")
-    blocks = C.bucket_blocks(rows, "key", "rid", "vec", payload=reps.select("rid", "x", "norm", "label", "copies"))
+    marks = C.stage(reps.select("x", "norm", "label", "rid").mapInArrow(hashed, "rid long, keys array<long>, short binary"), "vec-keys")
+    rows = marks.select("rid", F.explode("keys").alias("key"))
+    payload = reps.select("rid", "x", "norm", "label", "copies").join(marks.select("rid", "short"), "rid")
+    blocks = C.bucket_blocks(rows, "key", "rid", "vec", payload=payload)
     met = C.stage(blocks.mapInArrow(verify, "rid long, links long, root long"), "vec-links")
     counts = met.groupBy("rid").agg(F.sum("links").alias("links"))
     roots = C.connected_components(met.select(F.col("rid").alias("a"), F.col("root").alias("b")), "vec")
