@@ -3,7 +3,8 @@
 Counts of every text are taken in one projection of built-in functions.  Their ratios go into mergeable quantile sketches, one for
 each (language, source, ratio): histograms with 16 buckets an octave, whose counts add up from any split of the rows (relative
 error below 1/16, deterministic).  A fence of the third quartile plus FENCE quartile ranges (and a floor) is read off each sketch
-and joined back.  Groups of fewer than LEAST_DOCS rows take the fences of all rows.  No Python runs on the executors.
+and joined back.  The fences of a group of n rows and those of all rows are averaged with the weights n and PRIOR_DOCS, so small
+groups lean on all rows and no size switches from one rule to another.  No Python runs on the executors.
 
 Edge cases: a null text has no words and fails the base rules; null languages and sources are groups of their own; ties and
 repeated rows count as often as they occur; an empty table gives an empty result.
@@ -17,14 +18,14 @@ from pyspark.sql.window import Window as W
 
 from . import common as C
 
-LEAST_DOCS = 100
+PRIOR_DOCS = 100
 FENCE = 3
 #: Ratio: (its scaled integer in SQL, width added to the quartile range so that a constant ratio keeps some room).
 RATIOS = {
     "word_len": ("100 * word_chars DIV n_words", 50),
     "symbols": ("1000 * n_symbols DIV n_words", 20),
     "dup_lines": ("1000 * n_dup_lines DIV n_words", 20),
-    "repeats": ("1000 * n_repeat_words DIV n_words", 100),
+    "repeats": ("1000 * n_repeat_words DIV n_words", 50),
 }
 _SPACE = r"\t\n\u000B\u000C\r "
 
@@ -97,19 +98,19 @@ def judge(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_
     feats = counts(df.withColumn(keys[0], F.col(lang_col)).withColumn(keys[1], F.col(source_col)), text_col)
     feats = C.stage(feats, "quality-counts")
     sketch = C.stage(sketches(feats, keys), "quality-sketch")
-    own = fences(sketch, keys).where(F.col("docs") >= LEAST_DOCS)
+    own = fences(sketch, keys)
     whole = fences(sketch.groupBy("ratio", "b").agg(F.sum("n").alias("n")).withColumn("one", F.lit(1)), ["one"])
     tops = [f"top_{k}" for k in RATIOS]
     # null-safe keys, so that null languages and sources find their group
     safe = lambda c: F.struct(F.coalesce(F.col(c).cast("string"), F.lit("")), F.col(c).isNull())
-    own = own.select(safe(keys[0]).alias("__wl_k0"), safe(keys[1]).alias("__wl_k1"), *tops)
+    own = own.select(safe(keys[0]).alias("__wl_k0"), safe(keys[1]).alias("__wl_k1"), F.col("docs").alias("__wl_docs"), *tops)
     every = whole.select(*[F.col(t).alias(f"all_{t}") for t in tops])
     out = feats.withColumn("__wl_k0", safe(keys[0])).withColumn("__wl_k1", safe(keys[1]))
     out = out.join(own, ["__wl_k0", "__wl_k1"], "left").join(F.broadcast(every), F.lit(True), "left")  # one row
     out = out.withColumn("base_failed", F.expr("n_words < 20 OR 100 * n_repeat_words > 30 * n_words"))
-    fine = " AND ".join(f"{sql} <= coalesce(top_{k}, all_top_{k})" for k, (sql, _) in RATIOS.items())
+    fine = " AND ".join(f"{sql} <= (__wl_docs * top_{k} + {PRIOR_DOCS} * all_top_{k}) DIV (__wl_docs + {PRIOR_DOCS})" for k, (sql, _) in RATIOS.items())
     out = out.withColumn("kept", F.expr(f"CASE WHEN base_failed THEN false ELSE {fine} END"))
-    return out.drop("__wl_k0", "__wl_k1", *keys, *tops, *[f"all_{t}" for t in tops])
+    return out.drop("__wl_k0", "__wl_k1", "__wl_docs", *keys, *tops, *[f"all_{t}" for t in tops])
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +133,7 @@ def _oracle() -> str:
 {name}_t AS (SELECT {by}ratio, docs, {top("b3")} + {FENCE} * ({top("b3")} - {top("b1")} + {room}) AS top FROM {name}_q),
 {name} AS (SELECT {by}max(docs) AS docs, {cols} FROM {name}_t {"GROUP BY " + keys if keys else ""})"""
 
-    fine = " AND ".join(f"{sql} <= coalesce(o.top_{k}, a.top_{k})" for k, sql in ratio.items())
+    fine = " AND ".join(f"{sql} <= (o.docs * o.top_{k} + {PRIOR_DOCS} * a.top_{k}) // (o.docs + {PRIOR_DOCS})" for k, sql in ratio.items())
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, list_filter(string_split_regex(t, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS ws,
@@ -154,7 +155,7 @@ g AS (SELECT ratio, b, sum(n) AS n FROM s GROUP BY ratio, b),
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
   CASE WHEN n_words < 20 OR 100 * n_repeat_words > 30 * n_words THEN false ELSE {fine} END AS kept
-FROM f CROSS JOIN whole a LEFT JOIN (SELECT * FROM own WHERE docs >= {LEAST_DOCS}) o
+FROM f CROSS JOIN whole a LEFT JOIN own o
   ON f.lang IS NOT DISTINCT FROM o.lang AND f.source IS NOT DISTINCT FROM o.source
 """
 
