@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import base, groups, kernels_queries, signals  # noqa: F401
+from . import base, files, groups, kernels_queries, signals  # noqa: F401
 
 
 #: Columns whose type the SQL text leaves to the other engine, by query.
@@ -20,6 +20,11 @@ TYPES = {
     "a34_profile": {"flat": "DOUBLE"},
     "p09_normalised": {"t_sec": "DOUBLE"},
     "s01_file_formats": {"id": "BIGINT"},
+    "s05_header_settings": {"fs": "BIGINT", "n_channels": "BIGINT"},
+    "s06_header_exports": {"channel_idx": "BIGINT", "t_sec": "DOUBLE"},
+    "s07_board_rows_read": {"channel_idx": "BIGINT", "t_sec": "DOUBLE"},
+    "s09_plain_tables": {"fs": "BIGINT", "t_sec": "DOUBLE"},
+    "s11_metadata": {"fs": "BIGINT", "n_channels": "BIGINT", "header_lines": "BIGINT"},
     "s08_board_map": {"n_cols": "BIGINT", "n_exg": "BIGINT", "board_fs": "BIGINT"},
     "w01_sliding_windows": {"center": "DOUBLE"},
     "w04_recovery_time": {"recovery_sec": "DOUBLE"},

@@ -7,6 +7,8 @@ recording is a file.  Lines are cut and typed by built-in functions, needed colu
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -16,18 +18,25 @@ from .. import schema as S
 TIME_NAMES = ("time", "timestamp", "t", "时间")
 
 
+def _named_below(root: str, path: Column) -> Column:
+    """The path of a file below ``root``, or its base name if it is ``root`` itself."""
+    key = re.sub(r"^[A-Za-z0-9+.-]+:/*", "", root).strip("/")
+    at = F.instr(path, f"{key}/")
+    return F.when(at > 0, F.substring(path, at + len(key) + 1, F.length(path))).otherwise(F.regexp_extract(path, "([^/]+)$", 1))
+
+
 def lines(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".txt", ".csv", ".tsv")) -> DataFrame:
     """(recording_id, path, line_no, line): non-empty lines; files of other suffixes are left out.
 
-    ``line_no`` counts within a file: each file is one partition of a whole-text scan, exploded in order.
+    A recording is named by its path below ``path``, so files of one name in two folders stay apart.  Large files are read in
+    splits: ``line_no`` (offset of the split, number in it) orders the lines of a file.
     """
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("path"), F.col("value"))
+    text = spark.read.text(path, recursiveFileLookup=True)
+    text = text.select(F.col("_metadata.file_path").alias("path"), F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("n")).alias("line_no"), F.col("value").alias("line"))
     keep = F.lit(False)
     for s in suffixes:
         keep = keep | F.lower(F.col("path")).endswith(s)
-    out = files.where(keep).select("path", F.posexplode(F.split(F.regexp_replace("value", "\r", ""), "\n")).alias("line_no", "line"))
-    name = F.regexp_extract("path", "([^/]+)$", 1)
-    return out.where(F.trim("line") != "").select(name.alias("recording_id"), "path", F.col("line_no").cast("long").alias("line_no"), "line")
+    return text.where(keep & (F.trim("line") != "")).select(_named_below(path, F.col("path")).alias("recording_id"), "path", "line_no", "line")
 
 
 def separator(line: Column) -> Column:
@@ -171,13 +180,17 @@ READERS = {"odf": read_odf, "board": read_board, "session": read_session, "plain
 
 def load(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
     """Sample rows with arrays (see ``_picked``) of all files under a path, each read by its own format, or all by ``fmt``."""
+    from .scratch import staged
+
     text = lines(spark, path)
     if fmt:
         return READERS[fmt](text)
-    kinds = formats(text).select("recording_id", "format")
+    # files are read once; each reader takes its own lines from the staged table
+    text = staged(text, "lines")
+    text = staged(text.join(formats(text).select("recording_id", "format"), "recording_id"), "typed-lines")
     out = None
     for name, read in READERS.items():
-        part = read(text.join(kinds.where(F.col("format") == name).select("recording_id"), "recording_id", "left_semi"))
+        part = read(text.where(F.col("format") == name).drop("format"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -207,19 +220,61 @@ def recordings(rows: DataFrame) -> DataFrame:
 
 
 def info(spark: SparkSession, path: str) -> DataFrame:
-    """Format, size and number of lines of each file, without typing its samples."""
+    """(recording_id, path, format, size_kb, n_lines, header_lines, n_samples, board, fs, n_channels, channels, duration_sec,
+    has_accelerometer) of each file, from its first lines and its number of lines; samples are not typed.
+
+    Boards of unknown width and plain files count as recorded at 250 Hz.
+    """
     text = lines(spark, path)
-    n = text.groupBy("path").agg(F.count_if(~F.col("line").startswith("%")).alias("n_lines"))
-    size = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path"), (F.col("length") / 1024).alias("size_kb"))
-    return formats(text).join(n, "path").join(size.withColumn("path", F.regexp_replace("path", "^file:/+", "file:///")), "path", "left").drop("first")
+    n = text.groupBy("recording_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(F.col("line").startswith("%")).alias("marked"))
+    size = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", (F.col("length") / 1024).alias("size_kb"))
+    size = size.select(_named_below(path, F.col("path")).alias("recording_id"), "size_kb")
+    kinds = formats(text)
+    head = odf_header(text.join(kinds.where("format = 'odf'").select("recording_id"), "recording_id", "left_semi"))
+    exg = F.filter("cols", lambda c: c.rlike(r"^EXG Channel \d+"))
+    head = head.select(
+        "recording_id", F.col("board").alias("h_board"), F.col("fs").alias("h_fs"), F.greatest("n_channels", F.size(exg)).alias("h_n"),
+        F.transform(exg, lambda c: F.concat(F.lit("EXG_"), F.regexp_extract(c, r"(\d+)", 1))).alias("h_names"), F.exists("cols", lambda c: c.startswith("Accel Channel")).alias("h_accel"),
+    )
+    first = F.col("first")
+    cols, nums = cells(first), numbers(first)
+    out = kinds.join(n, "recording_id").join(size, "recording_id", "left").join(head, "recording_id", "left").withColumn("n_cols", F.size(cols))
+    out = out.join(F.broadcast(board_map(spark)), "n_cols", "left")  # six rows
+    odf, wide = F.col("format") == "odf", F.col("format") == "board"
+    names = F.filter(cols, lambda c: ~F.lower(c).isin(*TIME_NAMES, "index", "marker") & ~F.lower(c).startswith("accel"))
+    n_exg = F.when(odf, F.col("h_n")).when(wide, F.coalesce("n_exg", F.greatest(F.expr("n_cols div 4"), F.lit(1)))).otherwise(F.size(names))
+    made = F.transform(F.sequence(F.lit(0), F.greatest(F.col("n_channels"), F.lit(1)) - 1), lambda i: F.concat(F.lit("EXG_"), i.cast("string")))
+    head_lines = F.when(odf, F.col("marked") + F.lit(1)).when(wide, is_index_row(nums).cast("long")).otherwise(F.lit(1))
+    out = out.withColumns({
+        "board": F.when(odf, F.col("h_board")).when(wide, F.coalesce("board", F.lit("unknown"))).otherwise("unknown"), "n_channels": n_exg.cast("int"),
+        "fs": F.when(odf, F.col("h_fs")).when(wide, F.coalesce("board_fs", F.lit(250))).otherwise(250), "header_lines": head_lines.cast("long"),
+    })
+    out = out.withColumn("channels", F.when(odf & (F.size("h_names") > 0), F.col("h_names")).when(odf | wide, made).otherwise(names)).withColumn("n_samples", F.col("n_lines") - F.col("header_lines"))
+    accel = F.when(odf, F.col("h_accel")).when(wide, F.col("n_cols") >= F.col("n_channels") + 4).otherwise(F.exists(cols, lambda c: F.lower(c).startswith("accel")))
+    out = out.withColumn("has_accelerometer", accel).withColumn("duration_sec", F.when(F.col("fs") > 0, F.col("n_samples") / F.col("fs")).otherwise(0.0))
+    return out.select("recording_id", "path", "format", "size_kb", "n_lines", "header_lines", "n_samples", "board", "fs", "n_channels", "channels", "duration_sec", "has_accelerometer")
+
+
+def assignments(spark: SparkSession, path: str) -> DataFrame:
+    """(filename, subject, condition) of assignment files: JSON arrays of objects, subject 'unknown' and condition 'custom' by default."""
+    rows = spark.read.schema("filename string, subject string, condition string").option("multiLine", True).option("mode", "FAILFAST").json(path)
+    return rows.select("filename", F.coalesce("subject", F.lit("unknown")).alias("subject"), F.coalesce("condition", F.lit("custom")).alias("condition"))
+
+
+def assigned(recs: DataFrame, table: DataFrame) -> DataFrame:
+    """Recordings with the subject and condition of their file; a file or an assignment without the other is an error row."""
+    a = table.withColumn("_a", F.lit(True))
+    out = recs.withColumn("filename", F.col("recording_id")).join(a, "filename", "full")
+    error = F.when(F.col("recording_id").isNull(), "no such file").when(F.col("_a").isNull(), "no assignment")
+    return out.select("filename", "subject", "condition", error.alias("error"), *[c for c in recs.columns if c != "filename"])
 
 
-def events(spark: SparkSession, path: str) -> DataFrame:
-    """Event files: event_id, timestamp in seconds; a file without both columns is an error."""
+def events(spark: SparkSession, path: str, more: list[str] | None = None) -> DataFrame:
+    """Event files: event_id, timestamp in seconds and the columns ``more``; a file without the first two is an error."""
     df = spark.read.csv(path, header=True)
     if not {"event_id", "timestamp"} <= set(df.columns):
         raise ValueError("an event file needs the columns event_id and timestamp")
-    return df.select("event_id", F.col("timestamp").cast("double").alias("t_sec"))
+    return df.select(*(more or []), "event_id", F.col("timestamp").cast("double").alias("t_sec"))
 
 
 def resolved_events(recs: DataFrame, given: DataFrame, found: DataFrame, default: DataFrame) -> DataFrame:
