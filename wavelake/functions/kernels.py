@@ -294,3 +294,12 @@ def radial_surface(x, y, v, grid: np.ndarray, smooth: float = 0.1) -> np.ndarray
     weight = np.linalg.solve(a, v)
     gx, gy = np.meshgrid(grid, grid)
     return sum(w * phi(np.hypot(gx - px, gy - py)) for w, px, py in zip(weight, x, y, strict=True))
+
+
+def distance_surface(x, y, v, grid: np.ndarray, power: float = 2.0) -> np.ndarray:
+    """Means of the values weighted by inverse distances, at all points of grid x grid (rows: y); a point itself has its value."""
+    x, y, v = (np.asarray(a, float) for a in (x, y, v))
+    gx, gy = np.meshgrid(grid, grid)
+    far = np.hypot(gx[..., None] - x, gy[..., None] - y)
+    near = 1 / np.maximum(far, 1e-9) ** power
+    return (near * v).sum(axis=-1) / near.sum(axis=-1)

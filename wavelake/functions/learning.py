@@ -53,12 +53,37 @@ def focus(scored: DataFrame, keys: list[str]) -> DataFrame:
     return g.select(*keys, F.coalesce("a", F.lit(0.0)).alias("avg"), F.coalesce(1 - F.col("s"), F.lit(0.0)).alias("stability"))
 
 
-def classifier(train: DataFrame, label: str = "target", columns: list[str] | None = None, rounds: int = 50):
-    """Logistic regression on the features: a stand-in for a convolutional network, which needs libraries this engine does without."""
+def classifier(train: DataFrame, label: str = "target", columns: list[str] | None = None, rounds: int = 50, progress: Callable[[dict], None] | None = None):
+    """Logistic regression on the features: a stand-in for a convolutional network, which needs libraries this engine does without.
+
+    ``progress`` is called with the round and the loss of every round once the model is fitted.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
     columns = columns or [*S.BANDS, "variance"]
     steps = [VectorAssembler(inputCols=columns, outputCol="_x"), StandardScaler(inputCol="_x", outputCol="features", withMean=True), LogisticRegression(labelCol=label, maxIter=rounds)]
-    return Pipeline(stages=steps).fit(train)
+    model = Pipeline(stages=steps).fit(train)
+    if progress:
+        for k, loss in enumerate(model.stages[-1].summary.objectiveHistory):
+            progress({"round": k, "loss": float(loss)})
+    return model
+
+
+def predicted(model, rows: DataFrame) -> DataFrame:
+    """``rows`` with ``prediction`` (int) and ``probability`` (of class 1)."""
+    from pyspark.ml.functions import vector_to_array
+
+    got = model.transform(rows).withColumn("_p", F.element_at(vector_to_array("probability"), 2))
+    return got.select(*rows.columns, F.col("prediction").cast("int").alias("prediction"), F.col("_p").alias("probability"))
+
+
+def save_model(model, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str):
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(path)

@@ -177,6 +177,25 @@ def bootstrap(values: DataFrame, keys: list[str], value: str = "value", n: int =
     return got.join(seen, keys).select(*keys, "mean", "ci_low", "ci_high", (F.col("m") - F.col("mean")).alias("bias"))
 
 
+def rigorous(values: DataFrame, keys: list[str], group: str, a, b, order: str, value: str = "value", n: int = 1000, seed: int = 0) -> DataFrame:
+    """One row for each key: description of both groups, paired t test, effect size, permutation test, bootstrap interval of the mean
+    difference, and a sentence.  Values that are null or not a number are left out; pairs are the n-th values by ``order``."""
+    v = values.where(F.col(group).isin(a, b) & F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    told = with_interval(summary(v, [*keys, group], value))
+    side = lambda g, s: told.where(F.col(group) == g).select(*keys, *[F.col(c).alias(f"{c}_{s}") for c in ("n", "mean", "std", "sem", "ci_low", "ci_high")])
+    pairs = pair_up(v.where(F.col(group) == a), v.where(F.col(group) == b), keys, order, value)
+    t = with_p(paired_t(pairs, keys)).select(*keys, "t_stat", "df", F.col("p_value").alias("t_p"), "mean_diff", "ci_low", "ci_high", "d", effect_label(F.col("d")).alias("label"))
+    perm = permutation_test(v, keys, group, a, b, value, n, seed).select(*keys, F.col("p_value").alias("permutation_p"))
+    boot = bootstrap(pairs.select(*keys, (F.col("a") - F.col("b")).alias("value")), keys, "value", n, seed=seed).select(*keys, F.col("ci_low").alias("boot_low"), F.col("ci_high").alias("boot_high"))
+    out = side(a, "a").join(side(b, "b"), keys).join(t, keys).join(perm, keys).join(boot, keys)
+    word = lambda p: F.when(F.col(p) < 0.05, "significant").otherwise("not significant")
+    text = F.format_string(
+        "A %.2f ± %.2f (n=%d), B %.2f ± %.2f (n=%d). Paired t=%.3f, p=%.4f (%s), df=%d. Difference %.2f [%.2f, %.2f], d=%.3f (%s). Permutation p=%.4f (%s, %d). Bootstrap [%.2f, %.2f].",
+        "mean_a", "std_a", "n_a", "mean_b", "std_b", "n_b", "t_stat", "t_p", word("t_p"), "df", "mean_diff", "ci_low", "ci_high", "d", "label", "permutation_p", word("permutation_p"), F.lit(n), "boot_low", "boot_high",
+    )
+    return out.withColumn("summary", text)
+
+
 def profile(values: DataFrame, condition: str, axes: dict[str, bool]) -> DataFrame:
     """One row for each condition, axes scaled to 0..1 over conditions (True: turned round); 1 where all are equal."""
     w = W.partitionBy(F.lit(0))  # one row for each condition

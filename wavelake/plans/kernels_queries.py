@@ -8,9 +8,11 @@ from pyspark.sql.window import Window as W
 from ..functions import kernels as K
 from ..functions import learning
 from ..operators import artifacts as A
+from ..operators import statistics as X
 from ..operators import timefreq as T
 from ..sources import synthetic
-from . import pipelines
+from .. import schema as S
+from . import pipelines, signals
 from .base import RATE, SIZE, query
 
 
@@ -87,7 +89,47 @@ def f05(t):
 
 @query("f07_topography")
 def f07(t):
-    return pipelines.topography(t.spark, {"Fp1": 10.0, "Fp2": 12.0, "C3": 8.0, "C4": 9.0, "Pz": 15.0, "O1": 7.0, "O2": 6.0, "Fz": 11.0})
+    """Eight electrodes, each the mean magnitude of every eighth sample of all epochs."""
+    names = ["Fp1", "Fp2", "C3", "C4", "Pz", "O1", "O2", "Fz"]
+    got = t.epochs().groupBy((F.col("sample_idx") % 8).alias("c")).agg(F.avg(F.abs("value")).alias("v")).collect()  # eight rows
+    return pipelines.topography(t.spark, {names[r.c]: r.v for r in sorted(got)})
+
+
+@query("x13_distance_surface")
+def x13(t):
+    got = t.epochs().groupBy((F.col("sample_idx") % 8).alias("c")).agg(F.avg("value").alias("v")).collect()  # eight rows
+    names = ["Fp1", "Fp2", "C3", "C4", "Pz", "O1", "O2", "Fz"]
+    return pipelines.topography(t.spark, {names[r.c]: r.v for r in sorted(got)}, weights=True)
+
+
+@query("a36_whole_comparison")
+def a36(t):
+    """Prices of open orders against those of finished ones, by priority, paired in order of their keys."""
+    o = t.table("orders").where("o_orderstatus IN ('O', 'F')").select(F.col("o_orderpriority").alias("metric"), F.col("o_orderstatus").alias("g"), F.col("o_orderkey").alias("i"), F.col("o_totalprice").cast("double").alias("value"))
+    return X.rigorous(o, ["metric"], "g", "O", "F", "i", n=200)
+
+
+@query("x04_study_report")
+def x04(t):
+    """The report of a study whose flow results are summed up from orders: a recording for each priority."""
+    o = t.table("orders").groupBy(F.col("o_orderpriority").alias("recording_id")).agg(F.avg("o_totalprice").alias("m"), F.stddev_pop("o_totalprice").alias("s"), F.count(F.lit(1)).alias("n"))
+    each = lambda f: F.map_from_arrays(F.array(*[F.lit(k) for k in S.FEATURES]), F.array(*[f(i) for i in range(len(S.FEATURES))]))
+    flow = o.select(
+        "recording_id", (F.col("m") / 1000).alias("recovery_time"), (F.col("n") % 10 / 100).alias("artifact_ratio"), each(lambda i: F.col("m") / (1 + i)).alias("baseline_means"),
+        each(lambda i: F.col("s") / F.col("m") * 10 * (1 + i)).alias("attenuation"), each(lambda i: F.when(F.lit(i % 3 != 2), F.col("n") / (1.0 + i))).alias("recovery_per_feature"),
+    )
+    return pipelines.report(flow, "1-URGENT").select("recording_id", F.col("line_no").cast("long").alias("line_no"), "line")
+
+
+@query("f06_predicted_windows")
+def f06(t):
+    """A model of the window labels from the features of all epochs, fitted, kept and loaded again."""
+    from ..sources.scratch import folder
+
+    feats = learning.features(signals.density(t), t.epochs(), ["vec_id"]).join(signals.a39(t).select("vec_id", "target"), "vec_id")
+    path = folder(t.spark, "model")
+    learning.save_model(learning.classifier(feats.repartition(4)), path)
+    return learning.predicted(learning.load_model(path), feats).select("vec_id", "target", "prediction")
 
 
 @query("s25_generated_recording")

@@ -69,11 +69,15 @@ def time_frequency(samples: DataFrame, events: DataFrame, fs: float, event_id: s
     return T.perturbation(T.epoch_power(coef, REC), REC, (0, round((pre_sec - 0.2) * fs))), T.phase_locking(coef, REC)
 
 
-def topography(spark: SparkSession, values: dict[str, float], points: int = 30) -> DataFrame:
-    """(x, y, z) over the scalp from one value for each electrode; the electrodes are a fixed list, solved on the driver."""
+def topography(spark: SparkSession, values: dict[str, float], points: int = 30, weights: bool = False) -> DataFrame:
+    """(x, y, z) over the scalp from one value for each electrode; the electrodes are a fixed list, solved on the driver.
+
+    ``weights``: by inverse distances, as is done with fewer than three electrodes.
+    """
     at = [POSITIONS[c] for c in values]
     grid = np.linspace(-1, 1, points)
-    z = K.radial_surface([p[0] for p in at], [p[1] for p in at], list(values.values()), grid)
+    make = K.distance_surface if weights or len(at) < 3 else K.radial_surface
+    z = make([p[0] for p in at], [p[1] for p in at], list(values.values()), grid)
     return spark.createDataFrame([(float(x), float(y), float(z[j, i])) for j, y in enumerate(grid) for i, x in enumerate(grid)], "x double, y double, z double")
 
 
@@ -89,23 +93,59 @@ POSITIONS = {
 }
 
 
-def batch(samples: DataFrame, events: DataFrame, fs: float) -> DataFrame:
-    """(recording_id, module, status, error) of the flow, spectrum and artifact modules of every recording."""
-    f = flow(samples, events, fs).select(*REC, F.lit("flow").alias("module"), F.col("error"))
-    done = lambda df, name: df.select(*REC).distinct().select(*REC, F.lit(name).alias("module"), F.lit(None).cast("string").alias("error"))
-    out = f.unionByName(done(spectrum(samples, fs)[0], "spectrum")).unionByName(done(A.signal_stats(samples, REC), "artifact"))
+MODULES = ("flow", "spectrum", "event_average", "time_frequency", "artifact")
+
+
+def batch(samples: DataFrame, events: DataFrame, fs: float, event_id: str = "X0") -> DataFrame:
+    """(recording_id, module, status, error) of the five modules for every recording.
+
+    A recording that a module makes nothing of (no event, too short, not to be filtered) is a failed row of that module and leaves the
+    others alone.
+    """
+    recs = samples.select(*REC).distinct()
+    f = flow(samples, events, fs).select(*REC, F.col("error"), F.lit(True).alias("made"))
+    some = lambda df: df.select(*REC).distinct().select(*REC, F.lit(None).cast("string").alias("error"), F.lit(True).alias("made"))
+    made = {
+        "flow": f, "spectrum": some(spectrum(samples, fs)[0]), "event_average": some(event_average(samples, events, fs, event_id)[0]),
+        "time_frequency": some(time_frequency(samples, events, fs, event_id)[0]), "artifact": some(A.signal_stats(samples, REC)),
+    }
+    out = None
+    for name in MODULES:
+        part = recs.join(made[name], REC, "left").select(*REC, F.lit(name).alias("module"), F.when(F.col("made").isNull(), "no result").otherwise(F.col("error")).alias("error"))
+        out = part if out is None else out.unionByName(part)
     return out.select(*REC, "module", F.when(F.col("error").isNull(), "ok").otherwise("failed").alias("status"), "error")
 
 
-def report(flow_results: DataFrame) -> DataFrame:
-    """(recording_id, line_no, line): Markdown lines of each recording."""
+def report(flow_results: DataFrame, control: str | None = "AtoA") -> DataFrame:
+    """(recording_id, line_no, line): Markdown lines of each recording: findings, its six indicators, conclusions and suggestions.
+
+    ``control``: the recording whose recovery time the others are compared with.
+    """
     from ..functions import rules as L
     from ..sources.writers import markdown_row
 
-    head = F.array(F.concat(F.lit("## "), F.col("recording_id")), F.concat(F.lit("Recovery: "), L.recovery_class(F.col("recovery_time"))), F.lit("| indicator | baseline | attenuation % | recovery s |"), F.lit("| --- | --- | --- | --- |"))
-    one = lambda k: markdown_row(k, F.format_string("%.4f", F.col("baseline_means")[k]), F.format_string("%.1f", F.col("attenuation")[k]), F.coalesce(F.format_string("%.0f", F.col("recovery_per_feature")[k]), F.lit("-")))
-    lines = F.concat(head, F.transform(F.map_keys("baseline_means"), one))
-    return flow_results.where("baseline_means IS NOT NULL").select("recording_id", F.posexplode(lines).alias("line_no", "line"))
+    r = flow_results.where("baseline_means IS NOT NULL")
+    base = r.where(F.col("recording_id") == control).select(F.col("recovery_time").alias("control_time"))
+    r = r.join(base.agg(F.first("control_time").alias("control_time")), how="cross")  # one row
+    att, rt = F.col("attenuation"), F.col("recovery_time")
+    of = lambda names: F.array_compact(F.array(*[att[n] for n in names]))
+    flow_att, loss_att = of(S.FLOW_INDICATORS), of(S.LOSS_INDICATORS)
+    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.greatest(F.size(a), F.lit(1))
+    head = F.array(
+        F.concat(F.lit("## "), F.col("recording_id")), F.concat(F.lit("Recovery: "), F.when(rt.isNotNull(), F.format_string("%.0f s, ", rt)).otherwise(""), L.recovery_class(rt)),
+        F.format_string("Artifacts: %.1f %%", F.col("artifact_ratio") * 100), F.lit("| indicator | baseline | attenuation % | recovery s |"), F.lit("| --- | --- | --- | --- |"),
+    )
+    rows = F.array(*[
+        markdown_row(F.lit(k), F.format_string("%.4f", F.coalesce(F.col("baseline_means")[k], F.lit(0.0))), F.format_string("%.1f", F.coalesce(att[k], F.lit(0.0))), F.when(F.col("recovery_per_feature")[k].isNotNull(), F.format_string("%.0f", F.col("recovery_per_feature")[k])).otherwise("-"))
+        for k in S.FEATURES
+    ])
+    conclusions = F.array_compact(F.array(
+        F.lit("### Conclusions"), F.concat(F.lit("- recovery is "), L.recovery_class(rt)), F.concat(F.lit("- flow indicators: "), L.attenuation_class(mean(flow_att))),
+        F.concat(F.lit("- load indicators: "), L.attenuation_class(mean(loss_att), flow=False)),
+        F.when((F.col("recording_id") != control) & rt.isNotNull() & F.col("control_time").isNotNull(), F.concat(F.lit("- recovery is "), L.against_control(rt - F.col("control_time")), F.lit(" than in the control"))),
+    )) if control else F.array(F.lit("### Conclusions"), F.concat(F.lit("- recovery is "), L.recovery_class(rt)))
+    advice = F.concat(F.array(F.lit("### Suggestions")), F.transform(L.suggestions(rt, flow_att, loss_att), lambda x: F.concat(F.lit("- "), x)))
+    return r.select("recording_id", F.posexplode(F.concat(head, rows, conclusions, advice)).alias("line_no", "line"))
 
 
 def study(spark: SparkSession, seconds: float = 1500.0, fs: int = 250, channels: int = 3) -> tuple[DataFrame, DataFrame]:

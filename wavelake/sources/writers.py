@@ -52,15 +52,20 @@ def markdown_row(*cells: Column) -> Column:
     return F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
 
 
-def bundle(results: DataFrame, report: str, most: int = 100_000) -> bytes:
-    """ZIP of a report and the results; for the few rows of finished results, refused beyond ``most``."""
+def bundle(results: DataFrame, report: str, originals: DataFrame | None = None, most: int = 100_000, most_bytes: int = 1 << 28) -> bytes:
+    """ZIP of a report, the results and the files that ``originals`` (path, length, content) names; refused beyond ``most`` rows or
+    ``most_bytes`` bytes of files: write those as a table."""
     rows = to_json(results).limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} results: write them as a table")
+    if originals is not None and (originals.agg(F.sum("length")).first()[0] or 0) > most_bytes:
+        raise ValueError(f"more than {most_bytes} bytes of files")
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("report.md", report)
         z.writestr("results.json", json.dumps([json.loads(r.json) for r in rows], ensure_ascii=False, indent=1))
+        for r in originals.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "content").orderBy("path").toLocalIterator() if originals is not None else ():
+            z.writestr(f"files/{r.name}", bytes(r.content))
     return out.getvalue()
 
 

@@ -72,13 +72,95 @@ def record(stream: DataFrame, path: str, checkpoint: str):
     return stream.writeStream.format("csv").option("sep", "\t").option("header", True).option("checkpointLocation", checkpoint).option("path", path).trigger(availableNow=True).start()
 
 
-def refresh(frames_: DataFrame, keys: list[str], fs: float, handle, checkpoint: str, every: str = "2 seconds"):
-    """Calls ``handle(features)`` on the band powers of each micro-batch of long frames (keys, sample_idx, channel_idx, value)."""
-    from ..operators import spectral
+def metrics(frames_: DataFrame, key: str, fs: float, scorer=None, most: int = 40_000, every: float = 2.0, channels: int = 8) -> DataFrame:
+    """(key, t, n_samples, focus, stability, one column for each band) from frames (key, t: seconds, channels: array) as they come.
+
+    The state of a session is its buffer: the last ``most`` values over all channels, older ones are dropped; channels that a frame
+    lacks count as zero, more than ``channels`` are left out.  Metrics are computed over the whole buffer when ``every`` seconds of
+    frame time have passed since the last time; rows in between hold the last ones.  ``scorer`` takes a matrix of 4 s windows of the
+    mean over channels; without one focus is 0.
+    """
+    import numpy as np
+
+    from ..functions import kernels as K
+
+    names = ["focus", "stability", *S.BANDS]
+    held = most // channels
+
+    def compute(x: np.ndarray) -> list[float]:
+        out = [0.0, 0.0]
+        size = int(4 * fs)
+        if scorer is not None and len(x) >= size:
+            score = np.asarray(scorer(x[: len(x) // size * size].mean(axis=1).reshape(-1, size)), float)
+            out = [float(score.mean()), float(1 - score.std())]
+        freq, power = K.welch(x[:, 0], fs, min(len(x), int(2 * fs)))
+        for c in range(1, x.shape[1]):
+            power = power + K.welch(x[:, c], fs, min(len(x), int(2 * fs)))[1]
+        return out + [float(power[(freq >= lo) & (freq < hi)].sum() / (power.sum() + S.TINY)) for lo, hi in S.BANDS.values()]
+
+    def step(k, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        buffer, width, last, now = state.get if state.exists else ([], 0, None, [0.0] * len(names))
+        rows = pd.concat(list(batches)).sort_values("t")
+        fresh = [list(v)[:channels] for v in rows["channels"]]
+        wide = max([width, *map(len, fresh)])
+        old = np.zeros((len(buffer) // width if width else 0, wide))
+        old[:, :width] = np.reshape(buffer, (-1, width)) if width else 0
+        x, at, made = np.zeros((len(fresh), wide)), 0, []
+        for i, v in enumerate(fresh):
+            x[i, : len(v)] = v
+        x = np.concatenate([old, x])
+        for i, t in enumerate(rows["t"]):
+            at = len(old) + i + 1
+            if last is None or t - last > every:
+                last, now = float(t), compute(x[max(0, at - held) : at]) if wide else now
+            made.append((k[0], float(t), min(at, held), *now))
+        state.update((x[-held:].ravel().tolist(), wide, last, list(now)))
+        yield pd.DataFrame(made, columns=[key, "t", "n_samples", *names])
+
+    kind = frames_.schema[key].dataType.simpleString()
+    cols = ", ".join(f"{c} double" for c in names)
+    rows = frames_.select(key, F.col("t").cast("double").alias("t"), "channels")
+    return rows.groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, t double, n_samples long, {cols}", "buffer array<double>, width int, last double, now array<double>", "append", "NoTimeout")
+
+
+def heartbeats(messages: DataFrame, key: str, seq: str, idle_ms: int = 1000) -> DataFrame:
+    """(key, seq, type): ``data`` for every message, and a ``ping`` (seq null) each time that nothing came for ``idle_ms``."""
+    def step(k, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            made = pd.DataFrame({key: [k[0]], seq: pd.array([None], dtype="Int64"), "type": ["ping"]})
+            count = state.get[0] + 1
+        else:
+            rows = pd.concat(list(batches)).sort_values(seq)
+            made = pd.DataFrame({key: rows[key].to_numpy(), seq: pd.array(rows[seq], dtype="Int64"), "type": "data"})
+            count = 0
+        state.update((count,))
+        state.setTimeoutDuration(idle_ms)
+        yield made
+
+    kind = messages.schema[key].dataType.simpleString()
+    return messages.select(key, F.col(seq).cast("long").alias(seq)).groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, `{seq}` long, type string", "pings long", "append", "ProcessingTimeTimeout")
+
+
+#: Commands that a session takes in each state, and the state they lead to; any other is refused and leaves the state.
+SESSION = {("IDLE", "start"): "CONNECTING", ("CONNECTING", "connected"): "STREAMING", ("CONNECTING", "error"): "ERROR", ("CONNECTING", "stop"): "IDLE", ("STREAMING", "stop"): "IDLE", ("STREAMING", "error"): "ERROR", ("ERROR", "stop"): "IDLE"}
+
+
+def session_states(commands: DataFrame, key: str, seq: str, command: str = "command") -> DataFrame:
+    """(key, seq, command, state, accepted) after each command, in order of ``seq`` within a micro-batch; IDLE at first."""
+    def step(k, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        now = state.get[0] if state.exists else "IDLE"
+        made = []
+        for s, c in pd.concat(list(batches)).sort_values(seq)[[seq, command]].itertuples(index=False):
+            nxt = SESSION.get((now, c))
+            now = nxt or now
+            made.append((k[0], s, c, now, nxt is not None))
+        state.update((now,))
+        yield pd.DataFrame(made, columns=[key, seq, command, "state", "accepted"])
+
+    k, s = commands.schema[key].dataType.simpleString(), commands.schema[seq].dataType.simpleString()
+    return commands.select(key, seq, command).groupBy(key).applyInPandasWithState(step, f"`{key}` {k}, `{seq}` {s}, `{command}` string, state string, accepted boolean", "now string", "append", "NoTimeout")
 
-    def each(batch: DataFrame, _: int) -> None:
-        size = int(2 * fs)
-        psd = spectral.densities(batch, [*keys, "channel_idx"], size, size // 2, fs)
-        handle(spectral.relative_powers(spectral.mean_density(psd, keys), keys).select(*keys, *S.BANDS))
 
-    return frames_.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+def refresh(frames_: DataFrame, key: str, fs: float, handle, checkpoint: str, every: str = "2 seconds", **options):
+    """Starts a query that calls ``handle`` on the metrics of the buffer (``metrics``) of each micro-batch."""
+    return metrics(frames_, key, fs, **options).writeStream.foreachBatch(lambda batch, _: handle(batch)).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
