@@ -50,9 +50,31 @@ _GPL = (
     "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the "
     "Free Software Foundation, either version {} of the License, or (at your option) any later version."
 )
+_GNU = (
+    "This {0} is free software; you can redistribute it and/or modify it under the terms of the GNU {1} as published by the Free Software Foundation; "
+    "either version {2} of the License, or (at your option) any later version."
+)
+_ZLIB = (
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from "
+    "the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and "
+    "redistribute it freely, subject to the following restrictions"
+)
+_BOOST = (
+    "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by "
+    "this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the "
+    "Software, and to permit third-parties to whom the Software is furnished to do so"
+)
+_EPL = "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"
+_CC0 = "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."
 _MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."
 _UNLICENSE = "This is free and unencumbered software released into the public domain."
-#: Fixed values: (license, wording).  The long texts are the public license texts, the short ones common notices.
+#: Names of licenses in identifier lines.
+_SPDX = (
+    "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0",
+    "CDDL-1.0", "EPL-1.0", "EPL-2.0", "EUPL-1.2", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only",
+    "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MIT-0", "MPL-2.0", "MS-PL", "NCSA", "OFL-1.1", "PostgreSQL", "Python-2.0", "Unlicense", "WTFPL", "Zlib",
+)
+#: Fixed values: (license, wording).  The long texts are the public license texts, the short ones common notices and titles.
 TEMPLATES = [
     ("MIT", _MIT),
     ("MIT", "Released under the MIT License."),
@@ -73,11 +95,33 @@ TEMPLATES = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("GPL-2.0", _GNU.format("program", "General Public License", 2)),
+    ("LGPL-2.1", _GNU.format("library", "Lesser General Public License", "2.1")),
+    ("LGPL-3.0", _GNU.format("library", "Lesser General Public License", 3)),
+    ("AGPL-3.0", _GNU.format("program", "Affero General Public License", 3)),
+    ("Zlib", _ZLIB),
+    ("BSL-1.0", _BOOST),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("EPL-2.0", _EPL),
+    ("CC0-1.0", _CC0),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    ("Zlib", "Released under the zlib License."),
+    ("ISC", "Released under the ISC License."),
+    *((re.sub("-(only|or-later)$", "", x), f"SPDX-License-Identifier: {x}") for x in _SPDX),
 ]
 _MARKS = ("licens", "copyright", "permission", "redistribut", "public domain", "warrant", "creative commons", "free software")
 _MARK = re.compile("|".join(_MARKS))
-#: Characters taken on both sides of a mark, and the most that one block holds (a longer stretch becomes overlapping blocks).
-REACH, MOST = 700, 8000
+#: Characters taken on both sides of a mark, how far on a line end is sought, and the most that one block holds (a longer stretch
+#: becomes overlapping blocks).
+REACH, LINE, MOST = 700, 200, 8000
 #: The part of a template's words that may differ.
 DIFFERING = 0.06
 _WORDS = re.compile(r"[^\W_]+(?:\.\d+)*").findall
@@ -107,7 +151,7 @@ def _most(k: int) -> int:
 
 
 def blocks(text: str) -> list[tuple[int, int]]:
-    """Spans around marks; a span ends at the ends of its first and last line if they are near."""
+    """Spans around marks; a span is widened to the ends of its first and last line if they are near."""
     low = text.lower()
     if len(low) != len(text):  # letters whose lower case is longer
         low = "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
@@ -116,6 +160,8 @@ def blocks(text: str) -> list[tuple[int, int]]:
     spans: list[list[int]] = []
     for m in _MARK.finditer(low):
         a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
+        a = text.rfind("\n", max(0, a - LINE), a) + 1 or a
+        b = end if (end := text.find("\n", b, b + LINE)) >= 0 else b
         if spans and a <= spans[-1][1]:
             spans[-1][1] = b
         else:
@@ -176,23 +222,30 @@ def scan_block(block: str) -> list[tuple[str, int, float, list[str]]]:
     plain, withs = _compressors()
     size = len(plain.compress(data))
     saved = {k: 1 - len(withs[k].compress(data)) / size for k in near}
-    found: dict[str, tuple[str, int, float, list[str]]] = {}
+    confirmed = []
     for k in sorted(near, key=lambda k: (-saved[k], k)):
-        name, words, most = TEMPLATES[k][0], _template_words()[k], _most(k)
-        if most == 0 and not _holds(have, words):
-            continue
-        diff = differences(words, have, most) if most else []
-        if diff is not None and (name not in found or len(diff) < len(found[name][3])):
-            found[name] = (name, k, saved[k], diff)
-    # a longer wording that holds another license's as a part stands for it
-    out = list(found.values())
-    inside = lambda a, b: a is not b and len(_template_words()[a[1]]) < len(_template_words()[b[1]]) and _holds(_template_words()[b[1]], _template_words()[a[1]])
-    return [a for a in out if not any(inside(a, b) for b in out)]
-
-
-def _holds(have: list[str], words: list[str]) -> bool:
+        words, most = _template_words()[k], _most(k)
+        diff = differences(words, have, most) if most else [] if _times(have, words) else None
+        if diff is not None:
+            confirmed.append((TEMPLATES[k][0], k, saved[k], diff))
+    found: dict[str, tuple[str, int, float, list[str]]] = {}
+    for x in confirmed:
+        if not any(_covered(x, y, have) for y in confirmed) and (x[0] not in found or len(x[3]) < len(found[x[0]][3])):
+            found[x[0]] = x
+    return list(found.values())
+
+
+def _covered(x, y, have: list[str]) -> bool:
+    """Whether a longer wording of another license, which holds that of ``x`` as a part, stands for it wherever it occurs."""
+    short, long = _template_words()[x[1]], _template_words()[y[1]]
+    if x[0] == y[0] or len(short) >= len(long) or not (inside := _times(long, short)):
+        return False
+    return _most(x[1]) > 0 or _times(have, short) <= inside * _times(have, long)
+
+
+def _times(have: list[str], words: list[str]) -> int:
     n = len(words)
-    return any(have[i] == words[0] and have[i : i + n] == words for i in range(len(have) - n + 1))
+    return sum(have[i] == words[0] and have[i : i + n] == words for i in range(len(have) - n + 1))
 
 
 KIND = "array<struct<license: string, template: int, start: int, end: int, saved: double, differing: array<string>>>"
