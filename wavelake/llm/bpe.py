@@ -268,6 +268,7 @@ def encode(df: DataFrame, text_col: str = "text", path: str | None = None, decod
     import pyarrow as pa
     from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
+    C.text_batches(df.sparkSession)
     path = path or _tokenizer_path("byte_bpe_50k.json")
     held = [c for c in df.columns if c not in drop and c != "ids" and not (decoded and c == "decoded")]
     schema = StructType([df.schema[c] for c in held]).add("ids", ArrayType(IntegerType()))

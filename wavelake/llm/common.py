@@ -192,11 +192,23 @@ def distinct_sets(h: np.ndarray, per: np.ndarray, rank: np.ndarray | None = None
     return run[new], got[new]
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts make Arrow batches of Spark's default number of rows tens of MB large, for each task and outside of its heap; a
+    session that has the default gets ``rows``."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def sliced(batches, rows: int = 1024):
-    """Arrow batches cut into slices, so that no more rows are Python objects at a time."""
+    """Arrow batches cut into slices, so that no more rows are Python objects at a time; what they took goes back at their end."""
+    import pyarrow as pa
+
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        del batch
+    pa.default_memory_pool().release_unused()
 
 
 def groups_of_bytes(texts: list, most: int = 1 << 20):

@@ -164,6 +164,7 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, least_words: in
     import pyarrow as pa
 
     spark = docs.sparkSession
+    C.text_batches(spark)
     mask = np.uint64(slots - 1)
     rare = int(_classes(np.array([HOT_BLOCKS * C.BLOCK]))[0])  # classes below stand for smaller counts
 

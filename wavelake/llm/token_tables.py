@@ -165,6 +165,7 @@ def token_bytes(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """(key: long, ids: binary, little-endian, shard: int), the end id last."""
     import pyarrow as pa
 
+    C.text_batches(df.sparkSession)
     bounds = np.zeros(0, np.int64) if bounds is None else bounds  # MOST_SHARDS at most
 
     def run(batches):
