@@ -15,7 +15,6 @@ null id is not held out and not learned from; ties go to the language that sorts
 from __future__ import annotations
 
 import re
-import uuid
 from collections import Counter
 from itertools import islice
 
@@ -25,12 +24,12 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-MOST_BYTES = 32_000_000
+MOST_BYTES = 16_000_000
 LONGEST = 5
 SMOOTH = 0.5
 UNDECIDED = "und"
 #: Word scores that a Python worker keeps, and words that it looks up at once.
-CACHE = 400_000
+CACHE = 200_000
 STEP = 1 << 16
 _PATTERN = re.compile(r"[^\W\d_]+")
 _WORD, _WORDS = _PATTERN.findall, _PATTERN.finditer
@@ -48,7 +47,7 @@ class Model:
 
     def __init__(self, langs: list[str], words, grams: list):
         self.langs = langs
-        self.name = uuid.uuid4().hex
+        self._scorer = None
         tables, at = [], 0
         self.index: list[dict[str, int]] = []  # [0]: words, [n]: n-grams
         for table in (words, *grams):
@@ -72,6 +71,11 @@ class Model:
         get = self.index[1].get
         return [at for c in word if (at := get(c)) is not None]
 
+    def scorer(self) -> Scorer:
+        """A scorer that keeps its words from task to task, and goes when the worker drops the model."""
+        self._scorer = self._scorer or Scorer(self)
+        return self._scorer
+
     def score(self, word: str) -> np.ndarray | None:
         rows = self.rows(word)
         return self.logs[rows].mean(axis=0) if rows else None
@@ -143,17 +147,6 @@ class Scorer:
         return langs, scores
 
 
-#: The scorer of the last model that this worker applied: words stay known from task to task.
-_LAST: dict[str, Scorer] = {}
-
-
-def scorer_of(model: Model) -> Scorer:
-    if model.name not in _LAST:
-        _LAST.clear()
-        _LAST[model.name] = Scorer(model)
-    return _LAST[model.name]
-
-
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_bytes: int = MOST_BYTES) -> Model:
     """Counts words and n-grams of the sampled labelled rows that are not held out; every one that occurs is in the model."""
     import pandas as pd
@@ -195,21 +188,22 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return Model(list(langs), tables[0], tables[1:])
 
 
-def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``df`` with ``lang_pred`` and ``lang_score``; reads nothing but the text."""
+def identify(df: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """``df`` with the language and the score, called ``names`` (in place of columns so called); reads nothing but the text."""
     import pyarrow as pa
     from pyspark.sql.types import DoubleType, StringType, StructType
 
+    C.text_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
-    held = [c for c in df.columns if c not in ("lang_pred", "lang_score")]
-    schema = StructType([df.schema[c] for c in held]).add("lang_pred", StringType()).add("lang_score", DoubleType())
+    held = [c for c in df.columns if c not in names]
+    schema = StructType([df.schema[c] for c in held]).add(names[0], StringType()).add(names[1], DoubleType())
 
     def op(batches):
-        scorer = scorer_of(shared.value)
+        scorer = shared.value.scorer()
         for batch in C.sliced(batches):
             langs, scores = scorer(batch.column(batch.num_columns - 1).to_pylist())
             cols = [batch.column(k) for k in range(batch.num_columns - 1)]
-            yield pa.record_batch([*cols, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*held, "lang_pred", "lang_score"])
+            yield pa.record_batch([*cols, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*held, *names])
 
     return df.select(*held, F.col(text_col).cast("string").alias("__wl_in")).mapInArrow(op, schema)
 
@@ -222,5 +216,5 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_identified(docs: DataFrame, least_score: float = 0.0) -> DataFrame:
     """Rows (all columns) whose text has a language; rejected: no text, no letter, or a score below ``least_score``."""
-    found = identify(docs, learn(docs))
-    return found.where((F.col("lang_pred") != UNDECIDED) & (F.col("lang_score") >= least_score)).select(*docs.columns)
+    found = identify(docs, learn(docs), names=("__wl_lang", "__wl_score"))
+    return found.where((F.col("__wl_lang") != UNDECIDED) & (F.col("__wl_score") >= least_score)).select(*docs.columns)
