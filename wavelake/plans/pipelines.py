@@ -148,10 +148,10 @@ def report(flow_results: DataFrame, control: str | None = "AtoA") -> DataFrame:
     return r.select("recording_id", F.posexplode(F.concat(head, rows, conclusions, advice)).alias("line_no", "line"))
 
 
-def study(spark: SparkSession, seconds: float = 1500.0, fs: int = 250, channels: int = 3) -> tuple[DataFrame, DataFrame]:
-    """Samples and events of one generated recording for each condition."""
+def study(spark: SparkSession, seconds: float = 1500.0, fs: int = 250, channels: int = 3, conditions: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Samples and events of one generated recording for each condition (all by default)."""
     from ..sources import synthetic
 
-    table = [(c, d, s) for c, (d, s) in S.CONDITIONS.items()]
-    recs = spark.createDataFrame([(c,) for c in S.CONDITIONS], "recording_id string")
+    table = [(c, d, s) for c, (d, s) in S.CONDITIONS.items() if conditions is None or c in conditions]
+    recs = spark.createDataFrame([(c,) for c, _, _ in table], "recording_id string")
     return synthetic.recordings(spark, table, fs, seconds, channels), recs.crossJoin(F.broadcast(S.default_events(spark)))
