@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op9_bpe
+from .chunked_bpe import op13_byte_bpe
 from .embeddings import op5_embedding_near_dups
 from .language import op4_language_id
 from .licenses import op8_license_scan
@@ -28,5 +29,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_bpe": op9_bpe,
     "op10_token_tables": op10_token_tables,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 ORACLE_SQL: dict[str, str] = {"op6_quality_rules": OP6_SQL}
