@@ -68,26 +68,23 @@ def test_one_scan_over_chunks():
 
 
 @pytest.mark.parametrize("chunk, overlap", [(37, 11), (64, 32), (20, 4)])
-def test_chunks_give_the_tokens_of_the_whole_text(spark, lib, monkeypatch, chunk, overlap):
-    monkeypatch.setattr(B, "CHUNK", chunk)
-    monkeypatch.setattr(B, "OVERLAP", overlap)
+def test_chunks_give_the_tokens_of_the_whole_text(spark, lib, chunk, overlap):
     some = texts(60) + ["a long text, it's said, of many words and 1234 numbers " * 30, "blob" * 200 + " tail's end", "w" * 36 + " 's " * 40, "\n \n" * 100, "x'll" * 99, None]
     data = [(i if i % 7 else None, t) for i, t in enumerate(some)] * 2
     df = spark.createDataFrame(data, "doc_id long, text string").selectExpr("*", "'k' AS key", "doc_id AS no", "1 AS ids", "2 AS a_b").repartition(5)
-    got = B.encode(df).collect()
+    sizes = {"chunk": chunk, "overlap": overlap}
+    got = B.encode(df, **sizes).collect()
     want = [(i, t, lib.encode_ordinary(t or "")) for i, t in data]
     assert sorted(map(str, ((r.doc_id, r.text, r.ids) for r in got))) == sorted(map(str, want))
     assert {(r.key, r.a_b, r.no == r.doc_id) for r in got if r.doc_id is not None} == {("k", 2, True)}
-    back = B.decode_bytes(B.encode_bytes(df)).collect()
+    back = B.decode_bytes(B.encode_bytes(df, **sizes)).collect()
     assert all(bytes(r.decoded).decode() == (r.text or "") for r in back) and len(back) == len(data)
-    assert B.decode_bytes(B.encode(df)).where("decode(decoded, 'utf-8') <=> coalesce(text, '')").count() == len(data)
+    assert B.decode_bytes(B.encode(df, **sizes)).where("decode(decoded, 'utf-8') <=> coalesce(text, '')").count() == len(data)
 
 
-def test_seams_of_most_chunks_are_found(spark, monkeypatch):
-    monkeypatch.setattr(B, "CHUNK", 200)
-    monkeypatch.setattr(B, "OVERLAP", 40)
+def test_seams_of_ordinary_chunks_are_found(spark):
     df = spark.createDataFrame([(0, "words of an ordinary text " * 200)], "doc_id long, text string")
-    cut = C.stage(B._pretokenised(B._cut_chunks(df, "text", ["doc_id"])), "t")
+    cut = C.stage(B._pretokenised(B._cut_chunks(df, "text", ["doc_id"], 200, 40), 200, 40), "t")
     got = B.seams(cut).collect()
     assert len(got) == cut.count() - 1 and all(r.no * 200 <= r.seam < r.no * 200 + 40 for r in got)
 

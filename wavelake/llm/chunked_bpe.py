@@ -95,7 +95,7 @@ def _texts(column) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
-def _cut_chunks(rows: DataFrame, text: str, held: list[str]) -> DataFrame:
+def _cut_chunks(rows: DataFrame, text: str, held: list[str], chunk: int, overlap: int) -> DataFrame:
     """(key, no, n, text, row): the chunks of each text, with the other columns beside the first."""
     import pyarrow as pa
     from pyspark.sql.types import IntegerType, LongType, StringType, StructType
@@ -109,19 +109,19 @@ def _cut_chunks(rows: DataFrame, text: str, held: list[str]) -> DataFrame:
             for r in range(batch.num_rows):
                 one = batch.slice(r, 1)
                 t = one.column("text")[0].as_py()
-                n = -(-len(t) // CHUNK)
+                n = -(-len(t) // chunk)
                 for at in range(0, n, 64):  # so many chunks are one Arrow batch at most
                     some = range(at, min(n, at + 64))
                     row = one.column("row") if at == 0 else pa.nulls(1, one.column("row").type)
                     row = pa.concat_arrays([row, pa.nulls(len(some) - 1, row.type)])
-                    texts = pa.array([t[k * CHUNK : (k + 1) * CHUNK + OVERLAP] for k in some], pa.string())
+                    texts = pa.array([t[k * chunk : (k + 1) * chunk + overlap] for k in some], pa.string())
                     key = pa.array(np.repeat(one.column("key").to_numpy(), len(some)))
                     yield pa.record_batch([key, pa.array(some, pa.int32()), pa.array([n] * len(some), pa.int32()), texts, row], names=schema.names)
 
     return src.mapInArrow(op, schema)
 
 
-def _pretokenised(chunks: DataFrame) -> DataFrame:
+def _pretokenised(chunks: DataFrame, chunk: int, overlap: int) -> DataFrame:
     """Chunks with ``starts`` (places in the whole text), and those of them in the overlap before (``head``) and behind (``tail``)."""
     import pyarrow as pa
     from pyspark.sql.types import ArrayType, LongType, StructType
@@ -139,11 +139,11 @@ def _pretokenised(chunks: DataFrame) -> DataFrame:
                 starts, head, tail = [], [], []
                 for t, k, n in zip(part.column("text").to_pylist(), part.column("no").to_pylist(), part.column("n").to_pylist(), strict=True):
                     got = starts_of(t)
-                    if len(t) == CHUNK + OVERLAP:  # the text goes on
+                    if len(t) == chunk + overlap:  # the text goes on
                         got = got[got < len(t) - TAIL]
-                    starts.append(got + k * CHUNK)
-                    head.append(starts[-1][got < OVERLAP] if k else got[:0])
-                    tail.append(starts[-1][got >= CHUNK] if k + 1 < n else got[:0])
+                    starts.append(got + k * chunk)
+                    head.append(starts[-1][got < overlap] if k else got[:0])
+                    tail.append(starts[-1][got >= chunk] if k + 1 < n else got[:0])
                 yield pa.record_batch([*part.columns, lists(starts), lists(head), lists(tail)], names=schema.names)
 
     return chunks.mapInArrow(op, schema)
@@ -158,7 +158,7 @@ def seams(chunks: DataFrame) -> DataFrame:
     return before.join(chunks.where("no > 0").select("key", "no", "head"), ["key", "no"]).select("key", "no", F.array_min(F.array_intersect("head", "tail")).alias("seam"))
 
 
-def _encode_chunks(chunks: DataFrame, path: str) -> DataFrame:
+def _encode_chunks(chunks: DataFrame, path: str, chunk: int) -> DataFrame:
     """(key, no, row, ids) of the staged, pre-tokenised chunks, each between its seam and the next."""
     import pyarrow as pa
     from pyspark.sql.types import BinaryType, StructType
@@ -174,7 +174,7 @@ def _encode_chunks(chunks: DataFrame, path: str) -> DataFrame:
     def op(batches):
         bpe = P.from_ranks(path)
         for part in C.sliced(batches, 64):
-            texts, base = part.column("text").to_pylist(), [k * CHUNK for k in part.column("no").to_pylist()]
+            texts, base = part.column("text").to_pylist(), [k * chunk for k in part.column("no").to_pylist()]
             starts = [v.values.to_numpy() - b for v, b in zip(part.column("starts"), base, strict=True)]
             ends = [len(t) if e is None else e - b for t, e, b in zip(texts, part.column("end").to_pylist(), base, strict=True)]
             take = [(a - b, e) for a, b, e in zip(part.column("begin").to_pylist(), base, ends, strict=True)]
@@ -187,7 +187,7 @@ def _encode_chunks(chunks: DataFrame, path: str) -> DataFrame:
             edges = [0, *(np.nonzero(key[1:] != key[:-1])[0] + 1).tolist(), len(key)]
             for a, b in zip(edges, edges[1:], strict=False):
                 one = table.slice(a, b - a).combine_chunks()
-                chunked = [t[:CHUNK] for t in one.column("text").to_pylist()]
+                chunked = [t[:chunk] for t in one.column("text").to_pylist()]
                 text = "".join(chunked)
                 ids = _encoded(bpe, [text], [starts_in_order(chunked)])
                 head = one.slice(0, 1).to_batches()[0]
@@ -216,7 +216,7 @@ def _joined(parts: DataFrame) -> DataFrame:
     return parts.repartition("key").sortWithinPartitions("key", "no").mapInArrow(op, schema)
 
 
-def encode_bytes(df: DataFrame, text_col: str = "text", path: str | None = None, drop: tuple = ()) -> DataFrame:
+def encode_bytes(df: DataFrame, text_col: str = "text", path: str | None = None, drop: tuple = (), chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """``df`` with ``ids``: the tokens of the whole text as little-endian unsigned 32-bit integers (binary)."""
     import pyarrow as pa
     from pyspark.sql.types import BinaryType, StructType
@@ -232,22 +232,22 @@ def encode_bytes(df: DataFrame, text_col: str = "text", path: str | None = None,
         for part in C.sliced(batches, 512):
             yield pa.record_batch([*part.columns[:-1], pa.array(_encoded(bpe, _texts(part.column(part.num_columns - 1))), pa.binary())], names=schema.names)
 
-    long = F.char_length(text) > CHUNK
+    long = F.char_length(text) > chunk
     short = rows.where(~long).mapInArrow(op, schema)
-    chunks = C.stage(_cut_chunks(rows.where(long), text, held), "bpe-chunks")
+    chunks = C.stage(_cut_chunks(rows.where(long), text, held, chunk, overlap), "bpe-chunks")
     if chunks.isEmpty():
         return short
-    cut = C.stage(_pretokenised(chunks.repartition("key", "no")), "bpe-pretokens")
-    made = _joined(_encode_chunks(cut, path))
+    cut = C.stage(_pretokenised(chunks.repartition("key", "no"), chunk, overlap), "bpe-pretokens")
+    made = _joined(_encode_chunks(cut, path, chunk))
     return short.unionByName(made.select(*[F.col("row").getField(c).alias(c) for c in held], "ids"))
 
 
-def encode(df: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
+def encode(df: DataFrame, text_col: str = "text", path: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """``df`` with ``ids`` (array of int)."""
     import pyarrow as pa
     from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-    made = encode_bytes(df, text_col, path)
+    made = encode_bytes(df, text_col, path, chunk=chunk, overlap=overlap)
     schema = StructType([f for f in made.schema.fields if f.name != "ids"]).add("ids", ArrayType(IntegerType()))
 
     def op(batches):

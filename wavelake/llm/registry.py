@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import op12_token_alignment
 from .bpe import op9_bpe
 from .chunked_bpe import op13_byte_bpe
 from .embeddings import op5_embedding_near_dups
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_bpe": op9_bpe,
     "op10_token_tables": op10_token_tables,
+    "op12_token_alignment": op12_token_alignment,
     "op13_byte_bpe": op13_byte_bpe,
 }
 ORACLE_SQL: dict[str, str] = {"op6_quality_rules": OP6_SQL}
