@@ -13,6 +13,7 @@ from .embeddings import op5_embedding_near_dups
 from .language import op4_language_id
 from .licenses import op8_license_scan
 from .lines import op7_line_dedup
+from .merkle import OP11_SQL, op11_merkle_manifest
 from .mixing import op3_mixing
 from .quality import OP6_SQL, op6_quality_rules
 from .sharding import op1_sharding
@@ -30,7 +31,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_bpe": op9_bpe,
     "op10_token_tables": op10_token_tables,
+    "op11_merkle_manifest": op11_merkle_manifest,
     "op12_token_alignment": op12_token_alignment,
     "op13_byte_bpe": op13_byte_bpe,
 }
-ORACLE_SQL: dict[str, str] = {"op6_quality_rules": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_quality_rules": OP6_SQL, "op11_merkle_manifest": OP11_SQL}
