@@ -9,6 +9,7 @@ from pyspark.sql.window import Window as W
 from .. import schema as S
 from ..functions import distributions as D
 from . import series
+from .resampling import bootstrap, numbered, permutation_test
 
 TINY = S.TINY
 
@@ -24,9 +25,8 @@ def eta_label(e: Column) -> Column:
 
 def pair_up(a: DataFrame, b: DataFrame, keys: list[str], order: str, value: str = "value") -> DataFrame:
     """(keys, pos, a, b): the n-th value of one group with the n-th of the other, as far as both go."""
-    w = W.partitionBy(*keys).orderBy(order) if keys else W.orderBy(order)
-    one = lambda df, n: df.select(*keys, F.row_number().over(w).alias("pos"), F.col(value).alias(n))
-    return one(a, "a").join(one(b, "b"), [*keys, "pos"])
+    one = lambda df, n: numbered(df.select(*keys, F.col(order).alias("_o"), F.col(value).alias(n)), keys, ["_o", n], f"pairs-{n}").drop("_o")
+    return one(a, "a").join(one(b, "b"), [*keys, "pos"]).withColumn("pos", F.col("pos") + 1)
 
 
 def paired_t(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -130,8 +130,11 @@ def benjamini_hochberg(tests: DataFrame, keys: list[str], p: str = "p_value", or
 
 
 def bonferroni(tests: DataFrame, keys: list[str], p: str = "p_value", alpha: float = 0.05) -> DataFrame:
-    n = F.count(F.lit(1)).over(W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0)))
-    return tests.withColumn("adjusted_p", F.least(F.col(p) * n, F.lit(1.0))).withColumn("threshold", F.lit(alpha) / n).withColumn("significant", F.col(p) < F.lit(alpha) / n)
+    """Adds adjusted_p, threshold and significant; tests are counted by an aggregate, so those of a whole table stay where they are."""
+    tests, by = (tests, keys) if keys else (tests.withColumn("_all", F.lit(0)), ["_all"])
+    t = tests.join(tests.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")), by)
+    n = F.col("_n")
+    return t.withColumn("adjusted_p", F.least(F.col(p) * n, F.lit(1.0))).withColumn("threshold", F.lit(alpha) / n).withColumn("significant", F.col(p) < F.lit(alpha) / n).drop("_n", "_all")
 
 
 def summary(values: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
@@ -146,37 +149,6 @@ def with_interval(t: DataFrame, level: float = 0.95) -> DataFrame:
     return t.withColumn("ci_low", F.col("mean") - half).withColumn("ci_high", F.col("mean") + half)
 
 
-def permutation_test(values: DataFrame, keys: list[str], group: str, a, b, value: str = "value", n: int = 1000, seed: int = 0, alternative: str = "two-sided") -> DataFrame:
-    """(keys, observed_diff, p_value).  Each permutation orders the pooled rows by a seeded hash and takes the first n_a as group a.
-
-    Permutations are rows, so the work is spread over (key, permutation); nothing of the null distribution is gathered.
-    """
-    pooled = values.where(F.col(group).isin(a, b)).select(*keys, F.col(value).cast("double").alias("v"), (F.col(group) == a).alias("is_a"))
-    pooled = pooled.withColumn("i", F.row_number().over(W.partitionBy(*keys).orderBy("is_a", "v")))
-    seen = pooled.groupBy(*keys).agg(F.count_if("is_a").alias("n_a"), (F.avg(F.when(F.col("is_a"), F.col("v"))) - F.avg(F.when(~F.col("is_a"), F.col("v")))).alias("observed_diff"))
-    draws = pooled.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(n)))).join(seen, keys)
-    w = W.partitionBy(*keys, "k").orderBy(F.xxhash64(F.lit(seed), "k", "i"), "i")
-    draws = draws.withColumn("to_a", F.row_number().over(w) <= F.col("n_a"))
-    null = draws.groupBy(*keys, "k").agg((F.avg(F.when(F.col("to_a"), F.col("v"))) - F.avg(F.when(~F.col("to_a"), F.col("v")))).alias("null_diff"))
-    j = null.join(seen, keys)
-    hit = {"greater": F.col("null_diff") >= F.col("observed_diff"), "less": F.col("null_diff") <= F.col("observed_diff")}.get(alternative, F.abs("null_diff") >= F.abs("observed_diff") - 1e-12)
-    got = j.groupBy(*keys).agg(F.first("observed_diff").alias("observed_diff"), ((F.count_if(hit) + 1) / F.lit(n + 1.0)).alias("p_value"))
-    return got.withColumn("significant", F.col("p_value") < 0.05)
-
-
-def bootstrap(values: DataFrame, keys: list[str], value: str = "value", n: int = 1000, level: float = 95.0, seed: int = 0, statistic=F.avg) -> DataFrame:
-    """(keys, mean, ci_low, ci_high, bias) of ``statistic`` (an aggregate): draws with replacement by a seeded hash."""
-    rows = values.select(*keys, F.col(value).cast("double").alias("v")).withColumn("i", F.row_number().over(W.partitionBy(*keys).orderBy("v")) - 1)
-    rows = rows.withColumn("n", F.count(F.lit(1)).over(W.partitionBy(*keys)))
-    seen = rows.groupBy(*keys).agg(statistic("v").alias("mean"))
-    draws = rows.select(*keys, "i", "n").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    draws = draws.select(*keys, "k", F.pmod(F.xxhash64(F.lit(seed), "k", "i"), F.col("n")).cast("int").alias("i"))
-    stats = draws.join(rows.select(*keys, "i", "v"), [*keys, "i"]).groupBy(*keys, "k").agg(statistic("v").alias("s"))
-    tail = (100 - level) / 200
-    got = stats.groupBy(*keys).agg(F.percentile("s", F.lit(tail)).alias("ci_low"), F.percentile("s", F.lit(1 - tail)).alias("ci_high"), F.avg("s").alias("m"))
-    return got.join(seen, keys).select(*keys, "mean", "ci_low", "ci_high", (F.col("m") - F.col("mean")).alias("bias"))
-
-
 def rigorous(values: DataFrame, keys: list[str], group: str, a, b, order: str, value: str = "value", n: int = 1000, seed: int = 0) -> DataFrame:
     """One row for each key: description of both groups, paired t test, effect size, permutation test, bootstrap interval of the mean
     difference, and a sentence.  Values that are null or not a number are left out; pairs are the n-th values by ``order``."""

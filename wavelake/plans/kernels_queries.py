@@ -106,7 +106,7 @@ def x13(t):
 def a36(t):
     """Prices of open orders against those of finished ones, by priority, paired in order of their keys."""
     o = t.table("orders").where("o_orderstatus IN ('O', 'F')").select(F.col("o_orderpriority").alias("metric"), F.col("o_orderstatus").alias("g"), F.col("o_orderkey").alias("i"), F.col("o_totalprice").cast("double").alias("value"))
-    return X.rigorous(o, ["metric"], "g", "O", "F", "i", n=200)
+    return X.rigorous(o, ["metric"], "g", "O", "F", "i")
 
 
 @query("x04_study_report")
