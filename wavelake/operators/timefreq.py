@@ -95,38 +95,158 @@ def coupling(rows: DataFrame, keys: list[str], bins: int = 18) -> DataFrame:
     return per.select(*keys, p.alias("p")).groupBy(*keys).agg((F.sum(F.when(F.col("p") > 0, F.col("p") * F.ln(F.col("p") * bins)).otherwise(0.0)) / float(np.log(bins))).alias("mi"))
 
 
-def permuted(power: DataFrame, keys: list[str], n: int = 200, seed: int = 0, base: tuple[int, int] | None = None) -> DataFrame:
-    """(keys, freq_idx, time_idx, p_value) of after against before, or of two conditions.
+# -- grids: frequencies x times of an epoch, summed as arrays before they become rows ---------------------------------------
 
-    ``power`` has (keys, epoch_idx, freq_idx, time_idx, power) and, without ``base``, ``side`` (0 or 1).  One group is one
-    frequency of one key; all groups use the same seeded permutations of epochs.
+
+def epochs_of(rows: DataFrame, keys: list[str], at: str = "rel_idx") -> DataFrame:
+    """(keys, epoch_idx, x, side): the channels of an epoch as arrays in order; ``side`` if the rows have one."""
+    one = _arrays(rows, [*keys, "epoch_idx", "channel_idx", *(["side"] if "side" in rows.columns else [])], at)
+    more = [F.first("side").alias("side")] if "side" in rows.columns else []
+    return one.groupBy(*keys, "epoch_idx").agg(F.collect_list("x").alias("x"), *more)
+
+
+def _grids(column, fs: float, freqs):
+    """Mean power over channels and direction of the mean unit vector, (epochs, frequencies, times) each, of epochs of one length."""
+    sizes = np.array([len(e) for e in column])
+    lengths = np.array([len(e[0]) for e in column])
+    for n in np.unique(lengths):
+        some = np.nonzero(lengths == n)[0]
+        coef = K.wavelet_transforms(np.array([c for i in some for c in column[i].as_py()], float), fs, freqs)
+        first = np.cumsum(sizes[some]) - sizes[some]
+        unit = np.add.reduceat(coef / np.maximum(np.abs(coef), 1e-300), first, axis=0)
+        yield some, np.add.reduceat(np.abs(coef) ** 2, first, axis=0) / sizes[some][:, None, None], unit / np.maximum(np.abs(unit), 1e-300)
+
+
+def _kinds(df: DataFrame, keys: list[str]) -> list:
+    return [df.schema[c] for c in keys]
+
+
+def mean_grids(epochs: DataFrame, keys: list[str], fs: float, freqs=None) -> DataFrame:
+    """(keys, freq_idx, freq, time_idx, power, itpc): mean power over epochs, and the length of their mean unit vector.
+
+    Every task adds up its epochs' grids; one array for each key and task is shuffled.
     """
-    import pandas as pd
+    import pyarrow as pa
+    from pyspark.sql.types import ArrayType, DoubleType, LongType, StructType
 
-    by = [*keys, "freq_idx"]
+    freqs = K.log_grid() if freqs is None else np.asarray(freqs, float)
+    many = ArrayType(DoubleType())
+    schema = StructType(_kinds(epochs, keys)).add("n", LongType()).add("times", LongType())
+    for c in ("power", "re", "im"):
+        schema = schema.add(c, many)
 
-    def run(pdf):
-        cells = pdf.pivot_table(index=["side", "epoch_idx"] if base is None else ["epoch_idx"], columns="time_idx", values="power")
-        m = cells.to_numpy()
+    def partial(batches):
+        held: dict = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                names = list(zip(*[part.column(c).to_pylist() for c in keys], strict=True))
+                for some, power, unit in _grids(part.column("x"), fs, freqs):
+                    for name in set(names[i] for i in some):
+                        pick = [k for k, i in enumerate(some) if names[i] == name]
+                        got = [len(pick), power[pick].sum(axis=0), unit[pick].sum(axis=0)]
+                        own = held.get((name, power.shape[2]))
+                        held[name, power.shape[2]] = got if own is None else [a + b for a, b in zip(own, got, strict=True)]
+            if len(held) > 500:
+                yield from told(held)
+                held = {}
+        yield from told(held)
+
+    def told(held):
+        for (name, times), (n, power, unit) in held.items():
+            cols = [pa.array([v], t) for v, t in zip(name, key_types, strict=True)] + [pa.array([n]), pa.array([times])]
+            yield pa.record_batch([*cols, *[pa.array([g.ravel()], pa.list_(pa.float64())) for g in (power, unit.real, unit.imag)]], names=schema.names)
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    key_types = [to_arrow_type(f.dataType) for f in _kinds(epochs, keys)]
+
+    def whole(table):
+        total = [np.sum([np.asarray(v) for v in table.column(c).to_pylist()], axis=0) for c in ("power", "re", "im")]
+        cols = [table.column(c).slice(0, 1) for c in [*keys]] + [pa.array([int(np.sum(table.column("n").to_numpy()))]), table.column("times").slice(0, 1)]
+        return pa.table([*cols, *[pa.array([v], pa.list_(pa.float64())) for v in total]], names=schema.names)
+
+    sums = epochs.select(*keys, "x").mapInArrow(partial, schema).groupBy(*keys, "times").applyInArrow(whole, schema)
+    rows = sums.select(*keys, "n", "times", F.posexplode(F.arrays_zip("power", "re", "im")).alias("cell", "z"))
+    grid = F.array(*[F.lit(float(f)) for f in freqs])
+    k = F.expr("cell div times").cast("int")
+    length = F.sqrt(F.col("z.re") * F.col("z.re") + F.col("z.im") * F.col("z.im")) / F.col("n")
+    return rows.select(*keys, k.alias("freq_idx"), F.get(grid, k).alias("freq"), (F.col("cell") % F.col("times")).cast("int").alias("time_idx"), (F.col("z.power") / F.col("n")).alias("power"), length.alias("itpc"))
+
+
+#: Epochs of one block of a permutation test, and of those transformed at a time.
+EPOCHS, AT_ONCE = 4096, 128
+
+
+def permuted(epochs: DataFrame, keys: list[str], fs: float, freqs=None, n: int = 200, seed: int = 0, base: tuple[int, int] | None = None, block: int = EPOCHS) -> DataFrame:
+    """(keys, freq_idx, time_idx, p_value) of power after against before the event (``base``: first and last time of before), or of
+    two conditions (``side`` 0 and 1).
+
+    Each draw splits the pooled epochs into groups of the sizes seen; all cells of a key use the same draws.  A block of epochs gives
+    the product of its membership matrix (draws x epochs, from seeds) and its powers (epochs x cells); products are added over
+    blocks, so a key of any number of epochs is many tasks and no epoch is shuffled for a draw.  Keys with one group alone have p 1.
+    """
+    import pyarrow as pa
+    from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructType
+
+    from ..functions import draws as D
+    from . import resampling as R
+
+    freqs = K.log_grid() if freqs is None else np.asarray(freqs, float)
+    side = F.lit(0) if base is not None else F.col("side").cast("int")
+    rows = R.numbered(epochs.select(*keys, "epoch_idx", "x", side.alias("side")), keys, ["epoch_idx"], "permuted-epochs")
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("side") == 0).alias("_na"))
+    rows = R._joined(rows, sizes, keys).withColumn("_seed", F.xxhash64(F.lit(seed), *keys)).withColumn("_block", F.expr(f"pos div {block}"))
+    schema = StructType(_kinds(rows, keys)).add("freq_idx", IntegerType()).add("times", IntegerType()).add("first", IntegerType())
+    schema = schema.add("_n", LongType()).add("_na", LongType()).add("sums", ArrayType(DoubleType()))
+
+    def products(table):
+        table = table.sort_by("pos")
+        total, n_a, at, key_seed = (table.column(c)[0].as_py() for c in ("_n", "_na", "_block", "_seed"))
+        r, rng = table.num_rows, D.block_generator(key_seed, at)
         if base is None:
-            na = int((cells.index.get_level_values(0) == 0).sum())
-            pooled, times = m, cells.columns
+            need, _ = D.shares(key_seed, n, total, n_a, block, at, False)
+            taken = D.members(rng, r, need).T
+        else:  # each epoch stands twice in the pool: its power after, and its mean before
+            need, _ = D.shares(key_seed, n, 2 * total, total, 2 * block, at, False)
+            taken = D.members(rng, 2 * r, need).T
+        in_a, sums, first, x = table.column("side").to_numpy() == 0, None, 0, table.column("x")
+        for low in range(0, r, AT_ONCE):
+            for some, power, _ in _grids(x.slice(low, AT_ONCE), fs, freqs):
+                i = low + some
+                if base is None:
+                    pick = np.vstack([in_a[i], ~in_a[i], taken[:, i]]).astype(float)
+                    got = np.tensordot(pick, power, 1)
+                else:
+                    first = base[1] + 1
+                    ref, after = power[:, :, base[0] : base[1] + 1].mean(axis=2), power[:, :, first:]
+                    got = np.tensordot(np.vstack([np.ones((1, len(i))), np.zeros((1, len(i))), taken[:, i]]), after, 1)
+                    got += np.tensordot(np.vstack([np.zeros((1, len(i))), np.ones((1, len(i))), taken[:, r + i]]), ref, 1)[:, :, None]
+                sums = got if sums is None else sums + got
+        f = sums.shape[1]
+        keep = [pa.chunked_array([pa.concat_arrays([table.column(c).slice(0, 1).combine_chunks()] * f)]) for c in keys]
+        same = lambda v, t: pa.array([v] * f, t)
+        cols = [pa.array(range(f), pa.int32()), same(sums.shape[2], pa.int32()), same(first, pa.int32()), same(total, pa.int64()), same(n_a, pa.int64())]
+        return pa.table([*keep, *cols, pa.array([sums[:, k].ravel() for k in range(f)], pa.list_(pa.float64()))], names=schema.names)
+
+    out = StructType(_kinds(rows, keys)).add("freq_idx", IntegerType()).add("time_idx", IntegerType()).add("p_value", DoubleType())
+
+    def tested(table):
+        total, n_a, times, first = (table.column(c)[0].as_py() for c in ("_n", "_na", "times", "first"))
+        sums = np.sum([np.asarray(v) for v in table.column("sums").to_pylist()], axis=0).reshape(n + 2, times)
+        n_b = total if base is not None else total - n_a
+        if n_a and n_b:
+            every = sums[0] + sums[1]
+            diff = sums / n_a - (every - sums) / n_b
+            near = 1e-12 * (np.abs(sums[0]) / n_a + np.abs(sums[1]) / n_b)
+            p = ((np.abs(diff[2:]) >= np.abs(diff[0]) - near).sum(axis=0) + 1) / (n + 1)
         else:
-            na, times = len(m), cells.columns[cells.columns > base[1]]
-            ref = cells.loc[:, (cells.columns >= base[0]) & (cells.columns <= base[1])].to_numpy().mean(axis=1)
-            pooled = np.concatenate([cells[times].to_numpy(), np.repeat(ref[:, None], len(times), axis=1)])
-        seen = np.abs(pooled[:na].mean(axis=0) - pooled[na:].mean(axis=0))
-        rng, hits = np.random.default_rng(seed), np.zeros(len(times))
-        for _ in range(n):
-            i = rng.permutation(len(pooled))
-            hits += np.abs(pooled[i[:na]].mean(axis=0) - pooled[i[na:]].mean(axis=0)) >= seen - 1e-15
-        out = pd.DataFrame({"time_idx": np.asarray(times, int), "p_value": (hits + 1) / (n + 1)})
-        for c in reversed(by):
-            out.insert(0, c, pdf[c].iloc[0])
-        return out
+            p = np.ones(times)
+        keep = [pa.chunked_array([pa.concat_arrays([table.column(c).slice(0, 1).combine_chunks()] * times)]) for c in [*keys, "freq_idx"]]
+        return pa.table([*keep, pa.array(np.arange(first, first + times), pa.int32()), pa.array(p)], names=out.names)
 
-    kind = ", ".join(f"`{c}` {power.schema[c].dataType.simpleString()}" for c in by)
-    return power.groupBy(*by).applyInPandas(run, f"{kind}, time_idx int, p_value double")
+    blocks = rows.groupBy(*keys, "_block").applyInArrow(products, schema)
+    return blocks.groupBy(*keys, "freq_idx").applyInArrow(tested, out)
 
 
 def effect_threshold(diff: DataFrame, column: str = "diff", limit: float = 1.0) -> DataFrame:

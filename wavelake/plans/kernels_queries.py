@@ -37,34 +37,39 @@ def a20(t):
     return T.coupling(T.phase_and_amplitude(_label_series(t), ["recording_id"], RATE), ["recording_id"])
 
 
-def _coef(t):
-    e = t.epochs().select("label", F.col("vec_id").alias("epoch_idx"), F.lit(0).alias("channel_idx"), F.col("sample_idx").alias("rel_idx"), "value")
-    return T.coefficients(e, ["label", "epoch_idx", "channel_idx"], "rel_idx", RATE, K.log_grid(4, 45))
+def _epochs(t):
+    """Each vector is one epoch of one channel, as it stands in the table."""
+    x = F.array(F.col("embedding").cast("array<double>"))
+    return t.table("embeddings").select(F.col("label").cast("long").alias("label"), F.col("vec_id").alias("epoch_idx"), x.alias("x"))
+
+
+def _means(t):
+    return T.mean_grids(_epochs(t), ["label"], RATE, K.log_grid(4, 45))
 
 
 @query("w18_wavelet_power")
 def w18(t):
-    return T.epoch_power(_coef(t), ["label"]).groupBy("label", "freq_idx", "freq").agg(F.avg("power").alias("power"))
+    return _means(t).groupBy("label", "freq_idx", "freq").agg(F.avg("power").alias("power"))
 
 
 @query("a17_perturbation")
 def a17(t):
-    return T.perturbation(T.epoch_power(_coef(t), ["label"]), ["label"], (0, 15))
+    return T.perturbation(_means(t), ["label"], (0, 15))
 
 
 @query("a18_desynchronisation")
 def a18(t):
-    return T.desynchronisation(T.perturbation(T.epoch_power(_coef(t), ["label"]), ["label"], (0, 15)), ["label"], 0.5)
+    return T.desynchronisation(T.perturbation(_means(t), ["label"], (0, 15)), ["label"], 0.5)
 
 
 @query("a19_phase_locking")
 def a19(t):
-    return T.phase_locking(_coef(t), ["label"])
+    return _means(t).drop("power")
 
 
 @query("a32_time_frequency_permutation")
 def a32(t):
-    return T.permuted(T.epoch_power(_coef(t), ["label"]), ["label"], base=(0, 15))
+    return T.permuted(_epochs(t), ["label"], RATE, K.log_grid(4, 45), base=(0, 15))
 
 
 @query("w19_resampled")
