@@ -91,24 +91,53 @@ def _run_section(b, a, x: np.ndarray, state: np.ndarray, block: int = 256) -> np
         k = len(u)
         out[at : at + k] = forced[:k, :k] @ u + free[:k] @ state
         state = powers[k] @ state + carry[:, block - k :] @ u
-    return out
+    return out, state
 
 
-def filter_zero_phase(sos: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Forward and backward, with odd extension by three times the number of coefficients and steady initial states."""
+def run_sections(sos: np.ndarray, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sections one after another over x from their states (two numbers each): outputs and the states at the end."""
+    state = np.array(state, float).reshape(-1, 2)
+    for k, row in enumerate(sos):
+        x, state[k] = _run_section(row[:3], row[3:], x, state[k])
+    return x, state.ravel()
+
+
+def steady_states(sos: np.ndarray, level: float) -> np.ndarray:
+    """States that a constant input of ``level`` leaves as they are."""
+    out = []
+    for row in sos:
+        out.append(_steady(row[:3], row[3:]) * level)
+        level = level * row[:3].sum() / row[3:].sum()
+    return np.concatenate(out)
+
+
+@lru_cache(maxsize=64)
+def _transition(sections: tuple, n: int) -> np.ndarray:
+    sos = np.array(sections)
+    one = np.array([run_sections(sos, np.zeros(1), e)[1] for e in np.eye(2 * len(sos))]).T
+    return np.linalg.matrix_power(one, n)
+
+
+def transition(sos: np.ndarray, n: int) -> np.ndarray:
+    """The matrix that takes states over n samples without input."""
+    return _transition(tuple(map(tuple, sos)), n)
+
+
+def extension(sos: np.ndarray) -> int:
+    """Samples by which zero-phase filtering extends a series at both ends: three times the number of coefficients."""
     order = int((sos[:, 5] != 0).sum() + ((sos[:, 4] != 0) | (sos[:, 5] != 0)).sum())
-    pad = 3 * (order + 1)
+    return 3 * (order + 1)
+
+
+def filter_zero_phase(sos: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Forward and backward, with odd extension at both ends and steady initial states."""
+    pad = extension(sos)
     x = np.asarray(x, float)
     if len(x) <= pad:
         raise ValueError(f"the filter needs more than {pad} samples, got {len(x)}")
     ext = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
     for _ in range(2):
-        y, level = ext, ext[0]
-        for row in sos:
-            b, a = row[:3], row[3:]
-            y = _run_section(b, a, y, _steady(b, a) * level)
-            level = level * b.sum() / a.sum()
-        ext = y[::-1]
+        ext = run_sections(sos, ext, steady_states(sos, ext[0]))[0][::-1]
     return ext[pad : len(ext) - pad]
 
 
@@ -120,18 +149,26 @@ def band_limits(fs: float, lp: float, hp: float) -> tuple[float, float]:
     return lp, (lp * 0.1 if hp >= lp else hp)
 
 
-def clean_channel(x: np.ndarray, fs: float, lp: float | None, hp: float | None, notch: float | None, strict: bool = False, order: int = 4) -> np.ndarray:
-    """Band-pass (or one-sided) and notch; ``strict`` refuses edges beyond half the rate instead of moving them."""
-    half = fs / 2
+def cleaning(fs: float, lp: float | None, hp: float | None, notch: float | None, strict: bool = False, order: int = 4) -> list[np.ndarray]:
+    """Sections of the filters one after another: band-pass (or one-sided), then notch; ``strict`` refuses edges beyond half the rate
+    instead of moving them."""
+    half, out = fs / 2, []
     if strict:
         if any(f is not None and f > half for f in (lp, hp)) or (lp is not None and hp is not None and hp >= lp):
             raise ValueError(f"filter edges {hp} and {lp} do not fit the rate {fs}")
     elif lp is not None and hp is not None:
         lp, hp = band_limits(fs, lp, hp)
     if lp is not None or hp is not None:
-        x = filter_zero_phase(butter_sos(order, hp, lp, fs), x)
+        out.append(butter_sos(order, hp, lp, fs))
     if notch and notch < half - 1:
-        x = filter_zero_phase(notch_sos(notch, fs), x)
+        out.append(notch_sos(notch, fs))
+    return out
+
+
+def clean_channel(x: np.ndarray, fs: float, lp: float | None, hp: float | None, notch: float | None, strict: bool = False, order: int = 4) -> np.ndarray:
+    """The whole series through ``cleaning``."""
+    for sos in cleaning(fs, lp, hp, notch, strict, order):
+        x = filter_zero_phase(sos, x)
     return np.asarray(x, float)
 
 
@@ -149,6 +186,36 @@ def analytic(x: np.ndarray) -> np.ndarray:
     return np.fft.ifft(np.fft.fft(x) * h)
 
 
+def quadrature(d: np.ndarray, n: int, odd) -> np.ndarray:
+    """The kernel by which a transform of n samples (a ring) turns all phases by a quarter, at distance d; ``odd``: as for odd d."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        if n % 2 == 0:
+            h = np.where(odd, 2 / np.tan(np.pi * d / n), 0.0) / n
+        else:
+            h = np.where(odd, 1 / np.tan(np.pi * d / (2 * n)), -np.tan(np.pi * d / (2 * n))) / n
+    return np.where(d == 0, 0.0, h)
+
+
+def nodes(p: int) -> np.ndarray:
+    return np.cos(np.pi * (2 * np.arange(p) + 1) / (2 * p))
+
+
+def interpolation(at: np.ndarray, p: int) -> np.ndarray:
+    """(places, p): weights of the values at ``nodes`` for places in [-1, 1]."""
+    k = np.arange(1, p)[:, None]
+    return 1 / p + 2 / p * np.cos(k * np.arccos(np.clip(at, -1, 1))).T @ np.cos(k * np.arccos(nodes(p)))
+
+
+def near_quadrature(x: np.ndarray, low: int, high: int, n: int) -> np.ndarray:
+    """What the samples x give at their places low to high - 1."""
+    d = np.arange(low - len(x) + 1, high)
+    full = len(x) + len(d) - 1
+    while _rough(full):
+        full += 1
+    got = np.fft.irfft(np.fft.rfft(x, full) * np.fft.rfft(quadrature(d, n, d % 2 != 0), full), full)
+    return got[len(x) - 1 : len(x) - 1 + high - low]
+
+
 def hann(n: int) -> np.ndarray:
     return 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n) if n > 1 else np.ones(1)
 
@@ -237,28 +304,36 @@ def _rough(n: int) -> bool:
 # -- resampling ------------------------------------------------------------------------------------------------------
 
 
-def resample_ratio(x: np.ndarray, up: int, down: int) -> np.ndarray:
-    """Polyphase resampling with a Kaiser-windowed (beta 5) low-pass of twenty lobes, zero-padded ends."""
+def ratio_kernel(up: int, down: int) -> tuple[int, int, np.ndarray]:
+    """Ratio without common factors, and a Kaiser-windowed (beta 5) low-pass of twenty lobes for it."""
     g = gcd(up, down)
     up, down = up // g, down // g
-    if up == down:
-        return np.asarray(x, float)
     most = max(up, down)
     half = 10 * most
     t = np.arange(-half, half + 1)
     h = np.sinc(t / most) / most * np.kaiser(2 * half + 1, 5.0)
-    h = h / h.sum() * up
-    n = -(-len(x) * up // down)
-    out = np.zeros(n)
-    at = np.arange(n) * down
+    return up, down, h / h.sum() * up
+
+
+def resample_part(x: np.ndarray, first: int, low: int, high: int, up: int, down: int, h: np.ndarray) -> np.ndarray:
+    """Outputs low to high - 1 of polyphase resampling, where x has the inputs from ``first`` on; others count as zero."""
+    half, out = len(h) // 2, np.zeros(high - low)
+    at = np.arange(low, high) * down
     for j in range(-(half // up) - 1, half // up + 2):
         src = at // up + j
         lag = at - src * up
-        ok = (src >= 0) & (src < len(x)) & (np.abs(lag) <= half)
-        out[ok] += np.asarray(x, float)[src[ok]] * h[lag[ok] + half]
+        ok = (src >= first) & (src < first + len(x)) & (np.abs(lag) <= half)
+        out[ok] += x[src[ok] - first] * h[lag[ok] + half]
     return out
 
 
+def resample_ratio(x: np.ndarray, up: int, down: int) -> np.ndarray:
+    """Polyphase resampling, zero-padded ends."""
+    up, down, h = ratio_kernel(up, down)
+    x = np.asarray(x, float)
+    return x if up == down else resample_part(x, 0, 0, -(-len(x) * up // down), up, down, h)
+
+
 def resample_fourier(x: np.ndarray, n: int) -> np.ndarray:
     """Resampling to n points through the spectrum."""
     m = len(x)

@@ -23,19 +23,20 @@ NEAR = 1e-11
 SPREADS = {"stddev_samp": 1, "stddev_pop": 0}
 
 
-def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
-    """``rows`` with ``pos`` (long, from 0 in each key) in the order of ``order``; rows that are alike in it are told apart as they come."""
+def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str, total: str | None = None) -> DataFrame:
+    """``rows`` with ``pos`` (long, from 0 in each key) in the order of ``order``, and their number in the key if ``total`` names it;
+    rows that are alike in the order are told apart as they come."""
     by = [*keys, *order, "_tie"]
     # where the rows come from is read twice; which of two like rows comes first does not matter
     ranged = rows.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*by).sortWithinPartitions(*by).drop("_tie")
     ranged = staged(ranged.withColumn("_at", F.monotonically_increasing_id()).withColumn("_task", F.shiftright("_at", 33)), name)
     runs = ranged.groupBy(*keys, "_task").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_held"))
     w = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))  # one row for each key and task
-    runs = runs.withColumn("_before", F.sum("_held").over(w.orderBy("_task")) - F.col("_held"))
+    runs = runs.withColumn("_before", F.sum("_held").over(w.orderBy("_task")) - F.col("_held")).withColumn("_all", F.sum("_held").over(w))
     same = F.lit(True)
     for c in [*keys, "_task"]:
         same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
-    return ranged.alias("l").join(runs.alias("r"), same).select(*[F.col(f"l.{c}") for c in rows.columns], (F.col("_at") - F.col("_first") + F.col("_before")).alias("pos"))
+    return ranged.alias("l").join(runs.alias("r"), same).select(*[F.col(f"l.{c}") for c in rows.columns], (F.col("_at") - F.col("_first") + F.col("_before")).alias("pos"), *([F.col("_all").alias(total)] if total else []))
 
 
 def _summed(blocks: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

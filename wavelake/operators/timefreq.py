@@ -8,8 +8,14 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import kernels as K
+from ..sources.scratch import staged
+from . import chunks as C
+from . import resampling as R
 from . import series
 
+#: Samples of the longest channel that one task filters or resamples as a whole.
+WHOLE = 4 * C.CHUNK
+
 
 def _arrays(rows: DataFrame, keys: list[str], at: str) -> DataFrame:
     pairs = F.transform(F.array_sort(F.collect_list(F.struct(at, "value"))), lambda p: p["value"])
@@ -73,8 +79,20 @@ def phase_locking(coef: DataFrame, keys: list[str], mean_angles: bool = False) -
     return one.groupBy(*keys, "freq_idx", "freq", "time_idx").agg((F.sqrt(c * c + s * s) / F.count(F.lit(1))).alias("itpc"))
 
 
-def phase_and_amplitude(samples: DataFrame, keys: list[str], fs: float, slow=(4.0, 8.0), fast=(30.0, 45.0)) -> DataFrame:
-    """(keys, sample_idx, phase, amplitude): phase of the slow band, amplitude of the fast band, of each channel as one group."""
+def _short_and_long(samples: DataFrame, keys: list[str], most: int) -> tuple[DataFrame, DataFrame | None]:
+    """Channels that one task takes as a whole, and those of more than ``most`` samples (None if there are none)."""
+    sizes = staged(samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "channel-sizes")
+    if sizes.where(F.col("_n") > most).isEmpty():
+        return samples, None
+    t = R._joined(samples, sizes, keys)
+    return t.where(F.col("_n") <= most).drop("_n"), t.where(F.col("_n") > most).drop("_n")
+
+
+def phase_and_amplitude(samples: DataFrame, keys: list[str], fs: float, slow=(4.0, 8.0), fast=(30.0, 45.0), size: int = C.CHUNK // 4) -> DataFrame:
+    """(keys, sample_idx, phase, amplitude): phase of the slow band, amplitude of the fast band, of each channel.
+
+    A channel of up to ``chunks.RING`` times ``size`` samples is one group; a longer one goes in chunks.
+    """
     def run(pdf):
         pdf = pdf.sort_values("sample_idx")
         x = pdf["value"].to_numpy()
@@ -83,7 +101,15 @@ def phase_and_amplitude(samples: DataFrame, keys: list[str], fs: float, slow=(4.
         return pdf[[*keys, "sample_idx", "phase", "amplitude"]]
 
     kind = ", ".join(f"`{c}` {samples.schema[c].dataType.simpleString()}" for c in keys)
-    return samples.select(*keys, "sample_idx", "value").groupBy(*keys).applyInPandas(run, f"{kind}, sample_idx long, phase double, amplitude double")
+    short, long = _short_and_long(samples.select(*keys, F.col("sample_idx").cast("long").alias("sample_idx"), "value"), keys, C.RING * size)
+    out = short.groupBy(*keys).applyInPandas(run, f"{kind}, sample_idx long, phase double, amplitude double")
+    if long is None:
+        return out
+    chunks = C.chunked(long, keys, size)
+    part = lambda band: C.analytic(C.zero_phase(chunks, keys, K.butter_sos(4, *band, fs), size), keys, size)
+    both = R._joined(part(slow).select(*keys, "chunk", "idx", F.col("re").alias("a"), F.col("im").alias("b")), part(fast).select(*keys, "chunk", "re", "im"), [*keys, "chunk"])
+    z = both.select(*keys, F.explode(F.arrays_zip("idx", "a", "b", "re", "im")).alias("z"))
+    return out.unionByName(z.select(*keys, F.col("z.idx").alias("sample_idx"), F.atan2("z.b", "z.a").alias("phase"), F.hypot("z.re", "z.im").alias("amplitude")))
 
 
 def coupling(rows: DataFrame, keys: list[str], bins: int = 18) -> DataFrame:
@@ -190,7 +216,6 @@ def permuted(epochs: DataFrame, keys: list[str], fs: float, freqs=None, n: int =
     from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructType
 
     from ..functions import draws as D
-    from . import resampling as R
 
     freqs = K.log_grid() if freqs is None else np.asarray(freqs, float)
     side = F.lit(0) if base is not None else F.col("side").cast("int")
@@ -254,10 +279,13 @@ def effect_threshold(diff: DataFrame, column: str = "diff", limit: float = 1.0)
     return diff.withColumn("beyond_threshold", F.abs(column) > limit)
 
 
-def cleaned(samples: DataFrame, keys: list[str], fs: float, lp: float | None = 45.0, hp: float | None = 1.0, notch: float | None = 50.0, strict: bool = False) -> DataFrame:
-    """(keys, sample_idx, value, error): zero-phase filters over each channel as one group.
+def cleaned(
+    samples: DataFrame, keys: list[str], fs: float, lp: float | None = 45.0, hp: float | None = 1.0, notch: float | None = 50.0, strict: bool = False, most: int = WHOLE, size: int = C.CHUNK
+) -> DataFrame:
+    """(keys, sample_idx, value, error): zero-phase filters over each channel.
 
-    A channel that can't be filtered gives its rows back with null values and the reason, and doesn't fail the job.
+    A channel of up to ``most`` samples is one group, a longer one goes in chunks of ``size``.  A channel that can't be filtered
+    gives its rows back with null values and the reason, and doesn't fail the job.
     """
     def run(pdf):
         pdf = pdf.sort_values("sample_idx")
@@ -269,11 +297,27 @@ def cleaned(samples: DataFrame, keys: list[str], fs: float, lp: float | None = 4
         return pdf[[*keys, "sample_idx", "value", "error"]]
 
     kind = ", ".join(f"`{c}` {samples.schema[c].dataType.simpleString()}" for c in keys)
-    return samples.select(*keys, "sample_idx", "value").groupBy(*keys).applyInPandas(run, f"{kind}, sample_idx long, value double, error string")
-
-
-def resampled(samples: DataFrame, keys: list[str], fs: int, target: int, fourier: bool = False) -> DataFrame:
-    """(keys, sample_idx, value) at the target rate, each channel as one group."""
+    short, long = _short_and_long(samples.select(*keys, F.col("sample_idx").cast("long").alias("sample_idx"), "value"), keys, most)
+    out = short.groupBy(*keys).applyInPandas(run, f"{kind}, sample_idx long, value double, error string")
+    if long is None:
+        return out
+    try:
+        filters = K.cleaning(fs, lp, hp, notch, strict)
+    except ValueError as e:
+        none = F.lit(None).cast("double").alias("value")
+        return out.unionByName(long.select(*keys, "sample_idx", none, F.lit(f"{type(e).__name__}: {e}").alias("error")))
+    chunks = C.chunked(long, keys, size)
+    for sos in filters:
+        chunks = C.zero_phase(chunks, keys, sos, size)
+    return out.unionByName(C.samples_of(chunks, keys).withColumn("error", F.lit(None).cast("string")))
+
+
+def resampled(samples: DataFrame, keys: list[str], fs: int, target: int, fourier: bool = False, most: int = WHOLE, size: int = C.CHUNK) -> DataFrame:
+    """(keys, sample_idx, value) at the target rate.
+
+    Polyphase resampling takes channels of more than ``most`` samples in chunks of about ``size``; through the spectrum
+    (``fourier``) each channel is one group.
+    """
     if fs == target:
         return samples.select(*keys, "sample_idx", "value")
 
@@ -288,4 +332,11 @@ def resampled(samples: DataFrame, keys: list[str], fs: int, target: int, fourier
         return out
 
     kind = ", ".join(f"`{c}` {samples.schema[c].dataType.simpleString()}" for c in keys)
-    return samples.select(*keys, "sample_idx", "value").groupBy(*keys).applyInPandas(run, f"{kind}, sample_idx long, value double")
+    rows = samples.select(*keys, "sample_idx", "value")
+    short, long = (rows, None) if fourier else _short_and_long(rows, keys, most)
+    out = short.groupBy(*keys).applyInPandas(run, f"{kind}, sample_idx long, value double")
+    if long is None:
+        return out
+    step = K.ratio_kernel(target, fs)[1]
+    size = max(step, size // step * step)
+    return out.unionByName(C.resampled(C.chunked(long, keys, size), keys, fs, target, size))
