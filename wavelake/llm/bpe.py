@@ -30,6 +30,8 @@ from . import common as C
 
 MOST_NODES = 300_000
 MOST_WORDS = 200_000
+#: Letters of the longest word that is kept, so that kept words are bounded in bytes too (about 60 MB).
+KEPT_LENGTH = 64
 MOST_PAIRS = 200_000
 #: Text (characters) encoded at a time, and ids that one Arrow batch of the output holds, about.
 PART_CHARS = 1 << 20
@@ -85,6 +87,7 @@ class TrieBPE:
         self.pairs: dict[tuple[int, int], bool] = {}
         self.words: dict[str, bytes] = {}
         self.elder: dict[str, bytes] = {}
+        self.long: list[str] = []
         self._clear()
 
     def _automaton(self) -> None:
@@ -211,6 +214,15 @@ class TrieBPE:
         for w in sorted(new):  # code points sort as their bytes do
             ids = elder.get(w)
             known[w] = follow(w.encode()) if ids is None else ids
+            if len(w) > KEPT_LENGTH:
+                self.long.append(w)
+
+    def _forget(self) -> None:
+        """Long words go once the texts that hold them are done."""
+        for w in self.long:
+            self.words.pop(w, None)
+            self.elder.pop(w, None)
+        self.long.clear()
 
     def pieces(self, text: str) -> list[tuple[bool, str]]:
         """A text cut at added tokens: (is one, piece)."""
@@ -223,6 +235,7 @@ class TrieBPE:
         while some := list(islice(words, STEP)):
             self.learn(some)
             out.append(b"".join(map(self.words.__getitem__, some)))
+            self._forget()
         return b"".join(out)
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
@@ -230,7 +243,9 @@ class TrieBPE:
         cut = [[pack("<i", self.added[p]) if one else self._encode_long(p) if len(p) > PART_CHARS else self.cut(p) for one, p in self.pieces(t)] for t in texts]
         self.learn(w for pieces in cut for p in pieces if not isinstance(p, bytes) for w in p)
         known = self.words.__getitem__
-        return [b"".join(p if isinstance(p, bytes) else b"".join(map(known, p)) for p in pieces) for pieces in cut]
+        out = [b"".join(p if isinstance(p, bytes) else b"".join(map(known, p)) for p in pieces) for pieces in cut]
+        self._forget()
+        return out
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_all([text])[0], "<i4").tolist()

@@ -48,6 +48,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_names(df: DataFrame) -> list:
+    """Two 64-bit hashes of a whole row.  Spark's hash passes over nulls, so which columns are null goes in beside the values, and
+    values made of parts go in as JSON that shows their nulls."""
+    parts = []
+    for f in df.schema.fields:
+        made = f.dataType.typeName() in ("array", "map", "struct")
+        parts += [F.col(f.name).isNull(), F.to_json(F.struct(f.name), {"ignoreNullFields": "false"}) if made else F.col(f.name)]
+    return [F.xxhash64(*parts), F.xxhash64(F.lit("again"), *reversed(parts))]
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of steps that are staged and done: it does so once their plans are garbage."""
     import gc

@@ -5,8 +5,9 @@ for its start and end, is scored by the mean over its 5-grams that the model kno
 down to single characters; a word of unknown characters scores nothing.  A document is given to the language with the largest
 mean over its words; the score is the softmax of the means times the square root of the number of words scored (64 at most).
 
-The model is learned from a sample of labelled rows of about MOST_BYTES bytes of text (chosen by a hash of the id, so it doesn't
-depend on files) and keeps every word and n-gram of it; this bound makes it safe to collect and broadcast.
+The model is learned from a sample of labelled rows whose different texts have MOST_BYTES bytes together at most, with a part for each
+language (chosen by hashes of id and text, so it doesn't depend on files), and keeps every word and n-gram of it; this bound makes it
+safe to collect and broadcast.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0, and so is every text if nothing could be learned; a
 null id is not held out and not learned from; ties go to the language that sorts first.
@@ -21,6 +22,7 @@ from itertools import islice
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from . import common as C
 
@@ -30,6 +32,8 @@ SMOOTH = 0.5
 UNDECIDED = "und"
 #: Word scores that a Python worker keeps, and words that it looks up at once.
 CACHE = 200_000
+#: Letters of the longest word that is kept.
+KEPT_LENGTH = 64
 STEP = 1 << 16
 _PATTERN = re.compile(r"[^\W\d_]+")
 _WORD, _WORDS = _PATTERN.findall, _PATTERN.finditer
@@ -118,6 +122,10 @@ class Scorer:
         self.index.update(zip(heard, range(self.n, self.n + len(heard)), strict=True))
         self.n += len(heard)
 
+    def _forget(self, words: list[str]) -> None:
+        for w in words:
+            self.index.pop(w, None)
+
     def sums(self, text: str) -> tuple[bool, int, np.ndarray]:
         """Whether a text has a letter, how many of its words say something, and the sum of their scores."""
         some, used, total = False, 0, np.zeros(len(self.model.langs))
@@ -126,6 +134,8 @@ class Scorer:
         while words := list(islice(found, STEP)):
             self._learn(set(words))
             at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+            if len(max(words, key=len)) > KEPT_LENGTH:
+                self._forget([w for w in words if len(w) > KEPT_LENGTH])
             some = some or bool((at > 0).any())
             used += int((at > 1).sum())
             total += self.table[at].sum(axis=0)
@@ -147,22 +157,54 @@ class Scorer:
         return langs, scores
 
 
+def shares(sizes: dict[str, int], most: int) -> dict[str, int]:
+    """Bytes of each language: all it has if that is less than an equal part of what is left, else that part."""
+    out, left = {}, most
+    for k, (lang, size) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = min(size, left // (len(sizes) - k))
+        left -= out[lang]
+    return out
+
+
+def bounded_sample(rows: DataFrame, most_bytes: int) -> DataFrame:
+    """(lang, text, copies) of rows (lang, id, text): different rows whose texts have ``most_bytes`` bytes together at most, dealt to the
+    languages by ``shares``; in each language those of the least hashes of id and text.
+
+    A row that repeats counts as one, with its copies beside it, so no id or text can fill the sample; a text longer than its
+    language's equal part is passed over.  Ids, hashes and sizes are staged, texts are read again for the sample alone.
+    """
+    rows = rows.withColumn("h", F.xxhash64(F.col("id"), F.col("text").isNull(), F.col("text")))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    keys = C.stage(rows.groupBy("lang", "h").agg(F.max(size).alias("b"), F.count(F.lit(1)).alias("copies")), "lang-keys")
+    langs = keys.select("lang").distinct().count()
+    keys = keys.where(F.col("b") <= most_bytes // max(langs, 1))
+    sizes = {r.lang: r.b for r in keys.groupBy("lang").agg(F.sum("b").alias("b")).collect()}  # a row for each language
+    # twice the share at most is looked at in order; hashes are even over their range
+    part = [(lang, share, int(min(1.0, 2 * share / sizes[lang] if sizes[lang] else 1.0) * (1 << 63))) for lang, share in shares(sizes, most_bytes).items()]
+    part = F.broadcast(keys.sparkSession.createDataFrame([(a, b, min(c, (1 << 63) - 1)) for a, b, c in part], "lang string, share long, top long"))
+    low = F.col("h").bitwiseAND((1 << 63) - 1) <= F.col("top")
+    run = W.partitionBy("lang").orderBy("h").rowsBetween(W.unboundedPreceding, W.currentRow)
+    picked = keys.join(part, "lang").where(low).withColumn("run", F.sum("b").over(run)).where("run <= share").select("lang", "h", "copies")
+    near = rows.join(part, "lang").where(low).select("lang", "h", "text")
+    return near.join(C.stage(picked, "lang-picked"), ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text"), F.first("copies").alias("copies")).select("lang", "text", "copies")
+
+
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_bytes: int = MOST_BYTES) -> Model:
     """Counts words and n-grams of the sampled labelled rows that are not held out; every one that occurs is in the model."""
     import pandas as pd
     import pyarrow as pa
 
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-    size = rows.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
-    steps = 1 << 24
-    part = min(steps, int(most_bytes * steps / max(size, 1)))
-    sample = rows.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(steps)) < part).select(F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
+    sample = bounded_sample(rows, most_bytes)
 
     def count(batches):
         for batch in C.sliced(batches, 4096):
             by: dict[str, Counter] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by.setdefault(lang, Counter()).update(_WORD(text.lower()) if text else [])
+            for lang, text, copies in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                c = by.setdefault(lang, Counter())
+                for word, n in Counter(_WORD(text.lower()) if text else []).items():
+                    c[word] += n * copies
             for lang, c in by.items():
                 yield pa.record_batch([pa.array([lang] * len(c), pa.string()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["lang", "word", "n"])
 

@@ -1,14 +1,16 @@
 """License scans by conditional compression.
 
-Blocks of a text around words that license texts use are compressed with each template nearly all of whose words they hold as
-zstandard raw dictionary, and without one.  Templates are ranked by the part of the size that their dictionary saves; however
-little that is, each is held against its exact wording: the template's words are aligned with the block's, and at most a small part
-of them may be missing, added or different (none in a short notice).  The first template in rank that is confirmed names the
-license; the differing words are kept.
+Blocks of a text around words that license texts use are held against templates.  Those of which nearly all words are there are
+candidates (no other could be confirmed); each is the zstandard raw dictionary by which the block's words are compressed, and
+candidates are ranked by the part of the size that this saves.  In that order each is held against its exact wording: its words are
+aligned with the block's, and at most a small part of them may be missing, added or different (none in a short notice).  The first
+that is confirmed names the license of that stretch; its words are taken out of the block and the rest is ranked again, until no
+candidate is confirmed.  So of templates that fit the same words (versions of one license, a short notice within a long one) the
+one that explains most of them wins.  ``scan`` without ``named`` reports every template within the limit.
 
 Edge cases: a null or blank text, or one without such words, has no license; overlapping blocks are merged; several licenses in
 one text are all reported, in alphabetical order; ties in rank go to the template that comes first; an empty table gives an
-empty result; other columns are kept.
+empty result; other columns are kept (``licenses`` replaces a column of that name).
 """
 
 from __future__ import annotations
@@ -124,7 +126,8 @@ _MARK = re.compile("|".join(_MARKS))
 REACH, LINE, MOST = 700, 200, 8000
 #: The part of a template's words that may differ.
 DIFFERING = 0.06
-_WORDS = re.compile(r"[^\W_]+(?:\.\d+)*").findall
+_WORD_PATTERN = re.compile(r"[^\W_]+(?:\.\d+)*")
+_WORDS, _WORD_SPANS = _WORD_PATTERN.findall, _WORD_PATTERN.finditer
 
 
 @lru_cache(maxsize=1)
@@ -133,7 +136,7 @@ def _compressors():
 
     own = dict(level=3, write_content_size=False, write_checksum=False, write_dict_id=False)
     plain = z.ZstdCompressor(**own)
-    return plain, [z.ZstdCompressor(dict_data=z.ZstdCompressionDict(t.encode(), dict_type=z.DICT_TYPE_RAWCONTENT), **own) for _, t in TEMPLATES]
+    return plain, [z.ZstdCompressor(dict_data=z.ZstdCompressionDict(" ".join(_WORDS(t.lower())).encode(), dict_type=z.DICT_TYPE_RAWCONTENT), **own) for _, t in TEMPLATES]
 
 
 @lru_cache(maxsize=1)
@@ -175,8 +178,8 @@ def blocks(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def differences(want: list[str], have: list[str], most: int) -> list[str] | None:
-    """Words missing (-) and added (+) where ``want`` fits best into a stretch of ``have``; None if more than ``most``."""
+def fit(want: list[str], have: list[str], most: int) -> tuple[list[str], int, int] | None:
+    """Words missing (-) and added (+) where ``want`` fits best into a stretch of ``have``, and that stretch; None if more than ``most``."""
     n = len(have)
     row, back = [0] * (n + 1), []
     for i, w in enumerate(want, 1):
@@ -192,7 +195,7 @@ def differences(want: list[str], have: list[str], most: int) -> list[str] | None
         back.append(step)
         if min(row) > 2 * most:
             return None
-    j = min(range(n + 1), key=row.__getitem__)
+    j = end = min(range(n + 1), key=row.__getitem__)
     i, diff = len(want), []
     while i:
         s = back[i - 1][j]
@@ -207,7 +210,58 @@ def differences(want: list[str], have: list[str], most: int) -> list[str] | None
             diff.append(f"+{have[j - 1]}")
             j -= 1
     diff.reverse()
-    return diff if len(diff) <= most else None
+    return (diff, j, end) if len(diff) <= most else None
+
+
+def differences(want: list[str], have: list[str], most: int) -> list[str] | None:
+    got = fit(want, have, most)
+    return got and got[0] if got is not None else None
+
+
+def _confirm(k: int, have: list[str]) -> tuple[list[str], list[tuple[int, int]]] | None:
+    """Differing words and the stretches that a template stands for: the best one, or every exact one of a short notice."""
+    want, most = _template_words()[k], _most(k)
+    if most:
+        got = fit(want, have, most)
+        return got and (got[0], [got[1:]])
+    n = len(want)
+    found = [i for i in range(len(have) - n + 1) if have[i] == want[0] and have[i : i + n] == want]
+    return ([], [(i, i + n) for i in found]) if found else None
+
+
+def rank(text: str, templates: list[int]) -> list[tuple[float, int]]:
+    """(part of the size that its dictionary saves, template) of a lower-case text, the largest saving first."""
+    data = text.encode()
+    plain, withs = _compressors()
+    size = len(plain.compress(data))
+    return sorted(((1 - len(withs[k].compress(data)) / size, k) for k in templates), key=lambda x: (-x[0], x[1]))
+
+
+def name_block(block: str) -> list[tuple[str, int, float, list[str]]]:
+    """(license, template, saved, differences): the first in rank whose wording is confirmed names its stretch; the words of that are
+    taken out, and what is left is ranked again, until no template is confirmed."""
+    low = block.lower()
+    spans = [m.span() for m in _WORD_SPANS(low)]
+    out = []
+    while True:
+        have = [low[a:b] for a, b in spans]
+        held = Counter(have)
+        near = [k for k, want in enumerate(_template_counts()) if (want - held).total() <= _most(k)]
+        for saved, k in rank(" ".join(have), near) if near else ():
+            got = _confirm(k, have)
+            if got is not None:
+                out.append((TEMPLATES[k][0], k, saved, got[0]))
+                for a, b in reversed(got[1]):
+                    low, spans = _without(low, spans, a, b)
+                break
+        else:
+            return out
+
+
+def _without(low: str, spans: list, a: int, b: int) -> tuple[str, list]:
+    """What is left without words a to b - 1; a mark stands where they were, so that nothing joins over the gap."""
+    mark = (len(low), len(low) + 1)
+    return low + "\0", spans[:a] + [mark] + spans[b:]
 
 
 def scan_block(block: str) -> list[tuple[str, int, float, list[str]]]:
@@ -218,12 +272,9 @@ def scan_block(block: str) -> list[tuple[str, int, float, list[str]]]:
     near = [k for k, want in enumerate(_template_counts()) if (want - held).total() <= _most(k)]
     if not near:
         return []
-    data = block.encode()
-    plain, withs = _compressors()
-    size = len(plain.compress(data))
-    saved = {k: 1 - len(withs[k].compress(data)) / size for k in near}
-    confirmed = []
-    for k in sorted(near, key=lambda k: (-saved[k], k)):
+    ranked = rank(" ".join(have), near)
+    saved, confirmed = {k: x for x, k in ranked}, []
+    for _, k in ranked:
         words, most = _template_words()[k], _most(k)
         diff = differences(words, have, most) if most else [] if _times(have, words) else None
         if diff is not None:
@@ -251,17 +302,23 @@ def _times(have: list[str], words: list[str]) -> int:
 KIND = "array<struct<license: string, template: int, start: int, end: int, saved: double, differing: array<string>>>"
 
 
-def scan_text(text: str | None) -> list[dict]:
+def name_text(text: str | None) -> list[dict]:
+    """The licenses that ranking names, each with the block and template that differ least."""
+    return scan_text(text, name_block)
+
+
+def scan_text(text: str | None, of_block=None) -> list[dict]:
+    """Every license whose wording a block holds within the limit, though another may fit the same words better (``name_text``: the best)."""
     best: dict[str, dict] = {}
     for a, b in blocks(text) if text else []:
-        for name, k, saved, diff in scan_block(text[a:b]):
+        for name, k, saved, diff in (of_block or scan_block)(text[a:b]):
             if name not in best or len(diff) < len(best[name]["differing"]):
                 best[name] = {"license": name, "template": k, "start": a, "end": b, "saved": round(saved, 4), "differing": diff}
     return [best[k] for k in sorted(best)]
 
 
-def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``df`` without its text, with ``licenses`` (KIND): what was found, where, and which words differ."""
+def scan(df: DataFrame, text_col: str = "text", named: bool = False) -> DataFrame:
+    """``df`` without its text, with ``licenses`` (KIND): what was found, where, and which words differ; ``named``: what ranking names."""
     import pyarrow as pa
     from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -271,14 +328,14 @@ def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
 
     def op(batches):
         for batch in C.sliced(batches):
-            found = [scan_text(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            found = [(name_text if named else scan_text)(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.record_batch([*[batch.column(k) for k in range(batch.num_columns - 1)], pa.array(found, pa.list_(item))], names=[*held, "licenses"])
 
     return df.select(*held, F.col(text_col).cast("string").alias("__wl_in")).mapInArrow(op, schema)
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan(C.read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = scan(C.read_table(spark, sf_dir, "documents").select("doc_id", "text"), named=True)
     part = lambda f: F.array_join(F.transform("licenses", f), ",")
     return found.select(
         "doc_id", part(lambda x: x["license"]).alias("licenses"), F.size("licenses").cast("long").alias("n_licenses"),

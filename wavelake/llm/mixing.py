@@ -95,6 +95,8 @@ def shared_budgets(tokens: np.ndarray, alpha: float, budget: int, times: np.ndar
 #: Sources up to which their table (about 60 bytes each) is sent to every task instead of being joined by a salted shuffle.
 SENT_SOURCES = 200_000
 SALTS = 64
+#: Buckets in which sources of one token count are numbered.
+NUMBERED = 1024
 
 
 def plan(per_source: DataFrame, budget: int | None, entropy: float, repeats: float) -> tuple[DataFrame, int]:
@@ -113,8 +115,14 @@ def plan(per_source: DataFrame, budget: int | None, entropy: float, repeats: flo
         rows = [tuple(map(int, r)) for r in zip(tokens, whole, more, blocks, strict=True)]
     else:
         rows = []
-    nth = F.row_number().over(W.partitionBy("tokens").orderBy("src"))
-    out = per_source.join(spark.createDataFrame(rows, kind), "tokens").withColumn("budget", F.col("whole") + (nth <= F.col("more")).cast("long"))
+    # which of the sources of one count get a token more: numbered in hash buckets, as millions may share a count
+    part = per_source.withColumn("__wl_b", F.pmod(F.xxhash64("src"), F.lit(NUMBERED)))
+    by = ["tokens", "__wl_b"]
+    before = part.groupBy(*by).agg(F.count(F.lit(1)).alias("__wl_c"))
+    before = before.withColumn("__wl_0", F.sum("__wl_c").over(W.partitionBy("tokens").orderBy("__wl_b")) - F.col("__wl_c")).drop("__wl_c")
+    nth = F.col("__wl_0") + F.row_number().over(W.partitionBy(*by).orderBy("src"))
+    out = part.join(before, by).withColumn("__wl_i", nth).join(spark.createDataFrame(rows, kind), "tokens")
+    out = out.withColumn("budget", F.col("whole") + (F.col("__wl_i") <= F.col("more")).cast("long"))
     return C.stage(out.where("budget > 0").select("src", "tokens", "budget", "blocks"), "mix-plan"), int(times.sum())
 
 
@@ -161,12 +169,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` (all its columns) as often as the mix draws them.
 
-    Rows are named by 128 bits of hashes of all their columns.  Rows that are equal in all columns share a name; one of them then
+    Rows are named by 128 bits of hashes of all their columns and of which of them are null.  Rows that are equal in all columns share a name; one of them then
     stands for all their draws.
     """
     tags = ["__wl_t1", "__wl_t2"]
-    names = [F.xxhash64(*[F.col(c) for c in docs.columns]), F.xxhash64(F.lit("again"), *[F.col(c) for c in reversed(docs.columns)])]
-    tagged = docs.withColumns(dict(zip(tags, names, strict=True)))
+    tagged = docs.withColumns(dict(zip(tags, C.row_names(docs), strict=True)))
     draws = mix(tagged.select(*tags, F.col("source").alias("source"), "text"), tags)
     times = draws.groupBy(*tags).agg(F.count(F.lit(1)).cast("int").alias("__wl_n"))
     seen = tagged.select(*tags).groupBy(*tags).agg(F.count(F.lit(1)).alias("__wl_c"))

@@ -48,6 +48,8 @@ SHARD_ROWS = 20_000
 MOST_SHARDS = 20_000
 #: Pieces of text whose ids a Python worker keeps, and rows that it has as Python objects at a time.
 CACHE = 200_000
+#: Letters of the longest piece that is kept, so that kept pieces are bounded in bytes too.
+KEPT_LENGTH = 64
 SLICE = 256
 
 MANIFEST = "path string, shard int, docs long, ids long"
@@ -119,6 +121,10 @@ class WordEncoder:
                 for p in new:
                     known[p] = self._piece(p)
             out[i] = b"".join(map(known.__getitem__, pieces))
+            if pieces and len(max(pieces, key=len)) > KEPT_LENGTH:
+                for p in pieces:
+                    if len(p) > KEPT_LENGTH:
+                        known.pop(p, None)
         for at in range(0, len(rest), 64):
             part = rest[at : at + 64]
             for i, e in zip(part, self.lib.encode_batch([texts[i] for i in part], add_special_tokens=False), strict=True):
