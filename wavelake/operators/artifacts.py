@@ -157,13 +157,19 @@ def spatial(loading: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def decompose(samples: DataFrame, keys: list[str], n: int | None = None) -> DataFrame:
-    """(keys, component, sample_idx, source, loadings): independent components of each recording, as one group.
+#: Values (samples times channels) of the largest recording that one task decomposes as a whole.
+WHOLE_RECORDING = 1 << 20
 
-    A group is one recording with all its channels; its size is bounded by the length of a session.  A recording that can't be
+
+def decompose(samples: DataFrame, keys: list[str], n: int | None = None, most: int = WHOLE_RECORDING) -> DataFrame:
+    """(keys, component, sample_idx, source, loadings): independent components of each recording.
+
+    A recording of up to ``most`` values is one group, a larger one goes by sums over its blocks (``components``).  One that can't be
     decomposed gives no rows.
     """
     from ..functions import kernels as K
+    from . import components
+    from .timefreq import _short_and_long
 
     def run(pdf):
         import pandas as pd
@@ -181,7 +187,10 @@ def decompose(samples: DataFrame, keys: list[str], n: int | None = None) -> Data
         return made
 
     kind = ", ".join(f"`{c}` {samples.schema[c].dataType.simpleString()}" for c in keys)
-    return samples.select(*keys, "sample_idx", "channel_idx", "value").groupBy(*keys).applyInPandas(run, f"{kind}, component int, sample_idx long, source double, loadings array<double>")
+    rows = samples.select(*keys, F.col("sample_idx").cast("long").alias("sample_idx"), F.col("channel_idx").cast("int").alias("channel_idx"), "value")
+    short, long = _short_and_long(rows, keys, most)
+    out = short.groupBy(*keys).applyInPandas(run, f"{kind}, component int, sample_idx long, source double, loadings array<double>")
+    return out if long is None else out.unionByName(components.decompose_blocks(components.blocks_of(long, keys), keys, n))
 
 
 def classify(low_1_4: Column, high: Column, mid: Column, ecg: Column, slope: Column, kurt: Column, front_back: Column) -> tuple[Column, Column]:
