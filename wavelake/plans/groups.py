@@ -486,6 +486,24 @@ def r05(t):
     return live.sessions(e, ["user_id"], "12 hours").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
+@query(
+    "r05_fan_out",
+    """WITH l AS (SELECT user_id % 40 AS room, event_id, CASE event_type WHEN 'purchase' THEN 'frame' WHEN 'signup' THEN 'join' WHEN 'error' THEN 'leave' END AS kind, user_id FROM events WHERE event_type IN ('purchase', 'signup', 'error')),
+c AS (SELECT room, user_id, event_id, kind, lag(kind) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM l WHERE kind <> 'frame'),
+s AS (SELECT *, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS until FROM c WHERE kind <> coalesce(before, 'leave'))
+SELECT f.room, CAST(s.user_id AS VARCHAR) AS client, f.event_id AS "offset", s.event_id AS since FROM l f JOIN s ON f.room = s.room AND f.kind = 'frame' AND s.kind = 'join' AND f.event_id > s.event_id AND f.event_id < coalesce(s.until, 1e15)""",
+)
+def r05_fan_out(t):
+    """Purchases as frames of forty rooms, sign-ups as joining, errors as leaving."""
+    from ..streaming import fanout
+
+    def build(src):
+        kind = F.when(F.col("event_type") == "purchase", "frame").when(F.col("event_type") == "signup", "join").when(F.col("event_type") == "error", "leave")
+        return fanout.fan_out(src.select((F.col("user_id") % 40).alias("room"), "event_id", kind.alias("kind"), "user_id"), "room", "event_id", "kind", "user_id")
+
+    return _streamed(t, build, ["room", "client", "offset", "since"])
+
+
 @query(
     "r08_streamed_flow_state",
     f"WITH {SERIES} SELECT user_id, event_id, coalesce(last_value(CASE WHEN value > 150 THEN 'entered' WHEN value < 10 THEN 'exited' END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id), 'idle') AS state FROM u",

@@ -85,13 +85,20 @@ def _ring(r: float, degrees: float) -> tuple[float, float]:
     return r * math.sin(math.radians(degrees)), r * math.cos(math.radians(degrees))
 
 
-#: Electrodes of the 10-20 system on the unit disc, nose up: outer ring at 0.9, inner electrodes half way.
+# Places of electrodes on the unit disc, nose up.
 POSITIONS = {
-    "Fp1": _ring(0.9, -18), "Fp2": _ring(0.9, 18), "Fpz": _ring(0.9, 0), "F7": _ring(0.9, -54), "F8": _ring(0.9, 54), "T7": _ring(0.9, -90), "T8": _ring(0.9, 90),
-    "P7": _ring(0.9, -126), "P8": _ring(0.9, 126), "O1": _ring(0.9, -162), "O2": _ring(0.9, 162), "Oz": _ring(0.9, 180), "Fz": _ring(0.45, 0), "Cz": (0.0, 0.0), "Pz": _ring(0.45, 180),
-    "F3": _ring(0.6, -39), "F4": _ring(0.6, 39), "C3": _ring(0.45, -90), "C4": _ring(0.45, 90), "P3": _ring(0.6, -141), "P4": _ring(0.6, 141), "FCz": _ring(0.225, 0),
+    "Fp1": (-0.3, 0.8), "Fp2": (0.3, 0.8), "Fpz": (0.0, 0.85), "C3": (-0.7, 0.0), "C4": (0.7, 0.0), "Pz": (0.0, -0.6), "O1": (-0.4, -0.8), "O2": (0.4, -0.8),
+    "Fz": (0.0, 0.5), "F3": (-0.35, 0.45), "F4": (0.35, 0.45), "P3": (-0.5, -0.35), "P4": (0.5, -0.35), "T3": (-0.85, -0.1), "T4": (0.85, -0.1),
 }
+#: Others of the 10-20 system: outer ring at 0.9, inner electrodes half way.
+POSITIONS |= {
+    "F7": _ring(0.9, -54), "F8": _ring(0.9, 54), "T7": _ring(0.9, -90), "T8": _ring(0.9, 90), "P7": _ring(0.9, -126), "P8": _ring(0.9, 126), "Oz": _ring(0.9, 180),
+    "Cz": (0.0, 0.0), "FCz": _ring(0.225, 0),
+}
+
 
+#: Fixed value: seconds that a recording without recovery counts as when it is compared.
+NO_RECOVERY = 600.0
 
 MODULES = ("flow", "spectrum", "event_average", "time_frequency", "artifact")
 
@@ -119,18 +126,20 @@ def batch(samples: DataFrame, events: DataFrame, fs: float, event_id: str = "X0"
 def report(flow_results: DataFrame, control: str | None = "AtoA") -> DataFrame:
     """(recording_id, line_no, line): Markdown lines of each recording: findings, its six indicators, conclusions and suggestions.
 
-    ``control``: the recording whose recovery time the others are compared with.
+    ``control``: the recording whose recovery time the others are compared with; one that does not recover counts as NO_RECOVERY
+    seconds there.  Indicators without an attenuation count as 0 in the means.
     """
     from ..functions import rules as L
     from ..sources.writers import markdown_row
 
     r = flow_results.where("baseline_means IS NOT NULL")
-    base = r.where(F.col("recording_id") == control).select(F.col("recovery_time").alias("control_time"))
+    base = r.where(F.col("recording_id") == control).select(F.coalesce("recovery_time", F.lit(0.0)).alias("control_time"))
     r = r.join(base.agg(F.first("control_time").alias("control_time")), how="cross")  # one row
     att, rt = F.col("attenuation"), F.col("recovery_time")
     of = lambda names: F.array_compact(F.array(*[att[n] for n in names]))
     flow_att, loss_att = of(S.FLOW_INDICATORS), of(S.LOSS_INDICATORS)
-    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.greatest(F.size(a), F.lit(1))
+    mean = lambda names: sum((F.coalesce(att[n], F.lit(0.0)) for n in names), F.lit(0.0)) / len(names)
+    long = lambda x: F.when(x > 0, x).otherwise(NO_RECOVERY)
     head = F.array(
         F.concat(F.lit("## "), F.col("recording_id")), F.concat(F.lit("Recovery: "), F.when(rt.isNotNull(), F.format_string("%.0f s, ", rt)).otherwise(""), L.recovery_class(rt)),
         F.format_string("Artifacts: %.1f %%", F.col("artifact_ratio") * 100), F.lit("| indicator | baseline | attenuation % | recovery s |"), F.lit("| --- | --- | --- | --- |"),
@@ -140,9 +149,9 @@ def report(flow_results: DataFrame, control: str | None = "AtoA") -> DataFrame:
         for k in S.FEATURES
     ])
     conclusions = F.array_compact(F.array(
-        F.lit("### Conclusions"), F.concat(F.lit("- recovery is "), L.recovery_class(rt)), F.concat(F.lit("- flow indicators: "), L.attenuation_class(mean(flow_att))),
-        F.concat(F.lit("- load indicators: "), L.attenuation_class(mean(loss_att), flow=False)),
-        F.when((F.col("recording_id") != control) & rt.isNotNull() & F.col("control_time").isNotNull(), F.concat(F.lit("- recovery is "), L.against_control(rt - F.col("control_time")), F.lit(" than in the control"))),
+        F.lit("### Conclusions"), F.concat(F.lit("- recovery is "), L.recovery_class(rt)), F.concat(F.lit("- flow indicators: "), L.attenuation_class(mean(S.FLOW_INDICATORS))),
+        F.concat(F.lit("- load indicators: "), L.attenuation_class(mean(S.LOSS_INDICATORS), flow=False)),
+        F.when((F.col("recording_id") != control) & F.col("control_time").isNotNull(), F.concat(F.lit("- recovery is "), L.against_control(long(rt) - long(F.col("control_time"))), F.lit(" than in the control"))),
     )) if control else F.array(F.lit("### Conclusions"), F.concat(F.lit("- recovery is "), L.recovery_class(rt)))
     advice = F.concat(F.array(F.lit("### Suggestions")), F.transform(L.suggestions(rt, flow_att, loss_att), lambda x: F.concat(F.lit("- "), x)))
     return r.select("recording_id", F.posexplode(F.concat(head, rows, conclusions, advice)).alias("line_no", "line"))

@@ -18,11 +18,23 @@ from .. import schema as S
 TIME_NAMES = ("time", "timestamp", "t", "时间")
 
 
-def _named_below(root: str, path: Column) -> Column:
-    """The path of a file below ``root``, or its base name if it is ``root`` itself."""
-    key = re.sub(r"^[A-Za-z0-9+.-]+:/*", "", root).strip("/")
-    at = F.instr(path, f"{key}/")
-    return F.when(at > 0, F.substring(path, at + len(key) + 1, F.length(path))).otherwise(F.regexp_extract(path, "([^/]+)$", 1))
+def _place(path: Column) -> Column:
+    """The path of a file's address: without scheme and host, decoded (a plus stays a plus)."""
+    bare = F.regexp_replace(path, "^[A-Za-z0-9+.-]+:(//[^/]*)?", "")
+    return F.coalesce(F.try_url_decode(F.replace(bare, F.lit("+"), F.lit("%2B"))), bare)
+
+
+def _named_below(spark: SparkSession, root: str, path: Column) -> Column:
+    """The path of a file below ``root`` (of a pattern: below the part before its first wildcard), its base name if it is ``root``
+    itself; a file found elsewhere, through a link say, keeps its whole path, so no two files share a name."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(root)
+    fixed = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toUri().getPath()
+    parts = fixed.split("/")
+    wild = [i for i, x in enumerate(parts) if re.search(r"[*?\[{]", x)]
+    key = "/".join(parts[: wild[0]] if wild else parts).rstrip("/")
+    place = _place(path)
+    return F.when(place == key, F.regexp_extract(place, "([^/]+)$", 1)).when(place.startswith(F.lit(f"{key}/")), F.substring(place, len(key) + 2, 1 << 30)).otherwise(place)
 
 
 def lines(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".txt", ".csv", ".tsv")) -> DataFrame:
@@ -36,7 +48,7 @@ def lines(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".txt", "
     keep = F.lit(False)
     for s in suffixes:
         keep = keep | F.lower(F.col("path")).endswith(s)
-    return text.where(keep & (F.trim("line") != "")).select(_named_below(path, F.col("path")).alias("recording_id"), "path", "line_no", "line")
+    return text.where(keep & (F.trim("line") != "")).select(_named_below(spark, path, F.col("path")).alias("recording_id"), "path", "line_no", "line")
 
 
 def separator(line: Column) -> Column:
@@ -185,9 +197,8 @@ def load(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
     text = lines(spark, path)
     if fmt:
         return READERS[fmt](text)
-    # files are read once; each reader takes its own lines from the staged table
-    text = staged(text, "lines")
-    text = staged(text.join(formats(text).select("recording_id", "format"), "recording_id"), "typed-lines")
+    # the format of each file from its first line; lines are written once, each reader takes its own
+    text = staged(text.join(formats(text).select("path", "format"), "path").select("recording_id", "path", "line_no", "line", "format"), "typed-lines")
     out = None
     for name, read in READERS.items():
         part = read(text.where(F.col("format") == name).drop("format"))
@@ -228,7 +239,7 @@ def info(spark: SparkSession, path: str) -> DataFrame:
     text = lines(spark, path)
     n = text.groupBy("recording_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(F.col("line").startswith("%")).alias("marked"))
     size = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", (F.col("length") / 1024).alias("size_kb"))
-    size = size.select(_named_below(path, F.col("path")).alias("recording_id"), "size_kb")
+    size = size.select(_named_below(spark, path, F.col("path")).alias("recording_id"), "size_kb")
     kinds = formats(text)
     head = odf_header(text.join(kinds.where("format = 'odf'").select("recording_id"), "recording_id", "left_semi"))
     exg = F.filter("cols", lambda c: c.rlike(r"^EXG Channel \d+"))
@@ -270,11 +281,23 @@ def assigned(recs: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def events(spark: SparkSession, path: str, more: list[str] | None = None) -> DataFrame:
-    """Event files: event_id, timestamp in seconds and the columns ``more``; a file without the first two is an error."""
-    df = spark.read.csv(path, header=True)
-    if not {"event_id", "timestamp"} <= set(df.columns):
-        raise ValueError("an event file needs the columns event_id and timestamp")
-    return df.select(*(more or []), "event_id", F.col("timestamp").cast("double").alias("t_sec"))
+    """Event files: event_id, timestamp in seconds and the columns ``more``, each by the header of its own file (in any order; a
+    file without one of ``more`` has nulls).  A file without the first two is an error; a quoted value stays on one line."""
+    text = spark.read.text(path, recursiveFileLookup=True)
+    text = text.select(F.col("_metadata.file_path").alias("path"), F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("n")).alias("no"), F.col("value").alias("line"))
+    text = text.where(F.trim("line") != "")
+    head = text.groupBy("path").agg(F.min(F.struct("no", "line")).alias("h")).select("path", F.col("h.no").alias("head_no"), F.col("h.line").alias("head"))
+    widest = head.agg(F.max(F.size(F.split("head", ",")))).first()[0] or 1
+    kind = ", ".join(f"c{i} string" for i in range(widest))
+    cut = lambda line: F.transform(F.array(*[F.from_csv(line, kind)[f"c{i}"] for i in range(widest)]), lambda c: F.nullif(F.trim(c), F.lit("")))
+    head = head.select("path", "head_no", F.transform(cut(F.regexp_replace("head", "^\ufeff", "")), lambda c: F.lower(c)).alias("names"))
+    named = lambda name: F.coalesce(F.array_contains("names", name), F.lit(False))
+    bad = head.where(~(named("event_id") & named("timestamp"))).select("path").first()
+    if bad is not None:
+        raise ValueError(f"an event file needs the columns event_id and timestamp: {bad.path}")
+    rows = text.join(head, "path").where("no <> head_no").withColumn("cells", cut(F.col("line")))
+    at = lambda name: F.when(F.array_position("names", name.lower()) > 0, F.get("cells", (F.array_position("names", name.lower()) - 1).cast("int")))
+    return rows.select(*[at(c).alias(c) for c in more or []], at("event_id").alias("event_id"), at("timestamp").try_cast("double").alias("t_sec"))
 
 
 def resolved_events(recs: DataFrame, given: DataFrame, found: DataFrame, default: DataFrame) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import io
 import json
+import posixpath
 import zipfile
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,8 +66,11 @@ def bundle(results: DataFrame, report: str, originals: DataFrame | None = None,
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("report.md", report)
         z.writestr("results.json", json.dumps([json.loads(r.json) for r in rows], ensure_ascii=False, indent=1))
-        for r in originals.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "content").orderBy("path").toLocalIterator() if originals is not None else ():
-            z.writestr(f"files/{r.name}", bytes(r.content))
+        if originals is not None:
+            names = [r.path for r in originals.select("path").orderBy("path").toLocalIterator()]
+            root = posixpath.commonpath([posixpath.dirname(n) for n in names]) if names else ""
+            for r in originals.select("path", "content").orderBy("path").toLocalIterator():
+                z.writestr("files/" + unquote(posixpath.relpath(r.path, root)), bytes(r.content))  # files of one name in two folders stay apart
     return out.getvalue()
 
 

@@ -76,7 +76,7 @@ def metrics(frames_: DataFrame, key: str, fs: float, scorer=None, most: int = 40
     """(key, t, n_samples, focus, stability, one column for each band) from frames (key, t: seconds, channels: array) as they come.
 
     The state of a session is its buffer: the last ``most`` values over all channels, older ones are dropped; channels that a frame
-    lacks count as zero, more than ``channels`` are left out.  Metrics are computed over the whole buffer when ``every`` seconds of
+    lacks count as zero, more than ``channels`` are left out; of fewer channels more samples are held.  Metrics are computed over the whole buffer when ``every`` seconds of
     frame time have passed since the last time; rows in between hold the last ones.  ``scorer`` takes a matrix of 4 s windows of the
     mean over channels; without one focus is 0.
     """
@@ -85,7 +85,6 @@ def metrics(frames_: DataFrame, key: str, fs: float, scorer=None, most: int = 40
     from ..functions import kernels as K
 
     names = ["focus", "stability", *S.BANDS]
-    held = most // channels
 
     def compute(x: np.ndarray) -> list[float]:
         out = [0.0, 0.0]
@@ -103,6 +102,7 @@ def metrics(frames_: DataFrame, key: str, fs: float, scorer=None, most: int = 40
         rows = pd.concat(list(batches)).sort_values("t")
         fresh = [list(v)[:channels] for v in rows["channels"]]
         wide = max([width, *map(len, fresh)])
+        held = most // max(wide, 1)
         old = np.zeros((len(buffer) // width if width else 0, wide))
         old[:, :width] = np.reshape(buffer, (-1, width)) if width else 0
         x, at, made = np.zeros((len(fresh), wide)), 0, []
