@@ -6,7 +6,7 @@ meets about one unrelated vector a table, and so many tables that a pair at the
 (far less above it).  Their product with the number of vectors grows with its power of about 1.25, where fixed numbers would make
 a fixed share of all pairs candidates.  Vectors and projections are rounded to integers first, so a bucket does not depend on the
 order of floating sums.  Pairs that meet are checked by exact cosine in double precision, in blocks of bounded size, and counted
-in the first table they share: rows carry 32 bits of each of their keys.
+in the first table they share: rows that link get their keys again from the vector, so no row carries them.
 
 Edge cases: null, zero, empty or non-finite vectors and null labels link with nothing (n_links 0, own component); vectors of
 different length never link; equal vectors are one class that counts its copies; a null vec_id keeps its row; an empty table
@@ -116,8 +116,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
             norm, label = batch.column("norm").to_numpy(), batch.column("label").to_numpy()
             keys = _keys_of(m, norm, label, dims, tables, projections)
             at = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * tables)
-            short = pa.array([k.tobytes() for k in keys.astype(np.int32)], pa.binary())
-            yield pa.record_batch([batch.column("rid"), pa.ListArray.from_arrays(at, pa.array(keys.ravel())), short], names=["rid", "keys", "short"])
+            yield pa.record_batch([batch.column("rid"), pa.ListArray.from_arrays(at, pa.array(keys.ravel()))], names=["rid", "keys"])
 
     def verify(batches):
         for table in C.whole_runs(batches, ("key", "blk_a", "blk_b")):
@@ -126,7 +125,6 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
             dims = np.diff(col.offsets.to_numpy())
             m = _matrix(col, dims)
             key, rid, norm, label, copies = (table.column(c).to_numpy() for c in ("key", "rid", "norm", "label", "copies"))
-            short = np.frombuffer(b"".join(table.column("short").to_pylist()), np.int32).reshape(n, tables)
             links, found = np.zeros(n, np.int64), [np.zeros((2, 0), np.int64)]
             for i, j in C.run_pairs(table, "key"):
                 same = (label[i] == label[j]) & (dims[i] == dims[j])
@@ -136,18 +134,26 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
                 if not i.size:
                     continue
                 found.append(np.stack([i, j]))
-                first = np.argmax(short[i] == short[j], axis=1)
-                here = short[i, first] == key[i].astype(np.int32)
-                np.add.at(links, i[here], copies[j[here]])
-                np.add.at(links, j[here], copies[i[here]])
             i, j = np.concatenate(found, axis=1)
+            # rows that link get all their keys once more: a pair counts in the first table it shares
+            some, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+            own = np.zeros((len(some), tables), np.int64)
+            for at in range(0, len(some), most):
+                part = some[at : at + most]
+                own[at : at + most] = _keys_of(m[part], norm[part], label[part], dims[part], tables, projections)
+            for at in range(0, len(i), most):
+                a, b = i[at : at + most], j[at : at + most]
+                ka, kb = own[place[at : at + len(a)]], own[place[len(i) + at : len(i) + at + len(b)]]
+                here = ka[np.arange(len(a)), np.argmax(ka == kb, axis=1)] == key[a]
+                np.add.at(links, a[here], copies[b[here]])
+                np.add.at(links, b[here], copies[a[here]])
             root = C.local_roots(n, i, j)
             out = np.nonzero((links > 0) | (root != np.arange(n)))[0]
             yield pa.record_batch([pa.array(rid[out]), pa.array(links[out]), pa.array(rid[root[out]])], names=["rid", "links", "root"])
 
-    marks = C.stage(reps.select("x", "norm", "label", "rid").mapInArrow(hashed, "rid long, keys array<long>, short binary"), "vec-keys")
+    marks = C.stage(reps.select("x", "norm", "label", "rid").mapInArrow(hashed, "rid long, keys array<long>"), "vec-keys")
     rows = marks.select("rid", F.explode("keys").alias("key"))
-    payload = reps.select("rid", "x", "norm", "label", "copies").join(marks.select("rid", "short"), "rid")
+    payload = reps.select("rid", "x", "norm", "label", "copies")
     blocks = C.bucket_blocks(rows, "key", "rid", "vec", payload=payload)
     met = C.stage(blocks.mapInArrow(verify, "rid long, links long, root long"), "vec-links")
     counts = met.groupBy("rid").agg(F.sum("links").alias("links"))
