@@ -242,10 +242,12 @@ def a42(t):
     return o.groupBy("subject").pivot("module", ["flow", "spectrum", "artifact"]).agg(F.first("status")).na.fill("missing")
 
 
-@query("u03_missing_columns", "SELECT name FROM (VALUES ('eeg_path'), ('source'), ('analysis_status')) t(name) WHERE name NOT IN ('source')")
+@query("u03_missing_columns", "SELECT p_partkey, array_to_string(list_sort(list_filter([0, 1, 2, 3, 4], lambda x: x NOT IN (p_size % 5, p_size % 3))), ',') AS missing FROM part")
 def u03(t):
-    want = t.spark.createDataFrame([("eeg_path",), ("source",), ("analysis_status",)], "name string")
-    return want.join(t.spark.createDataFrame([("source",)], "name string"), "name", "left_anti")
+    """Of five wanted columns those that a part's table lacks."""
+    have = F.array(F.col("p_size") % 5, F.col("p_size") % 3)
+    missing = F.array_sort(F.array_except(F.array(*[F.lit(i) for i in range(5)]), have.cast("array<int>")))
+    return t.table("part").select("p_partkey", F.array_join(missing.cast("array<string>"), ",").alias("missing"))
 
 
 @query("u04_needed_columns", "SELECT p_partkey, array_to_string(list_sort(list_distinct(list_concat([0, p_size % 5], [p_size % 7, 3]))), ',') AS needed FROM part")
@@ -430,19 +432,31 @@ def j12(t):
 
 @query(
     "s01_file_formats",
-    """WITH l AS (SELECT * FROM (VALUES (1, '%OpenBCI Raw EXG Data'), (2, '0,1,2,3,4,5,6,7,8,9'), (3, 'time,ch1'), (4, '0.5\t1\t2\t3\t4\t5\t6\t7\t8\t9\t10'), (5, 'Index\tEXG0\tTimestamp\tMarker'), (6, '1,2,3,x,5,6,7,8,9,10')) t(id, line)),
+    """WITH l AS (SELECT event_id AS id, CASE event_id % 6 WHEN 0 THEN '%OpenBCI ' || event_type WHEN 1 THEN '0,1,2,3,4,5,6,7,8,' || user_id WHEN 2 THEN 'time,' || event_type
+WHEN 3 THEN replace('0.5 1 2 3 4 5 6 7 8 9 ', ' ', chr(9)) || user_id WHEN 4 THEN replace('Index EXG0 Timestamp Marker ', ' ', chr(9)) || event_type ELSE '1,2,3,' || event_type || ',5,6,7,8,9,10' END AS line FROM events),
 f AS (SELECT id, line, string_split(line, CASE WHEN contains(line, chr(9)) THEN chr(9) ELSE ',' END) AS c FROM l)
-SELECT id, CASE WHEN starts_with(line, '%OpenBCI') THEN 'odf' WHEN NOT starts_with(line, '%') AND len(c) >= 10 AND len(list_filter(c, lambda x: TRY_CAST(x AS DOUBLE) IS NULL)) = 0 THEN 'board' WHEN contains(line, chr(9)) AND list_contains(list_transform(c, lambda x: lower(x)), 'index') AND list_contains(list_transform(c, lambda x: lower(x)), 'marker') THEN 'session' ELSE 'plain' END AS format, CASE WHEN contains(line, chr(9)) THEN 'tab' ELSE 'comma' END AS separator FROM f""".replace("\t", "' || chr(9) || '"),
+SELECT id, CASE WHEN starts_with(line, '%OpenBCI') THEN 'odf' WHEN NOT starts_with(line, '%') AND len(c) >= 10 AND len(list_filter(c, lambda x: TRY_CAST(x AS DOUBLE) IS NULL)) = 0 THEN 'board' WHEN contains(line, chr(9)) AND list_contains(list_transform(c, lambda x: lower(x)), 'index') AND list_contains(list_transform(c, lambda x: lower(x)), 'marker') THEN 'session' ELSE 'plain' END AS format, CASE WHEN contains(line, chr(9)) THEN 'tab' ELSE 'comma' END AS separator FROM f""",
 )
 def s01(t):
-    rows = [(1, "%OpenBCI Raw EXG Data"), (2, "0,1,2,3,4,5,6,7,8,9"), (3, "time,ch1"), (4, "0.5\t1\t2\t3\t4\t5\t6\t7\t8\t9\t10"), (5, "Index\tEXG0\tTimestamp\tMarker"), (6, "1,2,3,x,5,6,7,8,9,10")]
-    df = t.spark.createDataFrame(rows, "id long, line string")
+    """First lines of files of six kinds, one made of each event."""
+    kind, user, i = F.col("event_type"), F.col("user_id").cast("string"), F.col("event_id") % 6
+    line = (
+        F.when(i == 0, F.concat(F.lit("%OpenBCI "), kind)).when(i == 1, F.concat(F.lit("0,1,2,3,4,5,6,7,8,"), user)).when(i == 2, F.concat(F.lit("time,"), kind))
+        .when(i == 3, F.concat(F.lit("0.5\t1\t2\t3\t4\t5\t6\t7\t8\t9\t"), user)).when(i == 4, F.concat(F.lit("Index\tEXG0\tTimestamp\tMarker\t"), kind)).otherwise(F.concat(F.lit("1,2,3,"), kind, F.lit(",5,6,7,8,9,10")))
+    )
+    df = t.table("events").select(F.col("event_id").alias("id"), line.alias("line"))
     return df.select("id", readers.file_format(F.col("line")).alias("format"), F.when(readers.separator(F.col("line")) == "\t", "tab").otherwise("comma").alias("separator"))
 
 
-@query("s08_board_map", "SELECT * FROM (VALUES (24, 'cyton', 8, 250), (28, 'daisy', 16, 125), (18, 'ganglion', 4, 200), (15, 'ganglion', 4, 200), (22, 'cyton', 8, 250), (30, 'daisy', 16, 125)) t(n_cols, board, n_exg, board_fs)")
+@query(
+    "s08_board_map",
+    "SELECT p_partkey, p_size % 16 + 15 AS n_cols, coalesce(board, 'unknown') AS board, n_exg, board_fs FROM part LEFT JOIN (VALUES (24, 'cyton', 8, 250), (28, 'daisy', 16, 125), (18, 'ganglion', 4, 200), (15, 'ganglion', 4, 200), (22, 'cyton', 8, 250), (30, 'daisy', 16, 125)) t(k, board, n_exg, board_fs) ON p_size % 16 + 15 = k",
+)
 def s08(t):
-    return readers.board_map(t.spark)
+    """The board of files with 15 to 30 columns, one for each part."""
+    files = t.table("part").select("p_partkey", (F.col("p_size") % 16 + 15).cast("int").alias("n_cols"))
+    got = files.join(F.broadcast(readers.board_map(t.spark)), "n_cols", "left")  # six rows
+    return got.select("p_partkey", "n_cols", F.coalesce("board", F.lit("unknown")).alias("board"), "n_exg", "board_fs")
 
 
 # -- streams ---------------------------------------------------------------------------------------------------------

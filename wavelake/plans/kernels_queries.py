@@ -10,10 +10,9 @@ from ..functions import learning
 from ..operators import artifacts as A
 from ..operators import statistics as X
 from ..operators import timefreq as T
-from ..sources import synthetic
 from .. import schema as S
 from . import pipelines, signals
-from .base import RATE, SIZE, query
+from .base import EPOCHS, RATE, SIZE, query
 
 
 def _label_series(t):
@@ -92,19 +91,31 @@ def f05(t):
     return learning.focus(learning.scores(w, ["vec_id"], lambda m: 1 / (1 + (m * m).mean(axis=1))).withColumn("all", F.lit("all")), ["all"])
 
 
+ELECTRODES = ["Fp1", "Fp2", "C3", "C4", "Pz", "O1", "O2", "Fz"]
+
+
+def _eight(t, value):
+    name = F.get(F.array(*[F.lit(e) for e in ELECTRODES]), (F.col("sample_idx") % 8).cast("int"))
+    return t.epochs().groupBy(name.alias("electrode")).agg(F.avg(value).alias("value"))
+
+
 @query("f07_topography")
 def f07(t):
     """Eight electrodes, each the mean magnitude of every eighth sample of all epochs."""
-    names = ["Fp1", "Fp2", "C3", "C4", "Pz", "O1", "O2", "Fz"]
-    got = t.epochs().groupBy((F.col("sample_idx") % 8).alias("c")).agg(F.avg(F.abs("value")).alias("v")).collect()  # eight rows
-    return pipelines.topography(t.spark, {names[r.c]: r.v for r in sorted(got)})
+    return pipelines.surfaces(_eight(t, F.abs("value")), [], ELECTRODES)
+
 
+_PLACES = ", ".join(f"({k}, {x}, {y})" for k, (x, y) in enumerate(pipelines.POSITIONS[e] for e in ELECTRODES))
 
-@query("x13_distance_surface")
+
+@query(
+    "x13_distance_surface",
+    f"""WITH {EPOCHS}, m AS (SELECT i % 8 AS c, avg(v) AS v FROM e GROUP BY 1), p AS (SELECT * FROM (VALUES {_PLACES}) t(c, px, py)), g AS (SELECT -1.0 + i * 2.0 / 29 AS x, -1.0 + j * 2.0 / 29 AS y FROM range(30) a(i), range(30) b(j)),
+w AS (SELECT x, y, v, 1 / pow(greatest(sqrt(pow(x - px, 2) + pow(y - py, 2)), 1e-9), 2) AS w FROM g CROSS JOIN p JOIN m USING (c))
+SELECT round(x, 6) AS x, round(y, 6) AS y, round(sum(v * w) / sum(w), 6) AS z FROM w GROUP BY w.x, w.y""",
+)
 def x13(t):
-    got = t.epochs().groupBy((F.col("sample_idx") % 8).alias("c")).agg(F.avg("value").alias("v")).collect()  # eight rows
-    names = ["Fp1", "Fp2", "C3", "C4", "Pz", "O1", "O2", "Fz"]
-    return pipelines.topography(t.spark, {names[r.c]: r.v for r in sorted(got)}, weights=True)
+    return pipelines.surfaces(_eight(t, F.col("value")), [], ELECTRODES, weights=True)
 
 
 @query("a36_whole_comparison")
@@ -137,19 +148,7 @@ def f06(t):
     return learning.predicted(learning.load_model(path), feats).select("vec_id", "target", "prediction")
 
 
-@query("s25_generated_recording")
-def s25(t):
-    return synthetic.recordings(t.spark, [("A", 0.0, 42), ("B", 1.0, 100)], 50, 20.0, 2)
-
-
 @query("p21_muted_components")
 def p21(t):
     four = t.epochs().select(F.lit("r").alias("recording_id"), (F.expr("sample_idx div 4") + F.col("vec_id") * 16).alias("sample_idx"), (F.col("sample_idx") % 4).cast("int").alias("channel_idx"), "value")
     return A.without_components(four, A.decompose(four, ["recording_id"]), ["recording_id"], [0])
-
-
-@query("f10_flow_of_a_study")
-def f10(t):
-    """The whole flow analysis of four generated recordings of 900 s."""
-    samples, events = pipelines.study(t.spark, 900.0, 100, 1)
-    return pipelines.flow(samples, events, 100.0, notch=None).select("recording_id", "recovery_time", "n_unrecovered", "artifact_ratio")

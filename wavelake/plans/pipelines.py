@@ -81,6 +81,24 @@ def topography(spark: SparkSession, values: dict[str, float], points: int = 30,
     return spark.createDataFrame([(float(x), float(y), float(z[j, i])) for j, y in enumerate(grid) for i, x in enumerate(grid)], "x double, y double, z double")
 
 
+def surfaces(values: DataFrame, keys: list[str], electrodes: list[str], points: int = 30, weights: bool = False) -> DataFrame:
+    """(keys, x, y, z): the surface over the scalp of each key, from rows (keys, electrode, value) with one value for each electrode.
+
+    A surface is linear in the values, so each point's share of every electrode is worked out once from their places alone; that table
+    (points squared times electrodes, whatever the data) is joined with the values.  Keys that lack an electrode have no surface.
+    """
+    grid = np.linspace(-1, 1, points)
+    px, py = zip(*[POSITIONS[e] for e in electrodes], strict=True)
+    make = K.distance_surface if weights or len(electrodes) < 3 else K.radial_surface
+    shares = [make(px, py, np.eye(len(electrodes))[k], grid) for k in range(len(electrodes))]
+    rows = [(e, [float(v) for v in z.ravel()]) for e, z in zip(electrodes, shares, strict=True)]
+    table = F.broadcast(values.sparkSession.createDataFrame(rows, "electrode string, share array<double>"))
+    v = values.join(table, "electrode").select(*keys, "electrode", "value", F.posexplode("share").alias("cell", "share"))
+    z = v.groupBy(*keys, "cell").agg(F.sum(F.col("share") * F.col("value")).alias("z"), F.countDistinct("electrode").alias("n")).where(F.col("n") == len(electrodes))
+    at = lambda i: F.lit(-1.0) + i * (2.0 / (points - 1))
+    return z.select(*keys, at(F.col("cell") % points).alias("x"), at(F.floor(F.col("cell") / points)).alias("y"), "z")
+
+
 def _ring(r: float, degrees: float) -> tuple[float, float]:
     return r * math.sin(math.radians(degrees)), r * math.cos(math.radians(degrees))
 

@@ -26,6 +26,8 @@ TYPES = {
     "s09_plain_tables": {"fs": "BIGINT", "t_sec": "DOUBLE"},
     "s11_metadata": {"fs": "BIGINT", "n_channels": "BIGINT", "header_lines": "BIGINT"},
     "s08_board_map": {"n_cols": "BIGINT", "n_exg": "BIGINT", "board_fs": "BIGINT"},
+    "p03_bands_of_bins": {"freq": "DOUBLE"},
+    "x13_distance_surface": {"x": "DOUBLE", "y": "DOUBLE"},
     "w01_sliding_windows": {"center": "DOUBLE"},
     "w04_recovery_time": {"recovery_sec": "DOUBLE"},
 }

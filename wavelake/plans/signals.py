@@ -124,36 +124,46 @@ def a07(t):
 
 @query(
     "p03_bands_of_bins",
-    f"WITH {BANDS_SQL}, k AS (SELECT 2.0 * unnest(range(33)) AS freq) SELECT freq, band, CASE WHEN freq BETWEEN 1 AND 45 THEN 'signal' WHEN freq > 45 THEN 'noise' ELSE 'drift' END AS side FROM k JOIN bands ON freq >= lo AND freq < hi",
+    f"WITH {BANDS_SQL}, k AS (SELECT o_orderkey % 66 + 0.0 AS freq, count(*) AS n FROM orders GROUP BY 1) SELECT freq, band, CASE WHEN freq BETWEEN 1 AND 45 THEN 'signal' WHEN freq > 45 THEN 'noise' ELSE 'drift' END AS side, n FROM k JOIN bands ON freq >= lo AND freq < hi",
 )
 def p03(t):
-    k = t.spark.range(33).select((F.col("id") * 2.0).alias("freq"))
+    """Orders as readings of a frequency."""
+    k = t.table("orders").groupBy((F.col("o_orderkey") % 66 + F.lit(0.0)).alias("freq")).agg(F.count(F.lit(1)).alias("n"))
     side = F.when(F.col("freq").between(1, 45), "signal").when(F.col("freq") > 45, "noise").otherwise("drift")
-    return X.in_bands(k).select("freq", "band", side.alias("side"))
+    return X.in_bands(k).select("freq", "band", side.alias("side"), "n")
 
 
-@query("p22_log_grid", "SELECT k AS freq_idx, round(pow(10, log10(45.0) * k / 49), 6) AS freq FROM (SELECT unnest(range(50)) AS k)")
+@query(
+    "p22_log_grid",
+    """WITH s AS (SELECT s_suppkey, CASE WHEN s_nationkey <= 0 THEN 1.0 ELSE CAST(s_nationkey AS DOUBLE) END AS lo, s_nationkey * 2.0 AS top FROM supplier), b AS (SELECT s_suppkey, lo, CASE WHEN top <= lo THEN lo + 1 ELSE top END AS hi FROM s)
+SELECT s_suppkey, k AS freq_idx, round(pow(10, log10(lo) + (log10(hi) - log10(lo)) * k / 49), 6) AS freq FROM b CROSS JOIN (SELECT unnest(range(50)) AS k)""",
+)
 def p22(t):
-    return t.spark.range(50).select(F.col("id").alias("freq_idx"), F.pow(F.lit(10.0), F.log10(F.lit(45.0)) * F.col("id") / 49).alias("freq"))
+    """Fifty frequencies in equal ratios between the bounds of each supplier."""
+    low = F.when(F.col("s_nationkey") <= 0, 1.0).otherwise(F.col("s_nationkey").cast("double"))
+    b = t.table("supplier").select("s_suppkey", low.alias("lo"), (F.col("s_nationkey") * 2.0).alias("top")).withColumn("hi", F.when(F.col("top") <= F.col("lo"), F.col("lo") + 1).otherwise(F.col("top")))
+    k = b.withColumn("freq_idx", F.explode(F.sequence(F.lit(0), F.lit(49))))
+    return k.select("s_suppkey", "freq_idx", F.pow(F.lit(10.0), F.log10("lo") + (F.log10("hi") - F.log10("lo")) * F.col("freq_idx") / 49).alias("freq"))
 
 
 @query(
     "p23_wavelet_kernel",
-    """WITH f AS (SELECT k, pow(10, log10(45.0) * k / 49) AS f FROM (SELECT unnest(range(50)) AS k)), t AS (SELECT (unnest(range(251)) - 125) / 250.0 AS t),
-w AS (SELECT k, t, exp(-t * t / (2 * pow(5 / (2 * pi() * f), 2))) AS g, 2 * pi() * f * t AS a FROM f CROSS JOIN t),
-s AS (SELECT *, g / sqrt(sum(g * g) OVER (PARTITION BY k) + 1e-12) AS x FROM w)
-SELECT k AS freq_idx, round(t, 6) AS t, round(x * cos(a), 6) AS re, round(x * sin(a), 6) AS im FROM s""",
+    """WITH f AS (SELECT s_suppkey, 1.0 + s_suppkey % 45 AS f FROM supplier), t AS (SELECT (unnest(range(251)) - 125) / 250.0 AS t),
+w AS (SELECT s_suppkey, t, exp(-t * t / (2 * pow(5 / (2 * pi() * f), 2))) AS g, 2 * pi() * f * t AS a FROM f CROSS JOIN t),
+s AS (SELECT *, g / sqrt(sum(g * g) OVER (PARTITION BY s_suppkey) + 1e-12) AS x FROM w)
+SELECT s_suppkey, round(t, 6) AS t, round(x * cos(a), 6) AS re, round(x * sin(a), 6) AS im FROM s""",
 )
 def p23(t):
+    """The kernel of one frequency for each supplier."""
     import math
 
-    f = t.spark.range(50).select(F.col("id").alias("freq_idx"), F.pow(F.lit(10.0), F.log10(F.lit(45.0)) * F.col("id") / 49).alias("f"))
-    w = f.crossJoin(F.broadcast(t.spark.range(251).select(((F.col("id") - 125) / 250.0).alias("t"))))
+    f = t.table("supplier").select("s_suppkey", (F.lit(1.0) + F.col("s_suppkey") % 45).alias("f"))
+    w = f.withColumn("t", F.explode(F.transform(F.sequence(F.lit(-125), F.lit(125)), lambda i: i / F.lit(250.0))))
     sigma = 5 / (2 * math.pi * F.col("f"))
     w = w.withColumn("g", F.exp(-F.col("t") * F.col("t") / (2 * sigma * sigma)))
-    w = w.withColumn("x", F.col("g") / F.sqrt(F.sum(F.col("g") * F.col("g")).over(W.partitionBy("freq_idx")) + S.TINY))
+    w = w.withColumn("x", F.col("g") / F.sqrt(F.sum(F.col("g") * F.col("g")).over(W.partitionBy("s_suppkey")) + S.TINY))
     a = 2 * math.pi * F.col("f") * F.col("t")
-    return w.select("freq_idx", "t", (F.col("x") * F.cos(a)).alias("re"), (F.col("x") * F.sin(a)).alias("im"))
+    return w.select("s_suppkey", "t", (F.col("x") * F.cos(a)).alias("re"), (F.col("x") * F.sin(a)).alias("im"))
 
 
 # -- windows and order -----------------------------------------------------------------------------------------------
