@@ -212,13 +212,33 @@ def text_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 def sliced(batches, rows: int = 1024):
     """Arrow batches cut into slices, so that no more rows are Python objects at a time; what they took goes back at their end."""
-    import pyarrow as pa
-
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
         del batch
+    give_back()
+
+
+def drained(batches):
+    """Arrow batches as they come; what they took goes back at their end."""
+    for batch in batches:
+        yield batch
+        del batch
+    give_back()
+
+
+def give_back() -> None:
+    """Free memory of this worker to the system, so that it does not keep what an earlier task or stage took."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def groups_of_bytes(texts: list, most: int = 1 << 20):
@@ -273,6 +293,8 @@ def whole_runs(batches, keys: tuple[str, ...]):
             held = table.slice(cut).combine_chunks().to_batches()
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+        del held
+    give_back()
 
 
 def _run_starts(table, keys) -> np.ndarray:

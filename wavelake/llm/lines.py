@@ -72,7 +72,7 @@ def slot_table(parts: DataFrame, slots: int) -> tuple[np.ndarray, int]:
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
-        for batch in batches:
+        for batch in C.drained(batches):
             for r, s, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 acc = sums.setdefault(r, np.zeros(_RANGE, np.int64))
                 acc[np.frombuffer(s, "<u2")] += np.frombuffer(c, "<u4")
@@ -236,7 +236,7 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, least_words: in
 
     def classes(batches):
         held, more = [], []
-        for batch in batches:
+        for batch in C.drained(batches):
             for kind, part, r, m in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if kind == 0:
                     yield _batch([(0, part, r, b"")])
@@ -301,7 +301,7 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, least_words: in
 
     def race(batches):
         held = []
-        for batch in batches:
+        for batch in C.drained(batches):
             for kind, r in zip(batch.column("kind").to_pylist(), batch.column("rows").to_pylist(), strict=True):
                 if kind == 0:
                     yield out(0, gone=np.frombuffer(r, _GONE))
@@ -337,7 +337,7 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, least_words: in
 
     def mark(batches):
         acc = np.zeros(slots, np.uint8)
-        for batch in batches:
+        for batch in C.drained(batches):
             acc[(batch.column(0).to_numpy().view(np.uint64) & mask).astype(np.int64)] = 1
         yield _emit_counts(acc)
 
@@ -394,7 +394,7 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, least_words: in
 
     def first_check(batches):
         # rows of one ``lead``: the lead itself and the lines whose partner it is
-        for batch in batches:
+        for batch in C.drained(batches):
             if not batch.num_rows:
                 continue
             did, th, line = (batch.column(c).to_numpy() for c in ("did", "th", "line"))

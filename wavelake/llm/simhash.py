@@ -130,7 +130,7 @@ def link_fingerprints(fps: DataFrame, name: str = "simhash", bits: int = BITS) -
         raise ValueError("the keys cover up to two differing bits")
 
     def keys(batches):
-        for batch in batches:
+        for batch in C.drained(batches):
             fp = batch.column(0).to_numpy()
             k = np.sort(golay_keys(fp.view(np.uint64)), axis=1)
             new = np.ones(k.shape, bool)
