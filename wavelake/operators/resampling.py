@@ -39,6 +39,35 @@ def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str, tota
     return ranged.alias("l").join(runs.alias("r"), same).select(*[F.col(f"l.{c}") for c in rows.columns], (F.col("_at") - F.col("_first") + F.col("_before")).alias("pos"), *([F.col("_all").alias(total)] if total else []))
 
 
+def order_statistics(values: DataFrame, keys: list[str], q: dict[str, float], value: str = "value") -> DataFrame:
+    """(keys, one double for each name of ``q``): exact quantiles, between neighbours in proportion, of keys of any size.
+
+    Values are numbered by a range sort and the two places of each quantile are picked out, so no key is held in one task.  Nulls and
+    values that are no numbers are left out; a key without any gives nulls.
+    """
+    v = F.col(value).cast("double")
+    rows = values.select(*keys, F.when(~F.isnan(v), v).alias("_v"))
+    placed = numbered(rows.where("_v IS NOT NULL"), keys, ["_v"], "order-rows", "_n")
+    picks = []
+    for name, share in q.items():
+        at = (F.col("_n") - 1) * F.lit(float(share))
+        low = F.floor(at)
+        weight = F.when(F.col("pos") == low, 1 - (at - low)).when((F.col("pos") == low + 1) & (at > low), at - low)
+        picks.append(F.sum(weight * F.col("_v")).alias(name))
+    near = F.lit(False)
+    for share in q.values():
+        near = near | F.col("pos").between(F.floor((F.col("_n") - 1) * F.lit(float(share))), F.floor((F.col("_n") - 1) * F.lit(float(share))) + 1)
+    found = placed.where(near).groupBy(*keys).agg(*picks)
+    return _joined(rows.groupBy(*keys).agg(F.count("_v").alias("_held")), found, keys, "left").drop("_held")
+
+
+def robust_scale(values: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """(keys, median, mad): the median, and the median distance from it times 1.4826, of keys of any size."""
+    middle = staged(order_statistics(values, keys, {"median": 0.5}, value), "medians")
+    away = _joined(values.select(*keys, F.col(value).cast("double").alias("_x")), middle, keys).select(*keys, F.abs(F.col("_x") - F.col("median")).alias("_x"))
+    return _joined(middle, order_statistics(away, keys, {"mad": 0.5}, "_x"), keys).withColumn("mad", F.col("mad") * 1.4826)
+
+
 def _summed(blocks: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """(keys, k, columns): arrays of the blocks added up, number by number."""
     rows = blocks.select(*keys, F.posexplode(F.arrays_zip(*columns)).alias("k", "_z"))

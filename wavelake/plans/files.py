@@ -61,6 +61,13 @@ def s06(t):
     return readers.samples(rows).select(_kind(), "sample_idx", "t_sec", "channel_idx", "channel", "value")
 
 
+@query("s06_pruned_columns", f"WITH {KINDS} SELECT event_type, count(*) AS n, round(sum(-value), 4) AS total, max(i * 5.0) AS last FROM k GROUP BY event_type", digits=4)
+def s06_pruned(t):
+    """Two of eight columns: no other is cut from the lines."""
+    got = readers.read_columns(t.spark, _written(t, "odf", [*ODF, ODF_NAMES], _odf_line()), ["EXG Channel 1", "Timestamp"])
+    return got.groupBy(_kind()).agg(F.count(F.lit(1)).alias("n"), F.sum("EXG Channel 1").alias("total"), F.max("Timestamp").alias("last"))
+
+
 @query("s05_header_settings", f"WITH {KINDS} SELECT event_type, 'odf' AS format, 'ganglion' AS board, 200 AS fs, 2 AS n_channels, count(*) AS n_samples, true AS has_accelerometer, max(i) >= 3 AS has_markers, round(count(*) / 200, 6) AS duration_sec FROM k GROUP BY event_type")
 def s05(t):
     rows = readers.load(t.spark, _written(t, "odf", [*ODF, ODF_NAMES], _odf_line()))

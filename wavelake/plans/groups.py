@@ -242,6 +242,14 @@ def a42(t):
     return o.groupBy("subject").pivot("module", ["flow", "spectrum", "artifact"]).agg(F.first("status")).na.fill("missing")
 
 
+@query("x05_stamped_names", "SELECT event_id, strftime(ts, '%Y%m%d_%H%M%S') AS stamp, strftime(ts, '%Y%m%d_%H%M%S') || '_rec_' || event_type || '.csv' AS name FROM events")
+def x05(t):
+    from ..sources import writers
+
+    e = t.table("events")
+    return e.select("event_id", writers.stamp(F.col("ts")).alias("stamp"), writers.stamped_name(F.concat(F.lit("in/rec "), "event_type", F.lit(".csv")), F.col("ts")).alias("name"))
+
+
 @query("u03_missing_columns", "SELECT p_partkey, array_to_string(list_sort(list_filter([0, 1, 2, 3, 4], lambda x: x NOT IN (p_size % 5, p_size % 3))), ',') AS missing FROM part")
 def u03(t):
     """Of five wanted columns those that a part's table lacks."""

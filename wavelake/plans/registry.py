@@ -22,6 +22,7 @@ TYPES = {
     "s01_file_formats": {"id": "BIGINT"},
     "s05_header_settings": {"fs": "BIGINT", "n_channels": "BIGINT"},
     "s06_header_exports": {"channel_idx": "BIGINT", "t_sec": "DOUBLE"},
+    "s06_pruned_columns": {"last": "DOUBLE"},
     "s07_board_rows_read": {"channel_idx": "BIGINT", "t_sec": "DOUBLE"},
     "s09_plain_tables": {"fs": "BIGINT", "t_sec": "DOUBLE"},
     "s11_metadata": {"fs": "BIGINT", "n_channels": "BIGINT", "header_lines": "BIGINT"},

@@ -206,6 +206,38 @@ def load(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
     return out
 
 
+def layouts(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
+    """(line of column names, files that have it) of header exports: only lines are read for this, no cell is cut."""
+    text = lines(spark, path).where(~F.col("line").startswith("%"))
+    heads = text.groupBy("path").agg(F.min_by("line", "line_no").alias("head"))
+    return [(r.head, r.paths) for r in heads.groupBy("head").agg(F.collect_list("path").alias("paths")).collect()]  # a row for each layout
+
+
+def read_columns(spark: SparkSession, path: str, wanted: list[str]) -> DataFrame:
+    """(recording_id, line_no, wanted: doubles) of header exports, by the names in their headers.
+
+    Files of one layout are one CSV scan with the layout's schema: the scan skips % lines and the header and cuts only the wanted
+    columns (``ReadSchema``).  A file without one of them has nulls; of columns of one name the first counts.
+    """
+    from pyspark.sql.types import DoubleType, StructType
+
+    out = None
+    for head, files in layouts(spark, path):
+        names: list[str] = []
+        for i, n in enumerate(x.strip() for x in re.split("\t" if "\t" in head else ",", head)):
+            names.append(n if n and n not in names else f"{n}#{i}")
+        schema = StructType()
+        for n in names:
+            schema = schema.add(n, DoubleType())
+        files = [r[0] for r in spark.createDataFrame([(f,) for f in files], "f string").select(F.coalesce(F.try_url_decode(F.replace("f", F.lit("+"), F.lit("%2B"))), "f")).collect()]
+        rows = spark.read.schema(schema).csv(files, header=True, comment="%", sep="\t" if "\t" in head else ",", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+        at = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("n")).alias("line_no")
+        cols = [F.col(f"`{c}`") if c in names else F.lit(None).cast("double").alias(c) for c in wanted]
+        part = rows.select(_named_below(spark, path, F.col("_metadata.file_path")).alias("recording_id"), at, *cols)
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], "recording_id string, line_no struct<split: bigint, n: bigint>, " + ", ".join(f"`{c}` double" for c in wanted)) if out is None else out
+
+
 def samples(rows: DataFrame) -> DataFrame:
     """Long form; t_sec is by sample number, the wall clock stays in the rows."""
     z = rows.select("recording_id", "sample_idx", (F.col("sample_idx") / F.col("fs")).alias("t_sec"), F.posexplode(F.arrays_zip("names", "exg")).alias("channel_idx", "z"))

@@ -50,6 +50,16 @@ def detail_export(results: DataFrame) -> DataFrame:
     )
 
 
+def stamp(at: Column | None = None) -> Column:
+    """The id that a time gives (now by default), to the second: 20240229_235959."""
+    return F.date_format(F.current_timestamp() if at is None else at, "yyyyMMdd_HHmmss")
+
+
+def stamped_name(name: Column, at: Column | None = None) -> Column:
+    """A file's name behind the stamp of its time, without folders and with blanks as underscores."""
+    return F.concat(stamp(at), F.lit("_"), F.regexp_replace(F.regexp_extract(name, "([^/]*)$", 1), r"\s+", "_"))
+
+
 def markdown_row(*cells: Column) -> Column:
     return F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
 
