@@ -89,7 +89,7 @@ class Scorer:
     """Applies a model to texts; keeps the scores of at most about CACHE words, whether they say something or not."""
 
     def __init__(self, model: Model, cache: int = CACHE):
-        self.model, self.cache = model, cache
+        self.model, self.cache, self.long = model, cache, []
         self._empty()
 
     def _empty(self) -> None:
@@ -100,6 +100,7 @@ class Scorer:
 
     def _learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.index]
+        self.long = [w for w in new if len(w) > KEPT_LENGTH]
         if len(self.index) + len(new) > self.cache:
             self._empty()
             new = words
@@ -122,9 +123,10 @@ class Scorer:
         self.index.update(zip(heard, range(self.n, self.n + len(heard)), strict=True))
         self.n += len(heard)
 
-    def _forget(self, words: list[str]) -> None:
-        for w in words:
+    def _forget(self) -> None:
+        for w in self.long:
             self.index.pop(w, None)
+        self.long = []
 
     def sums(self, text: str) -> tuple[bool, int, np.ndarray]:
         """Whether a text has a letter, how many of its words say something, and the sum of their scores."""
@@ -134,8 +136,7 @@ class Scorer:
         while words := list(islice(found, STEP)):
             self._learn(set(words))
             at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-            if len(max(words, key=len)) > KEPT_LENGTH:
-                self._forget([w for w in words if len(w) > KEPT_LENGTH])
+            self._forget()
             some = some or bool((at > 0).any())
             used += int((at > 1).sum())
             total += self.table[at].sum(axis=0)

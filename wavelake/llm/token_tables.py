@@ -121,10 +121,9 @@ class WordEncoder:
                 for p in new:
                     known[p] = self._piece(p)
             out[i] = b"".join(map(known.__getitem__, pieces))
-            if pieces and len(max(pieces, key=len)) > KEPT_LENGTH:
-                for p in pieces:
-                    if len(p) > KEPT_LENGTH:
-                        known.pop(p, None)
+            for p in new:
+                if len(p) > KEPT_LENGTH:
+                    del known[p]
         for at in range(0, len(rest), 64):
             part = rest[at : at + 64]
             for i, e in zip(part, self.lib.encode_batch([texts[i] for i in part], add_special_tokens=False), strict=True):
