@@ -72,7 +72,13 @@ def _steady(b, a) -> np.ndarray:
 
 
 def _run_section(b, a, x: np.ndarray, state: np.ndarray, block: int = 256) -> np.ndarray:
-    """One section over x, in blocks: outputs of a block are a matrix product with its inputs and the state before it."""
+    """Outputs of one section over x."""
+    return _section_pass(b, a, x, state, block)[0]
+
+
+def _section_pass(b, a, x: np.ndarray, state: np.ndarray, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Outputs of one section over x and its state at the end, in blocks: outputs of a block are a matrix product with its inputs and
+    the state before it."""
     n = len(x)
     m = np.array([[-a[1], 1.0], [-a[2], 0.0]])
     drive = np.array([b[1] - a[1] * b[0], b[2] - a[2] * b[0]])
@@ -98,7 +104,7 @@ def run_sections(sos: np.ndarray, x: np.ndarray, state: np.ndarray) -> tuple[np.
     """Sections one after another over x from their states (two numbers each): outputs and the states at the end."""
     state = np.array(state, float).reshape(-1, 2)
     for k, row in enumerate(sos):
-        x, state[k] = _run_section(row[:3], row[3:], x, state[k])
+        x, state[k] = _section_pass(row[:3], row[3:], x, state[k])
     return x, state.ravel()
 
 
