@@ -5,6 +5,10 @@ from __future__ import annotations
 import io
 import json
 import posixpath
+import random
+import re
+import time
+import uuid
 import zipfile
 from urllib.parse import unquote
 
@@ -84,30 +88,103 @@ def bundle(results: DataFrame, report: str, originals: DataFrame | None = None,
     return out.getvalue()
 
 
+class Conflict(Exception):
+    """Another writer has put the version first."""
+
+
+class CommitLog:
+    """Numbered versions of a set of tables: each is a small file that names the parquet folders of every table.
+
+    A version is put only if its number is free, so of two writers that read the same version one fails and reads anew; readers see
+    a version as a whole or not at all.  Local files are claimed by a hard link, others by creating without overwriting.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.path, self.jvm = path, spark.sparkContext._jvm
+        self.fs = self._at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _at(self, path: str):
+        return self.jvm.org.apache.hadoop.fs.Path(path)
+
+    def latest(self) -> tuple[int, dict[str, list[str]]]:
+        if not self.fs.exists(self._at(self.path)):
+            return 0, {}
+        names = [f.getPath().getName() for f in self.fs.listStatus(self._at(self.path))]
+        n = max((int(x[:-5]) for x in names if re.fullmatch(r"\d+\.json", x)), default=0)
+        if not n:
+            return 0, {}
+        stream = self.fs.open(self._at(f"{self.path}/{n:020d}.json"))
+        try:
+            return n, json.loads(self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def put(self, n: int, tables: dict[str, list[str]]) -> None:
+        from py4j.protocol import Py4JJavaError
+
+        name, data = f"{self.path}/{n:020d}.json", json.dumps(tables).encode()
+        self.fs.mkdirs(self._at(self.path))
+        local = self.fs.getUri().getScheme() == "file"
+        own = f"{self.path}/_{uuid.uuid4().hex}" if local else name
+        try:
+            out = self.fs.create(self._at(own), False)
+            out.write(data)
+            out.close()
+            if local:
+                file = lambda x: self.jvm.java.io.File(self.fs.makeQualified(self._at(x)).toUri().getPath()).toPath()
+                self.jvm.java.nio.file.Files.createLink(file(name), file(own))
+        except Py4JJavaError as e:
+            if "AlreadyExists" in e.java_exception.getClass().getName():
+                raise Conflict(f"version {n} is taken") from None
+            raise
+        finally:
+            if local:
+                self.fs.delete(self._at(own), False)
+
+
 class Catalog:
-    """Subjects and experiments as parquet tables; each change writes a new version and moves the pointer to it last."""
+    """Subjects and experiments as parquet folders under a log of versions; adding writes the new rows alone."""
+
+    TRIES = 40
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self.log = CommitLog(spark, f"{self.path}/_log")
 
-    def _versions(self) -> DataFrame:
-        return self.spark.read.schema("name string, version long").parquet(f"{self.path}/versions")
+    def _latest(self) -> tuple[int, dict[str, list[str]]]:
+        n, tables = self.log.latest()
+        return (n, tables) if n else (0, self._before_the_log())
 
-    def _read(self, name: str, kind: str) -> DataFrame:
+    def _before_the_log(self) -> dict[str, list[str]]:
+        """The tables of a catalog that was written before it had a log."""
         from pyspark.errors import AnalysisException
 
         try:
-            v = self._versions().where(F.col("name") == name).agg(F.max("version")).first()[0]
+            rows = self.spark.read.schema("name string, version long").parquet(f"{self.path}/versions").groupBy("name").agg(F.max("version").alias("v")).collect()
         except AnalysisException:
-            v = None
-        return self.spark.createDataFrame([], kind) if v is None else self.spark.read.parquet(f"{self.path}/{name}/v{v}")
-
-    def _write(self, name: str, df: DataFrame) -> None:
-        import time
-
-        v = time.time_ns()
-        df.coalesce(1).write.parquet(f"{self.path}/{name}/v{v}")
-        self.spark.createDataFrame([(name, v)], "name string, version long").coalesce(1).write.mode("append").parquet(f"{self.path}/versions")
+            return {}
+        return {r.name: [f"{self.path}/{r.name}/v{r.v}"] for r in rows}
+
+    def _read(self, name: str, kind: str, tables: dict | None = None) -> DataFrame:
+        found = (self._latest()[1] if tables is None else tables).get(name)
+        return self.spark.read.option("mergeSchema", True).parquet(*found) if found else self.spark.createDataFrame([], kind)
+
+    def _change(self, made) -> object:
+        """Commits ``made(tables)``: (result, {table: (rows, whether they are added to it or stand for it)}); anew if another came first."""
+        for k in range(self.TRIES):
+            n, tables = self._latest()
+            result, new = made(tables)
+            after = dict(tables)
+            for name, (df, added) in new.items():
+                to = f"{self.path}/{name}/{n + 1}-{uuid.uuid4().hex}"
+                df.coalesce(1).write.parquet(to)
+                after[name] = [*after.get(name, []), to] if added else [to]
+            try:
+                self.log.put(n + 1, after)
+                return result
+            except Conflict:
+                time.sleep(0.02 * (k + 1) * random.random())
+        raise Conflict(f"{self.TRIES} other changes came first")
 
     def subjects(self) -> DataFrame:
         return self._read("subjects", S.SUBJECTS).orderBy(F.desc("created_at"), F.desc("id"))
@@ -119,39 +196,53 @@ class Catalog:
         s = self._read("subjects", S.SUBJECTS).select(F.col("id").alias("subject_id"), F.col("code").alias("subject_code"))
         return e.join(s, "subject_id").orderBy(F.desc("created_at"), F.desc("id"))
 
-    def _add(self, name: str, kind: str, row: dict) -> int:
-        t = self._read(name, kind)
-        new = (t.agg(F.max("id")).first()[0] or 0) + 1
-        one = self.spark.createDataFrame([{**row, "id": new}], kind).withColumn("created_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss"))
-        self._write(name, t.unionByName(one, allowMissingColumns=True))
-        return new
+    def _add(self, name: str, kind: str, row: dict, fits=None) -> int:
+        def made(tables):
+            if fits is not None:
+                fits(tables)
+            new = (self._read(name, kind, tables).agg(F.max("id")).first()[0] or 0) + 1
+            one = self.spark.createDataFrame([{**row, "id": new}], kind).withColumn("created_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss"))
+            return new, {name: (one, True)}
+
+        return self._change(made)
 
     def add_subject(self, code: str, age: int | None = None, gender: str | None = None) -> int:
-        if not self._read("subjects", S.SUBJECTS).where(F.col("code") == code).isEmpty():
-            raise ValueError(f"there is a subject {code}")
-        return self._add("subjects", S.SUBJECTS, {"code": code, "age": age, "gender": gender, "created_at": None})
+        def fits(tables):
+            if not self._read("subjects", S.SUBJECTS, tables).where(F.col("code") == code).isEmpty():
+                raise ValueError(f"there is a subject {code}")
+
+        return self._add("subjects", S.SUBJECTS, {"code": code, "age": age, "gender": gender, "created_at": None}, fits)
 
     def update_subject(self, subject_id: int, **changes) -> None:
-        t = self._read("subjects", S.SUBJECTS)
-        self._write("subjects", t.withColumns({c: F.when(F.col("id") == subject_id, F.lit(v)).otherwise(F.col(c)).cast(dict(t.dtypes)[c]) for c, v in changes.items()}))
+        def made(tables):
+            t = self._read("subjects", S.SUBJECTS, tables)
+            return None, {"subjects": (t.withColumns({c: F.when(F.col("id") == subject_id, F.lit(v)).otherwise(F.col(c)).cast(dict(t.dtypes)[c]) for c, v in changes.items()}), False)}
+
+        self._change(made)
 
     def delete_subject(self, subject_id: int) -> None:
-        """Takes the subject's experiments along."""
-        e = self._read("experiments", S.EXPERIMENTS)
-        self._write("experiments", e.where(F.col("subject_id") != subject_id))
-        self._write("subjects", self._read("subjects", S.SUBJECTS).where(F.col("id") != subject_id))
+        """Takes the subject's experiments along, in one version."""
+        self._change(lambda tables: (None, {
+            "experiments": (self._read("experiments", S.EXPERIMENTS, tables).where(F.col("subject_id") != subject_id), False),
+            "subjects": (self._read("subjects", S.SUBJECTS, tables).where(F.col("id") != subject_id), False),
+        }))
 
     def add_experiment(self, subject_id: int, condition: str, date: str | None = None, notes: str | None = None) -> int:
-        if self._read("subjects", S.SUBJECTS).where(F.col("id") == subject_id).isEmpty():
-            raise ValueError(f"there is no subject {subject_id}")
-        return self._add("experiments", S.EXPERIMENTS, {"subject_id": subject_id, "condition": condition, "date": date, "notes": notes, "created_at": None})
+        def fits(tables):
+            if self._read("subjects", S.SUBJECTS, tables).where(F.col("id") == subject_id).isEmpty():
+                raise ValueError(f"there is no subject {subject_id}")
+
+        return self._add("experiments", S.EXPERIMENTS, {"subject_id": subject_id, "condition": condition, "date": date, "notes": notes, "created_at": None}, fits)
 
     def set_status(self, experiment_id: int, status: str) -> None:
-        e = migrated(self._read("experiments", S.EXPERIMENTS))
-        self._write("experiments", e.withColumn("analysis_status", F.when(F.col("id") == experiment_id, status).otherwise(F.col("analysis_status"))))
+        def made(tables):
+            e = migrated(self._read("experiments", S.EXPERIMENTS, tables))
+            return None, {"experiments": (e.withColumn("analysis_status", F.when(F.col("id") == experiment_id, status).otherwise(F.col("analysis_status"))), False)}
+
+        self._change(made)
 
     def delete_experiment(self, experiment_id: int) -> None:
-        self._write("experiments", self._read("experiments", S.EXPERIMENTS).where(F.col("id") != experiment_id))
+        self._change(lambda tables: (None, {"experiments": (self._read("experiments", S.EXPERIMENTS, tables).where(F.col("id") != experiment_id), False)}))
 
 
 def migrated(experiments: DataFrame) -> DataFrame:
