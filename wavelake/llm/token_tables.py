@@ -46,7 +46,7 @@ END_ID = 1
 #: Rows of a shard, about; the number of shards is bounded so that the manifest stays small.
 SHARD_ROWS = 20_000
 MOST_SHARDS = 20_000
-#: Pieces of text whose ids a Python worker keeps, and rows that it has as Python objects at a time.
+#: Pieces of text whose ids a Python worker keeps in each of two generations, and rows that it has as Python objects at a time.
 CACHE = 200_000
 #: Letters of the longest piece that is kept, so that kept pieces are bounded in bytes too.
 KEPT_LENGTH = 64
@@ -87,9 +87,10 @@ class WordEncoder:
         self.letters = {b: c for c, b in byte_letters().items()}
         self.model = self.lib.model
         self.pieces: dict[str, bytes] = {}
+        self.elder: dict[str, bytes] = {}
 
     def _pack(self, ids) -> bytes:
-        return np.array(ids, self.kind).tobytes()
+        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
 
     def _piece(self, piece: str) -> bytes:
         ids: list[int] = []
@@ -115,11 +116,13 @@ class WordEncoder:
             known = self.pieces
             new = set(pieces).difference(known)
             if new:
-                if len(known) + len(new) > CACHE:
-                    known.clear()
-                    new = set(pieces)
+                if len(known) + len(new) > CACHE:  # the younger generation becomes the elder; pieces met again come back
+                    self.elder, known = known, {}
+                    self.pieces, new = known, set(pieces)
+                elder = self.elder
                 for p in new:
-                    known[p] = self._piece(p)
+                    ids = elder.get(p)
+                    known[p] = self._piece(p) if ids is None else ids
             out[i] = b"".join(map(known.__getitem__, pieces))
             for p in new:
                 if len(p) > KEPT_LENGTH:
