@@ -195,6 +195,7 @@ def decompose(samples: DataFrame, keys: list[str], n: int | None = None, most: i
 
 def classify(low_1_4: Column, high: Column, mid: Column, ecg: Column, slope: Column, kurt: Column, front_back: Column) -> tuple[Column, Column]:
     """(kind, confidence) of a component from its shares of power, slope, kurtosis and front to back loading."""
+    # Limits and weights of the kinds.
     eog, emg, heart = (low_1_4 > 0.3) & (front_back > 1), (high > 0.4) & (kurt > 5), (ecg > 0.2) & (slope < -1.5) & (kurt > 3)
     near = 1 - F.least(F.abs(slope + 1) / 1.5, F.lit(1.0))
     kind = F.when(eog, "EOG").when(emg, "EMG").when(heart, "ECG").otherwise("EEG")

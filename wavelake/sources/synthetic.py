@@ -35,6 +35,7 @@ def recordings(spark: SparkSession, table: list[tuple[str, float, int]], fs: int
                 value = noise.normal(0, 0.5, len(i))
                 for b, (name, (lo, hi)) in enumerate(S.BANDS.items()):
                     steady, switched = STEADY[name], STEADY[name] + SHIFT[name] * j.d
+                    # Times and levels of the envelope, share of noise, amplitude of all tones of a band.
                     env = np.interp(t, [0, 60, 300, 540, 545, 665, 725 + 120 * j.d], [0.25, 0.25, steady, steady, switched, switched, steady])
                     for k, f in enumerate(np.linspace(lo + 0.5, hi - 0.5, tones)):
                         value += env * (1 + noise.normal(0, 0.015, len(i))) * np.sin(2 * np.pi * f * t + phase[b, k]) * (50.0 / tones)
