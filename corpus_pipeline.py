@@ -1,8 +1,8 @@
 """The corpus pipeline: its stages, each over what the one before it kept.
 
 Language ID drops documents without a language; line dedup takes out lines that an earlier line equals or nearly equals;
-near-dedup keeps the document with the smallest id of each group linked by a Jaccard similarity of 0.8 or more over shingles of
-five words; mixing repeats and drops documents by source until the mix has its target weights; the last stage encodes the texts
+near-dedup links SimHash fingerprints over shingles of five words, and by minima of the shingles those that are farther apart, and
+keeps the document with the smallest id of each group whose sets reach a Jaccard similarity of 0.8; mixing repeats and drops documents by source until the mix has its target weights; the last stage encodes the texts
 and decodes them again.  All but the last give the columns of documents.
 """
 

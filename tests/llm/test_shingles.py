@@ -1,10 +1,12 @@
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
 from wavelake.llm import common as C
 from wavelake.llm import shingles as Sh
+from wavelake.llm import simhash
 
 
 def shingle_set(text):
@@ -71,3 +73,28 @@ def test_one_row_stays_where_ids_repeat_or_are_null(spark):
     got = Sh.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, rows[3][1]), (1, rows[0][1]), (2, rows[2][1]), (8, rows[5][1])]
     assert Sh.keep_one(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_links_of_fingerprints_are_found_without_minima_and_checked(spark, monkeypatch):
+    """The keys of SimHash alone bring pairs within two bits together, and the sets decide."""
+    rng, rows = random.Random(8), []
+    for _ in range(40):
+        base = [f"w{rng.randrange(3000)}" for _ in range(400)]
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join([*base[:-1], "other"]))]
+    fp = simhash.group_fingerprints([t.encode() for _, t in rows], Sh.WORDS)
+    near = {k for k in range(0, len(rows), 2) if (int(fp[k]) ^ int(fp[k + 1])).bit_count() <= 2}
+    assert len(near) > 20
+    whole = Sh.nodes_and_keys
+
+    def no_minima(at, h):
+        node, full, keys = whole(at, h)
+        return node, full, np.repeat(node[full][:, None], Sh.BANDS, axis=1)
+
+    monkeypatch.setattr(Sh, "nodes_and_keys", no_minima)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in Sh.keep_one(df).collect()}
+    assert kept == {k for k, _ in rows} - {k + 1 for k in near}
+    # fingerprints that are near while the sets are not: no link
+    monkeypatch.setattr(Sh, "group_fingerprints", lambda texts, *_: np.zeros(len(texts), np.uint64))
+    far = spark.createDataFrame(rows[::2], "doc_id long, text string")
+    assert Sh.keep_one(far).count() == 40

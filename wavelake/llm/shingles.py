@@ -4,10 +4,15 @@ A document is the set of its shingles of WORDS words.  Two documents are linked
 THRESHOLD or more; of each component of links one row stays.
 
 1. Equal sets are one node, so a group of copies costs one row.
-2. Keys: ROWS minima of a set under seeded hash functions make one key, BANDS keys a node.  Sets at similarity s share one
-   with probability 1 - (1 - s**ROWS)**BANDS, which is over 0.9999 from 0.8 on.
-3. Stars: the nodes of a key are checked against its least, then against its greatest node, each pair once for all keys.
-4. Keys whose nodes are still of several components are compared in blocks of bounded size, pairs of different components alone.
+2. SimHash: the fingerprints of the nodes, over the same shingles, are linked by operator 2 (``simhash``: exact segments and Golay
+   codewords, two bits at most); the fingerprints of one component are a first key of their nodes.
+3. The rest: two sets at similarity 0.8 have fingerprints about ten bits apart, so nodes also get keys that reach so far.  ROWS minima
+   of a set under seeded hash functions make one key, BANDS keys a node.  Sets at similarity s share one with probability
+   1 - (1 - s**ROWS)**BANDS, which is over 0.9999 from 0.8 on.
+4. Stars: the nodes of a key are checked against its least, then against its greatest node, each pair once for all keys.
+5. Keys whose nodes are still of several components are compared in blocks of bounded size, pairs of different components alone.
+
+No link goes by a key alone: every one is checked on the sets.
 
 Edge cases: a text with fewer words is one shingle; null and blank texts are one node; rows are told apart by a number of their
 own, so repeated and null ids leave one row a component too: that with the least id (null last); an empty table stays empty.
@@ -20,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
+from .simhash import group_fingerprints, link_fingerprints
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -136,6 +142,13 @@ def near_links(rows: DataFrame, sets_of, threshold: float = THRESHOLD) -> DataFr
     return C.connected_components(links.union(C.stage(more, "near-more")), "near")
 
 
+def simhash_keys(nodes: DataFrame) -> DataFrame:
+    """(node, key) of the nodes (node, fp; staged) whose fingerprints have a link, or are equal: a key for each component of fingerprints."""
+    roots = C.connected_components(link_fingerprints(nodes.select("fp").distinct(), "near-simhash"), "near-simhash")
+    named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("node", F.coalesce("root", "fp").alias("root"))
+    return named.select("node", F.xxhash64(F.lit("simhash"), F.col("root")).alias("key"))
+
+
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """``df`` (all its columns) with one row of each component: that with the least id."""
     import pyarrow as pa
@@ -151,7 +164,9 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
                 node, full, keys = nodes_and_keys(*shingle_sets(texts[a:b], words))
                 at = np.concatenate([[0], np.cumsum(np.bincount(full, minlength=b - a) * BANDS)]).astype(np.int32)
                 got = pa.ListArray.from_arrays(pa.array(at), pa.array(keys.reshape(-1).view(np.int64)))
-                yield pa.record_batch([batch.column("row").slice(a, b - a), batch.column("id").slice(a, b - a), pa.array(node.view(np.int64)), got], names=["row", "id", "node", "keys"])
+                fp = group_fingerprints(texts[a:b], words)
+                ids = [batch.column(c).slice(a, b - a) for c in ("row", "id")]
+                yield pa.record_batch([*ids, pa.array(node.view(np.int64)), pa.array(fp.view(np.int64)), got], names=["row", "id", "node", "fp", "keys"])
 
     def fetch(batches):
         for batch in C.sliced(batches):
@@ -160,10 +175,11 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
                 at, h = shingle_sets(texts[a:b], words)
                 yield pa.record_batch([batch.column("node").slice(a, b - a), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)))], names=["node", "set"])
 
-    marks = C.stage(src.mapInArrow(mark, "row long, id long, node long, keys array<long>"), "near-marks")
+    marks = C.stage(src.mapInArrow(mark, "row long, id long, node long, fp long, keys array<long>"), "near-marks")
     rank = F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("i"), F.col("row").alias("r"))
-    least = C.stage(marks.groupBy("node").agg(F.min(rank).alias("best"), F.first("keys").alias("keys")), "near-nodes")
-    rows = C.stage(least.select("node", F.explode("keys").alias("key")), "near-keys")
+    least = C.stage(marks.groupBy("node").agg(F.min(rank).alias("best"), F.min("fp").alias("fp"), F.first("keys").alias("keys")), "near-nodes")
+    full = least.where(F.size("keys") > 0)
+    rows = C.stage(simhash_keys(full.select("node", "fp")).union(full.select("node", F.explode("keys").alias("key"))), "near-keys")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         wanted = C.stage(least.join(nodes, "node").select("node", F.col("best.r").alias("row")), "near-wanted")

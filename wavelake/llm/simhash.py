@@ -76,7 +76,8 @@ def golay_keys(fp: np.ndarray) -> np.ndarray:
     return np.concatenate([(golay_indices(seg[(k + 1) % 3]) | (seg[k][:, None] << 12)) | (k << 34) for k in range(3)], axis=1)
 
 
-def _group_fingerprints(texts: list[bytes], words: int, seed: int) -> np.ndarray:
+def group_fingerprints(texts: list[bytes], words: int = WORDS, seed: int = SEED) -> np.ndarray:
+    """Fingerprints of several texts."""
     split = [t.lower().split() for t in texts]
     out = np.zeros(len(texts), np.uint64)
     full = [i for i, w in enumerate(split) if w]
@@ -112,7 +113,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches):
         for batch in C.sliced(batches):
             texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
-            fp = np.concatenate([np.zeros(0, np.uint64)] + [_group_fingerprints(texts[a:b], words, seed) for a, b in C.groups_of_bytes(texts)])
+            fp = np.concatenate([np.zeros(0, np.uint64)] + [group_fingerprints(texts[a:b], words, seed) for a, b in C.groups_of_bytes(texts)])
             yield pa.record_batch([batch.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
 
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
