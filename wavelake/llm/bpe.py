@@ -2,12 +2,14 @@
 
 For merges applied in rank order, the encoding of a prefix is the encoding of a shorter prefix plus one last token, and that last
 token is the only vocabulary entry that ends there and whose join to the token before it would survive the merges.  So every
-node of a trie of words needs its last token only.  New words are put into the trie in order, that is depth first: the path to
-the word before is at hand, the nodes of the shared prefix stand, and only those below them are computed; the encoding of a word
-is read off by walking back along its path.
-
-Of the trie no more than MOST_NODES nodes stay beside the path itself.  Finished words are kept from task to task in two
-generations of at most about MOST_WORDS words: when the younger is full it becomes the elder, and words met again come back.
+node of a trie of words needs its last token only.  New words are put into the trie in order, so that words of one prefix stand
+together and share its nodes; the nodes of one depth are computed at once, as arrays, and the encodings are read off by walking
+back along the paths.  Words of more than LEVEL_BYTES bytes go depth first, one after another: the path to the word before is at
+hand, the nodes of the shared prefix stand, and only those below them are computed.
+
+Of the trie no more than MOST_NODES nodes stay beside the path itself.  Finished words are kept in two generations of at most
+about MOST_WORDS words: when the younger is full it becomes the elder, and words met again come back.  The younger stays from task
+to task; the elder goes at the end of a task, as idle workers keep what they hold.
 Texts longer than PART_CHARS are cut and encoded STEP words at a time.
 
 Edge cases: a null text is encoded as the empty one (no ids); added tokens in a text are single ids, as the library has it;
@@ -33,6 +35,11 @@ MOST_WORDS = 200_000
 #: Letters of the longest word that is kept, so that kept words are bounded in bytes too (about 60 MB).
 KEPT_LENGTH = 64
 MOST_PAIRS = 200_000
+#: Bytes of the longest word that is computed by depth, and words computed together.
+LEVEL_BYTES = 64
+LEVEL_WORDS = 1 << 14
+#: Slots for pairs of tokens already looked at.
+PAIR_SLOTS = 1 << 20
 #: Text (characters) encoded at a time, and ids that one Arrow batch of the output holds, about.
 PART_CHARS = 1 << 20
 STEP = 1 << 16
@@ -74,6 +81,7 @@ class TrieBPE:
             self.parts[made] = (left, right)
             self.order[made] = rank
         self._automaton()
+        self._arrays()
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.added = added
         self.size = array("i", [0] * (max(self.bytes_of, default=0) + 1))
@@ -114,6 +122,62 @@ class TrieBPE:
             own = (token_at[k],) if k in token_at else ()
             ends[k] = own + ends[fall[k]]
 
+    def _arrays(self) -> None:
+        """The same tables as arrays, for many nodes at a time."""
+        edges = np.array(sorted(self.step.items()), np.int32).reshape(-1, 2)
+        self.edge, self.edge_to = np.ascontiguousarray(edges[:, 0]), np.ascontiguousarray(edges[:, 1])
+        self.falls = np.array(self.fall, np.int32)
+        self.end_at = np.cumsum([0, *map(len, self.ends)]).astype(np.int32)
+        flat = np.array([e for some in self.ends for e in some], np.int32).reshape(-1, 2)
+        self.end_token, self.end_size = np.ascontiguousarray(flat[:, 0]), np.ascontiguousarray(flat[:, 1])
+        n = max(self.bytes_of, default=0) + 1
+        self.orders, self.lefts, self.rights = np.zeros(n, np.int64), np.full(n, -1, np.int32), np.full(n, -1, np.int32)
+        for i, x in self.order.items():
+            self.orders[i] = x
+        for i, (a, b) in self.parts.items():
+            self.lefts[i], self.rights[i] = a, b
+        merges = np.array(sorted((a << 32 | b, rank) for (a, b), rank in self.merged.items()), np.int64).reshape(-1, 2)
+        self.merge, self.merge_rank = np.ascontiguousarray(merges[:, 0]), np.ascontiguousarray(merges[:, 1])
+        self.seen = np.full(PAIR_SLOTS, -1, np.int64)
+
+    def _advance_all(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        out, act, state = np.zeros(len(state), np.int32), np.arange(len(state)), state.astype(np.int32)
+        while act.size:
+            key = state << 8 | byte
+            at = np.minimum(np.searchsorted(self.edge, key), len(self.edge) - 1)
+            hit = self.edge[at] == key
+            out[act[hit]] = self.edge_to[at[hit]]
+            more = ~hit & (state > 0)
+            act, state, byte = act[more], self.falls[state[more]], byte[more]
+        return out
+
+    def _stand(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``stands`` for many pairs; what is found is kept in PAIR_SLOTS slots."""
+        pair = a.astype(np.int64) << 32 | b
+        slot = (C.mix64(pair.view(np.uint64)) & np.uint64(PAIR_SLOTS - 1)).astype(np.int64)
+        held = self.seen[slot]
+        ok = (held & 1).astype(bool)
+        new = np.nonzero(held >> 1 != pair)[0]
+        if new.size:
+            ok[new] = self._look(a[new], b[new])
+            self.seen[slot[new]] = pair[new] << 1 | ok[new]
+        return ok
+
+    def _look(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        ok, act, before = np.ones(len(x), bool), np.arange(len(x)), np.full(len(x), 1 << 40)
+        while act.size:
+            key = x.astype(np.int64) << 32 | y
+            at = np.minimum(np.searchsorted(self.merge, key), len(self.merge) - 1)
+            joins = (self.merge[at] == key) & (self.merge_rank[at] < before)
+            ok[act[joins]] = False
+            later_x = self.orders[x] > self.orders[y]
+            whole = np.where(later_x, x, y)
+            more = ~joins & (self.lefts[whole] >= 0)
+            before = (self.orders[whole] + ~later_x)[more]
+            x, y = np.where(later_x, self.rights[x], x)[more], np.where(later_x, y, self.lefts[y])[more]
+            act = act[more]
+        return ok
+
     def _advance(self, state: int, byte: int) -> int:
         step = self.step
         while True:
@@ -201,6 +265,63 @@ class TrieBPE:
         ids.reverse()
         return ids.tobytes()
 
+    def _levels(self, words: list[bytes]) -> list[bytes]:
+        """Ids of sorted words, none empty: the nodes of each depth at once."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        n, deep = len(words), int(size.max())
+        letters = np.array(words, f"S{deep}").view(np.uint8).reshape(n, deep)
+        differ = letters[1:] != letters[:-1]
+        shared = np.zeros(n, np.int64)
+        shared[1:] = np.minimum(np.where(differ.any(axis=1), differ.argmax(axis=1), deep), np.minimum(size[1:], size[:-1]))
+        last, state, nodes = np.zeros((deep + 1, n), np.int32), np.zeros(n, np.int32), [np.array([-1], np.int32)]
+        for depth in range(deep):
+            rows = np.nonzero(size > depth)[0]
+            fresh = shared[rows] <= depth
+            new = rows[fresh]
+            to = self._advance_all(state[new], letters[new, depth])
+            token, at, act = np.zeros(len(new), np.int32), self.end_at[to], np.arange(len(new))
+            while act.size:
+                k = at[act]
+                if (k >= self.end_at[to[act] + 1]).any():
+                    raise ValueError(f"no token ends at byte {depth + 1} of a word")
+                t, start = self.end_token[k], depth + 1 - self.end_size[k]
+                ok = start == 0
+                rest = np.nonzero(~ok)[0]
+                ok[rest] = self._stand(last[start[rest], new[act[rest]]], t[rest])
+                token[act[ok]] = t[ok]
+                act = act[~ok]
+                at[act] += 1
+            of = np.cumsum(fresh) - 1
+            last[depth + 1, rows], state[rows] = token[of], to[of]
+            nodes.append(token)
+        self._clear()
+        self.last = array("i", np.concatenate(nodes).tobytes())
+        sizes, found, act, end = np.frombuffer(self.size, np.int32), [], np.arange(n), size.copy()
+        steps = np.zeros(n, np.int64)
+        while act.size:
+            token = last[end[act], act]
+            found.append((act, token))
+            steps[act] += 1
+            end[act] -= sizes[token]
+            act = act[end[act] > 0]
+        ends = np.cumsum(steps)
+        ids = np.zeros(int(ends[-1]), "<i4")
+        for back, (who, token) in enumerate(found):
+            ids[ends[who] - 1 - back] = token
+        raw, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def _blocks(self, words: list[bytes]):
+        """Index ranges of words that are computed together."""
+        at, held = 0, 0
+        for i, w in enumerate(words):
+            if i > at and (held + len(w) > MOST_NODES or i - at >= LEVEL_WORDS):
+                yield at, i
+                at, held = i, 0
+            held += len(w)
+        if at < len(words):
+            yield at, len(words)
+
     def learn(self, words) -> None:
         """Encode words not yet known, in sorted order: depth first through the trie."""
         words = set(words)
@@ -210,12 +331,25 @@ class TrieBPE:
         if len(self.words) + len(new) > MOST_WORDS:
             self.elder, self.words = self.words, {}
             new = words
-        known, elder, follow = self.words, self.elder, self._follow
-        for w in sorted(new):  # code points sort as their bytes do
-            ids = elder.get(w)
-            known[w] = follow(w.encode()) if ids is None else ids
-            if len(w) > KEPT_LENGTH:
-                self.long.append(w)
+        known, elder = self.words, self.elder
+        for w in (back := new.intersection(elder) if elder else ()):
+            known[w] = elder[w]
+        ordered = sorted(new.difference(back))  # code points sort as their bytes do
+        raw = [w.encode() for w in ordered]
+        short = [k for k, w in enumerate(raw) if len(w) <= LEVEL_BYTES]
+        some = [raw[k] for k in short]
+        for a, b in self._blocks(some):
+            known.update(zip((ordered[k] for k in short[a:b]), self._levels(some[a:b]), strict=True))
+        if len(short) < len(raw):
+            for w, x in zip(ordered, raw, strict=True):
+                if len(x) > LEVEL_BYTES:
+                    known[w] = self._follow(x)
+        self.long += [w for w in new if len(w) > KEPT_LENGTH]
+
+    def rest(self) -> None:
+        """What an idle worker need not hold goes."""
+        self.elder = {}
+        C.give_back()
 
     def _forget(self) -> None:
         """Long words go once the texts that hold them are done."""
@@ -241,7 +375,7 @@ class TrieBPE:
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers; words of all texts go through the trie together."""
         cut = [[pack("<i", self.added[p]) if one else self._encode_long(p) if len(p) > PART_CHARS else self.cut(p) for one, p in self.pieces(t)] for t in texts]
-        self.learn(w for pieces in cut for p in pieces if not isinstance(p, bytes) for w in p)
+        self.learn(set().union(*(p for pieces in cut for p in pieces if not isinstance(p, bytes))))
         known = self.words.__getitem__
         out = [b"".join(p if isinstance(p, bytes) else b"".join(map(known, p)) for p in pieces) for pieces in cut]
         self._forget()
@@ -302,6 +436,8 @@ def encode(df: DataFrame, text_col: str = "text", path: str | None = None, decod
                     made.append(pa.array([bpe.decode(np.frombuffer(x, "<i4").tolist()) for x in ids], pa.string()))
                 yield pa.record_batch([*cols, *made], names=[*held, *schema.names[len(held) :]])
                 at += len(ids)
+            del batch
+        bpe.rest()
 
     return df.select(*held, F.col(text_col).cast("string").alias("__wl_in")).mapInArrow(op, schema)
 
@@ -322,6 +458,8 @@ def decode(df: DataFrame, ids_col: str = "ids", path: str | None = None) -> Data
                 part = batch.slice(at, 256)
                 texts = [None if v is None else bpe.decode(v) for v in part.column(part.num_columns - 1).to_pylist()]
                 yield pa.record_batch([*[part.column(k) for k in range(part.num_columns - 1)], pa.array(texts, pa.string())], names=[*held, "decoded"])
+            del batch
+        bpe.rest()
 
     return df.select(*held, F.col(ids_col).alias("__wl_in")).mapInArrow(op, schema)
 
