@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 MOST_NODES = 300_000
-MOST_WORDS = 200_000
-#: Letters of the longest word that is kept, so that kept words are bounded in bytes too (about 60 MB).
+MOST_WORDS = 100_000
+#: Letters of the longest word that is kept, so that kept words are bounded in bytes too (about 30 MB).
 KEPT_LENGTH = 64
 MOST_PAIRS = 200_000
 #: Bytes of the longest word that is computed by depth, and words computed together.
@@ -139,6 +139,8 @@ class TrieBPE:
         merges = np.array(sorted((a << 32 | b, rank) for (a, b), rank in self.merged.items()), np.int64).reshape(-1, 2)
         self.merge, self.merge_rank = np.ascontiguousarray(merges[:, 0]), np.ascontiguousarray(merges[:, 1])
         self.seen = np.full(PAIR_SLOTS, -1, np.int64)
+        # made again for the first word that is too long to be computed by depth
+        self.step, self.fall, self.ends = {}, [], []
 
     def _advance_all(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
         out, act, state = np.zeros(len(state), np.int32), np.arange(len(state)), state.astype(np.int32)
@@ -226,6 +228,8 @@ class TrieBPE:
 
     def _follow(self, word: bytes) -> bytes:
         """Ids of ``word``; nodes below the prefix that it shares with the word before get their last token."""
+        if not self.ends:
+            self._automaton()
         last, path, states, pairs, step, ends = self.last, self.path, self.states, self.pairs, self.step, self.ends
         prev, shared = self.word, 0
         most = min(len(prev), len(word))
