@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -38,3 +39,14 @@ def test_short_lines_are_deduplicated(spark, monkeypatch, block, tmp_path):
     assert want[1] == "\n" and want[3] == "k l m"
     assert {r.doc_id: r.text for r in L.op7_line_dedup(spark, str(tmp_path)).collect()} == want
     assert {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, df, "").collect()} == want
+
+
+def test_only_sizes_that_can_be_similar_are_paired():
+    rng = np.random.default_rng(4)
+    key, n = rng.integers(0, 12, 400) + (1 << 32) - 12, rng.integers(1, 60, 400)
+    order = np.lexsort((n, key))
+    key, n = key[order], n[order]
+    got = [(i, j) for some in L._runs(key, n, 0.8) for i, j in zip(*some, strict=True)]
+    assert len(set(got)) == len(got)
+    assert set(got) == {(i, j) for i in range(400) for j in range(i + 1, 400) if key[i] == key[j] and min(n[i], n[j]) >= L._need(n[i], n[j], 0.8)}
+    assert not list(L._runs(key[:0], n[:0], 0.8))

@@ -6,10 +6,11 @@ similarity of THRESHOLD or more; whether that earlier line itself goes does not
 1. Rarity: word counts over all documents in a table of SLOTS hashed counters (8 bits each, on a logarithmic scale), the only
    thing broadcast.  It orders the words of a line, rare ones first; any order gives the same result, a good one little work.
 2. Lines with equal sets are one class, led by its first line; the others go.
-3. Prefix filter: the leaders meet at the words of their prefix (words seen once in all documents meet nobody).  Pairs must pass
-   the length, the positional and a parity filter (words set bits of a map by exclusive or: sets differ in at least as many words
-   as their maps in bits); lines with such a partner stay in the race.  Words seen in fewer than HOT_BLOCKS blocks of places make small groups;
-   those of more frequent words are cut into blocks of bounded size.
+3. Prefix filter: the leaders meet at the words of their prefix (words seen once in all documents meet nobody), in order of size,
+   so that only sizes that can be similar are paired.  Pairs must pass the length, the positional and a parity filter (words set
+   bits of a map by exclusive or: sets differ in at least as many words as their maps in bits); lines with such a partner stay in
+   the race.  Words seen in fewer than HOT_BLOCKS blocks of places make small groups; those of more frequent words are cut into
+   blocks of bounded size.
 4. Verify: the word sets of these lines are read again.  Each is checked by exact Jaccard similarity against the earliest of its
    partners; those that this does not settle are checked against all their partners, in blocks.
 
@@ -146,12 +147,10 @@ def _batch(rows: list):
 _PACKED = "kind int, part int, rows binary, more binary"
 
 
-def _runs(sorted_keys: np.ndarray):
-    """Pairs (i, j) of equal keys, one shift at a time."""
-    n = len(sorted_keys)
-    starts = np.nonzero(np.diff(sorted_keys, prepend=sorted_keys[:1] - 1))[0] if n else np.zeros(0, int)
-    ends = np.append(starts[1:], n)
-    left = np.repeat(ends, ends - starts) - np.arange(n) - 1
+def _runs(keys: np.ndarray, n: np.ndarray, t: float):
+    """Pairs (i, j), i < j, of equal keys whose sizes can reach similarity t, one shift at a time; rows are sorted by key and size."""
+    most = np.floor((n + 1e-8) / t).astype(np.int64)
+    left = np.searchsorted(keys << 31 | n, keys << 31 | most, "right") - np.arange(len(n)) - 1
     act, shift = np.nonzero(left >= 1)[0], 1
     while act.size:
         yield act, act + shift
@@ -174,7 +173,7 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, least_words: in
             texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
             for a, b in C.groups_of_bytes(texts):
                 if (got := _split_lines(texts[a:b])) is not None:
-                    np.add.at(acc, (got[0] & mask).astype(np.int64), 1)
+                    np.add.at(acc, (got[0] & mask).astype(np.int64), np.uint32(1))
         yield _emit_counts(acc)
 
     table, words = slot_table(docs.select("text").mapInArrow(count, "r int, slots binary, counts binary"), slots)
@@ -311,9 +310,9 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, least_words: in
                     held.append(np.frombuffer(r, _ENTRY))
         if held:
             e = np.concatenate(held)
-            e = e[np.argsort(e["key"], kind="stable")]
+            e = e[np.argsort(e["key"].astype(np.int64) << 31 | e["n"], kind="stable")]
             n, b0, b1, place, key, did = (np.ascontiguousarray(e[c]) for c in ("n", "b0", "b1", "place", "key", "did"))
-            stays, best = racing(n, (b0, b1), place.astype(np.int64), did, _runs(key.astype(np.int64)))
+            stays, best = racing(n, (b0, b1), place.astype(np.int64), did, _runs(key.astype(np.int64), n.astype(np.int64), threshold))
             yield out(2, entry=e[stays], partner=(e, best[stays]))
 
     def hot_race(batches):
