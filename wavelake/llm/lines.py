@@ -67,6 +67,26 @@ def _emit_counts(acc: np.ndarray):
     return pa.record_batch([pa.array(ranges, pa.int32()), pa.array(slots, pa.binary()), pa.array(counts, pa.binary())], names=["r", "slots", "counts"])
 
 
+def _tally(slots: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct slots in order and the sums of their counts."""
+    slot, n = np.concatenate(slots), np.concatenate(counts)
+    order = np.argsort(slot, kind="stable")
+    slot, n = slot[order], n[order]
+    first = np.nonzero(np.diff(slot.astype(np.int64), prepend=-1))[0]
+    return slot[first], np.add.reduceat(n, first) if len(n) else n
+
+
+def _emit_tally(slot: np.ndarray, n: np.ndarray):
+    """The same rows as ``_emit_counts``, from the distinct slots in use, in order, and their counts."""
+    import pyarrow as pa
+
+    cut = np.nonzero(np.diff((slot // _RANGE).astype(np.int64), prepend=-1))[0]
+    ends = [*cut[1:], len(slot)]
+    low, n = (slot % _RANGE).astype("<u2"), n.astype("<u4")
+    rows = [[x[a:b].tobytes() for a, b in zip(cut, ends, strict=True)] for x in (low, n)] if len(slot) else [[], []]
+    return pa.record_batch([pa.array((slot[cut] // _RANGE).astype(np.int32)), pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.binary())], names=["r", "slots", "counts"])
+
+
 def slot_table(parts: DataFrame, slots: int) -> tuple[np.ndarray, int]:
     """Sums packed counters and brings the classes of all slots, one byte each, to the driver, and the sum of all counts."""
     import pyarrow as pa
@@ -109,6 +129,13 @@ def _line_ids(did: np.ndarray, th: np.ndarray, line: np.ndarray) -> np.ndarray:
         return C.mix64(x + line.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
+def _texts(batch) -> list[bytes]:
+    """Texts of a batch in UTF-8, as Arrow has them; a null is empty."""
+    import pyarrow as pa
+
+    return [t or b"" for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
+
+
 def _ids(batch) -> tuple[np.ndarray, np.ndarray]:
     return batch.column("did").to_numpy(), batch.column("th").to_numpy()
 
@@ -124,17 +151,27 @@ def _need(n, m, t: float):
     return np.ceil(t / (1 + t) * (n + m) - 1e-9)
 
 
-def _packed(kind: int, part: np.ndarray, rows: np.ndarray, more: list | None = None):
-    """(kind, part, rows, more) with one binary row for each part."""
+def _places(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places of the items of several runs: ``size`` of them from ``at`` on."""
+    return np.repeat(at - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+# records are taken by ``take``, which moves them whole; an index moves them field by field, at some ten times the cost
+def _packed(kind: int, part: np.ndarray, rows: np.ndarray, heads: np.ndarray | None = None, at: np.ndarray | None = None):
+    """(kind, part, rows, more) with one binary row for each part; ``more`` has the heads of its rows, which stand from ``at`` on."""
     if not len(rows):
         return []
     order = np.argsort(part, kind="stable")
-    cut = np.nonzero(np.diff(part[order], prepend=-1))[0]
-    out = []
-    for at, end in zip(cut, [*cut[1:], len(order)], strict=True):
-        pick = order[at:end]
-        out.append((kind, int(part[pick[0]]), rows[pick].tobytes(), b"".join(more[i] for i in pick) if more is not None else b""))
-    return out
+    part, rows = part[order], rows.take(order)
+    cut = np.nonzero(np.diff(part, prepend=-1))[0]
+    size = np.diff(cut, append=len(rows)) * rows.itemsize
+    data, ends = memoryview(rows.view(np.uint8)), np.cumsum(size)
+    if heads is None:
+        return [(kind, int(k), data[e - n : e], b"") for k, n, e in zip(part[cut], size, ends, strict=True)]
+    count = rows["heads"].astype(np.int64)
+    more = memoryview(heads.take(_places(at[order], count)).view(np.uint8))
+    sizes = np.add.reduceat(count, cut) * heads.itemsize
+    return [(kind, int(k), data[e - n : e], more[f - m : f]) for k, n, e, m, f in zip(part[cut], size, ends, sizes, np.cumsum(sizes), strict=True)]
 
 
 def _batch(rows: list):
@@ -168,13 +205,20 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, least_words: in
     rare = int(_classes(np.array([HOT_BLOCKS * C.BLOCK]))[0])  # classes below stand for smaller counts
 
     def count(batches):
-        acc = np.zeros(slots, np.uint32)
+        # distinct slots of each MB of text, folded together now and then: an array of all slots takes 64 MB of every worker
+        seen, sums, held = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], 0
         for batch in C.sliced(batches):
-            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
+            texts = _texts(batch)
             for a, b in C.groups_of_bytes(texts):
                 if (got := _split_lines(texts[a:b])) is not None:
-                    np.add.at(acc, (got[0] & mask).astype(np.int64), np.uint32(1))
-        yield _emit_counts(acc)
+                    slot, n = np.unique((got[0] & mask).astype(np.uint32), return_counts=True)
+                    seen.append(slot)
+                    sums.append(n)
+                    held += len(slot)
+            if held > max(1 << 19, 2 * len(seen[0])):
+                slot, n = _tally(seen, sums)
+                seen, sums, held = [slot], [n], len(slot)
+        yield _emit_tally(*_tally(seen, sums))
 
     table, words = slot_table(docs.select("text").mapInArrow(count, "r int, slots binary, counts binary"), slots)
     rarity = spark.sparkContext.broadcast(table)
@@ -187,31 +231,35 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, least_words: in
             return np.zeros(0, _LINE), np.zeros(0, _HEAD)
         h, text_of, line_of, per = got
         of, h = C.distinct_sets(h, per, rarity.value[(h & mask).astype(np.int64)])
-        cls = rarity.value[(h & mask).astype(np.int64)]
         n = np.bincount(of, minlength=len(per))
         first = np.cumsum(n) - n
         keep = n >= least_words
-        place = np.arange(len(of)) - first[of]
         # sets too small to be similar to one with a word more meet equal sets alone, which are one class
         meets = keep & (n + 1e-9 >= threshold * (n + 1))
-        head = meets[of] & (place < (n - np.ceil(threshold * n - 1e-9) + 1)[of]) & (cls != 1)
+        most = np.where(meets, np.minimum(n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1, n), 0)
+        head = _places(first, most)
+        cls = rarity.value[(h[head] & mask).astype(np.int64)]
+        head, cls = head[cls != 1], cls[cls != 1]
         rows = np.zeros(len(per), _LINE)
         rows["h1"], rows["h2"] = np.add.reduceat(C.mix64(h), first), np.add.reduceat(C.mix64(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), first)
         rows["b0"], rows["b1"] = _parity(h, first)
         rows["did"], rows["th"], rows["line"], rows["n"] = did[text_of], th[text_of], line_of, n
         rows["heads"] = np.bincount(of[head], minlength=len(per))
-        heads = np.zeros(int(head.sum()), _HEAD)
-        heads["word"], heads["place"], heads["hot"] = h[head].astype(np.uint32), np.minimum(place[head], 65535), cls[head] >= rare
-        return rows[keep], heads
+        heads = np.zeros(len(head), _HEAD)
+        heads["word"], heads["place"], heads["hot"] = h[head].astype(np.uint32), np.minimum(head - first[of[head]], 65535), cls >= rare
+        return rows.take(np.nonzero(keep)[0]), heads
 
     def leaders(rows):
         """Places of the first rows of each set, and of the rows that go for them: not those of a copy of the first one's document."""
         order = np.lexsort((rows["line"], rows["th"], rows["did"], rows["h2"], rows["h1"]))
-        r = rows[order]
+        r = rows.take(order)
         new = np.ones(len(r), bool)
         new[1:] = (r["h1"][1:] != r["h1"][:-1]) | (r["h2"][1:] != r["h2"][:-1])
-        lead = r[np.nonzero(new)[0]][np.cumsum(new) - 1] if len(r) else r
-        other = (r["did"] != lead["did"]) | (r["th"] != lead["th"]) | (r["line"] != lead["line"])
+        lead = np.nonzero(new)[0][np.cumsum(new) - 1] if len(r) else order
+        other = np.zeros(len(r), bool)
+        for c in ("did", "th", "line"):
+            x = np.ascontiguousarray(r[c])
+            other |= x != x[lead]
         return order[new], order[other]
 
     def gone_rows(rows):
@@ -222,16 +270,16 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, least_words: in
 
     def lines(batches):
         for batch in C.sliced(batches, 4096):
-            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
+            texts = _texts(batch)
             did, th = _ids(batch)
             got = [prefix(texts[a:b], did[a:b], th[a:b]) for a, b in C.groups_of_bytes(texts)]
             if not got:
                 continue
             rows, heads = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
-            at = np.cumsum(rows["heads"]) - rows["heads"]
+            at = np.cumsum(rows["heads"], dtype=np.int64) - rows["heads"]
             lead, gone = leaders(rows)
-            more = [heads[a : a + n].tobytes() for a, n in zip(at, rows["heads"], strict=True)]
-            yield _batch(_packed(1, (rows["h1"][lead] % np.uint64(parts)).astype(np.int64), rows[lead], [more[i] for i in lead]) + gone_rows(rows[gone]))
+            led = rows.take(lead)
+            yield _batch(_packed(1, (led["h1"] % np.uint64(parts)).astype(np.int64), led, heads, at[lead]) + gone_rows(rows.take(gone)))
 
     def classes(batches):
         held, more = [], []
@@ -245,22 +293,26 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, least_words: in
         if not held:
             return
         rows, heads = np.concatenate(held), np.concatenate(more)
-        at = np.cumsum(rows["heads"]) - rows["heads"]
+        del held, more, r, m
+        at = np.cumsum(rows["heads"], dtype=np.int64) - rows["heads"]
         lead, gone = leaders(rows)
-        yield _batch(gone_rows(rows[gone]))
-        size = rows["heads"][lead].astype(np.int64)
-        of = np.repeat(lead, size)
-        pick = heads[at[of] + np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)]
-        entry = np.zeros(len(of), _ENTRY)
-        lid = _line_ids(rows["did"], rows["th"], rows["line"])
-        entry["key"], entry["place"] = pick["word"], pick["place"]
-        entry["lid"], entry["did"] = lid[of], _order32(rows["did"])[of]
+        yield _batch(gone_rows(rows.take(gone)))
+        led = rows.take(lead)
+        size = led["heads"].astype(np.int64)
+        pick = heads.take(_places(at[lead], size))
+        own = np.zeros(len(led), _ENTRY)
+        own["lid"], own["did"] = _line_ids(led["did"], led["th"], led["line"]), _order32(led["did"])
         for c in ("n", "b0", "b1"):
-            entry[c] = rows[c][of]
+            own[c] = led[c]
+        entry = own.take(np.repeat(np.arange(len(led)), size))
+        entry["key"], entry["place"] = pick["word"], pick["place"]
         to = (C.mix64(pick["word"].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
-        hot = pick["hot"]
-        yield _batch(_packed(2, to[~hot], entry[~hot]))
-        yield _batch(_packed(3, (entry["lid"][hot].view(np.uint64) % np.uint64(parts)).astype(np.int64), entry[hot]))
+        hot, cool = np.nonzero(pick["hot"])[0], np.nonzero(~pick["hot"])[0]
+        del rows, heads, led, own, pick
+        yield _batch(_packed(2, to[cool], entry.take(cool)))
+        yield _batch(_packed(3, (entry["lid"][hot].view(np.uint64) % np.uint64(parts)).astype(np.int64), entry.take(hot)))
+        del entry, to, hot, cool
+        C.give_back()
 
     def passing(n, bits, i, j):
         need = _need(n[i], n[j], threshold)
@@ -310,10 +362,13 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, least_words: in
                     held.append(np.frombuffer(r, _ENTRY))
         if held:
             e = np.concatenate(held)
-            e = e[np.argsort(e["key"].astype(np.int64) << 31 | e["n"], kind="stable")]
+            del held, r
+            e = e.take(np.argsort(e["key"].astype(np.int64) << 31 | e["n"], kind="stable"))
             n, b0, b1, place, key, did = (np.ascontiguousarray(e[c]) for c in ("n", "b0", "b1", "place", "key", "did"))
             stays, best = racing(n, (b0, b1), place.astype(np.int64), did, _runs(key.astype(np.int64), n.astype(np.int64), threshold))
-            yield out(2, entry=e[stays], partner=(e, best[stays]))
+            yield out(2, entry=e.take(np.nonzero(stays)[0]), partner=(e, best[stays]))
+            del e, n, b0, b1, place, key, did, stays, best
+            C.give_back()
 
     def hot_race(batches):
         for t in C.whole_runs(batches, ("key", "blk_a", "blk_b")):
@@ -343,7 +398,7 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, least_words: in
     def fetch(wanted, batches):
         held = wanted.value
         for batch in C.sliced(batches):
-            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
+            texts = _texts(batch)
             did, th = _ids(batch)
             count = np.array([t.count(b"\n") + 1 for t in texts], np.int64)
             of = np.repeat(np.arange(len(texts)), count)
@@ -461,7 +516,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     text = F.col(text_col).cast("string")
     lines = f"split(CAST(`{text_col}` AS STRING), '\\n', -1)"
     rest = F.expr(f"transform(array({lines}), l -> array_join(transform(array_except(sequence(0, size(l) - 1), __wl_gone), i -> l[i]), '\\n'))[0]")
-    out = out.withColumn("__wl_lines", F.when(text.isNull(), 0).otherwise(F.char_length(text) - F.char_length(F.translate(text, "\n", "")) + 1).cast("long"))
+    out = out.withColumn("__wl_lines", F.when(text.isNull(), 0).otherwise(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long"))
     out = out.withColumn(text_col, F.when(F.col("__wl_gone").isNull(), text).otherwise(rest))
     return out.select(*cols, "__wl_lines", F.greatest(F.size("__wl_gone"), F.lit(0)).cast("long").alias("__wl_gone"))
 
