@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,7 +75,8 @@ def recovery(long: DataFrame, phases: DataFrame, base: DataFrame, keys: list[str
     rate = series.difference(long, by, "window_idx", "t_sec", "dt").groupBy(*by).agg(F.percentile("dt", F.lit(0.5)).alias("dt"))
     j = j.join(rate, by).withColumn("fs", F.coalesce(F.lit(1.0) / F.col("dt"), F.lit(1.0))).where(F.col("t_sec") >= F.col("recovery_start"))
     j = j.withColumn("k", F.floor(F.lit(hold_sec) * F.col("fs") + 1e-9))
-    good = (F.col("x") >= F.col("base") * (1 - tolerance)) & (F.col("x") <= F.col("base") * (1 + tolerance))
+    lo, hi = (float(1 + s * Decimal(str(tolerance))) for s in (-1, 1))  # 0.1 of a tolerance of 0.9, where 1 - 0.9 is less by a bit
+    good = (F.col("x") >= F.col("base") * lo) & (F.col("x") <= F.col("base") * hi)
     w = series.over(by, "window_idx")
     j = j.withColumn("pos", F.row_number().over(w) - 1).withColumn("good", good)
     j = j.withColumn("island", F.col("pos") - F.row_number().over(series.over([*by, "good"], "window_idx")))
