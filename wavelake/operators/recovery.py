@@ -9,6 +9,7 @@ from decimal import Decimal
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .. import schema as S
 from . import series, spectral
@@ -58,10 +59,16 @@ def long_form(feats: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def baseline(long: DataFrame, phases: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, indicator, base): mean in the steady phase, 0 if no window is in it."""
-    j = long.join(phases, keys)
-    steady = F.col("t_sec").between(F.col("steady_start"), F.col("steady_end"))
-    return j.groupBy(*keys, "indicator").agg(F.coalesce(F.avg(F.when(steady, F.col("x"))), F.lit(0.0)).alias("base"))
+    """(keys, indicator, base): mean in the steady phase, 0 if no window is in it.
+
+    Windows are added up in their order, so the last bit of the mean does not depend on how the rows come; a window at the very edge
+    of the tolerance would be in or out by it.
+    """
+    by = [*keys, "indicator"]
+    steady = F.when(F.col("t_sec").between(F.col("steady_start"), F.col("steady_end")), F.col("x"))
+    j = long.join(phases, keys).select(*by, "window_idx", steady.alias("x"))
+    j = j.withColumn("total", F.sum("x").over(series.over(by, "window_idx", W.unboundedPreceding, 0)))
+    return j.groupBy(*by).agg(F.coalesce(F.max_by("total", "window_idx") / F.count("x"), F.lit(0.0)).alias("base"))
 
 
 def recovery(long: DataFrame, phases: DataFrame, base: DataFrame, keys: list[str], tolerance: float = 0.05, hold_sec: float = 30.0) -> DataFrame:
