@@ -21,16 +21,16 @@ def _kinds(t: Tables) -> DataFrame:
     return t.table("events").select("event_type", "event_id", "value", (F.row_number().over(w) - 1).cast("long").alias("i"))
 
 
-def _written(t: Tables, name: str, head: list[str], line: Column, suffix: str = ".txt", rows: DataFrame | None = None) -> str:
-    """Writes ``line`` of every row below the lines ``head``: a folder for each kind with one file of it."""
-    rows = _kinds(t) if rows is None else rows
-    first = rows.select("event_type").distinct().select("event_type", F.posexplode(F.array(*[F.lit(h) for h in head])).alias("i", "line")) if head else None
-    body = rows.select("event_type", F.lit(1).alias("part"), "i", line.alias("line"))
-    if first is not None:
-        body = first.select("event_type", F.lit(0).alias("part"), F.col("i").cast("long").alias("i"), "line").unionByName(body)
+def _written(t: Tables, name: str, head: list[str], line: Column) -> str:
+    """Writes ``line`` of every row below the lines ``head``: a folder for each kind with one file of it.
+
+    The head comes from the first row of a kind.  A union of heads and rows would not do: each side is dealt out by kind already, so
+    Spark leaves out the shuffle above them, and once it joins partitions of one side the two are no longer dealt alike.
+    """
+    made = F.when(F.col("i") == 0, F.array(*[F.lit(h) for h in head], line)).otherwise(F.array(line))
+    body = _kinds(t).select(F.col("event_type").alias("kind"), "i", F.posexplode(made).alias("nth", "line"))
     out = folder(t.spark, name)
-    body = body.repartition("event_type").sortWithinPartitions("event_type", "part", "i")
-    body.select(F.col("event_type").alias("kind"), "line").write.partitionBy("kind").option("compression", "none").text(out)
+    body.repartition("kind").sortWithinPartitions("kind", "i", "nth").select("kind", "line").write.partitionBy("kind").option("compression", "none").text(out)
     return out
 
 
