@@ -6,7 +6,7 @@ import pytest
 from wavelake.plans import registry
 
 D = "/root/testdata/sf0.01"
-NAMES = ["s05_header_settings", "s06_header_exports", "s06_pruned_columns", "s09_plain_tables"]
+NAMES = ["s05_header_settings", "s06_header_exports", "s06_pruned_columns", "s09_plain_tables", "s11_metadata"]
 
 
 @pytest.fixture
