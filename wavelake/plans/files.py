@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..sources import readers
-from ..sources.scratch import folder
+from ..sources.scratch import folder, staged
 from .base import Tables, query
 
 KINDS = "k AS (SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS i FROM events)"
@@ -87,7 +87,7 @@ def s07(t):
 @query("s09_plain_tables", f"WITH {KINDS} SELECT event_type, 'plain' AS format, 125 AS fs, i AS sample_idx, round(i / 125.0, 6) AS t_sec, round(value, 6) AS value FROM k")
 def s09(t):
     line = F.concat_ws(",", (F.col("i") / 125).cast("string"), F.col("value").cast("string"))
-    rows = readers.load(t.spark, _written(t, "plain", ["time,ch1"], line))
+    rows = staged(readers.load(t.spark, _written(t, "plain", ["time,ch1"], line)), "plain-samples")  # read twice
     meta = readers.recordings(rows).select("recording_id", "format", "fs")
     return readers.samples(rows).join(meta, "recording_id").select(_kind(), "format", "fs", "sample_idx", "t_sec", "value")
 

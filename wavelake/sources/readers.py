@@ -17,6 +17,10 @@ from .. import schema as S
 
 TIME_NAMES = ("time", "timestamp", "t", "时间")
 
+#: Lines of a block. Samples are numbered block by block, so the rows of a long recording are dealt over all tasks.
+BLOCK = 8192
+AT = ["recording_id", "_split", "_block"]
+
 
 def _place(path: Column) -> Column:
     """The path of a file's address: without scheme and host, decoded (a plus stays a plus)."""
@@ -97,14 +101,38 @@ def odf_header(text: DataFrame) -> DataFrame:
     return g.select("recording_id", "fs", F.coalesce("n", F.lit(0)).alias("n_channels"), "board", F.transform(F.split("names", ","), lambda c: F.trim(c)).alias("cols"))
 
 
+def _blocks(rows: DataFrame, seq: str) -> DataFrame:
+    """Rows dealt out by block: a shuffle of its own, as rows dealt by recording (for a join with its head) would pass for it."""
+    return rows.withColumns({"_split": F.col(f"{seq}.split"), "_block": F.expr(f"{seq}.n div {BLOCK}")}).repartition(*AT)
+
+
+def _steps(rows: DataFrame, ts: Column) -> DataFrame:
+    """(recording_id, dt): the time from the row before to each row, null for the first."""
+    rows = _blocks(rows.select("recording_id", "line_no", ts.alias("ts")), "line_no")
+    last = rows.groupBy(*AT).agg(F.max_by("ts", "line_no").alias("last"))
+    last = last.select(*AT, F.lag("last").over(W.partitionBy("recording_id").orderBy("_split", "_block")).alias("last")).repartition(*AT)
+    w = W.partitionBy(*AT).orderBy("line_no")
+    rows = rows.withColumn("nth", F.row_number().over(w)).withColumn("before", F.lag("ts").over(w)).join(last, AT)
+    return rows.select("recording_id", (F.col("ts") - F.when(F.col("nth") == 1, F.col("last")).otherwise(F.col("before"))).alias("dt"))
+
+
+def _mean_rate(rows: DataFrame, ts: Column) -> DataFrame:
+    """(recording_id, guess): one over the mean of the positive time steps, 250 if there is none."""
+    mean = F.avg(F.when(F.col("dt") > 0, F.col("dt")))
+    return _steps(rows, ts).groupBy("recording_id").agg(F.coalesce(F.rint(F.lit(1.0) / mean).cast("int"), F.lit(250)).alias("guess"))
+
+
 def _picked(rows: DataFrame) -> DataFrame:
     """From (recording_id, path, format, board, fs, nums, seq, exg places, accel places, ts place, unit, marker place) to one row for
     each sample, with the arrays of its values."""
     at = lambda p: F.get(F.col("nums"), F.col(p))
-    w = W.partitionBy("recording_id").orderBy("seq")
-    rows = rows.withColumn("sample_idx", (F.row_number().over(w) - 1).cast("long"))
-    rows = rows.withColumn("ts", at("ts_at") / F.col("unit"))
-    wall = F.col("ts") - F.first("ts").over(w)
+    rows = _blocks(rows.withColumn("ts", at("ts_at") / F.col("unit")), "seq")
+    blocks = rows.groupBy(*AT).agg(F.count(F.lit(1)).alias("n"), F.min_by("ts", "seq").alias("ts"))
+    w = W.partitionBy("recording_id").orderBy("_split", "_block").rowsBetween(W.unboundedPreceding, 0)
+    blocks = blocks.select(*AT, (F.sum("n").over(w) - F.col("n")).alias("_before"), F.first("ts").over(w).alias("_start")).repartition(*AT)  # else a join may deal the rows by recording
+    rows = rows.withColumn("_nth", F.row_number().over(W.partitionBy(*AT).orderBy("seq"))).join(blocks, AT)
+    rows = rows.withColumn("sample_idx", (F.col("_before") + F.col("_nth") - 1).cast("long"))
+    wall = F.col("ts") - F.col("_start")
     return rows.select(
         "recording_id", "path", "format", "board", "fs", "sample_idx", F.coalesce(wall, F.col("sample_idx") / F.col("fs")).alias("wall_sec"),
         F.transform("exg_at", lambda p: F.get(F.col("nums"), p)).alias("exg"), F.transform("accel_at", lambda p: F.get(F.col("nums"), p)).alias("accel"), at("marker_at").alias("marker"), "names",
@@ -132,16 +160,13 @@ def read_board(text: DataFrame) -> DataFrame:
     mean of the positive time steps."""
     rows = text.withColumn("nums", numbers(F.col("line"))).withColumn("n_cols", F.size("nums"))
     rows = rows.where(F.forall("nums", lambda x: x.isNotNull()))
-    head = (F.col("line_no") == F.min("line_no").over(W.partitionBy("recording_id"))) & is_index_row(F.col("nums"))
-    rows = rows.withColumn("_head", head).where(~F.col("_head"))
+    first = rows.groupBy("recording_id").agg(F.min("line_no").alias("first_no"))
+    rows = rows.join(first, "recording_id").where((F.col("line_no") != F.col("first_no")) | ~is_index_row(F.col("nums")))
     rows = rows.join(F.broadcast(board_map(text.sparkSession)), "n_cols", "left")  # six rows
     n = F.coalesce("n_exg", F.greatest(F.expr("n_cols div 4"), F.lit(1)))
     rows = rows.withColumn("n", n).withColumn("board", F.coalesce("board", F.lit("unknown")))
-    w = W.partitionBy("recording_id").orderBy("line_no")
-    ts = F.get("nums", F.col("n_cols") - 2)
-    rows = rows.withColumn("dt", ts - F.lag(ts).over(w))
-    guess = F.coalesce(F.rint(F.lit(1.0) / F.avg(F.when(F.col("dt") > 0, F.col("dt"))).over(W.partitionBy("recording_id"))).cast("int"), F.lit(250))
-    rows = rows.withColumn("fs", F.coalesce("board_fs", guess))
+    guess = _mean_rate(rows.where("board_fs IS NULL"), F.get("nums", F.col("n_cols") - 2))
+    rows = rows.join(guess, "recording_id", "left").withColumn("fs", F.coalesce("board_fs", "guess"))
     accel = F.when(F.col("n_cols") >= F.col("n") + 4, F.sequence(F.col("n") + 1, F.col("n") + 3)).otherwise(F.array().cast("array<int>"))
     rows = rows.withColumns({
         "exg_at": F.sequence(F.lit(1), F.col("n")), "accel_at": accel, "ts_at": F.col("n_cols") - 2, "marker_at": F.col("n_cols") - 1,
@@ -153,9 +178,9 @@ def read_board(text: DataFrame) -> DataFrame:
 
 def _named(text: DataFrame, fmt: str) -> DataFrame:
     """Files with a line of column names: (…, cols, nums) of their data lines."""
-    w = W.partitionBy("recording_id").orderBy("line_no")
-    rows = text.withColumn("cols", F.first(F.transform(cells(F.col("line")), F.lower)).over(w)).withColumn("real_cols", F.first(cells(F.col("line"))).over(w))
-    rows = rows.withColumn("nth", F.row_number().over(w)).where("nth > 1").withColumn("nums", numbers(F.col("line")))
+    head = text.groupBy("recording_id").agg(F.min("line_no").alias("head_no"), F.min_by("line", "line_no").alias("head"))
+    head = head.select("recording_id", "head_no", F.transform(cells(F.col("head")), F.lower).alias("cols"), cells(F.col("head")).alias("real_cols"))
+    rows = text.join(head, "recording_id").where("line_no <> head_no").withColumn("nums", numbers(F.col("line")))
     return rows.withColumn("format", F.lit(fmt)).withColumn("board", F.lit("unknown")).withColumn("seq", F.col("line_no"))
 
 
@@ -165,9 +190,7 @@ def read_session(text: DataFrame) -> DataFrame:
     places = lambda pattern: F.filter(F.transform("cols", lambda c, i: F.when(c.rlike(pattern), i)), lambda x: x.isNotNull())
     place = lambda name: F.nullif(F.array_position(F.col("cols"), name).cast("int") - 1, F.lit(-1))
     rows = rows.withColumns({"exg_at": places("^exg"), "accel_at": places("^accel"), "ts_at": place("timestamp"), "marker_at": place("marker"), "unit": F.lit(1000.0)})
-    ts = F.get("nums", F.col("ts_at")) / 1000
-    dt = ts - F.lag(ts).over(W.partitionBy("recording_id").orderBy("line_no"))
-    rows = rows.withColumn("dt", dt).withColumn("fs", F.coalesce(F.rint(F.lit(1.0) / F.avg(F.when(F.col("dt") > 0, F.col("dt"))).over(W.partitionBy("recording_id"))).cast("int"), F.lit(250)))
+    rows = rows.join(_mean_rate(rows, F.get("nums", F.col("ts_at")) / 1000), "recording_id").withColumnRenamed("guess", "fs")
     return _picked(rows.withColumn("names", F.transform("exg_at", lambda p: F.get(F.col("real_cols"), p))))
 
 
@@ -180,9 +203,7 @@ def read_plain(text: DataFrame) -> DataFrame:
         "accel_at": F.array().cast("array<int>"), "marker_at": F.lit(None).cast("int"), "unit": F.lit(1.0),
         "ts_at": F.get(F.filter(F.transform("cols", lambda c, i: F.when(isin(c), i)), lambda x: x.isNotNull()), F.lit(0)),
     })
-    ts = F.get("nums", F.col("ts_at"))
-    rows = rows.withColumn("dt", ts - F.lag(ts).over(W.partitionBy("recording_id").orderBy("line_no")))
-    mid = rows.groupBy("recording_id").agg(F.percentile("dt", F.lit(0.5)).alias("mid"))
+    mid = _steps(rows, F.get("nums", F.col("ts_at"))).groupBy("recording_id").agg(F.percentile("dt", F.lit(0.5)).alias("mid"))
     rows = rows.join(mid, "recording_id").withColumn("fs", F.coalesce(F.when(F.col("mid") > 0, F.rint(F.lit(1.0) / F.col("mid"))).cast("int"), F.lit(250)))
     return _picked(rows.withColumn("names", F.transform("exg_at", lambda p: F.get(F.col("real_cols"), p))))
 
@@ -199,8 +220,11 @@ def load(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
         return READERS[fmt](text)
     # the format of each file from its first line; lines are written once, each reader takes its own
     text = staged(text.join(formats(text).select("path", "format"), "path").select("recording_id", "path", "line_no", "line", "format"), "typed-lines")
+    found = {r.format for r in text.select("format").distinct().collect()} or {"plain"}  # four at most
     out = None
     for name, read in READERS.items():
+        if name not in found:
+            continue
         part = read(text.where(F.col("format") == name).drop("format"))
         out = part if out is None else out.unionByName(part)
     return out
